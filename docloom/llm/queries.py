@@ -11,6 +11,7 @@ from docloom.llm.canonical import map_to_canonical
 from docloom.llm.cooccurrence import frequent_pairs
 from docloom.llm.mixing import mix_report, mix_sources
 from docloom.llm.packing import fill_windows, window_fill
+from docloom.llm.pii import find_values, redact_samples, redact_texts
 from docloom.llm.spans import shared_share, shared_span_pairs
 from docloom.llm.splitting import split_oversized
 from docloom.llm.term_frequency import explode_terms, field_totals, mark_terms, term_frequency
@@ -48,6 +49,24 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_terms(spark, d).select("field", "term", F.explode("marks").alias("mark"))
 
 
+def p3_texts(spark: SparkSession, d: str) -> DataFrame:
+    return redact_texts(table(spark, d, "extract_record").select("extract_id", "text"), "extract_id", "text")
+
+
+def p3_priors(spark: SparkSession, d: str) -> DataFrame:
+    return redact_samples(table(spark, d, "ledger")).select("doc_id", "queued_at", F.map_entries("priors").alias("priors"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    texts = find_values(table(spark, d, "extract_record").select("extract_id", "text"), "extract_id", "text")
+    kept = table(spark, d, "ledger").select("doc_id", F.explode(F.map_values("priors")).alias("v"))
+    # a sample with a star in place of the value, or a placeholder or keyword alone, is searched like any other
+    samples = kept.select("doc_id", F.explode("v.redacted_samples").alias("sample")).distinct()
+    priors = find_values(samples, "doc_id", "sample").distinct()
+    columns = ["field", "row_key", "kind", "found_value"]
+    return texts.select(F.lit("text").alias("field"), *columns[1:]).unionAll(priors.select(F.lit("priors").alias("field"), *columns[1:]))
+
+
 def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
     return frequent_pairs(cut(_terms(spark, d, ("tags", "entities")).distinct()))
 
@@ -61,7 +80,7 @@ def _typed(spark: SparkSession, d: str) -> DataFrame:
     home = F.transform("home", lambda v, i: F.struct(F.lit("home").alias("field"), i.alias("pos"), v.alias("value")))
     main = F.array(F.struct(F.lit("main").alias("field"), F.lit(0).alias("pos"), F.col("main").alias("value")))
     values = walks.select("walk_id", F.explode(F.concat(F.coalesce(home, F.array().cast(home_type())), main)).alias("v")).select("walk_id", "v.*")
-    return values.where(F.col("value").rlike(r"[^\s ]"))
+    return values.where(F.col("value").rlike(r"[^\s\u00a0]"))
 
 
 def home_type() -> str:
