@@ -123,7 +123,8 @@ def _map_contexts(k: int, span: int):
 
 def shared_contexts(texts: DataFrame, span: int, k: int) -> DataFrame:
     """(rep, pos, h, left reversed, mid, right) of every anchor whose hash stands in more than one distinct text."""
-    found = cut(texts.select("rep", "text").mapInArrow(_map_anchors(k, span), "rep long, pos int, h long"))
+    # anchors are found twice: that takes less than to store one row for each fiftieth character
+    found = texts.select("rep", "text").mapInArrow(_map_anchors(k, span), "rep long, pos int, h long")
     several = found.groupBy("h").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where(F.col("a") < F.col("b")).select("h")
     hits = found.join(several, "h", "left_semi").groupBy("rep").agg(F.collect_list(F.struct("pos", "h")).alias("at"))
     return texts.join(hits, "rep").select("rep", "text", "at").mapInArrow(
