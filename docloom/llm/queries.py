@@ -12,8 +12,10 @@ from docloom.llm.cooccurrence import frequent_pairs
 from docloom.llm.mixing import mix_report, mix_sources
 from docloom.llm.packing import fill_windows, window_fill
 from docloom.llm.pii import find_values, redact_samples, redact_texts
+from docloom.llm.scan_noise import repair_scans
 from docloom.llm.spans import shared_share, shared_span_pairs
 from docloom.llm.splitting import split_oversized
+from docloom.llm.subjects import assign_subjects, subject_makeup, train_subjects
 from docloom.llm.term_frequency import explode_terms, field_totals, mark_terms, term_frequency
 from docloom.operators.versions import current_rows
 from docloom.session import cut, table
@@ -97,6 +99,28 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return map_to_canonical(typed, "value", table(spark, d, "file_plan")).select("walk_id", "field", "pos", "plan_id")
 
 
+def p6_subjects(spark: SparkSession, d: str) -> DataFrame:
+    texts = table(spark, d, "extract_record").select("extract_id", "doc_id", "text")
+    model = train_subjects(texts, table(spark, d, "subject_labels"), table(spark, d, "layer_record"), table(spark, d, "subject_areas"))
+    return assign_subjects(texts, model)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_subjects(spark, d).select("extract_id", "subject")
+
+
+def p6_makeup(spark: SparkSession, d: str) -> DataFrame:
+    return subject_makeup(p6_subjects(spark, d), table(spark, d, "extract_record"))
+
+
+def p7_texts(spark: SparkSession, d: str) -> DataFrame:
+    return repair_scans(table(spark, d, "extract_record").select("extract_id", "text"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_texts(spark, d).select("extract_id", F.explode("noise").alias("n")).select("extract_id", "n.line_no", "n.noise")
+
+
 def p8_windows(spark: SparkSession, d: str) -> DataFrame:
     return fill_windows(table(spark, d, "documents").select("doc_id", "text"))
 
