@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docloom.functions.terms import UNMAPPED
+from docloom.functions.textops import strip_all
 
 
 def parse_model_json(text: Column) -> Column:
@@ -29,7 +30,7 @@ def closed_terms(values: Column, allowed: Column, most: int = 2) -> Column:
 
 def capped_terms(values: Column, most: int) -> Column:
     """Distinct without regard to case, first spelling and order kept, blank and null out, at most ``most``."""
-    clean = F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v.isNotNull() & (v != ""))
+    clean = F.filter(F.transform(values, strip_all), lambda v: v.isNotNull() & (v != ""))
     first = F.filter(clean, lambda v, i: F.array_position(F.transform(clean, F.lower), F.lower(v)) == i + 1)
     return F.slice(F.coalesce(first, F.array().cast("array<string>")), 1, most)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,7 +49,7 @@ def _digits(x: Column) -> Column:
 def scan(text: Column) -> dict[str, Column]:
     """Kind -> array of redacted samples, one for each match in text order (null text: empty arrays)."""
     text = plain_letters(F.coalesce(text, F.lit("")))
-    cards = F.filter(F.transform(matches(text, CARD), _digits), lambda d: (F.length(d) >= 13) & (F.length(d) <= 19) & F.luhn_check(d))
+    cards = F.filter(F.transform(matches(text, CARD), _digits), lambda d: (F.length(d) >= 13) & (F.length(d) <= 19) & F.call_function("luhn_check", d))
     constant = lambda pattern, sample: F.transform(matches(text, pattern), lambda _: F.lit(sample))
     words = F.array_join(F.slice(F.array_sort(F.array_distinct(F.transform(matches(text, SENSITIVE, 1), F.lower))), 1, 8), ", ")
     return {
@@ -88,10 +91,6 @@ def windowed_nine_digits(text: Column) -> Column:
     The window is cut before the word is looked for, so a cut can make a word border, as the scan is defined. Only
     texts with such a word and such a number reach the Python worker.
     """
-    import re
-
-    import pandas as pd
-
     word, nine = re.compile(SSN_WORD), re.compile(r"\b(\d{9})\b")
 
     @F.pandas_udf("array<string>")

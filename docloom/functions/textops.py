@@ -28,8 +28,8 @@ def readable_utf8(content: Column) -> Column:
 
 
 def strip_all(text: Column) -> Column:
-    """Without white space at either end, line ends included."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    """Without white space at either end, line ends and no-break spaces included."""
+    return F.regexp_replace(text, r"^[\s\u00a0]+|[\s\u00a0]+$", "")
 
 
 def enough_text(text: Column, least: int = 30) -> Column:

@@ -5,18 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from docloom.session import table
+from docloom.plans import layer_plans, ledger_plans, stream_plans, tag_plans, text_plans
+
+PLANS = (text_plans, ledger_plans, tag_plans, layer_plans, stream_plans)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "ledger").groupBy("prior_severity").agg(F.count(F.lit(1)).alias("documents"))
+    return text_plans.pii_map(spark, d)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for plan in PLANS for name, f in plan.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for plan in PLANS for name, sql in plan.oracle_sql().items()}

@@ -1 +1 @@
-
+"""Sources: folders, archives and documents."""

@@ -1 +1 @@
-
+"""Structured Streaming: ingest and running state."""
