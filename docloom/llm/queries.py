@@ -42,13 +42,17 @@ def _terms(spark: SparkSession, d: str, fields: tuple[str, ...]) -> DataFrame:
     return out
 
 
-def p2_terms(spark: SparkSession, d: str) -> DataFrame:
+def _marked(spark: SparkSession, d: str) -> DataFrame:
     tokens = _terms(spark, d, ("tags", "main"))
     return mark_terms(term_frequency(tokens), field_totals(tokens))
 
 
+def p2_terms(spark: SparkSession, d: str) -> DataFrame:
+    return _marked(spark, d).withColumn("marks", F.array_join("marks", ","))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return p2_terms(spark, d).select("field", "term", F.explode("marks").alias("mark"))
+    return _marked(spark, d).select("field", "term", F.explode("marks").alias("mark"))
 
 
 def p3_texts(spark: SparkSession, d: str) -> DataFrame:

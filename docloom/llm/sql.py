@@ -31,7 +31,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": "SELECT extract_id FROM extract_record WHERE length(text) > 12000",
         "p2_terms": _TERMS
         + """SELECT f.field, term, occurrences, records, records / n AS share,
-list_filter([CASE WHEN records <= 2 THEN 'rare' END, CASE WHEN records > n * 0.1 THEN 'common' END], x -> x IS NOT NULL) AS marks
+concat_ws(',', CASE WHEN records <= 2 THEN 'rare' END, CASE WHEN records > n * 0.1 THEN 'common' END) AS marks
 FROM freq f JOIN totals t ON f.field = t.field WHERE f.field <> 'entities'""",
         "p2_found": _TERMS
         + """SELECT f.field, term, 'rare' AS mark FROM freq f WHERE records <= 2 AND f.field <> 'entities'
