@@ -65,8 +65,10 @@ def scan(text: Column) -> dict[str, Column]:
 
 def as_map(found: dict[str, Column]) -> Column:
     """Map kind -> (count, first five distinct samples) of the kinds that occur, in scan order."""
-    entry = lambda k, a: F.struct(F.lit(k).alias("key"), F.struct(F.size(a).alias("count"), F.slice(F.array_distinct(a), 1, SAMPLES).alias("redacted_samples")).alias("value"))
-    return F.map_from_entries(F.filter(F.array(*[entry(k, found[k]) for k in KINDS]), lambda e: e["value"]["count"] > 0))
+    pairs = F.array(*[F.struct(F.lit(k).alias("kind"), found[k].alias("samples")) for k in KINDS])
+    # each array is computed once and then taken apart
+    entry = lambda e: F.struct(e["kind"].alias("key"), F.struct(F.size(e["samples"]).alias("count"), F.slice(F.array_distinct(e["samples"]), 1, SAMPLES).alias("redacted_samples")).alias("value"))
+    return F.map_from_entries(F.filter(F.transform(pairs, entry), lambda e: e["value"]["count"] > 0))
 
 
 def severity(kinds: Column) -> Column:

@@ -18,7 +18,7 @@ def record_stream(spark: SparkSession, path: str, schema: StructType, files_per_
 
 def new_documents(records: DataFrame, event_time: str = "extracted_at", late: str = "30 days", key: str = "doc_id") -> DataFrame:
     """Each document once, within the time that late rows may take: state is dropped behind the watermark."""
-    return records.withWatermark(event_time, late).dropDuplicatesWithinWatermark([key])
+    return records.withColumn(event_time, F.col(event_time).cast("timestamp")).withWatermark(event_time, late).dropDuplicatesWithinWatermark([key])
 
 
 def scanned(records: DataFrame) -> DataFrame:
@@ -29,7 +29,8 @@ def scanned(records: DataFrame) -> DataFrame:
 
 def windowed_counts(records: DataFrame, event_time: str = "extracted_at", width: str = "1 day", late: str = "2 days") -> DataFrame:
     """Rows and bytes by day of extraction, final once the watermark has passed."""
-    return records.withWatermark(event_time, late).groupBy(F.window(event_time, width).alias("w")).agg(F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("bytes"))
+    timed = records.withColumn(event_time, F.col(event_time).cast("timestamp"))
+    return timed.withWatermark(event_time, late).groupBy(F.window(event_time, width).alias("w")).agg(F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("bytes"))
 
 
 def run_into(records: DataFrame, checkpoint: str, batch: Callable[[DataFrame, int], None]) -> StreamingQuery:
