@@ -27,8 +27,9 @@ _MARKED = re.compile(r"[0-9!|$+ﬁﬂ]")
 #: Misreadings of one letter as such are too common as letters to be looked for twice in a word.
 _ONCE = ("h", "d", "m")
 BITS = 1 << 23
-TOKEN = re.compile(r"[^\W_]*[!+|$]*(?:[^\W\d_][!+|$]*)+(?:[^\W_]|[!+|$](?=[^\W_]))*")
-_SKIP = re.compile(r"\S*(?:@|://)\S*|\S{40,}")
+TOKEN = re.compile(r"[!+|$]?[^\W_]+(?:[!+|$]+[^\W_]+)*[+$]?")
+_LONG = re.compile(r"(?<!\S)\S{40,}")
+_LETTER = re.compile(r"[^\W\d_]")
 _HYPHENS = "-‐­¬"
 _LINE_END = re.compile(rf"([^\W\d_][\w!+|$]*)([{_HYPHENS}])$")
 _LINE_START = re.compile(r"[\w!+|$]*[^\W\d_][\w!+|$]*")
@@ -40,10 +41,27 @@ _ITEM = re.compile(r"^\s*(?:[-*•]|\d+[.)])\s")
 _FOLD = tuple((s, t) for s, t, _ in CONFUSIONS if (s, t) not in (("1", "i"), ("!", "l"), ("|", "i"), ("9", "q"), ("8", "b")) and s not in _ONCE)
 
 
+def plain(text: str) -> str:
+    """The text in lower case at the same length, addresses of the net and strings of 40 characters or more blank."""
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    for mark in ("@", "://"):
+        at = low.find(mark)
+        while at >= 0:
+            a, b = at, at + len(mark)
+            while a and not low[a - 1].isspace():
+                a -= 1
+            while b < len(low) and not low[b].isspace():
+                b += 1
+            low = low[:a] + " " * (b - a) + low[b:]
+            at = low.find(mark, b)
+    return _LONG.sub(lambda m: " " * len(m[0]), low) if _LONG.search(low) else low
+
+
 def tokens(line: str) -> list[tuple[int, int, str]]:
-    """(start, end, lower-case token) of the words of a line; addresses of the net and long strings without spaces hold none."""
-    skip = [m.span() for m in _SKIP.finditer(line)] if "@" in line or "://" in line or len(line) >= 40 else []
-    return [(m.start(), m.end(), m[0].lower()) for m in TOKEN.finditer(line) if len(m[0]) > 1 and not any(a <= m.start() < b for a, b in skip)]
+    """(start, end, token) of the words of a line."""
+    return [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(plain(line)) if len(m[0]) > 1]
 
 
 def doubt(token: str, own: int, options: list[tuple[str, float, int]], least: int, ratio: float) -> list[tuple[str, float, int]]:
@@ -86,6 +104,8 @@ def fold(line: str) -> str:
 
 
 def _looks_like_header(line: str) -> bool:
+    if len(line) > 96 or line[-1] in ".!?;,…" or not line[0].isalnum() or line[0].islower():
+        return False
     text = _HEADER_NUMBER.sub("", line.strip())
     if not 4 <= len(text) <= 80 or _ITEM.match(text) or text[-1] in ".!?;,…" or not text[0].isalnum() or "|" in text or "@" in text:
         return False
@@ -103,7 +123,7 @@ class Layout:
         self.lines = text.split("\n")
         bare = [x.replace("\f", " ").strip() for x in self.lines]
         self.blank = [not x for x in bare]
-        pages = [None if b else _PAGE.fullmatch(x) for x, b in zip(bare, self.blank)]
+        pages = [_PAGE.fullmatch(x) if 0 < len(x) <= 24 else None for x in bare]
         looks = [not b and p is None and _looks_like_header(x) for x, b, p in zip(bare, self.blank, pages)]
         folded = [fold(x) if k else "" for x, k in zip(bare, looks)]
         several = Counter(f for f in folded if f)
@@ -149,48 +169,65 @@ class Layout:
 
 def _partial_counts(batches: Iterator[pd.DataFrame], flush: int = 300_000) -> Iterator[pd.DataFrame]:
     words: Counter = Counter()
-    pairs: Counter = Counter()
-
-    def out() -> pd.DataFrame:
-        rows = [(w, "", n) for w, n in words.items()] + [(a, b, n) for (a, b), n in pairs.items()]
-        words.clear(), pairs.clear()
-        return pd.DataFrame(rows, columns=["a", "b", "n"])
-
     for pdf in batches:
         for text in pdf["_text"]:
-            for line in text.split("\n"):
-                found = [t for _, _, t in tokens(line)]
-                words.update(found)
-                pairs.update(zip(found, found[1:]))
-            if len(words) + len(pairs) > flush:
-                yield out()
-    yield out()
+            words.update(TOKEN.findall(plain(text)))
+        if len(words) > flush:
+            yield pd.DataFrame(list(words.items()), columns=["word", "n"])
+            words.clear()
+    yield pd.DataFrame(list(words.items()), columns=["word", "n"])
 
 
 def _bit(token: str) -> int:
     return zlib.crc32(token.encode()) % BITS
 
 
-def _needs(bits: bytes):
-    def listed(token: str) -> bool:
-        at = _bit(token)
-        return bits[at >> 3] >> (at & 7) & 1 == 1
+class Listed:
+    """Whether a word is in a bitmap; remembers what it was asked, within a bound."""
+
+    def __init__(self, bits: bytes, most: int = 500_000):
+        self.bits, self.most, self.seen = bits, most, {}
 
+    def __call__(self, token: str) -> bool:
+        hit = self.seen.get(token)
+        if hit is None:
+            at = _bit(token)
+            hit = self.bits[at >> 3] >> (at & 7) & 1 == 1
+            if len(self.seen) >= self.most:
+                self.seen.clear()
+            self.seen[token] = hit
+        return hit
+
+
+def _needs(doubted: bytes, readings: bytes):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        in_doubt, is_reading = Listed(doubted), Listed(readings)
+        pairs: Counter = Counter()
         for pdf in batches:
             rows = set()
             for key, text in zip(pdf["_key"], pdf["_text"]):
-                layout = Layout(text)
-                for i, line in enumerate(layout.lines):
-                    if layout.body[i]:
-                        found = [t for _, _, t in tokens(line)]
-                        for k, t in enumerate(found):
-                            if listed(t):
-                                rows.add((key, t, "word", found[k - 1] if k else "", found[k + 1] if k + 1 < len(found) else ""))
-                for _, _, left, _, right in layout.splits():
-                    for t in (left + right, left, right):
-                        rows.add((key, t.lower(), "part", "", ""))
-            yield pd.DataFrame(list(rows), columns=["_key", "token", "kind", "before", "after"])
+                found = TOKEN.findall(plain(text))
+                asked = {t for t in set(found) if in_doubt(t)}
+                near = {t for t in set(found) if is_reading(t)}
+                if asked or near:
+                    for k, t in enumerate(found):
+                        if t in asked:
+                            rows.add((key, t, "word", found[k - 1] if k else "", found[k + 1] if k + 1 < len(found) else "", 1))
+                        if t in near:
+                            if k:
+                                pairs[found[k - 1], t] += 1
+                            if k + 1 < len(found):
+                                pairs[t, found[k + 1]] += 1
+                if "\n" in text:
+                    for _, _, left, _, right in Layout(text).splits():
+                        for t in (left + right, left, right):
+                            rows.add((key, t.lower(), "part", "", "", 1))
+            out = list(rows)
+            if len(pairs) > 200_000:
+                out += [(None, a, "pair", b, "", n) for (a, b), n in pairs.items()]
+                pairs.clear()
+            yield pd.DataFrame(out, columns=["_key", "token", "kind", "before", "after", "n"])
+        yield pd.DataFrame([(None, a, "pair", b, "", n) for (a, b), n in pairs.items()], columns=["_key", "token", "kind", "before", "after", "n"])
 
     return run
 
@@ -265,12 +302,12 @@ def repair(text: str, decoder: Decoder) -> tuple[str, list[tuple[int, str]]]:
             noise.append((i + 1, "hyphen"))
     starts = {j: right for j, _, right in joins.values()}
     lines = list(layout.lines)
-    for i, line in enumerate(layout.lines):
+    for i, line in enumerate(layout.lines) if len(decoder.cands) else ():
         if not layout.body[i]:
             continue
         found = tokens(line)
         words = [t for _, _, t in found]
-        if not any(t not in decoder.hot and t in decoder.cands for t in words):
+        if not any(t in decoder.cands for t in words):
             continue
         changed = False
         for (a, b, t), true in reversed(list(zip(found, decoder.line(words)))):
@@ -350,6 +387,16 @@ def _final(hot: frozenset[str], key: str, least: int, ratio: float):
     return run
 
 
+def _bitmap(tokens: DataFrame) -> bytes:
+    """One bit for each word, always a megabyte whatever their number; a word that shares a bit is dropped by a join later."""
+    bit = F.pmod(F.crc32(F.encode("token", "UTF-8")), F.lit(BITS))
+    blocks = tokens.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 32768).alias("block")).agg(F.bitmap_construct_agg(F.pmod("bit", F.lit(32768))).alias("map"))
+    out = bytearray(BITS // 8)
+    for r in blocks.collect():  # at most BITS / 32768 rows
+        out[r["block"] * 4096 : (r["block"] + 1) * 4096] = r["map"]
+    return bytes(out)
+
+
 def repair_scans(df: DataFrame, key: str = "extract_id", text: str = "text", least: int = 5, ratio: float = 12.0) -> DataFrame:
     """(key, repaired, noise): each text in continuous paragraphs and its (line_no, noise) list.
 
@@ -370,8 +417,7 @@ def repair_scans(df: DataFrame, key: str = "extract_id", text: str = "text", lea
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     full = rows.where(F.col("_text").rlike(r"\S") & F.col("_key").isNotNull())
-    counts = cut(full.select("_text").mapInPandas(_partial_counts, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")))
-    words = counts.where("b = ''").select(F.col("a").alias("word"), "n")
+    words = cut(full.select("_text").mapInPandas(_partial_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("word").rlike(r"\p{L}")))
     most = words.agg(F.max("n")).first()[0] or 0
     hot = frozenset(r[0] for r in words.where(F.col("n") > max(most / ratio, least)).select("word").collect())
 
@@ -393,18 +439,16 @@ def repair_scans(df: DataFrame, key: str = "extract_id", text: str = "text", lea
 
     rare = words.where((F.char_length("word") > 2) & (F.col("n") <= max(most / ratio, least))).select(F.col("word").alias("token"))
     doubted = cut(readings(rare).withColumn("doubts", doubts("token", "options")).where("doubts > 0"))
-    # one bit for each doubted word: always a megabyte, whatever the number of words; a word that shares a bit is dropped by the join below
-    bit = F.pmod(F.crc32(F.encode("token", "UTF-8")), F.lit(BITS))
-    blocks = doubted.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 32768).alias("block")).agg(F.bitmap_construct_agg(F.pmod("bit", F.lit(32768))).alias("map")).collect()
-    bits = bytearray(BITS // 8)
-    for r in blocks:
-        bits[r["block"] * 4096 : (r["block"] + 1) * 4096] = r["map"]
-    needs = cut(full.mapInPandas(_needs(bytes(bits)), f"_key {kind}, token string, kind string, before string, after string"))
+    # a word of several readings is decided by its neighbours: pairs are counted around these readings
+    several = doubted.where("doubts > 1").select(F.explode("options.word").alias("token")).distinct()
+    bits = [_bitmap(doubted.select("token")), _bitmap(several)]
+    needs = cut(full.mapInPandas(_needs(*bits), f"_key {kind}, token string, kind string, before string, after string, n long"))
     parts = needs.where("kind = 'part'").select("_key", "token").distinct()
     part_options = readings(parts.select("token").distinct())
     sent = needs.where("kind = 'word'").select("_key", "token").distinct().join(doubted.select("token", "options"), "token")
     sent = sent.unionAll(parts.join(part_options, "token").select("token", "_key", "options"))
     by_key = sent.groupBy("_key").agg(F.collect_list(F.struct("token", "options")).alias("cands"))
+    counts = needs.where("kind = 'pair'").groupBy(F.col("token").alias("a"), F.col("before").alias("b")).agg(F.sum("n").alias("n"))
     near = needs.where("kind = 'word'").join(doubted.where("doubts > 1"), "token").select("_key", "before", "after", F.explode("options.word").alias("word"))
     asked_pairs = near.select("_key", F.col("before").alias("a"), F.col("word").alias("b")).unionAll(near.select("_key", F.col("word").alias("a"), F.col("after").alias("b")))
     asked_pairs = asked_pairs.where("a <> '' AND b <> ''").distinct()
