@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -183,7 +184,7 @@ class Finder:
         for _, a, b, kind in spans:
             if not any(a < y and x < b for x, y in used):
                 used.append((a, b))
-                taken.append((back(a), back(b - 1) + 1, kind))
+                taken.append((back(a), back(b - 1, True), kind))
         return sorted(taken)
 
     def names(self, text: str, low: str) -> list[tuple[int, int]]:
@@ -282,8 +283,8 @@ def _find_all(text: str, what: str) -> Iterator[int]:
 def normalise(source: str):
     """The text with look-alikes, disguised addresses and spelled-out numbers resolved, and the way back.
 
-    The second value maps an offset in the normalised text to the source. Where nothing is replaced by a text of
-    another length the mapping is the identity.
+    The second value maps the offset of a character in the normalised text to where it starts in the source, or with
+    True to where it ends. Where nothing is replaced by a text of another length the mapping is the identity.
     """
     text = source.translate(HOMOGLYPHS) if not source.isascii() and _FOREIGN.search(source) else source
     edits: list[tuple[int, int, str]] = []
@@ -301,7 +302,7 @@ def normalise(source: str):
                 edits.append((m.start() + w.start(), m.start() + w.end(), _SPELLED[w[0].lower()]))
             edits += [(m.start() + g.start(), m.start() + g.end(), "") for g in re.finditer(r"[\s,-]+", m[0])]
     if not edits:
-        return text, lambda i: i
+        return text, lambda i, end=False: i + end
     edits.sort()
     parts, marks, at, new = [], [(0, 0, False)], 0, 0
     for a, b, by in edits:
@@ -314,12 +315,12 @@ def normalise(source: str):
     parts.append(text[at:])
     starts = [m[0] for m in marks]
 
-    def back(i: int) -> int:
-        import bisect
-
+    def back(i: int, end: bool = False) -> int:
         k = bisect.bisect_right(starts, i) - 1
         start, origin, edited = marks[k]
-        return origin + (0 if edited else i - start)
+        if edited:
+            return marks[k + 1][1] if end else origin
+        return origin + i - start + end
 
     return "".join(parts), back
 

@@ -32,11 +32,13 @@ _LONG = re.compile(r"(?<!\S)\S{40,}")
 _LETTER = re.compile(r"[^\W\d_]")
 _HYPHENS = "-‐­¬"
 _LINE_END = re.compile(rf"([^\W\d_][\w!+|$]*)([{_HYPHENS}])$")
+_MAY_SPLIT = re.compile(rf"[{_HYPHENS}][ \t\r]*\n")
 _LINE_START = re.compile(r"[\w!+|$]*[^\W\d_][\w!+|$]*")
 _NUM = r"[\dlIO]{0,3}\d[\dlIO]{0,3}|[lIO]{1,4}"
 _PAGE = re.compile(rf"(?:(?P<plain>\d[\dlIO]{{0,3}}|[lI]\d{{1,3}})|[-–—]\s*(?:{_NUM})\s*[-–—]|\[\s*(?:{_NUM})\s*\]|(?:p\.|pg\.?|page|seite|s\.|página|pág\.)\s*(?:{_NUM})(?:\s*(?:of|von|de|sur|/)\s*(?:{_NUM}))?)", re.I)
 _HEADER_NUMBER = re.compile(rf"^(?:{_NUM})\s{{2,}}|\s{{2,}}(?:{_NUM})$")
 _EDITION = re.compile(r"(?:^|[\s(/])(?:(?:19|20|l9|2O)[\dlO]{2}|d?r?a?f?draft|clraft|draf\+|dra.t|rev\W{0,2}\s?[\dlIO]{1,3}|vol\W{0,2}\s?\d+|no\W{0,2}\s?\d+|ed\W{0,2}\s?\d+)\)?$", re.I)
+_DATE = re.compile(r"\d{1,2}\.?\s+[^\W\d_]+\.?\s+\d{4}$")
 _ITEM = re.compile(r"^\s*(?:[-*•]|\d+[.)])\s")
 _FOLD = tuple((s, t) for s, t, _ in CONFUSIONS if (s, t) not in (("1", "i"), ("!", "l"), ("|", "i"), ("9", "q"), ("8", "b")) and s not in _ONCE)
 
@@ -106,8 +108,11 @@ def fold(line: str) -> str:
 def _looks_like_header(line: str) -> bool:
     if len(line) > 96 or line[-1] in ".!?;,…" or not line[0].isalnum() or line[0].islower():
         return False
+    end = line[-9:].lower()
+    if "ra" not in end and not any(c.isdigit() for c in end) and not _HEADER_NUMBER.search(line):
+        return False  # no edition
     text = _HEADER_NUMBER.sub("", line.strip())
-    if not 4 <= len(text) <= 80 or _ITEM.match(text) or text[-1] in ".!?;,…" or not text[0].isalnum() or "|" in text or "@" in text:
+    if not 4 <= len(text) <= 80 or _ITEM.match(text) or _DATE.search(text) or text[-1] in ".!?;,…" or not text[0].isalnum() or "|" in text or "@" in text:
         return False
     if re.search(r"[.!?;,]\s", text):
         return False
@@ -218,7 +223,7 @@ def _needs(doubted: bytes, readings: bytes):
                                 pairs[found[k - 1], t] += 1
                             if k + 1 < len(found):
                                 pairs[t, found[k + 1]] += 1
-                if "\n" in text:
+                if _MAY_SPLIT.search(text):
                     for _, _, left, _, right in Layout(text).splits():
                         for t in (left + right, left, right):
                             rows.add((key, t.lower(), "part", "", "", 1))
@@ -378,6 +383,9 @@ def _final(hot: frozenset[str], key: str, least: int, ratio: float):
                 if not isinstance(text, str):
                     rows.append((k, None, []))
                     continue
+                if cands is None and len(text) > 96 and "\n" not in text:
+                    rows.append((k, text, []))  # a single line with nothing in doubt
+                    continue
                 found = {} if cands is None else {c["token"]: [(o["word"], o["p"], int(o["n"])) for o in c["options"]] for c in cands}
                 near = {} if pairs is None else {(p["a"], p["b"]): int(p["n"]) for p in pairs}
                 fixed, noise = repair(text, Decoder(found, near, hot, least, ratio))

@@ -266,6 +266,8 @@ def assign_subjects(texts: DataFrame, model: Model) -> DataFrame:
             share, n = model.shares(pdf["text"].tolist())
             row, col = np.nonzero((share >= model.threshold) & (n[:, None] > 0))
             ids = pdf["extract_id"].to_numpy()
+            if not len(row):
+                continue
             yield pd.DataFrame({"extract_id": ids[row], "subject": [model.names[k] for k in col], "share": share[row, col], "sentences": n[row]})
 
     source = texts.where(F.col("text").isNotNull()).select("extract_id", "text")
