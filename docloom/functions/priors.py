@@ -48,7 +48,16 @@ def _digits(x: Column) -> Column:
 
 def scan(text: Column) -> dict[str, Column]:
     """Kind -> array of redacted samples, one for each match in text order (null text: empty arrays)."""
-    text = plain_letters(F.coalesce(text, F.lit("")))
+    return _scan_plain(plain_letters(F.coalesce(text, F.lit(""))))
+
+
+def scan_map(text: Column) -> Column:
+    """The scan as a map kind -> (count, samples); the text is prepared once for all patterns."""
+    plain = F.array(plain_letters(F.coalesce(text, F.lit(""))))
+    return F.element_at(F.transform(plain, lambda t: as_map(_scan_plain(t))), 1)
+
+
+def _scan_plain(text: Column) -> dict[str, Column]:
     cards = F.filter(F.transform(matches(text, CARD), _digits), lambda d: (F.length(d) >= 13) & (F.length(d) <= 19) & F.call_function("luhn_check", d))
     constant = lambda pattern, sample: F.transform(matches(text, pattern), lambda _: F.lit(sample))
     words = F.array_join(F.slice(F.array_sort(F.array_distinct(F.transform(matches(text, SENSITIVE, 1), F.lower))), 1, 8), ", ")

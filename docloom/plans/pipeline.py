@@ -21,7 +21,7 @@ def review(spark: SparkSession, root: str) -> DataFrame:
     Files of one text are one document; the last path in order stands for them.
     """
     records = extract(expand_archives(inventory(spark, root)))
-    priors = P.as_map(P.scan(F.col("text")))
+    priors = P.scan_map(F.col("text"))
     digest = F.when(F.col("extraction_ok"), F.sha2(F.encode("text", "UTF-8"), 256)).otherwise(F.sha2(F.concat_ws("|", "rel_path", "size_bytes"), 256))
     rows = records.select(
         F.left(digest, F.lit(16)).alias("doc_id"), "rel_path", digest.alias("content_hash"), F.char_length("text").alias("chars"), priors.alias("priors"),

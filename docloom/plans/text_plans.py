@@ -10,7 +10,7 @@ from docloom.functions import textops as X
 from docloom.functions.modelio import parse_model_json
 from docloom.operators.chunking import group_chunks, overlap_chunks
 from docloom.operators.search import SEARCH_RULES, people, search
-from docloom.session import table
+from docloom.session import spread, table
 
 _XL = r"[\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}\x{370}-\x{1FFF}]"
 _PLAIN = f"regexp_replace(coalesce(text, ''), '{_XL}', 'x', 'g')"
@@ -39,8 +39,8 @@ counts AS (SELECT extract_id, kind, count(*) AS n FROM hits GROUP BY ALL)
 
 
 def _scanned(spark: SparkSession, d: str) -> DataFrame:
-    texts = table(spark, d, "extract_record")
-    return texts.select("extract_id", "doc_id", "rel_path", "owner_id", P.as_map(P.scan(F.col("text"))).alias("priors"))
+    texts = spread(table(spark, d, "extract_record").select("extract_id", "doc_id", "rel_path", "owner_id", "text"))
+    return texts.select("extract_id", "doc_id", "rel_path", "owner_id", P.scan_map(F.col("text")).alias("priors"))
 
 
 def prior_samples(spark: SparkSession, d: str) -> DataFrame:
@@ -59,7 +59,7 @@ def prior_severity_by_owner(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prior_cards(spark: SparkSession, d: str) -> DataFrame:
-    texts = table(spark, d, "documents").select("doc_id", P.scan(F.col("text"))["credit_card"].alias("c"))
+    texts = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", P.scan(F.col("text"))["credit_card"].alias("c"))
     return texts.where(F.size("c") > 0).select("doc_id", F.size("c").cast("long").alias("cards"), F.array_join("c", " | ").alias("samples"))
 
 
@@ -152,11 +152,11 @@ def group_chunk_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def keyword_search(spark: SparkSession, d: str) -> DataFrame:
-    return search(table(spark, d, "documents"), "doc_id", "rel_path", "text").select("doc_id", "score", "kind")
+    return search(spread(table(spark, d, "documents").select("doc_id", "rel_path", "text")), "doc_id", "rel_path", "text").select("doc_id", "score", "kind")
 
 
 def search_people(spark: SparkSession, d: str) -> DataFrame:
-    return people(table(spark, d, "extract_record"), "extract_id", "text")
+    return people(spread(table(spark, d, "extract_record").select("extract_id", "text")), "extract_id", "text")
 
 
 def model_json(spark: SparkSession, d: str) -> DataFrame:

@@ -23,7 +23,7 @@ def new_documents(records: DataFrame, event_time: str = "extracted_at", late: st
 
 def scanned(records: DataFrame) -> DataFrame:
     """Records with their prior kinds and severity; the same expressions as in batch."""
-    kinds = F.map_keys(P.as_map(P.scan(F.col("text"))))
+    kinds = F.map_keys(P.scan_map(F.col("text")))
     return records.select("extract_id", "doc_id", "extracted_at", kinds.alias("kinds"), P.severity(kinds).alias("severity"))
 
 
