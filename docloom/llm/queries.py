@@ -18,16 +18,24 @@ from docloom.llm.splitting import split_oversized
 from docloom.llm.subjects import assign_subjects, subject_makeup, train_subjects
 from docloom.llm.term_frequency import explode_terms, field_totals, mark_terms, term_frequency
 from docloom.operators.versions import current_rows
-from docloom.session import cut, table
+from docloom.session import cut, spread, table
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "extract_record").select("extract_id", "text"))
+
+
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    pieces = split_oversized(table(spark, d, "extract_record").select("extract_id", "text"))
+    pieces = split_oversized(_texts(spark, d))
     return pieces.where("piece_no = 2").select("extract_id")
 
 
 def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
-    return split_oversized(table(spark, d, "extract_record").select("extract_id", "text"))
+    return split_oversized(_texts(spark, d))
 
 
 def _terms(spark: SparkSession, d: str, fields: tuple[str, ...]) -> DataFrame:
@@ -56,7 +64,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_texts(spark: SparkSession, d: str) -> DataFrame:
-    return redact_texts(table(spark, d, "extract_record").select("extract_id", "text"), "extract_id", "text")
+    return redact_texts(_texts(spark, d), "extract_id", "text")
 
 
 def p3_priors(spark: SparkSession, d: str) -> DataFrame:
@@ -64,7 +72,7 @@ def p3_priors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    texts = find_values(table(spark, d, "extract_record").select("extract_id", "text"), "extract_id", "text")
+    texts = find_values(_texts(spark, d), "extract_id", "text")
     kept = table(spark, d, "ledger").select("doc_id", F.explode(F.map_values("priors")).alias("v"))
     # a sample with a star in place of the value, or a placeholder or keyword alone, is searched like any other
     samples = kept.select("doc_id", F.explode("v.redacted_samples").alias("sample")).distinct()
@@ -85,7 +93,7 @@ def _typed(spark: SparkSession, d: str) -> DataFrame:
     walks = table(spark, d, "walk_home").select("walk_id", "home", "main")
     home = F.transform("home", lambda v, i: F.struct(F.lit("home").alias("field"), i.alias("pos"), v.alias("value")))
     main = F.array(F.struct(F.lit("main").alias("field"), F.lit(0).alias("pos"), F.col("main").alias("value")))
-    values = walks.select("walk_id", F.explode(F.concat(F.coalesce(home, F.array().cast(home_type())), main)).alias("v")).select("walk_id", "v.*")
+    values = spread(walks).select("walk_id", F.explode(F.concat(F.coalesce(home, F.array().cast(home_type())), main)).alias("v")).select("walk_id", "v.*")
     return values.where(F.col("value").rlike(r"[^\s\u00a0]"))
 
 
@@ -104,7 +112,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_subjects(spark: SparkSession, d: str) -> DataFrame:
-    texts = table(spark, d, "extract_record").select("extract_id", "doc_id", "text")
+    texts = spread(table(spark, d, "extract_record").select("extract_id", "doc_id", "text"))
     model = train_subjects(texts, table(spark, d, "subject_labels"), table(spark, d, "layer_record"), table(spark, d, "subject_areas"))
     return assign_subjects(texts, model)
 
@@ -118,7 +126,7 @@ def p6_makeup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_texts(spark: SparkSession, d: str) -> DataFrame:
-    return repair_scans(table(spark, d, "extract_record").select("extract_id", "text"))
+    return repair_scans(_texts(spark, d))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -126,7 +134,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_windows(spark: SparkSession, d: str) -> DataFrame:
-    return fill_windows(table(spark, d, "documents").select("doc_id", "text"))
+    return fill_windows(_documents(spark, d))
 
 
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
@@ -134,7 +142,7 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
-    return mix_sources(table(spark, d, "documents").select("doc_id", "text", "source"), table(spark, d, "mix_targets"))
+    return mix_sources(spread(table(spark, d, "documents").select("doc_id", "text", "source")), table(spark, d, "mix_targets"))
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
@@ -142,11 +150,11 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return shared_span_pairs(table(spark, d, "documents").select("doc_id", "text"))
+    return shared_span_pairs(_documents(spark, d))
 
 
 def p10_shares(spark: SparkSession, d: str) -> DataFrame:
-    return shared_share(table(spark, d, "documents").select("doc_id", "text"))
+    return shared_share(_documents(spark, d))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
