@@ -115,6 +115,7 @@ _STOP = frozenset(
     reach write send ship deliver mailing reply questions over since twice every please ask our we you she he they there keep see item price
     nobody whoever why use signé firmado gezeichnet unterzeichnet rückfragen preguntar contacter visto""".split()
 )
+_SENTENCE_EDGE = frozenset(["", *"\n\r|.!?;:-)>…"])
 _NO_NAME_AFTER = frozenset("@.+-_") | frozenset(map(chr, range(48, 58))) | frozenset(map(chr, range(65, 91))) | frozenset(map(chr, range(97, 123)))
 _CAP = r"[A-ZÀ-ÖØ-ÞŠŽ]"
 
@@ -220,7 +221,9 @@ class Finder:
                 m = short
             if m:
                 a, b = self.clean(text, from_ + m.start(1), from_ + m.end(1))
-                if self.is_name(text[a:b], True):
+                # in the middle of a sentence only a known given name is enough
+                first = text[max(0, a - 12) : a].rstrip(" \t")[-1:] in _SENTENCE_EDGE
+                if self.is_name(text[a:b], first):
                     out.append((a, b))
         return [s for s in out if s[1] > s[0]]
 
