@@ -132,16 +132,28 @@ class Layout:
         looks = [not b and p is None and _looks_like_header(x) for x, b, p in zip(bare, self.blank, pages)]
         folded = [fold(x) if k else "" for x, k in zip(bare, looks)]
         several = Counter(f for f in folded if f)
-        edition = [k and _EDITION.search(_HEADER_NUMBER.sub("", x)) is not None for x, k in zip(bare, looks)]
+        edition = [k and self._edition(_HEADER_NUMBER.sub("", x)) for x, k in zip(bare, looks)]
         numbered = [k and _HEADER_NUMBER.search(x) is not None for x, k in zip(bare, looks)]
         self.header = [bool(f) and (e and (several[f] > 1 or n or len(f.split()) >= 2) or several[f] > 2 and e) for f, e, n in zip(folded, edition, numbered)]
         plain = [i for i, p in enumerate(pages) if p and p["plain"]]
         near = {j for i, h in enumerate(self.header) if h for j in range(i - 2, i + 3)}
         rising = self._rising(plain, bare)
-        # a number alone may be a cell or a figure: it counts beside a header or in a rising row
-        self.page = [p is not None and (not p["plain"] or i in near or i in rising) for i, p in enumerate(pages)]
+        # a number alone may be a cell or a figure: it counts beside a header, in a rising row, or between whole sentences
+        self.page = [p is not None and (not p["plain"] or i in near or i in rising or self._between(bare, i)) for i, p in enumerate(pages)]
         self.body = [not (b or h or p) for b, h, p in zip(self.blank, self.header, self.page)]
 
+    @staticmethod
+    def _edition(line: str) -> bool:
+        """The line ends in a year or edition and has no other number."""
+        m = _EDITION.search(line)
+        return m is not None and re.search(r"\b\d+\b", line[: m.start()]) is None
+
+    @staticmethod
+    def _between(bare: list[str], i: int) -> bool:
+        before = next((x for x in reversed(bare[:i]) if x), ".")
+        after = next((x for x in bare[i + 1 :] if x), "A")
+        return len(bare) > 3 and len(bare[i]) <= 3 and bare[i][0] != "0" and before[-1] in ".!?;…" and not after[0].islower()
+
     @staticmethod
     def _rising(at: list[int], bare: list[str]) -> set[int]:
         def value(i):
