@@ -185,9 +185,12 @@ def shared_span_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text",
     pairs = verified.mapInArrow(_verify(span, k), "rep_a long, rep_b long, start_a int, start_b int, length int").select("rep_a", "rep_b").distinct()
     repeated = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rep")
     both = pairs.unionAll(repeated.select(F.col("rep").alias("rep_a"), F.col("rep").alias("rep_b")))
+    # the members of a large group of copies are spread over several keys, so that no task lists all of its pairs
+    sizes = members.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / 2_000).cast("int").alias("k"))
     a = members.select(F.col("rep").alias("rep_a"), F.col("key").alias("x"))
-    b = members.select(F.col("rep").alias("rep_b"), F.col("key").alias("y"))
-    wide = both.join(a, "rep_a").join(b, "rep_b").where(F.col("x") != F.col("y")).where((F.col("rep_a") != F.col("rep_b")) | (F.col("x") < F.col("y")))
+    b = members.join(sizes, "rep").select(F.col("rep").alias("rep_b"), F.col("key").alias("y"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("s"))
+    left = both.join(sizes.withColumnRenamed("rep", "rep_b"), "rep_b").join(a, "rep_a").withColumn("s", F.pmod(F.xxhash64("x"), "k").cast("int"))
+    wide = left.join(b, ["rep_b", "s"]).where(F.col("x") != F.col("y")).where((F.col("rep_a") != F.col("rep_b")) | (F.col("x") < F.col("y")))
     return wide.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).distinct()
 
 
