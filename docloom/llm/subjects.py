@@ -155,17 +155,18 @@ def fit(feats: np.ndarray, first: np.ndarray, doc: np.ndarray, prior: np.ndarray
     column = column.reshape(feats.shape)
     real = feats.ravel() >= 0
     rows, cols = np.repeat(sent, 2)[real], column.ravel()[real]
-    w, bias = np.zeros((len(used), c)), np.full(c, -2.0)
+    w, bias = np.zeros((len(used), c), dtype=np.float32), np.full(c, -2.0, dtype=np.float32)
     speed, speed_bias = np.full((len(used), c), 1e-9), np.full(c, 1e-9)
+    has_pair = (feats[:, 1] >= 0)[:, None].astype(np.float32)
     for _ in range(steps):
-        margin = np.add.reduceat(w[column[:, 0]] + w[column[:, 1]] * (feats[:, 1] >= 0)[:, None], first, axis=0) + bias
+        margin = np.add.reduceat(w[column[:, 0]] + w[column[:, 1]] * has_pair, first, axis=0) + bias
         error = 1 / (1 + np.exp(-np.clip(margin, -30, 30))) - target
         grad = np.stack([np.bincount(cols, weights=error[rows, k], minlength=len(used)) for k in range(c)], axis=1) / n_sent + 1e-6 * w
         speed += grad**2
-        w -= 0.1 * grad / np.sqrt(speed)
+        w -= (0.1 * grad / np.sqrt(speed)).astype(np.float32)
         g = error.mean(axis=0)
         speed_bias += g**2
-        bias -= 0.05 * g / np.sqrt(speed_bias)
+        bias -= (0.05 * g / np.sqrt(speed_bias)).astype(np.float32)
     weights = np.zeros(((2 << BITS) + 1, c), dtype=np.float32)
     weights[used] = w
     weights[-1] = 0  # index -1: no pair
@@ -219,10 +220,11 @@ def train_subjects(
                     pick = np.sort(np.random.default_rng(int(t.extract_id) & 0xFFFFFFFF).choice(len(parts), sentences, replace=False))
                     parts = [parts[i] for i in pick]
                 flat = np.concatenate(parts) if parts else np.empty((0, 2), dtype=np.int64)
-                rows.append((t.extract_id, t.doc_id, t.subjects, t.hint, [len(p) for p in parts], flat[:, 0].tolist(), flat[:, 1].tolist()))
+                packed = [np.asarray(x, dtype=np.int32).tobytes() for x in ([len(p) for p in parts], flat[:, 0], flat[:, 1])]
+                rows.append((t.extract_id, t.doc_id, t.subjects, t.hint, *packed))
             yield pd.DataFrame(rows, columns=["extract_id", "doc_id", "subjects", "hint", "sizes", "words", "pairs"])
 
-    schema = "extract_id long, doc_id string, subjects array<string>, hint string, sizes array<int>, words array<int>, pairs array<int>"
+    schema = "extract_id long, doc_id string, subjects array<string>, hint string, sizes binary, words binary, pairs binary"
     some = sample.mapInPandas(sentences_of, schema).toPandas().sort_values("extract_id", ignore_index=True)
     # several rows of one doc_id are as many samples; the bound on rows is kept here
     some = some.head(2 * (labelled_rows + hinted_rows))
@@ -245,11 +247,11 @@ def train_subjects(
             prior[i, :c] = 0.15 / c
             prior[i, v.argmax()] = 0.35
     prior /= prior.sum(axis=1, keepdims=True)
-    sizes = [np.asarray(s, dtype=np.int64) for s in some["sizes"]]
-    flat = np.concatenate(sizes) if sizes else np.empty(0, dtype=np.int64)
+    sizes = [np.frombuffer(s, dtype=np.int32) for s in some["sizes"]]
+    flat = np.concatenate(sizes).astype(np.int64) if sizes else np.empty(0, dtype=np.int64)
     if not len(flat):
         return Model(names, np.zeros(((2 << BITS) + 1, c), dtype=np.float32), np.full(c, -1, dtype=np.float32), np.full(c, 0.2))
-    feats = np.stack([np.concatenate([np.asarray(x, dtype=np.int64) for x in some[k]]) for k in ("words", "pairs")], axis=1)
+    feats = np.stack([np.frombuffer(b"".join(some[k]), dtype=np.int32) for k in ("words", "pairs")], axis=1)
     doc = np.repeat(np.arange(len(some)), [len(s) for s in sizes])
     return fit(feats, np.cumsum(flat) - flat, doc, prior, truth, names)
 
