@@ -59,3 +59,31 @@ def stop_reason(rates: list[float], applied: int, rounds: int, most: int = 3, en
     if applied == 0:
         return "no-applies"
     return "flag-rate" if rates and rates[-1] < enough else None
+
+
+def audit_loop(assignments: DataFrame, nodes: DataFrame, judge, most: int = 3, enough: float = 0.15) -> tuple[DataFrame, list[dict]]:
+    """Audit, apply and audit again until there is reason to stop: the last assignments and a log of the rounds.
+
+    ``judge`` takes (rel_path, region_ids) and gives (chunk_id, rel_path, verdict, better_home). Each round is written
+    once before the next, so the lineage doesn't grow. A round whose flags rose is not applied.
+    """
+    from docloom.session import cut
+
+    rates: list[float] = []
+    log: list[dict] = []
+    current = cut(assignments.select("rel_path", "region_ids"))
+    for number in range(1, most + 1):
+        verdicts = cut(judge(current))
+        rate = flag_rates(verdicts).first()["rate"] or 0.0
+        rates.append(rate)
+        if stop_reason(rates, 1, 0, most, enough) == "flags-rose":
+            log.append({"round": number, "rate": rate, "applied": 0, "stop": "flags-rose"})
+            break
+        done = cut(apply_verdicts(current, verdicts, nodes))
+        applied = done.where("applied = 'moved'").count()
+        current = done.select("rel_path", "region_ids")
+        reason = stop_reason(rates, applied, number, most, enough)
+        log.append({"round": number, "rate": rate, "applied": applied, "stop": reason})
+        if reason:
+            break
+    return current, log

@@ -52,10 +52,11 @@ def facet_terms(spark: SparkSession, d: str) -> DataFrame:
     """Audiences and kinds clamped to a closed vocabulary (the terms of at least 1 % of the rows)."""
     t = _current(spark, d)
     each = t.select(F.explode("audiences").alias("term")).where(F.trim("term") != "").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    total = t.agg(F.count(F.lit(1)).alias("total"))
-    # at most a hundred times the mean number of audiences: bounded, so it is broadcast as one row
-    allowed = each.join(F.broadcast(total), F.col("n") * 100 >= F.col("total")).agg(F.collect_set("term").alias("allowed"))
-    return t.join(F.broadcast(allowed), F.lit(True), "left").select("doc_id", F.array_join(closed_terms(F.coalesce("audiences", F.array().cast("array<string>")), F.col("allowed")), "|").alias("audiences"))
+    total = t.count()
+    # at most a hundred times the mean number of audiences
+    allowed = [r["term"] for r in each.where(F.col("n") * 100 >= total).select("term").collect()]
+    terms = F.array(*map(F.lit, allowed)) if allowed else F.array().cast("array<string>")
+    return t.select("doc_id", F.array_join(closed_terms(F.coalesce("audiences", F.array().cast("array<string>")), terms), "|").alias("audiences"))
 
 
 def facet_tallies(spark: SparkSession, d: str) -> DataFrame:

@@ -1,8 +1,12 @@
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.config import Settings, load
-from docloom.operators.audit import apply_verdicts, flag_rates, mixed_groups, stop_reason, whole_verdicts
+from docloom.functions.coercion import child_choice, clock, wanted_files
+from docloom.operators.audit import apply_verdicts, audit_loop, flag_rates, mixed_groups, stop_reason, whole_verdicts
 from docloom.operators.mapping import fattest_roots, remap, spread_in_clusters, tag_regions
+from docloom.streaming.ingest import record_stream, run_into
+from docloom.streaming.walk import walk_stream
 
 
 def test_verdicts(spark):
@@ -51,3 +55,48 @@ def test_settings(tmp_path):
     (tmp_path / "bad.toml").write_text("nope = 1\n")
     with pytest.raises(ValueError):
         load(str(tmp_path / "bad.toml"))
+
+
+def test_loop_ends_when_flags_are_few(spark):
+    homes = spark.createDataFrame([(f"f{i}", ["1"]) for i in range(4)], "rel_path string, region_ids array<string>")
+    nodes = spark.createDataFrame([("1",), ("2",)], "id string")
+
+    def judge(df):
+        wrong = (df["rel_path"] < "f2") & (df["region_ids"][0] == "1")
+        return df.select(F.lit("1#01").alias("chunk_id"), "rel_path", F.when(wrong, "wrong-parent").otherwise("confirm").alias("verdict"), F.when(wrong, "2").alias("better_home"))
+
+    last, log = audit_loop(homes, nodes, judge)
+    assert [r["applied"] for r in log] == [2, 0] and log[-1]["stop"] == "no-applies" and log[-1]["rate"] == 0
+    assert {r["rel_path"]: r["region_ids"][0] for r in last.collect()} == {"f0": "2", "f1": "2", "f2": "1", "f3": "1"}
+
+
+def test_walk_stream_keeps_its_tree(spark, tmp_path):
+    source = tmp_path / "src"
+    for rows in ([("d1", "sport", "hockey", 1)], [("d2", "sport", "ice-hockey", 2), ("d3", "", "x", 2)]):
+        spark.createDataFrame(rows, "id string, main string, sub string, o int").coalesce(1).write.mode("append").parquet(str(source))
+    rows = record_stream(spark, str(source), spark.read.parquet(str(source)).schema)
+    got = {}
+    query = run_into(walk_stream(rows, "id", "main", "o", ["sub"]), str(tmp_path / "cp"), lambda df, n: got.update({r["id"]: r["home"] for r in df.collect()}))
+    query.awaitTermination()
+    assert got["d3"] == ["unmapped"] and got["d1"][0] == got["d2"][0] == "sport" and got["d1"] == got["d2"]
+
+
+@pytest.mark.parametrize(("seconds", "text"), [(3723, "1h02m03s"), (63, "1m03s"), (5, "5s"), (-1, "0s")])
+def test_clock(spark, seconds, text):
+    assert spark.range(1).select(clock(F.lit(seconds))).first()[0] == text
+
+
+def test_child_choice(spark):
+    siblings, taken = F.array(F.lit("a"), F.lit("b"), F.lit("c")), ["sport"]
+    for action, name, merge, expected in [
+        ("combine", "new", ["a", "b", "z"], ("combine", "new", ["a", "b"])),
+        ("combine", "new", ["a"], ("empty", "", [])),
+        ("reuse", "A", [], ("reuse", "a", [])),
+        ("reuse", "fresh", [], ("invent", "fresh", [])),
+        ("invent", "misc", [], ("empty", "", [])),
+        (None, "sport", None, ("empty", "", [])),
+    ]:
+        df = spark.createDataFrame([(action, name, merge)], "a string, n string, m array<string>")
+        assert tuple(df.select(child_choice(F.col("a"), F.col("n"), F.col("m"), siblings, taken).alias("x")).first()["x"]) == expected
+    files = spark.createDataFrame([(["./a.txt", "a.txt", "zz"], ["a.txt", "b"])], "x array<string>, y array<string>")
+    assert files.select(wanted_files(F.col("x"), F.col("y"))).first()[0] == ["a.txt"]
