@@ -47,7 +47,7 @@ def mix_sources(
     target_share over the sources (or ``total_tokens``, if that is less). It is divided into equal blocks of
     ``block_tokens`` tokens, and Sainte-Laguë's highest quotients give each source its integer number of blocks.
     Each source's texts are spread over shards of about ``shard_tokens`` tokens by a seeded hash; each shard gets
-    its quota of blocks in proportion to its tokens, again by highest quotients. A shard uses all its texts as often
+    its quota of blocks in proportion to its tokens, by rounded running totals, which add up. A shard uses all its texts as often
     as its quota holds them whole, and of the rest those texts, in seeded order, that begin before the quota is
     reached and pass it by less than half their size. So no text is used more than max_repeats times, and a
     shard misses its quota by half a text at the most.

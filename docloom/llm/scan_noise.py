@@ -174,7 +174,8 @@ class Layout:
     def splits(self) -> Iterator[tuple[int, int, str, str, str]]:
         """(line, next body line, left part, hyphen, right part) of each word that may go on in the next body line."""
         for i, line in enumerate(self.lines):
-            if self.body[i] and (m := _LINE_END.search(line.rstrip())):
+            end = line.rstrip()
+            if self.body[i] and end[-1] in _HYPHENS and (m := _LINE_END.search(end, max(0, len(end) - 48))):
                 j = self.next_body(i)
                 if j < 0:
                     continue
