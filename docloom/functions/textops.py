@@ -84,3 +84,15 @@ def keyword_snippets(text: Column, pattern: str, radius: int = 90, most: int = 3
         return s.map(one)
 
     return F.coalesce(run(F.when(text.rlike(pattern), text)), F.array().cast("array<string>"))
+
+
+#: Words of a file name that are no part of a person's name (a parameter).
+NAME_NOISE = ("travel", "form", "forms", "signed", "grant", "docs", "conference", "hotel", "meeting", "receipt", "schedule", "final", "copy", "draft", "scan", "the", "and", "for", "resume", "letter")
+
+
+def names_in_filename(path: Column, noise: tuple[str, ...] = NAME_NOISE) -> Column:
+    """Candidate person names of a file name: two or three capitalised words in a row that are no form words."""
+    stem = F.regexp_replace(bare_stem(path), r"[_]+", " ")
+    runs = F.regexp_extract_all(stem, F.lit(r"((?:\p{Lu}\.|\p{Lu}[\p{L}'-]+)(?:\s+\p{Lu}[\p{L}'-]+){1,2})"), F.lit(1))
+    words = F.transform(runs, lambda r: F.array_join(F.filter(F.split(r, r"\s+"), lambda w: ~F.lower(w).isin(*noise)), " "))
+    return F.array_distinct(F.filter(words, lambda r: r.rlike(r"\S\s+\S")))

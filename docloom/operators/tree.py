@@ -155,3 +155,34 @@ def second_parents(members: DataFrame, topics: DataFrame, nodes: DataFrame, leas
     shared = members.join(own, "id").join(docs, "doc").where(F.col("topic_id") != F.col("_own")).groupBy("id", "topic_id").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
     at = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("shared"), F.desc("topic_id")))
     return shared.withColumn("_at", at).where(F.col("_at") <= most).drop("_at")
+
+
+def with_unmapped(nodes: DataFrame) -> DataFrame:
+    """Nodes (id, parent_id, label) with the unmapped folder added once, and no second one."""
+    extra = nodes.sparkSession.createDataFrame([(UNMAPPED, None, "Unmapped")], "id string, parent_id string, label string")
+    base = nodes.select(F.col("id").cast("string").alias("id"), F.col("parent_id").cast("string").alias("parent_id"), "label")
+    return base.unionAll(extra.join(base.where(F.col("id") == UNMAPPED).select("id"), "id", "left_anti").select("id", "parent_id", "label"))
+
+
+def revise(nodes: DataFrame, changes: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
+    """Nodes after changes (id, action, label, parts): rename gives a label, dissolve takes a node and all below it out,
+    split adds a child for each part; other actions keep. Also (id, to): where rows of nodes that went are to be filed.
+    """
+    c = changes.select(F.col("id").alias("_c"), F.lower("action").alias("_act"), F.col("label").alias("_label"), "parts")
+    gone = chains(nodes, depth).select("id", F.posexplode("chain").alias("_at", "_c")).join(c.where("_act = 'dissolve'"), "_c")
+    # the highest dissolved node above decides; its parent takes the rows
+    top = gone.groupBy("id").agg(F.min_by("_c", "_at").alias("_top"))
+    to = top.join(nodes.select(F.col("id").alias("_top"), F.col("parent_id").alias("to")), "_top").select("id", "to")
+    rest = nodes.join(top.select("id"), "id", "left_anti").join(c, F.col("id") == F.col("_c"), "left")
+    kept = rest.select("id", "parent_id", F.when((F.col("_act") == "rename") & (F.trim("_label") != ""), F.col("_label")).otherwise(F.col("label")).alias("label"))
+    parts = rest.where("_act = 'split'").select(F.explode("parts").alias("part"), "id")
+    new = parts.select(F.concat_ws("--", F.col("id").cast("string"), kebab(F.col("part"))).alias("id"), F.col("id").cast("string").alias("parent_id"), human_label(kebab(F.col("part"))).alias("label"))
+    text = kept.select(F.col("id").cast("string").alias("id"), F.col("parent_id").cast("string").alias("parent_id"), "label")
+    return text.unionAll(new), to
+
+
+def topic_pairs(members: DataFrame, least: int = 5) -> DataFrame:
+    """(a, b, shared), a < b: topics of (id, doc) with at least ``least`` documents in common; candidates meet by document."""
+    m = members.select("id", "doc").distinct()
+    both = m.withColumnRenamed("id", "a").join(m.withColumnRenamed("id", "b"), "doc").where("a < b")
+    return both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)

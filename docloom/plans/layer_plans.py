@@ -9,7 +9,7 @@ from docloom.functions.terms import CHANNELS, VAGUE, YEAR_ONLY, form_k, human_la
 from docloom.operators.chunking import group_chunks
 from docloom.operators.fold import rehome, walk_fold
 from docloom.operators.merge import last_write
-from docloom.operators.tree import FAT_MIN, chains, collapse_homes, depth_first, findings, fold_small_children, folder_segments, nearest_kept, prefix_counts, prefixes, primary_region, regions_of, second_parents, sunburst
+from docloom.operators.tree import FAT_MIN, chains, collapse_homes, depth_first, findings, fold_small_children, folder_segments, nearest_kept, prefix_counts, prefixes, primary_region, regions_of, revise, second_parents, sunburst, topic_pairs, with_unmapped
 from docloom.session import table
 
 
@@ -147,6 +147,19 @@ def shared_parents(spark: SparkSession, d: str) -> DataFrame:
     return second_parents(members, s.select(F.col("main").alias("id")).distinct(), nodes)
 
 
+def topic_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """Main folders whose documents belong to the same owners."""
+    s = _layers(spark, d).select(kebab(F.col("main")).alias("id"), F.col("owner_id").alias("doc")).where("id <> '' AND doc IS NOT NULL")
+    return topic_pairs(s, 3)
+
+
+def revised_plan(spark: SparkSession, d: str) -> DataFrame:
+    """The plan after a few revisions: one folder renamed, one split, one dissolved; with the unmapped folder."""
+    changes = spark.createDataFrame([(2, "rename", "On site", None), (8, "split", None, ["Fire and smoke", "Ladders"]), (14, "dissolve", None, None), (15, "keep", None, None)], "id int, action string, label string, parts array<string>")
+    nodes, _ = revise(_plan(spark, d), changes)
+    return with_unmapped(nodes)
+
+
 def moved_homes(spark: SparkSession, d: str) -> DataFrame:
     """Homes after two sibling folders are combined into one."""
     homes = _segments(spark, d).select("doc_id", F.col("path").alias("home"))
@@ -188,7 +201,7 @@ _PRIMARY = _REGION + """, prim AS (SELECT rel_path, region_id FROM (SELECT rel_p
 
 
 def queries() -> dict:
-    names = "folder_paths head_checks folder_counts rollup_counts collapsed_homes browse_regions home_metrics main_counts child_counts busy_folders plan_chains plan_order plan_without_banned tree_findings primary_regions audit_groups folded_children browse_sunburst shared_parents moved_homes walk_placements prefix_lists"
+    names = "folder_paths head_checks folder_counts rollup_counts collapsed_homes browse_regions home_metrics main_counts child_counts busy_folders plan_chains plan_order plan_without_banned tree_findings primary_regions audit_groups folded_children browse_sunburst shared_parents topic_overlaps revised_plan moved_homes walk_placements prefix_lists"
     return {n: globals()[n] for n in names.split()}
 
 
@@ -231,6 +244,11 @@ def oracle_sql() -> dict[str, str]:
  a AS (SELECT DISTINCT main, main || '/' || sub AS id, owner_id FROM t), b AS (SELECT DISTINCT main AS topic_id, owner_id FROM t),
  c AS (SELECT id, topic_id, count(*) AS shared FROM a JOIN b ON a.owner_id = b.owner_id AND topic_id <> main GROUP BY 1, 2 HAVING count(*) >= 5)
  SELECT id, topic_id, shared FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY shared DESC, topic_id DESC) AS rn FROM c) WHERE rn = 1""",
+        "topic_overlaps": f"""WITH {_CUR}, m AS (SELECT DISTINCT {_kb('main')} AS id, owner_id FROM cur WHERE owner_id IS NOT NULL), k AS (SELECT * FROM m WHERE id <> '')
+ SELECT x.id AS a, y.id AS b, count(*) AS shared FROM k x JOIN k y ON x.owner_id = y.owner_id AND x.id < y.id GROUP BY 1, 2 HAVING count(*) >= 3""",
+        "revised_plan": """WITH RECURSIVE g AS (SELECT plan_id FROM file_plan WHERE plan_id = 14 UNION ALL SELECT f.plan_id FROM file_plan f JOIN g ON f.parent_id = g.plan_id)
+ SELECT CAST(plan_id AS VARCHAR) AS id, CAST(parent_id AS VARCHAR) AS parent_id, CASE WHEN plan_id = 2 THEN 'On site' ELSE title END AS label FROM file_plan WHERE plan_id NOT IN (SELECT plan_id FROM g)
+ UNION ALL SELECT '8--fire-and-smoke', '8', 'Fire And Smoke' UNION ALL SELECT '8--ladders', '8', 'Ladders' UNION ALL SELECT 'unmapped', NULL, 'Unmapped'""",
         "moved_homes": _SEG + """, m AS (SELECT doc_id, path[1] IN ('vehicles', 'outings') AS moved, CASE WHEN path[1] IN ('vehicles', 'outings') THEN list_concat(['transport'], path) ELSE path END AS p FROM seg)
  SELECT doc_id, array_to_string(p[1:3], '/') AS home, p[4] AS facet, moved FROM m""",
         "prefix_lists": "SELECT walk_id, array_to_string(list_transform(range(1, len(home) + 1), lambda i: array_to_string(list_filter(home[1:i], lambda v: v IS NOT NULL), '>')), '|') AS prefixes FROM walk_home WHERE home IS NOT NULL",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import priors as P
 from docloom.operators.merge import upsert
+from docloom.plans import catalog
 from docloom.session import local_session
 from docloom.sinks.reports import markdown_table, write_decisions, write_text
 from docloom.sources.files import expand_archives, extract, inventory
@@ -48,11 +49,26 @@ def run(spark: SparkSession, root: str, out: str) -> None:
 
 
 def main(args: list[str] | None = None) -> None:
-    parser = argparse.ArgumentParser(prog="docloom", description="Review a folder of documents")
-    parser.add_argument("intake")
-    parser.add_argument("--out", default="out")
+    parser = argparse.ArgumentParser(prog="docloom", description="Review folders of documents and query their tables")
+    commands = parser.add_subparsers(dest="command", required=True)
+    step = commands.add_parser("review", help="review a folder into a ledger")
+    step.add_argument("intake")
+    step.add_argument("--out", default="out")
+    step = commands.add_parser("query", help="run a registered query over a folder of tables")
+    step.add_argument("name")
+    step.add_argument("tables")
+    step.add_argument("--out", help="write parquet here instead of showing rows")
+    commands.add_parser("list", help="names of the registered queries")
     given = parser.parse_args(args)
-    run(local_session("*"), given.intake, given.out)
+    if given.command == "list":
+        print("\n".join(sorted(catalog.queries())))
+        return
+    spark = local_session("*")
+    if given.command == "review":
+        run(spark, given.intake, given.out)
+    else:
+        result = catalog.queries()[given.name](spark, given.tables)
+        result.write.parquet(given.out) if given.out else result.show(20, truncate=80)
 
 
 if __name__ == "__main__":

@@ -40,11 +40,12 @@ counts AS (SELECT extract_id, kind, count(*) AS n FROM hits GROUP BY ALL)
 
 def _scanned(spark: SparkSession, d: str) -> DataFrame:
     texts = spread(table(spark, d, "extract_record").select("extract_id", "doc_id", "rel_path", "owner_id", "text"))
-    return texts.select("extract_id", "doc_id", "rel_path", "owner_id", P.scan_map(F.col("text")).alias("priors"))
+    # an exploded array of one is computed once: filters on it are not pushed below and evaluated again
+    return texts.select("extract_id", "doc_id", "rel_path", "owner_id", F.explode(F.array(P.scan_map(F.col("text")))).alias("priors"))
 
 
 def prior_samples(spark: SparkSession, d: str) -> DataFrame:
-    rows = _scanned(spark, d).select("extract_id", F.explode("priors").alias("kind", "v")).where("kind <> 'credit_card'")
+    rows = _scanned(spark, d).select("extract_id", F.explode_outer("priors").alias("kind", "v")).where("kind <> 'credit_card'")
     return rows.select("extract_id", "kind", F.col("v.count").cast("long").alias("n"), F.array_join("v.redacted_samples", " | ").alias("samples"))
 
 
@@ -108,6 +109,12 @@ def duplicate_texts(spark: SparkSession, d: str) -> DataFrame:
     return groups.where("copies > 1")
 
 
+def filename_people(spark: SparkSession, d: str) -> DataFrame:
+    """Candidate names in titled file names, built from the plan's titles and the file names' own words."""
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("x/"), F.initcap(F.translate(X.bare_stem(F.col("rel_path")), "-_", "  ")), F.lit(".pdf")).alias("path"))
+    return docs.select("doc_id", F.array_join(X.names_in_filename(F.col("path")), "|").alias("names"))
+
+
 def html_text(spark: SparkSession, d: str) -> DataFrame:
     page = F.concat(F.lit("<html><style>p {x}</style><p class='a'>"), F.col("text"), F.lit("</p><script>var a = 1;</script></html>"))
     return table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.md5(X.strip_html(page)).alias("text_md5"), F.length(X.strip_html(page)).cast("long").alias("chars"))
@@ -179,7 +186,7 @@ _LUHN = """list_sum(list_transform(range(length(c)), lambda i: CASE WHEN i % 2 =
 
 
 def queries() -> dict:
-    names = "prior_samples prior_severity prior_severity_by_owner prior_cards prior_nine_digits pii_map filename_hints filename_hint_histogram extraction_record extraction_methods content_hashes duplicate_texts html_text rtf_text text_chunks bare_stems redacted_summaries years_named spaced_titles keyword_in_context group_chunk_ids keyword_search search_people model_json"
+    names = "prior_samples prior_severity prior_severity_by_owner prior_cards prior_nine_digits pii_map filename_hints filename_hint_histogram extraction_record extraction_methods content_hashes duplicate_texts filename_people html_text rtf_text text_chunks bare_stems redacted_summaries years_named spaced_titles keyword_in_context group_chunk_ids keyword_search search_people model_json"
     return {n: globals()[n] for n in names.split()}
 
 

@@ -49,3 +49,36 @@ def move_plan(df: DataFrame, path: str, target: str) -> DataFrame:
     n = F.row_number().over(Window.partitionBy("_name").orderBy(path))
     rows = df.select(F.col(path), name.alias("_name")).where(safe_sidecar(F.col(path)).isNotNull()).withColumn("_n", n)
     return rows.select(F.col(path).alias("source"), F.concat(F.lit(target.rstrip("/") + "/"), "_name", F.when(F.col("_n") > 1, F.concat(F.lit(".dup"), F.col("_n").cast("string"))).otherwise("")).alias("destination"))
+
+
+def tree_text(ordered: DataFrame, most: int = 5_000) -> str:
+    """A folder tree (label, depth, path_key) as an indented list in depth-first order."""
+    rows = ordered.orderBy("path_key").select("label", "depth").limit(most + 1).collect()
+    lines = [f"{'  ' * (r['depth'] - 1)}- {r['label']}" for r in rows[:most]]
+    return "\n".join([*lines, *(["- ..."] if len(rows) > most else [])]) + "\n"
+
+
+def chart_html(rings: DataFrame, title: str, most: int = 5_000) -> str:
+    """A page with the rings of a chart (ring, id, parent, label, value) as nested bars; all text is escaped."""
+    import html
+
+    rows = rings.orderBy("ring", F.desc("value"), "id").limit(most).collect()
+    below: dict[str, list] = {}
+    for r in rows:
+        below.setdefault(r["parent"], []).append(r)
+
+    def draw(parent: str, whole: int) -> str:
+        return "".join(
+            f'<li><span style="display:inline-block;height:.7em;background:#47a;width:{200 * r["value"] / max(whole, 1):.0f}px"></span> {html.escape(r["label"])} ({r["value"]})'
+            + (f"<ul>{draw(r['id'], whole)}</ul>" if r["id"] in below else "") + "</li>"
+            for r in below.get(parent, [])
+        )
+
+    total = next((r["value"] for r in rows if r["ring"] == 0), 0)
+    return f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1><ul>{draw('', total)}</ul>\n"
+
+
+def write_reports(frames: dict[str, DataFrame], folder: str) -> None:
+    """One Markdown file for each named result, each written whole."""
+    for name, df in frames.items():
+        write_text(f"{folder}/{name}.md", markdown_table(df, name.replace("-", " ").title()))

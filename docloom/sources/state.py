@@ -31,3 +31,38 @@ def first_available(*sources: DataFrame | None) -> DataFrame | None:
         if s is not None and not s.isEmpty():
             return s
     return None
+
+
+def flatten_trees(trees: DataFrame, column: str = "tree") -> DataFrame:
+    """(root, id, parent_id, label, description, tags, depth, pos) from JSON trees of nodes with children.
+
+    Spark has no recursive type, so a tree is read in the task that holds its row; nodes without an id are skipped
+    with all below them, and a text that is no tree gives no rows. pos is the place in depth-first order.
+    """
+    import json
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def walk(nodes, parent, depth, out):
+        for node in nodes if isinstance(nodes, list) else [nodes]:
+            name = str(node.get("id") or "").strip() if isinstance(node, dict) else ""
+            if name:
+                tags = [str(t) for t in node.get("tags") or [] if str(t).strip()]
+                out.append((name, parent, str(node.get("label") or name), str(node.get("description") or ""), tags, depth, len(out)))
+                walk(node.get("children") or [], name, depth + 1, out)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for root, text in zip(pdf["_root"], pdf["_text"]):
+                out: list[tuple] = []
+                try:
+                    walk(json.loads(text), None, 1, out)
+                except (TypeError, ValueError):
+                    out = []
+                rows += [(root, *r) for r in out]
+            yield pd.DataFrame(rows, columns=["root", "id", "parent_id", "label", "description", "tags", "depth", "pos"])
+
+    source = trees.select(F.xxhash64(column).alias("_root"), F.col(column).alias("_text"))
+    return source.mapInPandas(run, "root long, id string, parent_id string, label string, description string, tags array<string>, depth int, pos int")

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from docloom.models.step import keyword_model, merge_chunk_answers, run_model
 from docloom.plans.pipeline import run
-from docloom.sinks.reports import markdown_table, move_plan, safe_sidecar
+from docloom.functions.textops import names_in_filename
+from docloom.operators.tree import depth_first, revise
+from docloom.sinks.reports import chart_html, markdown_table, move_plan, safe_sidecar, tree_text
 from docloom.sources.files import expand_archives, extract, inventory
+from docloom.sources.state import first_available, flatten_trees, read_state, vocabulary
 from docloom.streaming.ingest import new_documents, record_stream, run_into, upsert_batches
 
 
@@ -101,3 +104,36 @@ def test_stream_keeps_last_row(spark, tmp_path):
     assert {(r["k"], r["n"]) for r in spark.read.parquet(str(last)).collect()} == {("a", 2), ("b", 1)}
     assert new_documents(record_stream(spark, str(source), spark.read.parquet(str(source)).schema), "at", key="k").isStreaming
     assert schema
+
+
+def test_trees_and_pages(spark):
+    tree = json.dumps([{"id": "a", "label": "A<b>", "tags": ["x", ""], "children": [{"id": "b"}, {"label": "no id", "children": [{"id": "lost"}]}]}, {"id": "c"}])
+    flat = flatten_trees(spark.createDataFrame([(tree,), ("not json",), (None,)], "tree string"))
+    assert [(r["id"], r["parent_id"], r["depth"], r["tags"]) for r in flat.orderBy("pos").collect()] == [("a", None, 1, ["x"]), ("b", "a", 2, []), ("c", None, 1, [])]
+    text = tree_text(depth_first(flat.select("id", "parent_id", "label"), "label", ["a"]))
+    assert text == "- c\n- A<b>\n  - b\n"
+    rings = spark.createDataFrame([(0, "root", "", "All", 3), (1, "a", "root", "A<b>", 2)], "ring int, id string, parent string, label string, value long")
+    page = chart_html(rings, "T")
+    assert "A&lt;b&gt; (2)" in page and page.index("All") < page.index("A&lt;")
+
+
+def test_revise(spark):
+    nodes = spark.createDataFrame([(1, None, "a"), (2, 1, "b"), (3, 2, "c"), (4, None, "d")], "id int, parent_id int, label string")
+    changes = spark.createDataFrame([(2, "dissolve", None, None), (4, "split", None, ["New part"]), (1, "rename", "A", None)], "id int, action string, label string, parts array<string>")
+    out, to = revise(nodes, changes)
+    assert {tuple(r) for r in out.collect()} == {("1", None, "A"), ("4", None, "d"), ("4--new-part", "4", "New Part")}
+    assert {tuple(r) for r in to.collect()} == {(2, 1), (3, 1)}
+
+
+def test_state_file(spark, tmp_path):
+    (tmp_path / "s.json").write_text(json.dumps({"version": 1, "items": [{"k": "a"}, {"k": "b"}], "documents": {"x": {"n": 1}, "y": {"n": 2}}}))
+    assert read_state(spark, str(tmp_path / "s.json"), "items").count() == 2
+    assert {r["key"] for r in read_state(spark, str(tmp_path / "s.json"), "documents").collect()} == {"x", "y"}
+    empty = spark.createDataFrame([], "a int")
+    assert first_available(None, empty, spark.range(2)).count() == 2 and first_available(empty) is None
+    assert vocabulary(spark, {"f": {"t": "about"}}).count() == 2
+
+
+def test_names_in_filename(spark):
+    df = spark.createDataFrame([("a/Travel Form_Jane Q Doe.pdf",), ("b/notes.txt",)], "p string")
+    assert [r["n"] for r in df.select(names_in_filename(F.col("p")).alias("n")).collect()][1] == []
