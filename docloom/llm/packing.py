@@ -67,7 +67,8 @@ def fill_windows(
     pieces = sizes.select("doc_id", F.col("n_tokens").alias("_all"), F.explode(F.sequence(F.lit(0), last)).alias("piece"))
     start = F.col("piece") * capacity
     pieces = pieces.select("doc_id", "piece", start.alias("token_from"), F.least(F.lit(capacity), F.col("_all") - start).alias("n_tokens"))
-    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int"))
+    # keys travel as text: pandas would make floats of numbers beside a null
+    pieces = pieces.withColumn("doc_id", F.col("doc_id").cast("string")).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int"))
     kind = sizes.schema["doc_id"].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -81,8 +82,8 @@ def fill_windows(
         pdf["slot"] = pdf.groupby("window").cumcount().astype("int32")
         return pdf[["shard", "window", "slot", "doc_id", "piece", "token_from", "n_tokens"]]
 
-    schema = f"shard int, window long, slot int, doc_id {kind}, piece int, token_from int, n_tokens int"
-    return pieces.groupBy("shard").applyInPandas(run, schema)
+    schema = "shard int, window long, slot int, doc_id string, piece int, token_from int, n_tokens int"
+    return pieces.groupBy("shard").applyInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def window_fill(windows: DataFrame, capacity: int = 2_048, quadratic: float = 1.0) -> DataFrame:

@@ -367,9 +367,9 @@ def redact_texts(df: DataFrame, key: str, text: str, given: frozenset[str] = GIV
             found = [[{"kind": k, "value": v} for k, v in f] for _, f in done]
             yield pd.DataFrame({key: pdf["_key"], "redacted": [r for r, _ in done], "found": found})
 
-    return df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInPandas(
-        run, f"`{key}` {kind}, redacted string, found array<struct<kind:string,value:string>>"
-    )
+    # keys travel as text: pandas would make floats of numbers beside a null
+    source = df.select(F.col(key).cast("string").alias("_key"), F.col(text).alias("_text"))
+    return source.mapInPandas(run, f"`{key}` string, redacted string, found array<struct<kind:string,value:string>>").withColumn(key, F.col(key).cast(kind))
 
 
 def find_values(df: DataFrame, key: str, text: str, given: frozenset[str] = GIVEN_NAMES) -> DataFrame:

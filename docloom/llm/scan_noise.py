@@ -433,10 +433,12 @@ def repair_scans(df: DataFrame, key: str = "extract_id", text: str = "text", lea
     look-ups are joins by word, so that no vocabulary is held.
 
     Rows without traces keep their text. A null text stays null with an empty list, an empty one stays empty.
-    Repeated keys are repaired each for itself with the look-ups of all their rows. Other columns are left out.
+    Repeated keys are repaired each for itself with the look-ups of all their rows; a row without a key gets no look-ups,
+    so only its headers and page numbers are told. Other columns are left out.
     """
     kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    # keys travel as text: pandas would make floats of numbers beside a null
+    rows = df.select(F.col(key).cast("string").alias("_key"), F.col(text).alias("_text"))
     full = rows.where(F.col("_text").rlike(r"\S") & F.col("_key").isNotNull())
     words = cut(full.select("_text").mapInPandas(_partial_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("word").rlike(r"\p{L}")))
     most = words.agg(F.max("n")).first()[0] or 0
@@ -463,7 +465,7 @@ def repair_scans(df: DataFrame, key: str = "extract_id", text: str = "text", lea
     # a word of several readings is decided by its neighbours: pairs are counted around these readings
     several = doubted.where("doubts > 1").select(F.explode("options.word").alias("token")).distinct()
     bits = [_bitmap(doubted.select("token")), _bitmap(several)]
-    needs = cut(full.mapInPandas(_needs(*bits), f"_key {kind}, token string, kind string, before string, after string, n long"))
+    needs = cut(full.mapInPandas(_needs(*bits), "_key string, token string, kind string, before string, after string, n long"))
     parts = needs.where("kind = 'part'").select("_key", "token").distinct()
     part_options = readings(parts.select("token").distinct())
     sent = needs.where("kind = 'word'").select("_key", "token").distinct().join(doubted.select("token", "options"), "token")
@@ -475,4 +477,5 @@ def repair_scans(df: DataFrame, key: str = "extract_id", text: str = "text", lea
     asked_pairs = asked_pairs.where("a <> '' AND b <> ''").distinct()
     pairs = asked_pairs.join(counts, ["a", "b"]).groupBy("_key").agg(F.collect_list(F.struct("a", "b", "n")).alias("pairs"))
     joined = rows.join(by_key, "_key", "left").join(pairs, "_key", "left").select("_key", "_text", "cands", "pairs")
-    return joined.mapInPandas(_final(hot, key, least, ratio), f"`{key}` {kind}, repaired string, noise array<struct<line_no:int,noise:string>>")
+    out = joined.mapInPandas(_final(hot, key, least, ratio), f"`{key}` string, repaired string, noise array<struct<line_no:int,noise:string>>")
+    return out.withColumn(key, F.col(key).cast(kind))

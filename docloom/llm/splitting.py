@@ -100,14 +100,13 @@ def split_oversized(df: DataFrame, key: str = "extract_id", text: str = "text",
 
     Lengths and offsets are in Unicode code points; piece_no starts at 1. Shorter, null and empty texts give no rows
     (they stand as they are). A text without any boundary is cut every so many characters, never above ``max_len``.
-    Repeated rows and repeated keys are split each for itself; other columns are not touched. The split of a text
+    Null, repeated rows and repeated keys are split each for itself; other columns are not touched. The split of a text
     needs no other row, so there is no shuffle, and short texts never leave the JVM.
     """
     if not 0 <= overlap < max_len // 4:
         raise ValueError("overlap must be at least 0 and less than a quarter of max_len")
-    kind = df.schema[key].dataType
     schema = T.StructType(
-        [T.StructField(key, kind), T.StructField("piece_no", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("piece", T.StringType())]
+        [T.StructField(key, T.StringType()), T.StructField("piece_no", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("piece", T.StringType())]
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -121,5 +120,6 @@ def split_oversized(df: DataFrame, key: str = "extract_id", text: str = "text",
                     rows = []
             yield pd.DataFrame(rows, columns=schema.names)
 
-    long = df.where(F.char_length(F.col(text)) > threshold).select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    return long.mapInPandas(run, schema)
+    long = df.where(F.char_length(F.col(text)) > threshold).select(F.col(key).cast("string").alias("_key"), F.col(text).alias("_text"))
+    # keys travel as text: pandas would make floats of numbers beside a null
+    return long.mapInPandas(run, schema).withColumn(key, F.col(key).cast(df.schema[key].dataType))

@@ -207,7 +207,7 @@ def train_subjects(
     named = sorted({m for many in hints.values() for m in many})
     hinted = mains.where(F.col("main").isin(named)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(hinted_rows)
     # both samples are bounded, so they are broadcast
-    base = texts.where(F.col("text").isNotNull()).select("extract_id", "doc_id", "text")
+    base = texts.where(F.col("text").isNotNull() & F.col("extract_id").isNotNull()).select("extract_id", "doc_id", "text")
     sample = base.join(F.broadcast(hand), "extract_id", "left").join(F.broadcast(hinted.withColumnRenamed("main", "hint")), "doc_id", "left").where("subjects IS NOT NULL OR hint IS NOT NULL")
 
     def sentences_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -267,13 +267,15 @@ def assign_subjects(texts: DataFrame, model: Model) -> DataFrame:
         for pdf in batches:
             share, n = model.shares(pdf["text"].tolist())
             row, col = np.nonzero((share >= model.threshold) & (n[:, None] > 0))
-            ids = pdf["extract_id"].to_numpy()
+            ids = pdf["extract_id"].to_numpy(dtype=object)
             if not len(row):
                 continue
             yield pd.DataFrame({"extract_id": ids[row], "subject": [model.names[k] for k in col], "share": share[row, col], "sentences": n[row]})
 
-    source = texts.where(F.col("text").isNotNull()).select("extract_id", "text")
-    return source.mapInPandas(run, "extract_id long, subject string, share double, sentences long")
+    # keys travel as text: pandas would make floats of numbers beside a null
+    source = texts.where(F.col("text").isNotNull()).select(F.col("extract_id").cast("string").alias("extract_id"), "text")
+    out = source.mapInPandas(run, "extract_id string, subject string, share double, sentences long")
+    return out.withColumn("extract_id", F.col("extract_id").cast(texts.schema["extract_id"].dataType))
 
 
 def subject_makeup(assigned: DataFrame, texts: DataFrame) -> DataFrame:
