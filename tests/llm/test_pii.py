@@ -61,10 +61,10 @@ def test_offsets_of_the_normalised_text():
 
 
 def test_operators(spark):
-    rows = [(1, "mail a@b.org a@b.org", "x"), (1, "mail a@b.org", "x"), (2, None, "x"), (3, "", "x"), (4, "z" * 300_000, "x")]
+    rows = [(1, "mail a@b.org a@b.org", "x"), (1, "mail a@b.org", "x"), (2, None, "x"), (3, "", "x"), (4, "z" * 300_000, "x"), (None, "mail a@b.org", "x")]
     df = spark.createDataFrame(rows, "extract_id long, text string, found string")
-    got = {(r["extract_id"], r["redacted"]) for r in redact_texts(df.where("extract_id < 4"), "extract_id", "text").collect()}
-    assert got == {(1, "mail [EMAIL] [EMAIL]"), (1, "mail [EMAIL]"), (2, None), (3, "")}
+    got = {(r["extract_id"], r["redacted"]) for r in redact_texts(df.where("extract_id < 4 OR extract_id IS NULL"), "extract_id", "text").collect()}
+    assert got == {(1, "mail [EMAIL] [EMAIL]"), (1, "mail [EMAIL]"), (2, None), (3, ""), (None, "mail [EMAIL]")}
     found = [tuple(r) for r in find_values(df, "extract_id", "text").collect()]
     assert found == [("1", "email", "a@b.org")] * 2
     assert find_values(df.limit(0), "extract_id", "text").count() == 0

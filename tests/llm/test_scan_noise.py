@@ -39,7 +39,7 @@ def test_round_trip_of_damage(spark):
     words = clean[0][1].split()
     words[5] = "conta1ner" if words[5] != "x" else words[5]
     lines = ["Harbour: Review (2019)   1", " ".join(words[:9]) + " data-", "base " + " ".join(words[9:20]), "HARBOUR: REVIEW (2019)   2", " ".join(words[20:30]) + " pre-", "and post", "end."]
-    rows = clean + [(1000, "\n".join(lines)), (1001, None), (1002, ""), (1003, "   "), (1003, "a tidy line")]
+    rows = clean + [(1000, "\n".join(lines)), (1001, None), (1002, ""), (1003, "   "), (1003, "a tidy line"), (None, "no key"), (2**60 + 1, "a long key")]
     df = spark.createDataFrame([(k, t, "x") for k, t in rows], "extract_id long, text string, noise string")
     got = {(r["extract_id"], r["repaired"]): r["noise"] for r in repair_scans(df).collect()}
     text, noise = next((t, n) for (k, t), n in got.items() if k == 1000)
@@ -47,4 +47,5 @@ def test_round_trip_of_damage(spark):
     assert "database" in text and "container" in text and "HARBOUR" not in text and "pre- and post" in text and "\n" not in text
     assert all(got[(k, t)] == [] for k, t in clean[1:])
     assert got[(1001, None)] == [] and got[(1002, "")] == [] and got[(1003, "a tidy line")] == []
+    assert got[(None, "no key")] == [] and got[(2**60 + 1, "a long key")] == []
     assert repair_scans(df.limit(0)).count() == 0

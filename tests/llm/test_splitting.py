@@ -41,10 +41,10 @@ def test_minimum_over_all_boundary_sets():
 
 
 def test_operator_edges(spark):
-    rows = [(1, "y" * 12_001, "k"), (1, "y" * 12_001, "k"), (2, "y" * 12_000, "k"), (3, None, "k"), (4, "", "k")]
+    rows = [(1, "y" * 12_001, "k"), (1, "y" * 12_001, "k"), (2, "y" * 12_000, "k"), (3, None, "k"), (4, "", "k"), (None, "y" * 12_001, "k"), (2**60 + 1, "y" * 12_001, "k")]
     df = spark.createDataFrame(rows, "extract_id long, text string, piece string")
     got = split_oversized(df).collect()
-    assert {r["extract_id"] for r in got} == {1} and len(got) == 4
+    assert {r["extract_id"] for r in got} == {1, None, 2**60 + 1} and len(got) == 8
     assert all(r["piece"] == "y" * (r["end"] - r["start"]) for r in got)
     assert split_oversized(df.limit(0)).count() == 0
     with pytest.raises(ValueError):

@@ -27,7 +27,7 @@ def tables(spark, n=240):
             labels += [(i, s.upper() if rng.random() < 0.3 else s) for s in subjects]
         main = {"law": "Contracts", "sport": "leagues", "software": "it_desk"}.get(subjects[0] if subjects else "", "operations")
         layers.append((f"d{i}", main))
-    texts += [(9000, None, None), (9001, "d1", ""), (9002, "zz", "word " * 20_000)]
+    texts += [(9000, None, None), (9001, "d1", ""), (9002, "zz", "word " * 20_000), (None, None, "The court and the lease. The verdict of the tribunal.")]
     t = spark.createDataFrame(texts, "extract_id long, doc_id string, text string")
     lab = spark.createDataFrame(labels + [(1, None), (2, "no such")], "extract_id long, subject string")
     lay = spark.createDataFrame(layers, "doc_id string, main string").selectExpr("*", "timestamp'2024-01-01' AS stamped_at")

@@ -49,7 +49,7 @@ def test_long_texts_in_blocks_are_the_same_tokens():
 @needs_vocabulary
 def test_windows_hold_every_token_once(spark):
     rng = random.Random(6)
-    rows = [(i, " ".join(rng.choice(["alpha", "beta", "a", "longer word"]) for _ in range(rng.randrange(0, 300))), "x") for i in range(60)] + [(100, None, "x"), (101, "", "x"), (102, "big " * 1500, "x"), (5, "twice", "x")]
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "a", "longer word"]) for _ in range(rng.randrange(0, 300))), "x") for i in range(60)] + [(100, None, "x"), (101, "", "x"), (102, "big " * 1500, "x"), (5, "twice", "x"), (None, "no key", "x"), (2**60 + 1, "a long key", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, window string")
     got = fill_windows(df, capacity=256, shard_tokens=4096).collect()
     size, pieces, slots = defaultdict(int), defaultdict(list), defaultdict(list)
