@@ -280,6 +280,7 @@ def assign_subjects(texts: DataFrame, model: Model) -> DataFrame:
 
 def subject_makeup(assigned: DataFrame, texts: DataFrame) -> DataFrame:
     """(subject, texts, share_of_texts) of the collection; subject null: texts of none."""
-    rows = texts.select("extract_id").join(assigned.select("extract_id", "subject"), "extract_id", "left")
+    each = assigned.select(F.col("extract_id").alias("_id"), "subject").distinct()
+    rows = texts.select("extract_id").join(each, F.col("extract_id").eqNullSafe(F.col("_id")), "left")
     total = texts.agg(F.count(F.lit(1))).first()[0]
     return rows.groupBy("subject").agg(F.count(F.lit(1)).alias("texts")).withColumn("share_of_texts", F.col("texts") / F.lit(max(total, 1)))
