@@ -39,6 +39,23 @@ FOLDER_HINTS = {
 }
 
 
+#: A few of the most common words of each language (a parameter): words are compared within a language, so that a
+#: subject that happens to have more texts in one language doesn't take that language for its own.
+LANGUAGES = (
+    "the and of to in for is was that with on by at be has had been this",
+    "der die das und ist nicht ein eine den dem mit von wurde bleibt vor nach",
+    "le la les des du et est une dans pour que sans sur avant après depuis il été au aux",
+    "el la los las del al es una para que con sin por tras desde antes hay se está su",
+)
+
+
+def languages(feats: np.ndarray, first: np.ndarray, doc: np.ndarray, docs: int, lists: tuple[str, ...] = LANGUAGES) -> np.ndarray:
+    """Number of the language of each document by its common words; 0 where none is seen."""
+    sent = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(feats))))
+    seen = np.stack([np.bincount(doc[sent], weights=np.isin(feats[:, 0], features([text], 1)[0][:, 0]), minlength=docs) for text in lists], axis=1)
+    return seen.argmax(axis=1)
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POW or len(_POW[0]) < n:
         size = max(1 << 20, 1 << (n - 1).bit_length())
@@ -123,7 +140,7 @@ class Model:
         return (np.arange(scores.shape[1]) == best[:, None]) & (scores > 0)
 
 
-def fit(feats: np.ndarray, first: np.ndarray, doc: np.ndarray, prior: np.ndarray, truth: dict[int, set[int]], names: list[str], rounds: int = 8, steps: int = 60, slack: float = 0.5) -> Model:
+def fit(feats: np.ndarray, first: np.ndarray, doc: np.ndarray, prior: np.ndarray, truth: dict[int, set[int]], names: list[str], rounds: int = 4, steps: int = 60, slack: float = 0.35) -> Model:
     """Fit the classifiers on sentences of documents with unsure labels.
 
     ``prior`` has for each document the probability of each subject and, last, of none for any of its sentences.
@@ -138,12 +155,16 @@ def fit(feats: np.ndarray, first: np.ndarray, doc: np.ndarray, prior: np.ndarray
     words = feats[:, 0]
     post = prior[doc].copy()
     log_prior = np.log(prior[doc] + 1e-12)
-    background = np.bincount(words, minlength=1 << BITS) / max(1, len(words))
+    lang = languages(feats, first, doc, len(prior))[doc][sent]
+    words = words + (lang << BITS)
+    size_l = len(LANGUAGES)
+    flat = np.bincount(words, minlength=size_l << BITS).reshape(size_l, -1)
+    background = (flat / np.maximum(1, flat.sum(axis=1, keepdims=True)))[:, :, None]
     for _ in range(rounds):
-        counts = np.stack([np.bincount(words, weights=post[sent, k], minlength=1 << BITS) for k in range(c)], axis=1)
-        # how much more often than everywhere; words of a language or an office that lean to a subject by chance say nothing
-        ratio = np.log((counts + 1) / (background[:, None] * counts.sum(axis=0) + 1))
-        ratio = np.maximum(0, ratio - slack)
+        counts = np.stack([np.bincount(words, weights=post[sent, k], minlength=size_l << BITS) for k in range(c)], axis=1).reshape(size_l, -1, c)
+        # how much more often than everywhere in the language; words that lean to a subject by chance say nothing
+        ratio = np.log((counts + 1) / (background * counts.sum(axis=1, keepdims=True) + 1))
+        ratio = np.maximum(0, ratio - slack).reshape(-1, c)
         score = log_prior.copy()
         score[:, :c] += np.add.reduceat(ratio[words].astype(np.float32), first, axis=0)
         score -= score.max(axis=1, keepdims=True)
