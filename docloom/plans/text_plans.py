@@ -45,18 +45,17 @@ def _scanned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prior_samples(spark: SparkSession, d: str) -> DataFrame:
-    rows = _scanned(spark, d).select("extract_id", F.explode_outer("priors").alias("kind", "v")).where("kind <> 'credit_card'")
+    rows = _scanned(spark, d).select("extract_id", F.explode_outer("priors").alias("kind", "v")).where("kind IS NOT NULL")
     return rows.select("extract_id", "kind", F.col("v.count").cast("long").alias("n"), F.array_join("v.redacted_samples", " | ").alias("samples"))
 
 
 def prior_severity(spark: SparkSession, d: str) -> DataFrame:
-    no_cards = F.array_remove(F.map_keys("priors"), "credit_card")
-    return _scanned(spark, d).select("extract_id", P.severity(no_cards).alias("severity"), P.has_identifier(no_cards).alias("has_identifier"))
+    kinds = F.map_keys("priors")
+    return _scanned(spark, d).select("extract_id", P.severity(kinds).alias("severity"), P.has_identifier(kinds).alias("has_identifier"))
 
 
 def prior_severity_by_owner(spark: SparkSession, d: str) -> DataFrame:
-    no_cards = F.array_remove(F.map_keys("priors"), "credit_card")
-    return _scanned(spark, d).groupBy("owner_id", P.severity(no_cards).alias("severity")).agg(F.count(F.lit(1)).alias("texts"))
+    return _scanned(spark, d).groupBy("owner_id", P.severity(F.map_keys("priors")).alias("severity")).agg(F.count(F.lit(1)).alias("texts"))
 
 
 def prior_cards(spark: SparkSession, d: str) -> DataFrame:
@@ -70,8 +69,8 @@ def prior_nine_digits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pii_map(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of the scan with any identifier and the kinds found (credit cards have a query of their own)."""
-    kinds = F.array_remove(F.map_keys("priors"), "credit_card")
+    """Documents of the scan with any identifier and the kinds found."""
+    kinds = F.map_keys("priors")
     return _scanned(spark, d).where(P.has_identifier(kinds)).select("extract_id", "rel_path", F.array_join(kinds, ", ").alias("kinds"))
 
 
