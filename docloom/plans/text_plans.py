@@ -116,7 +116,7 @@ def filename_people(spark: SparkSession, d: str) -> DataFrame:
 
 def html_text(spark: SparkSession, d: str) -> DataFrame:
     page = F.concat(F.lit("<html><style>p {x}</style><p class='a'>"), F.col("text"), F.lit("</p><script>var a = 1;</script></html>"))
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.md5(X.strip_html(page)).alias("text_md5"), F.length(X.strip_html(page)).cast("long").alias("chars"))
+    return table(spark, d, "documents").select("doc_id", F.md5(X.strip_html(page)).alias("text_md5"), F.length(X.strip_html(page)).cast("long").alias("chars"))
 
 
 def rtf_text(spark: SparkSession, d: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import hashlib
+
 from docloom.plans import text_plans
 
 CARD = "Paid with 4111 1111 1111 1111 at the desk."
@@ -18,3 +20,11 @@ def test_a_card_alone_is_an_identifier(spark, tmp_path):
     cards = {(r["extract_id"], r["n"], r["samples"]) for r in text_plans.prior_samples(spark, d).where("kind = 'credit_card'").collect()}
     assert cards == {(1, 1, "****-****-****-1111"), (5, 2, "****-****-****-1111")}
     assert {(r["extract_id"], r["kinds"]) for r in text_plans.pii_map(spark, d).collect()} == {(1, "credit_card"), (3, "email"), (5, "ssn, credit_card")}
+
+
+def test_html_of_all_languages(spark, tmp_path):
+    texts = {"a": ("en", "One  two."), "b": ("de", "Größe und\nMaß."), "c": ("fr", "L'été <b>chaud</b>."), "d": (None, "Sin idioma."), "e": ("EN", "Upper."), "f": ("eng", ""), "g": ("de", None)}
+    d = folder(tmp_path, "documents", spark.createDataFrame([(k, *v) for k, v in texts.items()], "doc_id string, lang string, text string"))
+    want = {"a": "One two.", "b": "Größe und Maß.", "c": "L'été chaud .", "d": "Sin idioma.", "e": "Upper.", "f": "", "g": None}
+    got = {r["doc_id"]: (r["text_md5"], r["chars"]) for r in text_plans.html_text(spark, d).collect()}
+    assert got == {k: (v if v is None else hashlib.md5(v.encode()).hexdigest(), v if v is None else len(v)) for k, v in want.items()}
