@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.session import ensure_checkpoint_dir, table
-from docloom.streaming.ingest import run_into, scanned, upsert_batches, windowed_counts
+from docloom.streaming.ingest import replace_batches, run_into, scanned, upsert_batches, windowed_counts
 
 
 def _source(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -42,12 +42,12 @@ def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_daily_files(spark: SparkSession, d: str) -> DataFrame:
-    """Files and bytes by day, in event-time windows with a watermark; days that are final."""
+    """Files and bytes of every day, in event-time windows, when the stream has run to its end."""
     folder = _folder(spark)
     counts = windowed_counts(_source(spark, d, "extract_record").where("extracted_at IS NOT NULL"))
-    query = counts.select(F.col("w.start").alias("day"), "files", "bytes").writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/out").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema("day timestamp, files long, bytes long").parquet(f"{folder}/out")
+    days = counts.select(F.col("w.start").alias("day"), "files", "bytes")
+    run_into(days, f"{folder}/checkpoint", replace_batches(f"{folder}/days"), "complete").awaitTermination()
+    return _latest(spark, f"{folder}/days")
 
 
 def stream_severity(spark: SparkSession, d: str) -> DataFrame:

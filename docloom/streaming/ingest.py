@@ -27,15 +27,27 @@ def scanned(records: DataFrame) -> DataFrame:
     return records.select("extract_id", "doc_id", "extracted_at", kinds.alias("kinds"), P.severity(kinds).alias("severity"))
 
 
-def windowed_counts(records: DataFrame, event_time: str = "extracted_at", width: str = "1 day", late: str = "2 days") -> DataFrame:
-    """Rows and bytes by day of extraction, final once the watermark has passed."""
+def windowed_counts(records: DataFrame, event_time: str = "extracted_at", width: str = "1 day") -> DataFrame:
+    """Rows and bytes by day of extraction. No watermark: files come in any order of time, and no row is too late.
+
+    The state is one row for each day.
+    """
     timed = records.withColumn(event_time, F.col(event_time).cast("timestamp"))
-    return timed.withWatermark(event_time, late).groupBy(F.window(event_time, width).alias("w")).agg(F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("bytes"))
+    return timed.groupBy(F.window(event_time, width).alias("w")).agg(F.count(F.lit(1)).alias("files"), F.sum("size_bytes").alias("bytes"))
 
 
-def run_into(records: DataFrame, checkpoint: str, batch: Callable[[DataFrame, int], None]) -> StreamingQuery:
+def run_into(records: DataFrame, checkpoint: str, batch: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
     """Run what is there through ``batch``; a batch that is tried again has the same number, so a keyed write is exactly once."""
-    return records.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch).start()
+    return records.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch).start()
+
+
+def replace_batches(target: str) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` for complete output: each batch is the whole result so far, in ``target``/v=<batch>."""
+
+    def replace(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{target}/v={number}")
+
+    return replace
 
 
 def upsert_batches(target: str, key: str, order: str) -> Callable[[DataFrame, int], None]:
