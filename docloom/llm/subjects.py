@@ -226,10 +226,16 @@ def train_subjects(
     hand = labels.where(subject.isin([form for form in index])).groupBy("extract_id").agg(F.collect_set(subject).alias("subjects"))
     hand = hand.orderBy(F.xxhash64("extract_id"), "extract_id").limit(labelled_rows)
     named = sorted({m for many in hints.values() for m in many})
-    hinted = mains.where(F.col("main").isin(named)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(hinted_rows)
-    # both samples are bounded, so they are broadcast
     base = texts.where(F.col("text").isNotNull() & F.col("extract_id").isNotNull()).select("extract_id", "doc_id", "text")
-    sample = base.join(F.broadcast(hand), "extract_id", "left").join(F.broadcast(hinted.withColumnRenamed("main", "hint")), "doc_id", "left").where("subjects IS NOT NULL OR hint IS NOT NULL")
+    by_hash = lambda df, *keys: df.orderBy(F.xxhash64(*keys), *keys)
+    # both samples are bounded, so they are broadcast; the bounds are on rows, and each sample has its own
+    hinted = base.select("extract_id", "doc_id").join(mains.where(F.col("main").isin(named)).withColumnRenamed("main", "hint"), "doc_id")
+    hinted = by_hash(hinted.join(F.broadcast(hand.select("extract_id")), "extract_id", "left_anti"), "extract_id", "doc_id").limit(hinted_rows).distinct()
+    with_hand = by_hash(base.join(F.broadcast(hand), "extract_id"), "extract_id", "doc_id", "text").limit(labelled_rows)
+    with_hint = by_hash(base.join(F.broadcast(hinted), ["extract_id", "doc_id"]), "extract_id", "doc_id", "text").limit(hinted_rows)
+    sample = with_hand.withColumn("hint", F.lit(None).cast("string")).unionByName(with_hint.withColumn("subjects", F.lit(None).cast("array<string>")))
+    # a limit leaves one partition
+    sample = sample.repartition(texts.sparkSession.sparkContext.defaultParallelism, "extract_id")
 
     def sentences_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -247,8 +253,6 @@ def train_subjects(
 
     schema = "extract_id long, doc_id string, subjects array<string>, hint string, sizes binary, words binary, pairs binary"
     some = sample.mapInPandas(sentences_of, schema).toPandas().sort_values("extract_id", ignore_index=True)
-    # several rows of one doc_id are as many samples; the bound on rows is kept here
-    some = some.head(2 * (labelled_rows + hinted_rows))
     filed = dict(mains.join(F.broadcast(hand.select("extract_id").join(base.select("extract_id", "doc_id"), "extract_id").select("doc_id").distinct()), "doc_id").select("doc_id", "main").collect())
     seen: dict[str, np.ndarray] = {m: 3.0 * (np.arange(len(names)) == index[s]) for s, many in hints.items() if s in index for m in many}
     truth: dict[int, set[int]] = {}
