@@ -51,14 +51,16 @@ def concept_pairs(named: DataFrame, members: DataFrame, key: str = "doc_id", lea
     return both.withColumn("jaccard", jaccard).where(F.col("jaccard") >= least_jaccard).select("a", "b", "shared", "jaccard")
 
 
-def clusters(named: DataFrame, pairs: DataFrame, most_members: int = 16, rounds: int = 100) -> DataFrame:
+def clusters(named: DataFrame, pairs: DataFrame, most_members: int = 16) -> DataFrame:
     """(concept_id, seed): greedy clusters around the most frequent concepts.
 
     A concept joins the first seed, by (documents descending, name), that it is paired with; a seed is a concept
     that no earlier seed has taken. That is the lexicographically first independent set: in each round every
     undecided concept that is before all its undecided neighbours becomes a seed, and its neighbours join their
-    first seed once no earlier neighbour is undecided. A seed keeps its first ``most_members`` - 1 neighbours; those
-    turned away are decided among themselves in a further pass, as they are in the greedy order.
+    first seed once no neighbour before that seed is undecided. A seed keeps its first ``most_members`` - 1
+    neighbours, so one joins only if all undecided neighbours of the seed before it have room too; those turned away
+    are decided among themselves. The first undecided concept is decided or turned away in each round, so the rounds
+    end with all decided.
     """
     order = named.select("concept_id", F.row_number().over(Window.orderBy(F.desc("docs"), "preferred", "concept_id")).alias("rank"))
     order = cut(order)
@@ -66,22 +68,20 @@ def clusters(named: DataFrame, pairs: DataFrame, most_members: int = 16, rounds:
     both = pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = cut(both.join(ranks("a"), "a").join(ranks("b"), "b").where("r_b < r_a").select("r_a", "r_b"))  # a may join the earlier b
     state = cut(order.select("rank", F.lit(None).cast("int").alias("seed")))
-    for _ in range(rounds):
+    while not state.where("seed IS NULL").isEmpty():
         open_ = state.where("seed IS NULL").select("rank")
-        seeds = state.where("seed = rank").select("rank")
-        waiting = edges.join(open_.withColumnRenamed("rank", "r_b"), "r_b").select("r_a").distinct()
-        taken = edges.join(seeds.withColumnRenamed("rank", "r_b"), "r_b").groupBy("r_a").agg(F.min("r_b").alias("s"))
-        ready = open_.join(waiting.withColumnRenamed("r_a", "rank"), "rank", "left_anti").join(taken.withColumnRenamed("r_a", "rank"), "rank", "left")
-        proposed = ready.select("rank", F.coalesce("s", "rank").alias("s"))
-        full = state.where("seed IS NOT NULL").groupBy("seed").agg(F.count(F.lit(1)).alias("held"))
-        at = F.row_number().over(Window.partitionBy("s").orderBy("rank"))
-        accepted = proposed.withColumn("at", at).join(full.withColumnRenamed("seed", "s"), "s", "left")
-        accepted = accepted.where((F.col("s") == F.col("rank")) | (F.col("at") + F.coalesce("held", F.lit(0)) <= most_members))
-        refused = proposed.join(accepted.select("rank"), "rank", "left_anti").select(F.col("rank").alias("r_a"), F.col("s").alias("r_b"))
+        seeds = state.where("seed = rank").select(F.col("rank").alias("r_b"))
+        at = F.row_number().over(Window.partitionBy("r_b").orderBy("r_a"))
+        asked = edges.join(open_.withColumnRenamed("rank", "r_a"), "r_a").join(seeds, "r_b").select("r_a", "r_b", at.alias("at"))
+        taken = asked.groupBy("r_a").agg(F.min(F.struct(F.col("r_b").alias("s"), "at")).alias("t")).select("r_a", "t.*")
+        waiting = edges.join(open_.withColumnRenamed("rank", "r_b"), "r_b").join(taken, "r_a", "left").where("s IS NULL OR r_b < s").select(F.col("r_a").alias("rank")).distinct()
+        proposed = open_.join(waiting, "rank", "left_anti").join(taken.withColumnRenamed("r_a", "rank"), "rank", "left")
+        full = state.where("seed IS NOT NULL").groupBy(F.col("seed").alias("s")).agg(F.count(F.lit(1)).alias("held"))
+        proposed = cut(proposed.join(full, "s", "left").select("rank", "s", "at", "held"))
+        accepted = proposed.where((F.col("s").isNull()) | (F.col("at") + F.col("held") <= most_members)).select("rank", F.coalesce("s", "rank").alias("_s"))
+        refused = proposed.where(F.col("held") >= most_members).select(F.col("rank").alias("r_a"), F.col("s").alias("r_b"))
         edges = cut(edges.join(refused, ["r_a", "r_b"], "left_anti"))
-        state = cut(state.join(accepted.select("rank", F.col("s").alias("_s")), "rank", "left").select("rank", F.coalesce("seed", "_s").alias("seed")))
-        if state.where("seed IS NULL").isEmpty():
-            break
+        state = cut(state.join(accepted, "rank", "left").select("rank", F.coalesce("seed", "_s").alias("seed")))
     seed = order.select(F.col("rank").alias("seed"), F.col("concept_id").alias("seed_id"))
     return state.join(order, "rank").join(seed, "seed").select("concept_id", F.col("seed_id").alias("seed"))
 
