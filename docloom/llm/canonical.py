@@ -11,85 +11,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Synonyms and translations of plan entries (by plan name). A parameter: pass another dictionary for another plan.
-ALIASES = {
-    "staffing": ("hr", "human resources", "personalwesen", "personnel", "recursos humanos", "ressources humaines"),
-    "field-work": ("out in the field", "work in the field", "travail de terrain", "feldarbeit", "trabajo de campo"),
-    "budget": ("haushalt", "presupuesto", "money matters", "finances", "finance", "finanzen", "finanzas"),
-    "contracts": ("legal agreements", "verträge", "contrats", "contratos"),
-    "systems": ("it", "informatique", "computers", "informatik", "informática", "edv", "sistemas"),
-    "premises": ("estate", "buildings", "locaux", "gebäude", "edificios", "real estate"),
-    "vehicles": ("cars and vans", "fuhrpark", "fleet", "véhicules", "vehículos", "fahrzeuge"),
-    "safety": ("h&s", "health & safety", "health and safety", "sécurité", "seguridad", "sicherheit"),
-    "outreach": ("pr", "public relations", "öffentlichkeitsarbeit", "community work"),
-    "learning": ("training", "formación", "formation", "fortbildung", "education"),
-    "clients": ("customers", "kunden", "clientes"),
-    "wellbeing": ("staff welfare", "welfare", "bienestar", "bien-être", "wohlbefinden"),
-    "governance": ("trustees & oversight", "trustees and oversight", "gouvernance", "gobernanza"),
-    "private": ("own stuff", "personal", "privat", "privé", "personal stuff"),
-    "recruitment": ("hiring", "recrutement", "personalsuche"),
-    "payslips": ("wage slips", "pay stubs", "salary slips", "gehaltszettel", "nóminas", "salary statements"),
-    "rosters": ("duty schedules", "dienstpläne", "shift plans"),
-    "exit-interviews": ("leaving talks", "leaver interviews", "leaver talks"),
-    "job-postings": ("vacancies", "job adverts", "job ads", "stellenanzeigen"),
-    "site-visits": ("trips to sites", "visits to sites"),
-    "equipment-loans": ("borrowed kit", "lent equipment", "kit on loan"),
-    "sampling-rounds": ("sample collection", "sample runs"),
-    "weather-calls": ("weather decisions", "storm calls"),
-    "forecasting": ("projections", "predictions", "outlook"),
-    "invoices": ("factures", "bills received", "rechnungen", "facturas", "bills"),
-    "grants": ("funding awards", "subsidies", "zuschüsse", "subvenciones"),
-    "petty-cash": ("small cash box", "cash box", "portokasse", "caja chica"),
-    "suppliers": ("vendors", "lieferanten", "proveedores", "fournisseurs"),
-    "leases": ("rental agreements", "mietverträge", "baux"),
-    "disputes": ("quarrels", "conflicts", "streitfälle", "litiges"),
-    "amendments": ("changes to contracts", "contract changes", "addenda"),
-    "accounts-access": ("logins", "log-ins", "user accounts", "sign-in rights"),
-    "backups": ("saved copies of servers", "server copies", "sauvegardes", "datensicherung"),
-    "network": ("lan and wifi", "wifi", "netzwerk", "réseau"),
-    "licences": ("software licenses", "licenses", "lizenzen", "licencias"),
-    "cleaning": ("janitorial", "reinigung", "nettoyage", "limpieza", "housekeeping"),
-    "repairs": ("fix-it jobs", "reparaturen", "réparations", "reparaciones", "maintenance", "broken things"),
-    "keys": ("schlüssel", "clés", "llaves"),
-    "floor-plans": ("building drawings", "grundrisse", "room layouts"),
-    "fuel-cards": ("petrol cards", "tankkarten", "gas cards"),
-    "bookings": ("reservations", "buchungen", "reservas"),
-    "inspections": ("mot checks", "vehicle checks", "contrôles"),
-    "parking": ("car park", "parkplatz", "aparcamiento", "parking lot"),
-    "fire-drills": ("evacuation practice", "evacuation drills", "feueralarm"),
-    "incidents": ("accidents", "accident reports", "vorfälle", "mishaps"),
-    "risk-sheets": ("hazard forms", "risk assessments", "hazard sheets"),
-    "first-aid": ("erste hilfe", "premiers secours", "primeros auxilios"),
-    "open-days": ("visitor days", "tag der offenen tür", "open house"),
-    "newsletters": ("monthly bulletin", "bulletins", "rundbriefe", "boletines"),
-    "sponsors": ("donors", "backers", "sponsoren", "mécènes"),
-    "signage": ("signs and boards", "beschilderung", "signs"),
-    "workshops": ("training sessions", "ateliers", "talleres"),
-    "mentoring": ("buddy scheme", "coaching", "tutoring"),
-    "certificates": ("diplomas", "zertifikate", "certificats"),
-    "library": ("bibliothek", "bibliothèque", "biblioteca", "books", "book lending"),
-    "complaints": ("quejas", "beschwerden", "plaintes", "grievances"),
-    "surveys": ("encuestas", "questionnaires", "umfragen", "sondages"),
-    "onboarding": ("new hires", "new starters", "welcome process", "einarbeitung"),
-    "referrals": ("recommendations", "überweisungen"),
-    "counselling": ("talking therapy", "beratung"),
-    "lunch-menus": ("canteen menus", "speiseplan", "canteen food"),
-    "absences": ("sick leave", "sick days", "fehlzeiten", "time off"),
-    "ergonomics": ("desk set-up", "desk setup", "chairs and desks"),
-    "policies": ("rules and guidance", "richtlinien", "politiques"),
-    "elections": ("wahlen", "élections", "votes"),
-    "archives": ("old records", "archiv", "archivos"),
-    "recipes": ("rezepte", "recettes", "recetas", "cooking ideas"),
-    "hobbies": ("pastimes", "freizeit", "loisirs"),
-    "family-letters": ("letters from home", "letters to family"),
-    "holiday-photos": ("vacation pictures", "urlaubsfotos", "vacation photos"),
-    "board-minutes": ("minutes of the board", "notes of the board"),
-}
+from docloom.functions.terms import form_k
+
 #: Words that say nothing about the entry meant: left out before the similarity is taken.
 FILLERS = frozenset("copy of my the a and co misc folder final old new temp north south east west annex z re x stuff draft version vol".split())
 _LEET = str.maketrans("0134578@$", "oieastbas")
 _LEET_L = str.maketrans("0134578@$", "oleastbas")
 _VOWELS = re.compile("[aeiou]")
+_ORDINAL = re.compile(r"\d+(?:st|nd|rd|th)")
 
 
 def _plain(value: str) -> str:
@@ -102,21 +31,43 @@ def _unleet(text: str, table: dict) -> str:
     return " ".join(t.translate(table) if re.search("[a-z]", t) and not re.fullmatch(r"\d+(?:st|nd|rd|th)", t) else t for t in text.split())
 
 
-def _osa(a: str, b: str, most: int) -> int:
-    """Edit distance with swaps of neighbours; most + 1 where it is larger than ``most``."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    before, row = None, list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i] + [0] * len(b)
-        for j, y in enumerate(b, 1):
-            new[j] = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y))
-            if before is not None and j > 1 and i > 1 and x == b[j - 2] and a[i - 2] == y:
-                new[j] = min(new[j], before[j - 2] + 1)
-        if min(new) > most:
-            return most + 1
-        before, row = row, new
-    return row[-1] if row[-1] <= most else most + 1
+class _Name:
+    """A form of an entry, prepared for bit-parallel edit distances."""
+
+    def __init__(self, text: str):
+        self.text, self.size, self.tokens = text, len(text), ()
+        self.masks: dict[str, int] = {}
+        for i, c in enumerate(text):
+            self.masks[c] = self.masks.get(c, 0) | 1 << i
+
+    def distance(self, other: str) -> int:
+        """Edit distance with swaps of neighbours, one column of the table at a time as bits of an integer."""
+        if not self.size:
+            return len(other)
+        every, top, get = (1 << self.size) - 1, 1 << self.size - 1, self.masks.get
+        plus, minus, zero, before, score = every, 0, 0, 0, self.size
+        for c in other:
+            here = get(c, 0)
+            swap = (~zero & here) << 1 & before
+            zero = (((here & plus) + plus ^ plus) | here | minus | swap) & every
+            up, down = minus | ~(zero | plus) & every, zero & plus
+            score += 1 if up & top else -1 if down & top else 0
+            up, down = up << 1 & every | 1, down << 1 & every
+            plus, minus, before = (down | ~(zero | up)) & every, up & zero, here
+        return score
+
+    def close(self, other: str) -> float:
+        """1 - distance / longer length, 0 where more than 0.4 of the longer one differs."""
+        longer = max(self.size, len(other))
+        if abs(self.size - len(other)) > 0.4 * longer:
+            return 0.0
+        d = self.distance(other)
+        return 1 - d / longer if d <= max(1, int(0.4 * longer)) else 0.0
+
+
+def _grams(text: str) -> set[str]:
+    padded = f"^{text}$"
+    return {padded[i : i + 2] for i in range(len(padded) - 1)}
 
 
 class CanonicalMatcher:
@@ -124,11 +75,14 @@ class CanonicalMatcher:
 
     An automaton over all names, titles and aliases finds embedded mentions on word boundaries; the longest
     non-overlapping mentions win, and the entry of the mentions that cover most of the value is taken. Values
-    without a mention go to a token-set similarity whose tokens are compared by edit distance, shortened prefixes
-    and consonant skeletons.
+    without a mention go to a token-set similarity whose tokens are compared by edit distance; shortened prefixes
+    and consonant skeletons are looked up before. Only names that share letter pairs with the value are compared, in
+    the order of the best score these pairs allow, until no other can reach the second place.
+
+    ``aliases`` has (entry id, alias); an alias that two entries claim, or that is an entry's own form, is left out.
     """
 
-    def __init__(self, entries: list[tuple[int, str, str]], aliases: dict[str, tuple[str, ...]], least: float = 0.62, remembered: int = 200_000):
+    def __init__(self, entries: list[tuple[int, str, str]], aliases: list[tuple[int, str]] = (), least: float = 0.62, remembered: int = 200_000, fillers: frozenset[str] = FILLERS):
         self.least, self.remembered = least, remembered
         self.cache: OrderedDict[str, int] = OrderedDict()
         self.exact: dict[str, int] = {}
@@ -137,19 +91,41 @@ class CanonicalMatcher:
             for form in (name, title):
                 self.exact.setdefault(_plain(form), plan_id)
             self.names.setdefault(_plain(name), plan_id)
-        for plan_id, name, _ in entries:
-            for alias in aliases.get(name, ()):
-                self.exact.setdefault(_plain(alias), plan_id)
+        self.fillers = fillers - {w for k in self.exact for w in k.split()}
         self.joined = {k.replace(" ", ""): v for k, v in self.names.items()}
-        self.sets = {frozenset(k.split()): v for k, v in self.exact.items()}
         self.skeletons: dict[str, int] = {}
         for k, v in self.names.items():
             s = self._skeleton(k)
             self.skeletons[s] = 0 if s in self.skeletons and self.skeletons[s] != v else v
-        self.automaton = ahocorasick.Automaton()
+        self.forms = [_Name(k.replace(" ", "")) for k in self.names]
+        self.tokens = [tuple(_Name(t) for t in k.split()) for k in self.names]
+        self.ids = list(self.names.values())
+        self.postings: dict[str, list[int]] = {}
+        for i, f in enumerate(self.forms):
+            for g in _grams(f.text):
+                self.postings.setdefault(g, []).append(i)
+        claimed: dict[str, int] = {}
+        for plan_id, alias in aliases:
+            if (form := _plain(alias)) and form not in self.exact:
+                claimed[form] = 0 if claimed.get(form, plan_id) != plan_id else plan_id
+        # a slip of an entry's own name needs no alias
+        own = {f: self.resolve(f, False) for f in claimed}
+        self.exact.update({f: v for f, v in claimed.items() if v and own[f] != v})
+        self.sets = {frozenset(k.split()): v for k, v in self.exact.items()}
+        self.automaton = self._build()
+
+    automaton = None
+    sets: dict = {}
+
+    def _build(self) -> ahocorasick.Automaton | None:
+        out = ahocorasick.Automaton()
         for k, v in self.exact.items():
-            self.automaton.add_word(k, (len(k), v))
-        self.automaton.make_automaton()
+            if k:
+                out.add_word(k, (len(k), v))
+        if not len(out):
+            return None
+        out.make_automaton()
+        return out
 
     @staticmethod
     def _skeleton(text: str) -> str:
@@ -157,7 +133,7 @@ class CanonicalMatcher:
 
     def mention(self, text: str) -> int:
         found = []
-        for end, (n, plan_id) in self.automaton.iter(text):
+        for end, (n, plan_id) in self.automaton.iter(text) if self.automaton else ():
             a, b = end - n + 1, end + 1
             if (a == 0 or text[a - 1] == " ") and (b == len(text) or text[b] == " "):
                 found.append((-n, a, b, plan_id))
@@ -168,92 +144,154 @@ class CanonicalMatcher:
         if not taken:
             return 0
         # a short mention inside a text of other words is no answer
-        rest = [w for w in (text[: taken[0][0]] + " " + text[taken[0][1] :]).split() if w not in FILLERS and not re.fullmatch(r"\d+(?:st|nd|rd|th)?", w)]
+        rest = self._words(text[: taken[0][0]] + " " + text[taken[0][1] :])
         covered = {p for _, _, p in taken}
         if len(covered) == 1 and (not rest or taken[0][1] - taken[0][0] >= len(" ".join(rest))):
             return taken[0][2]
         return taken[0][2] if len(covered) > 1 and taken[0][1] - taken[0][0] >= 5 else 0
 
+    def _words(self, text: str) -> list[str]:
+        return [w for w in text.split() if w not in self.fillers and not w.isdigit() and not _ORDINAL.fullmatch(w)]
+
     def similar(self, text: str, dotted: bool) -> int:
-        words = [w for w in text.split() if w not in FILLERS and not w.isdigit() and not re.fullmatch(r"\d+(?:st|nd|rd|th)", w)]
+        words = self._words(text)
         if not words:
             return 0
         core = " ".join(words)
-        if (hit := self.exact.get(core)) or (hit := self.sets.get(frozenset(words))) or (hit := self.joined.get(core.replace(" ", ""))):
+        flat = core.replace(" ", "")
+        if (hit := self.exact.get(core)) or (hit := self.sets.get(frozenset(words))) or (hit := self.joined.get(flat)):
             return hit
-        if dotted and len(words[-1]) >= 1 and len(core) >= 4:
+        if dotted and len(core) >= 4:
             starts = {v for k, v in self.names.items() if k.startswith(core)}
             if len(starts) == 1:
                 return starts.pop()
-        if len(s := core.replace(" ", "")) >= 3 and not _VOWELS.search(s[1:]):
+        if len(flat) >= 3 and not _VOWELS.search(flat[1:]):
             if hit := self.skeletons.get(self._skeleton(core)):
                 return hit
+        shared: dict[int, int] = {}
+        for g in {g for w in words for g in _grams(w)} | _grams(flat):
+            for i in self.postings.get(g, ()):
+                shared[i] = shared.get(i, 0) + 1
+        # an edit touches at most three letter pairs, so the pairs that are missing bound the score from above;
+        # words in another order lose pairs at their borders only
+        many = len(words) > 1
+        ranked = sorted(((self._most(self.forms[i], len(flat), n) if not many or len(self.tokens[i]) < 2 else 1.0, n, i) for i, n in shared.items()), reverse=True)
         best, second, answer = 0.0, 0.0, 0
-        flat = core.replace(" ", "")
-        for name, plan_id in self.names.items():
-            score = max(self._close(flat, name.replace(" ", "")), self._tokens(words, name.split()))
+        for most, _, i in ranked:
+            if most < self.least or most <= second:
+                break
+            score = self.forms[i].close(flat)
+            if many:
+                score = max(score, self._tokens(words, self.tokens[i]))
             if score > best:
-                if plan_id != answer:
+                if self.ids[i] != answer:
                     second = best
-                best, answer = score, plan_id
-            elif score > second and plan_id != answer:
+                best, answer = score, self.ids[i]
+            elif score > second and self.ids[i] != answer:
                 second = score
         return answer if best >= self.least and best > second else 0
 
     @staticmethod
-    def _close(a: str, b: str) -> float:
-        most = max(1, int(0.4 * max(len(a), len(b))))
-        d = _osa(a, b, most)
-        return 1 - d / max(len(a), len(b)) if d <= most else 0.0
-
-    def _tokens(self, words: list[str], name: list[str]) -> float:
-        """Soft token-set similarity: each token with its closest of the other set, weighted by length."""
-        if len(words) != len(name) or len(words) == 1:
-            return 0.0
-        total, free = 0.0, list(words)
+    def _most(form: _Name, size: int, shared: int) -> float:
+        longer = max(form.size, size)
+        return 1 - max(abs(form.size - size), -(-(longer + 1 - shared - _repeats(form.text)) // 3)) / longer
+
+    @staticmethod
+    def _tokens(words: list[str], name: tuple[_Name, ...]) -> float:
+        """Soft token-set similarity: the share of the letters of both sets that stand in tokens close to one of the other set."""
+        free, total = list(words), 0.0
         for t in name:
-            best = max(free, key=lambda w: self._close(w, t))
-            s = self._close(best, t)
-            if s < 0.5:
-                return 0.0
-            free.remove(best)
-            total += s * len(t)
-        return total / sum(map(len, name))
+            scored = [(t.close(w), w) for w in free]
+            s, w = max(scored, default=(0.0, ""))
+            if s >= 0.5:
+                free.remove(w)
+                total += s * (t.size + len(w))
+        return total / (sum(t.size for t in name) + sum(map(len, words)))
+
+    def resolve(self, text: str, dotted: bool) -> int:
+        return self.exact.get(text, 0) or self.mention(text) or self.similar(text, dotted)
 
     def __call__(self, value: str) -> int:
         if value in self.cache:
             return self.cache[value]
         text = _plain(value)
-        hit = self.exact.get(text, 0) or self.mention(text)
-        if not hit:
-            dotted = value.rstrip().endswith(".")
-            hit = self.similar(text, dotted)
-            for table in (_LEET, _LEET_L):
-                other = _unleet(text, table)
-                if not hit and other != text:
-                    hit = self.exact.get(other, 0) or self.mention(other) or self.similar(other, dotted)
+        dotted = value.rstrip().endswith(".")
+        hit = self.resolve(text, dotted)
+        for table in () if hit else (_LEET, _LEET_L):
+            other = _unleet(text, table)
+            if not hit and other != text:
+                hit = self.resolve(other, dotted)
         if len(self.cache) >= self.remembered:
             self.cache.popitem(last=False)
         self.cache[value] = hit
         return hit
 
 
-def map_to_canonical(values: DataFrame, column: str, plan: DataFrame, aliases: dict[str, tuple[str, ...]] | None = None, into: str = "plan_id") -> DataFrame:
+def _repeats(text: str) -> int:
+    """Letter pairs of a form beyond their first occurrence: a set of pairs shows them once."""
+    return len(text) + 1 - len(_grams(text))
+
+
+def learn_aliases(paths: DataFrame, plan: DataFrame, home: str = "home", main: str = "main", least: int = 3, min_share: float = 0.001, purity: float = 0.8) -> DataFrame:
+    """(plan_id, alias): values that other words of the same rows show to mean an entry.
+
+    A row of ``paths`` has a path ``home`` (broad to narrow) and a label ``main`` for its first step. Where the value
+    after it in the path is exactly an entry, a value speaks for that entry's parent; a first step whose label is
+    exactly an entry, and a label whose first step or second step's parent is one, speak for that entry. A value
+    becomes an alias of the entry that at least ``purity`` of its votes name if it has ``least`` votes, at least half
+    of its occurrences vote (or, counting only values with another one after them, half of these do), and its votes are
+    ``min_share`` of all votes for that entry. So the number of aliases is at most entries / min_share, whatever the
+    size of ``paths``. A word for an entry without children that only stands at the end of paths is not learned.
+
+    Votes are counted in the JVM over all rows and added up before they are shuffled; nulls and blanks don't vote.
+    """
+    named = plan.where(F.col("plan_name").isNotNull()).select("plan_id", "parent_id", form_k(F.col("plan_name")).alias("k")).dropDuplicates(["k"])
+    steps = F.coalesce(F.col(home), F.array().cast("array<string>"))
+    each = F.transform(
+        steps,
+        lambda v, i: F.struct(v.alias("v"), form_k(F.get(steps, i + 1)).alias("below"), F.when(i == 0, form_k(F.col(main))).alias("same")),
+    )
+    label = F.array(F.struct(F.col(main).alias("v"), form_k(F.get(steps, F.lit(1))).alias("below"), form_k(F.get(steps, F.lit(0))).alias("same")))
+    votes = paths.select(F.explode(F.concat(each, label)).alias("x")).select(F.lower(F.trim(F.regexp_replace("x.v", r"\s+", " "))).alias("alias"), "x.below", "x.same")
+    votes = votes.where("alias <> ''").groupBy("alias", "below", "same").agg(F.count(F.lit(1)).alias("n"))
+    votes = votes.join(named.select(F.col("k").alias("below"), F.col("parent_id").alias("p")), "below", "left")
+    votes = votes.join(named.select(F.col("k").alias("same"), F.col("plan_id").alias("s"), F.col("parent_id").alias("sp")), "same", "left")
+    # the label of a first step names a broadest entry; the child speaks louder than the label
+    votes = votes.select("alias", "n", "p", F.coalesce("p", F.when(F.col("sp").isNull(), F.col("s"))).alias("plan_id"), F.col("below").isNotNull().alias("has_below"))
+    per = votes.groupBy("alias", "plan_id").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("p").isNotNull(), F.col("n")).otherwise(0)).alias("c"), F.sum(F.when(F.col("has_below"), F.col("n")).otherwise(0)).alias("b"))
+    known = F.col("plan_id").isNotNull()
+    by = per.groupBy("alias").agg(
+        F.sum("n").alias("all"),
+        F.sum("b").alias("all_below"),
+        F.sum(F.when(known, F.col("n"))).alias("voted"),
+        F.max(F.when(known, F.struct("n", "plan_id"))).alias("best"),
+        F.sum("c").alias("voted_below"),
+        F.max(F.when(known, F.struct(F.col("c").alias("n"), F.col("plan_id")))).alias("best_below"),
+    )
+    sizes = per.where(known).groupBy("plan_id").agg(F.sum("n").alias("total"))
+    sure = lambda best, voted, every: (F.col(f"{best}.n") >= least) & (F.col(f"{best}.n") >= purity * F.col(voted)) & (2 * F.col(voted) >= F.col(every))
+    best = F.when(sure("best", "voted", "all"), F.col("best")).when(sure("best_below", "voted_below", "all_below") & (2 * F.col("best_below.n") >= F.col("voted")), F.col("best_below"))
+    good = by.select("alias", best.alias("best")).where("best IS NOT NULL").select(F.col("best.plan_id").alias("plan_id"), "alias", F.col("best.n").alias("n")).join(sizes, "plan_id")
+    return good.where(F.col("n") >= min_share * F.col("total")).select("plan_id", "alias")
+
+
+def map_to_canonical(values: DataFrame, column: str, plan: DataFrame, aliases: DataFrame | None = None, into: str = "plan_id") -> DataFrame:
     """Add ``into``: the id of the plan entry that each value of ``column`` means, 0 where it means none.
 
-    ``plan`` (plan_id, plan_name, title) is the fixed reference list; its automaton is built once in each worker, so
-    the plan's size is bounded by what one worker holds. The mapping is map-only: a value typed in a third of all
+    ``plan`` (plan_id, plan_name, title) is the fixed reference list and ``aliases`` (plan_id, alias) other words for
+    its entries, a table of one's own or what ``learn_aliases`` finds; their automaton is built once in each worker,
+    so both are bounded by what one worker holds. The mapping is map-only: a value typed in a third of all
     rows costs no shuffle, and each worker remembers the values it has seen. Null and blank values map to null; a
     value that is some entry's exact name maps to that entry. Ties of two entries count as unmatched.
     """
-    entries = [(int(r[0]), r[1], r[2] or r[1]) for r in plan.select("plan_id", "plan_name", "title").collect()]
-    aliases = ALIASES if aliases is None else aliases
+    entries = [(int(r[0]), r[1], r[2] or r[1]) for r in plan.where("plan_id IS NOT NULL AND plan_name IS NOT NULL").select("plan_id", "plan_name", "title").collect()]
+    known = sorted((int(r[0]), r[1]) for r in aliases.select("plan_id", "alias").collect()) if aliases is not None else []
     held: list[CanonicalMatcher] = []
 
     @F.pandas_udf("int")
     def match(s: pd.Series) -> pd.Series:
         if not held:
-            held.append(CanonicalMatcher(entries, aliases))
+            held.append(CanonicalMatcher(entries, known))
         codes, distinct = pd.factorize(s)
         ids = [held[0](v) if v.strip() else None for v in distinct]
         return pd.Series([ids[c] if c >= 0 else None for c in codes], dtype="Int32")

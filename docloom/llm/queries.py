@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.canonical import map_to_canonical
+from docloom.llm.canonical import learn_aliases, map_to_canonical
 from docloom.llm.cooccurrence import frequent_pairs
 from docloom.llm.mixing import mix_report, mix_sources
 from docloom.llm.packing import fill_windows, window_fill
@@ -101,14 +101,19 @@ def home_type() -> str:
     return "array<struct<field:string,pos:int,value:string>>"
 
 
+def _mapped(spark: SparkSession, d: str, typed: DataFrame) -> DataFrame:
+    plan = table(spark, d, "file_plan")
+    return map_to_canonical(typed, "value", plan, learn_aliases(table(spark, d, "walk_home").select("home", "main"), plan))
+
+
 def p5_values(spark: SparkSession, d: str) -> DataFrame:
-    return map_to_canonical(_typed(spark, d), "value", table(spark, d, "file_plan"))
+    return _mapped(spark, d, _typed(spark, d))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     names = [r[0] for r in table(spark, d, "file_plan").select("plan_name").collect()]  # the fixed list
     typed = _typed(spark, d).where(~F.col("value").isin(names))
-    return map_to_canonical(typed, "value", table(spark, d, "file_plan")).select("walk_id", "field", "pos", "plan_id")
+    return _mapped(spark, d, typed).select("walk_id", "field", "pos", "plan_id")
 
 
 def p6_subjects(spark: SparkSession, d: str) -> DataFrame:
