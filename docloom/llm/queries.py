@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.canonical import learn_aliases, map_to_canonical
-from docloom.llm.cooccurrence import frequent_pairs
+from docloom.llm.cooccurrence import basket_pairs, term_baskets
 from docloom.llm.mixing import mix_report, mix_sources
 from docloom.llm.packing import fill_windows, window_fill
 from docloom.llm.pii import find_values, redact_samples, redact_texts
@@ -18,7 +18,7 @@ from docloom.llm.splitting import split_oversized
 from docloom.llm.subjects import assign_subjects, subject_makeup, train_subjects
 from docloom.llm.term_frequency import explode_terms, field_totals, mark_terms, term_frequency
 from docloom.operators.versions import current_rows
-from docloom.session import cut, spread, table
+from docloom.session import spread, table
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
@@ -82,7 +82,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return frequent_pairs(cut(_terms(spark, d, ("tags", "entities")).distinct()))
+    tags = current_rows(table(spark, d, "tags"), ["tags", "entities"])
+    return basket_pairs(term_baskets(tags, "doc_id", {f: F.col(f) for f in ("tags", "entities")}))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

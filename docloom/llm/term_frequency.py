@@ -18,17 +18,18 @@ def explode_terms(records: DataFrame, record: str, terms: Column, field: str) ->
     )
 
 
-def term_frequency(tokens: DataFrame, salts: int = 16) -> DataFrame:
+def term_frequency(tokens: DataFrame, salts: int | None = None) -> DataFrame:
     """Occurrences and records of each (field, term).
 
     ``tokens`` has field, record and term. Tokens are hash-partitioned by term and a salt of the record, sorted by
     record, and each term keeps its occurrences, its records and the last record seen: a token of another record
     than the last one raises the record count. No set of records is ever held. The salt spreads a term that occurs
-    in a third of all rows; as it is a function of the record, no record is counted under two salts.
+    in a third of all rows over as many tasks as a shuffle has (``salts``); as it is a function of the record, no record is counted under two salts.
 
     Null or empty terms and null records count nowhere. A term twice in one record has two occurrences and one
     record. An empty table gives no rows; other columns are ignored.
     """
+    salts = salts or max(1, int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     salted = tokens.where(F.col("record").isNotNull() & F.col("term").isNotNull() & (F.col("term") != "")).select(
         "field", "term", "record", F.pmod(F.xxhash64("record"), F.lit(salts)).alias("_salt")
     )

@@ -4,7 +4,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from docloom.llm.cooccurrence import frequent_pairs
+from docloom.llm.cooccurrence import basket_pairs, frequent_pairs, term_baskets
 from docloom.llm.term_frequency import explode_terms, field_totals, mark_terms, term_frequency
 
 SCHEMA = "field string, record string, term string"
@@ -59,3 +59,18 @@ def test_pair_measures_and_edges(spark):
     r = frequent_pairs(spark.createDataFrame(rows, SCHEMA)).first()
     assert (r["n"], r["ab"]) == (7, 6) and abs(r["lift"] - 7 / 6) < 1e-9 and r["conviction"] is None
     assert frequent_pairs(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_baskets_of_arrays(spark):
+    df = spark.createDataFrame([("d", ["B b", "a", "A", None, "--"], None), ("e", [], ["x"]), (None, ["q"], ["q"])], "doc_id string, tags array<string>, field array<string>")
+    got = term_baskets(df, "doc_id", {"tags": F.col("tags"), "other": F.col("field")})
+    assert sorted((r["field"], str(r["record"]), r["basket"]) for r in got.collect()) == [("other", "None", ["q"]), ("other", "e", ["x"]), ("tags", "None", ["q"]), ("tags", "d", ["a", "b-b"])]
+    assert basket_pairs(got).count() == 0
+
+
+def test_long_baskets_and_hot_copies(spark):
+    rng = random.Random(4)
+    baskets = [[f"t{rng.randrange(2000)}" for _ in range(60)] for _ in range(300)] + [["hot-1", "hot-2", *[f"t{i}" for i in range(40)]]] * 200
+    df = spark.createDataFrame([("f", str(i), sorted(set(b))) for i, b in enumerate(baskets)], "field string, record string, basket array<string>")
+    got = {(r["item_a"], r["item_b"]): (r["n"], r["a"], r["b"], r["ab"]) for r in basket_pairs(df, 5, 0.02).collect()}
+    assert got == brute_pairs(baskets, 5, 0.02)
