@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from docloom.functions.terms import form_k
 from docloom.session import cut
 
-#: Bits of the filter that keeps rare items out of the pairs; what gets by it is dropped by the counts of the items.
-BITS = 1 << 20
+#: Bits of the filter of each field that keeps rare items out of the pairs; what gets by it is dropped by the counts of the items.
+BITS = 1 << 17
 
 
 def term_baskets(records: DataFrame, record: str, fields: dict[str, Column]) -> DataFrame:
@@ -43,14 +43,15 @@ def basket_pairs(baskets: DataFrame, min_count: int = 5, min_share: float = 0.00
     counts = weighted.select("field", "weight", F.explode("basket").alias("term")).groupBy("field", "term").agg(F.sum("weight").alias("c"))
     counts = counts.where(F.col("c") >= min_count).join(totals, "field").where(F.col("c") >= F.col("n") * min_share)
     frequent = cut(counts)
-    bit = lambda term: F.pmod(F.xxhash64("field", term), F.lit(BITS))
-    words = [0] * (BITS // 64)
+    bit = lambda term: F.pmod(F.xxhash64(term), F.lit(BITS))
     at = bit(F.col("term"))
-    for r in frequent.select(F.floor(at / 64).alias("w"), F.shiftleft(F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int")).alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).collect():
-        words[r["w"]] = r["m"]
-    bits = F.broadcast(baskets.sparkSession.createDataFrame([(words,)], "_bits array<long>"))
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))
+    words: dict[str, list[int]] = {}
+    for r in frequent.select("field", F.floor(at / 64).alias("w"), mask.alias("m")).groupBy("field", "w").agg(F.bit_or("m").alias("m")).collect():
+        words.setdefault(r["field"], [0] * (BITS // 64))[r["w"]] = r["m"]
+    bits = F.broadcast(baskets.sparkSession.createDataFrame([*words.items()], "field string, _bits array<long>"))
     in_bits = lambda t: F.getbit(F.get("_bits", F.floor(bit(t) / 64).cast("int")), F.pmod(bit(t), F.lit(64)).cast("int")) == 1
-    small = weighted.withColumn("_one", F.lit(1)).join(bits.withColumn("_one", F.lit(1)), "_one").select("field", "weight", F.filter("basket", in_bits).alias("basket"))
+    small = weighted.join(bits, "field").select("field", "weight", F.filter("basket", in_bits).alias("basket"))
     firsts = small.where(F.size("basket") > 1).select("field", "basket", "weight", F.posexplode("basket").alias("_pos", "item_a"))
     pairs = (
         firsts.select("field", "weight", "item_a", F.explode(F.slice("basket", F.col("_pos") + 2, F.size("basket"))).alias("item_b"))
