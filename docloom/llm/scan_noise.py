@@ -9,8 +9,9 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from docloom.session import cut
 
@@ -19,16 +20,17 @@ CONFUSIONS = tuple(
     (seen, true, math.log(p))
     for seen, true, p in (
         ("0", "o", 0.02), ("1", "l", 0.02), ("1", "i", 0.01), ("!", "i", 0.02), ("!", "l", 0.01), ("|", "l", 0.02), ("|", "i", 0.01), ("5", "s", 0.02), ("$", "s", 0.01), ("6", "b", 0.02), ("8", "b", 0.01),
-        ("9", "g", 0.02), ("9", "q", 0.002), ("+", "t", 0.02), ("7", "t", 0.005), ("3", "e", 0.005), ("4", "a", 0.005), ("c", "e", 0.01), ("rn", "m", 0.01), ("cl", "d", 0.01), ("li", "h", 0.01), ("ii", "u", 0.01),
-        ("vv", "w", 0.01), ("nn", "m", 0.002), ("ﬁ", "fi", 0.02), ("ﬂ", "fl", 0.02), ("h", "li", 0.001), ("d", "cl", 0.001), ("m", "rn", 0.001),
+        ("9", "g", 0.02), ("9", "q", 0.002), ("+", "t", 0.02), ("7", "t", 0.005), ("3", "e", 0.005), ("4", "a", 0.005), ("c", "e", 0.01), ("rn", "m", 0.01), ("cl", "d", 0.01), ("li", "h", 0.01), ("ii", "u", 0.01), ("m", "in", 0.01),
+        ("vv", "w", 0.01), ("ﬁ", "fi", 0.02), ("ﬂ", "fl", 0.02), ("h", "li", 0.001), ("d", "cl", 0.001), ("m", "rn", 0.001),
     )
 )
+_HUMP = re.compile("[a-z][A-Z]")
 _MARKED = re.compile(r"[0-9!|$+ﬁﬂ]")
-#: Misreadings of one letter as such are too common as letters to be looked for twice in a word.
-_ONCE = ("h", "d", "m")
-BITS = 1 << 23
+#: Glyphs that may be read as others, brought to the same sequence of strokes: whatever misreadings happened to a word,
+#: and however many, its key stays the same. Fixed by the confusions above.
+_PARTS = (("ﬁ", "fi"), ("ﬂ", "fl"), ("d", "cl"), ("h", "li"), ("m", "rn"), ("u", "ii"), ("w", "vv"))
+_STROKES = ("01!|i5$689q+734cr", "ollllssbbggtteael")
 TOKEN = re.compile(r"[!+|$]?[^\W_]+(?:[!+|$]+[^\W_]+)*[+$]?")
-_LONG = re.compile(r"(?<!\S)\S{40,}")
 _LETTER = re.compile(r"[^\W\d_]")
 _HYPHENS = "-‐­¬"
 _LINE_END = re.compile(rf"([^\W\d_][\w!+|$]*)([{_HYPHENS}])$")
@@ -37,14 +39,12 @@ _LINE_START = re.compile(r"[\w!+|$]*[^\W\d_][\w!+|$]*")
 _NUM = r"[\dlIO]{0,3}\d[\dlIO]{0,3}|[lIO]{1,4}"
 _PAGE = re.compile(rf"(?:(?P<plain>\d[\dlIO]{{0,3}}|[lI]\d{{1,3}})|[-–—]\s*(?:{_NUM})\s*[-–—]|\[\s*(?:{_NUM})\s*\]|(?:p\.|pg\.?|page|seite|s\.|página|pág\.)\s*(?:{_NUM})(?:\s*(?:of|von|de|sur|/)\s*(?:{_NUM}))?)", re.I)
 _HEADER_NUMBER = re.compile(rf"^(?:{_NUM})\s{{2,}}|\s{{2,}}(?:{_NUM})$")
-_EDITION = re.compile(r"(?:^|[\s(/])(?:(?:19|20|l9|2O)[\dlO]{2}|d?r?a?f?draft|clraft|draf\+|dra.t|rev\W{0,2}\s?[\dlIO]{1,3}|vol\W{0,2}\s?\d+|no\W{0,2}\s?\d+|ed\W{0,2}\s?\d+)\)?$", re.I)
+_ROMAN = re.compile(r"m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})")
 _DATE = re.compile(r"\d{1,2}\.?\s+[^\W\d_]+\.?\s+\d{4}$")
+_FIGURES = str.maketrans("lIOo", "1100")
 _ITEM = re.compile(r"^\s*(?:[-*•]|\d+[.)])\s")
-_FOLD = tuple((s, t) for s, t, _ in CONFUSIONS if (s, t) not in (("1", "i"), ("!", "l"), ("|", "i"), ("9", "q"), ("8", "b")) and s not in _ONCE)
-
-
 def plain(text: str) -> str:
-    """The text in lower case at the same length, addresses of the net and strings of 40 characters or more blank."""
+    """The text in lower case at the same length, addresses of the net and encoded data blank."""
     low = text.lower()
     if len(low) != len(text):
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
@@ -58,7 +58,20 @@ def plain(text: str) -> str:
                 b += 1
             low = low[:a] + " " * (b - a) + low[b:]
             at = low.find(mark, b)
-    return _LONG.sub(lambda m: " " * len(m[0]), low) if _LONG.search(low) else low
+    last = 0
+    for m in _HUMP.finditer(text):
+        # a run that changes from small to capital letters again and again is no word but encoded data
+        a, b = m.start(), m.end()
+        if a < last:
+            continue
+        while a and not text[a - 1].isspace():
+            a -= 1
+        while b < len(text) and not text[b].isspace():
+            b += 1
+        last = b
+        if sum(1 for _ in _HUMP.finditer(text, a, b)) > 2:
+            low = low[:a] + " " * (b - a) + low[b:]
+    return low
 
 
 def tokens(line: str) -> list[tuple[int, int, str]]:
@@ -66,87 +79,128 @@ def tokens(line: str) -> list[tuple[int, int, str]]:
     return [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(plain(line)) if len(m[0]) > 1]
 
 
-def doubt(token: str, own: int, options: list[tuple[str, float, int]], least: int, ratio: float) -> list[tuple[str, float, int]]:
-    """The readings that put a token in doubt: common ones, at least ``ratio`` times as frequent as itself.
+def strokes(text: str) -> str:
+    """Key that a (lower-case) text shares with everything it can be misread as."""
+    for seen, true in _PARTS:
+        text = text.replace(seen, true)
+    return text.translate(_STROKE_TABLE)
 
-    Words of up to three letters without a digit or sign are often rare words of their own: they need a hundred times that.
-    """
-    most = ratio * (100 if len(token) <= 3 and not _MARKED.search(token) else 1)
-    return [(w, p, n) for w, p, n in options if w != token and n >= least and n >= most * max(own, 1)]
-
-
-def candidates(token: str, depth: int = 2) -> dict[str, float]:
-    """Words that the channel may turn into ``token``, with the best log probability; up to ``depth`` misreadings."""
-    out = {token: 0.0}
-    edge = {token: 0.0}
-    for level in range(depth):
-        grown: dict[str, float] = {}
-        for word, p in edge.items():
-            for seen, true, q in CONFUSIONS:
-                if level and seen in _ONCE:
-                    continue
-                at = word.find(seen)
-                while at >= 0:
-                    other = word[:at] + true + word[at + len(seen) :]
-                    if p + q > max(out.get(other, -1e9), grown.get(other, -1e9)):
-                        grown[other] = p + q
-                    at = word.find(seen, at + 1)
-        edge = {w: p for w, p in sorted(grown.items(), key=lambda x: -x[1])[:64]}
-        for w, p in edge.items():
-            out[w] = max(p, out.get(w, -1e9))
-    return out
+
+_STROKE_TABLE = str.maketrans(*_STROKES)
+
+
+def strokes_of(word: Column) -> Column:
+    """``strokes`` of a column."""
+    for seen, true in _PARTS:
+        word = F.replace(word, F.lit(seen), F.lit(true))
+    return F.translate(word, *_STROKES)
+
+
+def channel(token: str, word: str) -> float | None:
+    """Log probability that ``word`` on a damaged page is read as ``token``; None where no misreadings explain it."""
+    n, m = len(token), len(word)
+    best: list[dict[int, float]] = [{} for _ in range(n + 1)]
+    best[0][0] = 0.0
+    for i in range(n):
+        for j, p in best[i].items():
+            if j < m and token[i] == word[j] and p > best[i + 1].get(j + 1, -1e9):
+                best[i + 1][j + 1] = p
+            for seen, true, q in _BY_FIRST.get(token[i], ()):
+                if token.startswith(seen, i) and word.startswith(true, j) and p + q > best[i + len(seen)].get(j + len(true), -1e9):
+                    best[i + len(seen)][j + len(true)] = p + q
+    return best[n].get(m)
+
+
+_BY_FIRST: dict[str, list[tuple[str, str, float]]] = {}
+for _c in CONFUSIONS:
+    _BY_FIRST.setdefault(_c[0][0], []).append(_c)
+
+
+def chances(word: str) -> float:
+    """Expected number of misreadings in ``word`` on a damaged page that put a figure or sign in it."""
+    return sum(word.count(true) * math.exp(q) for seen, true, q in CONFUSIONS if _MARKED.search(seen))
 
 
 def fold(line: str) -> str:
     """Form in which a running header is the same on each page, whatever its case, page number and misreadings."""
-    text = _HEADER_NUMBER.sub("", line.strip()).lower()
-    for seen, true in _FOLD:
-        text = text.replace(seen, true)
-    return re.sub(r"[^a-zà-ÿ]+", " ", text).strip()
+    return re.sub(r"[\W_]+", "", strokes(_HEADER_NUMBER.sub("", line.strip()).lower()))
 
 
-def _looks_like_header(line: str) -> bool:
-    if len(line) > 96 or line[-1] in ".!?;,…" or not line[0].isalnum() or line[0].islower():
-        return False
-    end = line[-9:].lower()
-    if "ra" not in end and not any(c.isdigit() for c in end) and not _HEADER_NUMBER.search(line):
-        return False  # no edition
-    text = _HEADER_NUMBER.sub("", line.strip())
-    if not 4 <= len(text) <= 80 or _ITEM.match(text) or _DATE.search(text) or text[-1] in ".!?;,…" or not text[0].isalnum() or "|" in text or "@" in text:
+def roman(text: str) -> int:
+    """Value of a Roman numeral in lower or upper case (an l or figure may stand for an i), 0 where it is none."""
+    if not text or not (text.islower() or text.isupper() or text.isdigit()):
+        return 0
+    low = text.lower()
+    for form in (low, low.translate(_ONES)):
+        if _ROMAN.fullmatch(form):
+            worth = [_WORTH[c] for c in form]
+            return sum(-a if a < b else a for a, b in zip(worth, [*worth[1:], 0]))
+    return 0
+
+
+_ONES = str.maketrans("1l|!", "iiii")
+_WORTH = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
+
+
+def _title(line: str) -> bool:
+    """The line has the form of a title: no sentence, no item of a list, no cell."""
+    text = _HEADER_NUMBER.sub("", line)
+    if not text or text[-1] in ".!?;,:…" or not text[0].isalnum() or text[0].islower() or "|" in text or "@" in text:
         return False
-    if re.search(r"[.!?;,]\s", text):
+    if _ITEM.match(text) or _DATE.search(text) or re.search(r"[.!?;,]\s(?!\d)", text):
         return False
     words = re.findall(r"[^\W\d_][^\s:()/]*", text)
-    capital = sum(w[0].isupper() for w in words)
-    return len(words) > 0 and capital >= 0.6 * len(words) and words[0][0].isupper()
+    return len(words) > 0 and sum(w[0].isupper() for w in words) >= 0.6 * len(words)
 
 
 class Layout:
-    """The lines of a text told apart: running headers, page numbers, blank and body lines."""
+    """The lines of a text told apart: running headers, page numbers, blank and body lines.
+
+    A running header is a title that comes back at least three lines later, whatever its page number and misreadings,
+    where pages begin or end: at the border of the text, at a form feed, beside a page number (or with one in it), or
+    between two lines of one sentence. That must hold for half of its two places, or for one of more. A title with a page
+    number set apart in it at such a place is a header even if it is the only one.
+    """
 
     def __init__(self, text: str):
         self.lines = text.split("\n")
         bare = [x.replace("\f", " ").strip() for x in self.lines]
         self.blank = [not x for x in bare]
-        pages = [_PAGE.fullmatch(x) if 0 < len(x) <= 24 else None for x in bare]
-        looks = [not b and p is None and _looks_like_header(x) for x, b, p in zip(bare, self.blank, pages)]
-        folded = [fold(x) if k else "" for x, k in zip(bare, looks)]
-        several = Counter(f for f in folded if f)
-        edition = [k and self._edition(_HEADER_NUMBER.sub("", x)) for x, k in zip(bare, looks)]
-        numbered = [k and _HEADER_NUMBER.search(x) is not None for x, k in zip(bare, looks)]
-        self.header = [bool(f) and (e and (several[f] > 1 or n or len(f.split()) >= 2) or several[f] > 2 and e) for f, e, n in zip(folded, edition, numbered)]
-        plain = [i for i, p in enumerate(pages) if p and p["plain"]]
+        pages = [_PAGE.fullmatch(x) if x else None for x in bare]
+        numerals = {i: v for i, x in enumerate(bare) if pages[i] is None and (v := roman(x))}
+        filled = [i for i, b in enumerate(self.blank) if not b]
+        order = {i: k for k, i in enumerate(filled)}
+        groups: dict[str, list[int]] = {}
+        for i in filled:
+            if pages[i] is None and i not in numerals and _title(bare[i]):
+                groups.setdefault(fold(bare[i]), []).append(i)
+        self.header = [False] * len(self.lines)
+        for form, at in groups.items():
+            numbered = [_HEADER_NUMBER.search(bare[i]) is not None for i in at]
+            if len(at) > 1 and form and min(b - a for a, b in zip(at, at[1:])) >= 3:
+                edge = sum(n or self._page_edge(bare, filled, order[i], pages, numerals) for i, n in zip(at, numbered))
+                if 2 * edge >= len(at) or edge and len(at) > 2:
+                    for i in at:
+                        self.header[i] = True
+            elif form and len(at) == 1 and numbered[0] and len(form) > 3 and self._page_edge(bare, filled, order[at[0]], pages, numerals):
+                self.header[at[0]] = True
+        plain = {i: int(bare[i].translate(_FIGURES) or 0) for i, p in enumerate(pages) if p and p["plain"]} | numerals
         near = {j for i, h in enumerate(self.header) if h for j in range(i - 2, i + 3)}
-        rising = self._rising(plain, bare)
+        rising = self._rising(plain)
         # a number alone may be a cell or a figure: it counts beside a header, in a rising row, or between whole sentences
-        self.page = [p is not None and (not p["plain"] or i in near or i in rising or self._between(bare, i)) for i, p in enumerate(pages)]
+        self.page = [
+            p is not None and not p["plain"] or i in plain and (i in near or i in rising or i not in numerals and self._between(bare, i)) for i, p in enumerate(pages)
+        ]
         self.body = [not (b or h or p) for b, h, p in zip(self.blank, self.header, self.page)]
 
-    @staticmethod
-    def _edition(line: str) -> bool:
-        """The line ends in a year or edition and has no other number."""
-        m = _EDITION.search(line)
-        return m is not None and re.search(r"\b\d+\b", line[: m.start()]) is None
+    def _page_edge(self, bare: list[str], filled: list[int], k: int, pages: list, numerals: dict[int, int]) -> bool:
+        i = filled[k]
+        if k in (0, len(filled) - 1) or "\f" in self.lines[i] or "\f" in self.lines[i - 1][-2:]:
+            return True
+        before, after = filled[k - 1], filled[k + 1]
+        if pages[before] or pages[after] or before in numerals or after in numerals:
+            return True
+        return "\f" in self.lines[after][:2] or bare[before][-1] not in ".!?:;…" or bare[after][0].islower()
 
     @staticmethod
     def _between(bare: list[str], i: int) -> bool:
@@ -155,13 +209,10 @@ class Layout:
         return len(bare) > 3 and len(bare[i]) <= 3 and bare[i][0] != "0" and before[-1] in ".!?;…" and not after[0].islower()
 
     @staticmethod
-    def _rising(at: list[int], bare: list[str]) -> set[int]:
-        def value(i):
-            return int(bare[i].translate(str.maketrans("lIOo", "1100")) or 0)
-
-        out = set()
+    def _rising(values: dict[int, int]) -> set[int]:
+        out, at = set(), sorted(values)
         for a, b in zip(at, at[1:]):
-            if 0 < value(b) - value(a) <= 3 and b - a > 2:
+            if 0 < values[b] - values[a] <= 3 and b - a > 2:
                 out |= {a, b}
         return out
 
@@ -175,7 +226,7 @@ class Layout:
         """(line, next body line, left part, hyphen, right part) of each word that may go on in the next body line."""
         for i, line in enumerate(self.lines):
             end = line.rstrip()
-            if self.body[i] and end[-1] in _HYPHENS and (m := _LINE_END.search(end, max(0, len(end) - 48))):
+            if self.body[i] and end[-1] in _HYPHENS and (m := _LINE_END.search(end, _word_start(end))):
                 j = self.next_body(i)
                 if j < 0:
                     continue
@@ -185,6 +236,14 @@ class Layout:
                     yield i, j, m[1], m[2], n[0].rstrip("!|")
 
 
+def _word_start(line: str) -> int:
+    """Where the last run without white space begins."""
+    at = len(line)
+    while at and not line[at - 1].isspace():
+        at -= 1
+    return at
+
+
 def _partial_counts(batches: Iterator[pd.DataFrame], flush: int = 300_000) -> Iterator[pd.DataFrame]:
     words: Counter = Counter()
     for pdf in batches:
@@ -196,10 +255,6 @@ def _partial_counts(batches: Iterator[pd.DataFrame], flush: int = 300_000) -> It
     yield pd.DataFrame(list(words.items()), columns=["word", "n"])
 
 
-def _bit(token: str) -> int:
-    return zlib.crc32(token.encode()) % BITS
-
-
 class Listed:
     """Whether a word is in a bitmap; remembers what it was asked, within a bound."""
 
@@ -209,7 +264,7 @@ class Listed:
     def __call__(self, token: str) -> bool:
         hit = self.seen.get(token)
         if hit is None:
-            at = _bit(token)
+            at = zlib.crc32(token.encode()) % (8 * len(self.bits))
             hit = self.bits[at >> 3] >> (at & 7) & 1 == 1
             if len(self.seen) >= self.most:
                 self.seen.clear()
@@ -228,9 +283,10 @@ def _needs(doubted: bytes, readings: bytes):
                 asked = {t for t in set(found) if in_doubt(t)}
                 near = {t for t in set(found) if is_reading(t)}
                 if asked or near:
+                    same = zlib.crc32(text.encode("utf-8", "replace")) if asked else 0
                     for k, t in enumerate(found):
                         if t in asked:
-                            rows.add((key, t, "word", found[k - 1] if k else "", found[k + 1] if k + 1 < len(found) else "", 1))
+                            rows.add((key, t, "word", found[k - 1] if k else "", found[k + 1] if k + 1 < len(found) else "", same))
                         if t in near:
                             if k:
                                 pairs[found[k - 1], t] += 1
@@ -251,10 +307,15 @@ def _needs(doubted: bytes, readings: bytes):
 
 
 class Decoder:
-    """Decides on the words of one text from the corpus counts of its candidates."""
+    """Decides on the words of one text.
+
+    ``cands`` has the readings (word, log channel probability, count) of each token in doubt, the token itself among them; ``pairs``
+    the count of a pair of words and of its first word; ``total`` the words of the collection. A token that stays as it is has the
+    channel probability ``real``: the share of rare tokens confusable with a common word that are words of their own.
+    """
 
-    def __init__(self, cands: dict[str, list[tuple[str, float, int]]], pairs: dict[tuple[str, str], int], hot: frozenset[str], least: int, ratio: float):
-        self.cands, self.pairs, self.hot, self.least, self.ratio = cands, pairs, hot, least, ratio
+    def __init__(self, cands: dict[str, list[tuple[str, float, int]]], pairs: dict[tuple[str, str], tuple[int, int]], hot: frozenset[str], least: int, total: int, real: float = 1 / 256, weight: float = 0.5):
+        self.cands, self.pairs, self.hot, self.least, self.total, self.real, self.weight = cands, pairs, hot, least, max(total, 1), math.log(real), weight
 
     def count(self, word: str) -> int:
         if word in self.hot:
@@ -262,21 +323,28 @@ class Decoder:
         return next((n for w, _, n in self.cands.get(word, ()) if w == word), 0)
 
     def options(self, token: str) -> list[tuple[str, float, int]]:
-        """Readings of a token; only itself unless it is rare beside a reading."""
-        if token in self.hot:
-            return [(token, 0.0, 1)]
+        """Readings of a token, always itself among them."""
+        found = self.cands.get(token, ())
+        if token in self.hot or not found:
+            return [(token, 0.0, max(self.count(token), 1))]
+        others = [(w, p, n) for w, p, n in found if w != token]
+        return [(token, self.real if others else 0.0, max(self.count(token), 1)), *others]
+
+    def best(self, token: str) -> str:
+        """The likeliest reading without neighbours."""
         own = self.count(token)
-        better = doubt(token, own, self.cands.get(token, ()), self.least, self.ratio)
-        return better or [(token, 0.0, max(own, 1))]
+        options = [(w, p, n) for w, p, n in self.options(token) if w != token or own]
+        return max(options, key=lambda o: o[1] + math.log(o[2]), default=(token,))[0]
 
     def line(self, found: list[str]) -> list[str]:
-        """The most likely words of a line (Viterbi over the readings of each token)."""
+        """The most likely words of a line: Viterbi over channel and interpolated word-pair probabilities."""
         best: dict[str, tuple[float, tuple]] = {"": (0.0, ())}
         for token in found:
             step: dict[str, tuple[float, tuple]] = {}
             for word, channel, n in self.options(token):
                 for before, (score, path) in best.items():
-                    s = score + channel + math.log(n) + 2 * math.log1p(self.pairs.get((before, word), 0))
+                    both, first = self.pairs.get((before, word), (1, 1))
+                    s = score + channel + math.log(self.weight * (both - 1) / first + (1 - self.weight) * n / self.total)
                     if word not in step or s > step[word][0]:
                         step[word] = (s, (path, word))
             best = step
@@ -291,7 +359,7 @@ class Decoder:
         if hyphen != "-":
             return True
         joined = (left + right).lower()
-        if self.count(joined) >= 2 or self.options(joined)[0][0] != joined:
+        if self.count(joined) >= 2 or self.best(joined) != joined:
             return True
         if self.count(left.lower()) >= self.least and self.count(right.lower()) >= self.least:
             return False
@@ -338,7 +406,7 @@ def repair(text: str, decoder: Decoder) -> tuple[str, list[tuple[int, str]]]:
     fixed: dict[int, str] = {}
     for i, (j, left, right) in joins.items():
         joined = left + right
-        true = decoder.options(joined.lower())[0][0]
+        true = decoder.best(joined.lower())
         if true != joined.lower():
             fixed[i] = _restore(joined, true)
             # the line that holds the misreading: the part that differs from the word's own beginning or end
@@ -388,7 +456,7 @@ def _flow(layout: Layout, lines: list[str], joins: dict[int, tuple[int, str, str
     return "\n\n".join(out)
 
 
-def _final(hot: frozenset[str], key: str, least: int, ratio: float):
+def _final(hot: frozenset[str], key: str, least: int, total: int, real: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
@@ -396,41 +464,53 @@ def _final(hot: frozenset[str], key: str, least: int, ratio: float):
                 if not isinstance(text, str):
                     rows.append((k, None, []))
                     continue
-                if cands is None and len(text) > 96 and "\n" not in text:
-                    rows.append((k, text, []))  # a single line with nothing in doubt
-                    continue
                 found = {} if cands is None else {c["token"]: [(o["word"], o["p"], int(o["n"])) for o in c["options"]] for c in cands}
-                near = {} if pairs is None else {(p["a"], p["b"]): int(p["n"]) for p in pairs}
-                fixed, noise = repair(text, Decoder(found, near, hot, least, ratio))
+                near = {} if pairs is None else {(p["a"], p["b"]): (int(p["n"]), int(p["first"])) for p in pairs}
+                fixed, noise = repair(text, Decoder(found, near, hot, least, total, real))
                 rows.append((k, fixed, [{"line_no": i, "noise": n} for i, n in noise]))
             yield pd.DataFrame(rows, columns=[key, "repaired", "noise"])
 
     return run
 
 
-def _bitmap(tokens: DataFrame) -> bytes:
-    """One bit for each word, always a megabyte whatever their number; a word that shares a bit is dropped by a join later."""
-    bit = F.pmod(F.crc32(F.encode("token", "UTF-8")), F.lit(BITS))
+def _bitmap(tokens: DataFrame, most: int = 1 << 27) -> bytes:
+    """At least sixteen bits for each word, up to ``most`` bits in all; a word that shares a bit is dropped by a join later."""
+    bits = min(most, max(1 << 18, 1 << (16 * tokens.count()).bit_length()))
+    bit = F.pmod(F.crc32(F.encode("token", "UTF-8")), F.lit(bits))
     blocks = tokens.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 32768).alias("block")).agg(F.bitmap_construct_agg(F.pmod("bit", F.lit(32768))).alias("map"))
-    out = bytearray(BITS // 8)
-    for r in blocks.collect():  # at most BITS / 32768 rows
+    out = bytearray(bits // 8)
+    for r in blocks.toLocalIterator():  # at most bits / 32768 rows
         out[r["block"] * 4096 : (r["block"] + 1) * 4096] = r["map"]
     return bytes(out)
 
 
-def repair_scans(df: DataFrame, key: str = "extract_id", text: str = "text", least: int = 5, ratio: float = 12.0) -> DataFrame:
+@F.pandas_udf(DoubleType())
+def _channel(token: pd.Series, word: pd.Series) -> pd.Series:
+    return pd.Series([channel(t, w) for t, w in zip(token, word)], dtype="float64")
+
+
+@F.pandas_udf(DoubleType())
+def _chances(word: pd.Series) -> pd.Series:
+    return word.map(chances).astype("float64")
+
+
+def repair_scans(df: DataFrame, key: str = "extract_id", text: str = "text", least: int = 5, real: float = 1 / 256, sure: float = 64.0) -> DataFrame:
     """(key, repaired, noise): each text in continuous paragraphs and its (line_no, noise) list.
 
-    Words are read through a channel of character confusions: the readings of a token are the words of the whole
-    collection that at most two confusions turn into it; a token is doubted only if a reading is at least ``ratio``
-    times as frequent and occurs ``least`` times. Viterbi chooses the readings of a line by channel, word and
-    word-pair counts. Page numbers, running headers and line-end hyphens are told by the layout of the text, hyphens
+    A noisy channel: the readings of a token are the words of the whole collection, ``least`` times in it at least, that
+    character confusions turn into it, however many. A word and its misreadings share a key of strokes, so readings
+    are found by one join by key. The confusion probabilities hold for damaged pages; the share of damaged words in the
+    collection is measured by the misreadings that put figures and signs into words. A token stays among its own readings with the
+    probability ``real``. Viterbi chooses the readings of a line by channel and interpolated word-pair probabilities; pairs are
+    counted around the readings of those tokens whose odds without neighbours are within a factor of ``sure`` of even, and tokens
+    whose odds are above that factor against every reading are not in doubt. The pairs of a token in doubt are counted
+    once for each different text, without the one at hand.
+    Page numbers, running headers and line-end hyphens are told by the layout of the text, hyphens
     also by whether the joined word occurs in the collection.
 
-    Counts cover all rows and are added up in each task before they are shuffled. Words more frequent than a
-    ``ratio``-th of the most frequent one can't be doubted; these (at most ratio / share of the most frequent word)
-    and a bitmap of fixed size, which says what words may be in doubt, are all that is sent to the tasks. All other
-    look-ups are joins by word, so that no vocabulary is held.
+    Counts cover all rows and are added up in each task before they are shuffled. Words so frequent that no reading
+    can be likelier (at most 12 / share of the most frequent word) and two bitmaps of 16 MB at the most, which say what words
+    may be in doubt, are all that is sent to the tasks. All other look-ups are joins, so that no vocabulary is held.
 
     Rows without traces keep their text. A null text stays null with an empty list, an empty one stays empty.
     Repeated keys are repaired each for itself with the look-ups of all their rows; a row without a key gets no look-ups,
@@ -441,41 +521,59 @@ def repair_scans(df: DataFrame, key: str = "extract_id", text: str = "text", lea
     rows = df.select(F.col(key).cast("string").alias("_key"), F.col(text).alias("_text"))
     full = rows.where(F.col("_text").rlike(r"\S") & F.col("_key").isNotNull())
     words = cut(full.select("_text").mapInPandas(_partial_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("word").rlike(r"\p{L}")))
-    most = words.agg(F.max("n")).first()[0] or 0
-    hot = frozenset(r[0] for r in words.where(F.col("n") > max(most / ratio, least)).select("word").collect())
-
-    @F.pandas_udf("array<struct<word:string,p:double>>")
-    def spell(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: [{"word": w, "p": p} for w, p in candidates(t).items()])
-
-    def readings(tokens: DataFrame) -> DataFrame:
-        asked = tokens.select("token", F.explode(spell("token")).alias("c")).select("token", "c.word", "c.p")
-        return asked.join(words, "word").groupBy("token").agg(F.collect_list(F.struct("word", "p", "n")).alias("options"))
-
-    @F.pandas_udf("int")
-    def doubts(token: pd.Series, options: pd.Series) -> pd.Series:
-        def one(t, found):
-            found = [(o["word"], o["p"], int(o["n"])) for o in found]
-            return len(doubt(t, next((n for w, _, n in found if w == t), 0), found, least, ratio))
-
-        return pd.Series([one(t, o) for t, o in zip(token, options)], dtype="int32")
-
-    rare = words.where((F.char_length("word") > 2) & (F.col("n") <= max(most / ratio, least))).select(F.col("word").alias("token"))
-    doubted = cut(readings(rare).withColumn("doubts", doubts("token", "options")).where("doubts > 0"))
-    # a word of several readings is decided by its neighbours: pairs are counted around these readings
-    several = doubted.where("doubts > 1").select(F.explode("options.word").alias("token")).distinct()
+    sums = words.agg(F.max("n"), F.sum("n")).first()
+    most, total = sums[0] or 0, sums[1] or 0
+    targets = words.where(F.col("n") >= least).select(strokes_of(F.col("word")).alias("k"), "word", "n")
+    highest = max(math.exp(q) for _, _, q in CONFUSIONS)
+
+    def read(tokens: DataFrame) -> DataFrame:
+        """(token, own, word, n, p) of every reading of (token, own)."""
+        both = tokens.withColumn("k", strokes_of(F.col("token"))).join(targets, "k").where(F.col("token") != F.col("word"))
+        # the most likely misreading bounds the odds of all
+        both = both.where(F.col("n") * highest * sure >= real * F.col("own"))
+        return both.select("token", "own", "word", "n", _channel("token", "word").alias("p")).where("p IS NOT NULL")
+
+    readings = cut(read(words.select(F.col("word").alias("token"), F.col("n").alias("own"))))
+    marked = readings.where(F.col("token").rlike(_MARKED.pattern) & ~F.col("word").rlike(_MARKED.pattern)).groupBy("token").agg(F.first("own").alias("own"))
+    seen = marked.agg(F.sum("own")).first()[0] or 0
+    due = targets.where(~F.col("word").rlike(_MARKED.pattern)).agg(F.sum(F.col("n") * _chances("word"))).first()[0] or 0
+    damaged = min(1.0, max(seen, 1) / max(due, 1.0))
+    odds = F.exp("p") * F.lit(damaged) * F.col("n") / (F.lit(real) * F.greatest("own", F.lit(1)))
+    hot_from = max(most / 12, most * highest * damaged * sure / real, least)
+    hot = frozenset(r[0] for r in words.where(F.col("n") > hot_from).select("word").collect())
+
+    def options(found: DataFrame) -> DataFrame:
+        """(token, options, unsure): the readings that may be right, the token itself among them."""
+        found = found.withColumn("odds", odds).where(F.col("odds") * sure >= 1)
+        each = F.struct("word", (F.col("p") + math.log(damaged)).alias("p"), "n")
+        top, own = F.max("odds"), F.struct(F.col("token").alias("word"), F.lit(0.0).alias("p"), F.first("own").alias("n"))
+        close = F.array_size(F.filter(F.collect_list("odds"), lambda o: o * sure >= F.lit(1)))
+        grouped = found.groupBy("token").agg(F.collect_list(each).alias("found"), own.alias("self"), ((top <= sure) | (close > 1)).alias("unsure"))
+        return grouped.select("token", F.concat("found", F.array("self")).alias("options"), "unsure")
+
+    doubted = cut(options(readings.where(~F.col("token").isin(*hot) if hot else F.lit(True))))
+    # a word that its neighbours must decide on: pairs are counted around its readings
+    several = doubted.where("unsure").select("token", F.explode("options.word").alias("word")).where("token <> word").select(F.col("word").alias("token")).distinct()
     bits = [_bitmap(doubted.select("token")), _bitmap(several)]
     needs = cut(full.mapInPandas(_needs(*bits), "_key string, token string, kind string, before string, after string, n long"))
     parts = needs.where("kind = 'part'").select("_key", "token").distinct()
-    part_options = readings(parts.select("token").distinct())
+    known = parts.select("token").distinct().join(words.select(F.col("word").alias("token"), F.col("n").alias("own")), "token", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    own_only = known.where("own > 0").select("token", F.array(F.struct(F.col("token").alias("word"), F.lit(0.0).alias("p"), F.col("own").alias("n"))).alias("alone"))
+    part_options = own_only.join(options(read(known)), "token", "full").select("token", F.coalesce("options", "alone").alias("options"))
     sent = needs.where("kind = 'word'").select("_key", "token").distinct().join(doubted.select("token", "options"), "token")
     sent = sent.unionAll(parts.join(part_options, "token").select("token", "_key", "options"))
     by_key = sent.groupBy("_key").agg(F.collect_list(F.struct("token", "options")).alias("cands"))
     counts = needs.where("kind = 'pair'").groupBy(F.col("token").alias("a"), F.col("before").alias("b")).agg(F.sum("n").alias("n"))
-    near = needs.where("kind = 'word'").join(doubted.where("doubts > 1"), "token").select("_key", "before", "after", F.explode("options.word").alias("word"))
+    # a token speaks for itself once for each different text around it: copies of a damaged text are no evidence
+    alone = needs.where("kind = 'word'").select("token", "before", "after", F.col("n").alias("text"))
+    alone = alone.select("text", F.explode(F.array(F.struct(F.col("before").alias("a"), F.col("token").alias("b")), F.struct(F.col("token").alias("a"), F.col("after").alias("b")))).alias("x"))
+    alone = alone.select("text", "x.*").where("a <> '' AND b <> ''").distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("texts"))
+    counts = counts.join(alone, ["a", "b"], "full").select("a", "b", F.coalesce("texts", "n").alias("n"))
+    near = needs.where("kind = 'word'").join(doubted.where("unsure"), "token").select("_key", "before", "after", F.explode("options.word").alias("word"))
     asked_pairs = near.select("_key", F.col("before").alias("a"), F.col("word").alias("b")).unionAll(near.select("_key", F.col("word").alias("a"), F.col("after").alias("b")))
     asked_pairs = asked_pairs.where("a <> '' AND b <> ''").distinct()
-    pairs = asked_pairs.join(counts, ["a", "b"]).groupBy("_key").agg(F.collect_list(F.struct("a", "b", "n")).alias("pairs"))
+    pairs = asked_pairs.join(counts, ["a", "b"]).join(words.select(F.col("word").alias("a"), F.col("n").alias("first")), "a", "left").withColumn("first", F.coalesce("first", "n"))
+    pairs = pairs.groupBy("_key").agg(F.collect_list(F.struct("a", "b", "n", "first")).alias("pairs"))
     joined = rows.join(by_key, "_key", "left").join(pairs, "_key", "left").select("_key", "_text", "cands", "pairs")
-    out = joined.mapInPandas(_final(hot, key, least, ratio), f"`{key}` string, repaired string, noise array<struct<line_no:int,noise:string>>")
+    out = joined.mapInPandas(_final(hot, key, least, total, real), f"`{key}` string, repaired string, noise array<struct<line_no:int,noise:string>>")
     return out.withColumn(key, F.col(key).cast(kind))

@@ -1,6 +1,9 @@
+import math
 import random
 
-from docloom.llm.scan_noise import Layout, candidates, doubt, plain, repair_scans
+from pyspark.sql import functions as F
+
+from docloom.llm.scan_noise import CONFUSIONS, Decoder, Layout, channel, plain, repair, repair_scans, roman, strokes, strokes_of
 
 WORDS = "pre and post the release should be migrated again before lunch without its container parser payload kernel database stapler envelope corridor thermostat".split()
 
@@ -9,16 +12,53 @@ def body(rng, n):
     return " ".join(rng.choice(WORDS) for _ in range(n))
 
 
-def test_channel_readings():
-    got = candidates("5h0uld")
-    assert "should" in got and got["5h0uld"] == 0.0
-    assert "clinic" in candidates("dinic") and "module" in candidates("rnodulc")
+def test_channel_and_key():
+    pairs = [("5h0uld", "should"), ("dinic", "clinic"), ("rnodulc", "module"), ("bmdmg", "binding"), ("5+r011er", "stroller"), ("l1l1pu+1an", "lilliputian")]
+    for seen, true in pairs:
+        assert (channel(seen, true) is None) == (seen == "l1l1pu+1an") and (strokes(seen) == strokes(true) or channel(seen, true) is None)
+    assert channel("should", "should") == 0.0 and channel("cat", "dog") is None and channel("", "") == 0.0
+    assert all(strokes(seen) == strokes(true) for seen, true, _ in CONFUSIONS)
+
+
+def test_key_of_a_column(spark):
+    words = ["5h0uld", "dinic", "ﬁnal", "würde", "m", ""]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", strokes_of(F.col("w")).alias("k")).collect()
+    assert all(r["k"] == strokes(r["w"]) for r in got)
+
+
+def decoder(token, own, readings, pairs):
+    found = {token: [(token, 0.0, own), *[(w, math.log(p), n) for w, p, n in readings]]}
+    return Decoder(found, pairs, frozenset(), 5, 10_000)
+
+
+def test_a_right_word_stays():
+    pairs = {("the", "modem"): (50, 600), ("modem", "line"): (50, 50)}
+    d = decoder("modem", 10, [("modern", 0.01, 200)], pairs)
+    assert d.line(["the", "modem", "line"]) == ["the", "modem", "line"]
+    assert repair("the modem line", d)[1] == []
+
+
+def test_context_chooses_the_reading():
+    pairs = {("our", "dean"): (1, 900), ("our", "clean"): (40, 900), ("clean", "room"): (60, 200)}
+    assert decoder("clcan", 1, [("clean", 0.01, 200), ("dean", 0.01, 300)], pairs).line(["our", "clcan", "room"]) == ["our", "clean", "room"]
+
+
+def test_headers_come_back():
+    page = ["Annual Report of the Harbour Board", "the line goes on and then", "another one follows it here", "and a third one"]
+    layout = Layout("\n".join(page * 5))
+    assert [i for i, h in enumerate(layout.header) if h] == [0, 4, 8, 12, 16]
+    long = "The " + "Very " * 60 + "Long Running Header"
+    assert sum(Layout("\n".join([long, *page[1:]] * 3)).header) == 3
+    assert not any(Layout("Annual Report of the Harbour Board\nOne sentence.\nAnother sentence.\nA third.\n").header)
+    # titles next to each other, or between whole sentences, are none
+    assert not any(Layout("Start.\nItem A\nItem A\nWe end.\nItem A\nDone.").header)
 
 
-def test_doubt_needs_a_common_reading():
-    options = [("hcuse", 0.0, 1), ("heuse", -4.0, 0), ("house", -4.0, 100)]
-    assert doubt("hcuse", 1, options, 5, 12) == [("house", -4.0, 100)]
-    assert doubt("sec", 20, [("see", -4.0, 900)], 5, 12) == []
+def test_roman_page_numbers():
+    assert [roman(x) for x in ("xiv", "XC", "v1i", "civil", "mix", "", "Xi", "iiii")] == [14, 90, 7, 0, 1009, 0, 0, 0]
+    text = "\n".join(line for n in ("xi", "xii", "xiii") for line in ("a line of the text that", "goes on here and on", "and on", n))
+    assert [i for i, p in enumerate(Layout(text).page) if p] == [3, 7, 11]
+    assert not any(Layout("mix\nthe two and stir.\nThen wait.").page)
 
 
 def test_layout():
@@ -29,8 +69,8 @@ def test_layout():
 
 
 def test_plain_keeps_offsets():
-    text = "Mail A@b.org now İ " + "z" * 50 + " end"
-    assert len(plain(text)) == len(text) and "@" not in plain(text) and plain(text).endswith(" end") and "zzz" not in plain(text)
+    text = "Mail A@b.org now İ " + "aBcDeFgH9x" * 5 + " " + "z" * 50 + " end"
+    assert len(plain(text)) == len(text) and "@" not in plain(text) and plain(text).endswith("z end") and "9" not in plain(text)
 
 
 def test_round_trip_of_damage(spark):
