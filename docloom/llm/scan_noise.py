@@ -38,6 +38,7 @@ _MAY_SPLIT = re.compile(rf"[{_HYPHENS}][ \t\r]*\n")
 _LINE_START = re.compile(r"[\w!+|$]*[^\W\d_][\w!+|$]*")
 _NUM = r"[\dlIO]{0,3}\d[\dlIO]{0,3}|[lIO]{1,4}"
 _PAGE = re.compile(rf"(?:(?P<plain>\d[\dlIO]{{0,3}}|[lI]\d{{1,3}})|[-–—]\s*(?:{_NUM})\s*[-–—]|\[\s*(?:{_NUM})\s*\]|(?:p\.|pg\.?|page|seite|s\.|página|pág\.)\s*(?:{_NUM})(?:\s*(?:of|von|de|sur|/)\s*(?:{_NUM}))?)", re.I)
+_PAGE_STARTS, _ROMAN_STARTS = frozenset("0123456789lIO-–—[pPsS"), frozenset("ivxlcdmIVXLCDM1|!")
 _HEADER_NUMBER = re.compile(rf"^(?:{_NUM})\s{{2,}}|\s{{2,}}(?:{_NUM})$")
 _ROMAN = re.compile(r"m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})")
 _DATE = re.compile(r"\d{1,2}\.?\s+[^\W\d_]+\.?\s+\d{4}$")
@@ -128,7 +129,7 @@ def fold(line: str) -> str:
 
 def roman(text: str) -> int:
     """Value of a Roman numeral in lower or upper case (an l or figure may stand for an i), 0 where it is none."""
-    if not text or not (text.islower() or text.isupper() or text.isdigit()):
+    if not text or len(text) > 15 or not (text.islower() or text.isupper() or text.isdigit()):
         return 0
     low = text.lower()
     for form in (low, low.translate(_ONES)):
@@ -144,6 +145,8 @@ _WORTH = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
 
 def _title(line: str) -> bool:
     """The line has the form of a title: no sentence, no item of a list, no cell."""
+    if line[-1] in ".!?;,:…" or line[0].islower():
+        return False
     text = _HEADER_NUMBER.sub("", line)
     if not text or text[-1] in ".!?;,:…" or not text[0].isalnum() or text[0].islower() or "|" in text or "@" in text:
         return False
@@ -166,8 +169,8 @@ class Layout:
         self.lines = text.split("\n")
         bare = [x.replace("\f", " ").strip() for x in self.lines]
         self.blank = [not x for x in bare]
-        pages = [_PAGE.fullmatch(x) if x else None for x in bare]
-        numerals = {i: v for i, x in enumerate(bare) if pages[i] is None and (v := roman(x))}
+        pages = [_PAGE.fullmatch(x) if x and x[0] in _PAGE_STARTS else None for x in bare]
+        numerals = {i: v for i, x in enumerate(bare) if x and x[0] in _ROMAN_STARTS and pages[i] is None and (v := roman(x))}
         filled = [i for i, b in enumerate(self.blank) if not b]
         order = {i: k for k, i in enumerate(filled)}
         groups: dict[str, list[int]] = {}
@@ -256,52 +259,54 @@ def _partial_counts(batches: Iterator[pd.DataFrame], flush: int = 300_000) -> It
 
 
 class Listed:
-    """Whether a word is in a bitmap; remembers what it was asked, within a bound."""
+    """Which of some words are in a bitmap; remembers what it was asked, within a bound."""
 
     def __init__(self, bits: bytes, most: int = 500_000):
-        self.bits, self.most, self.seen = bits, most, {}
+        self.bits, self.most, self.seen, self.hits = bits, most, set(), set()
 
-    def __call__(self, token: str) -> bool:
-        hit = self.seen.get(token)
-        if hit is None:
+    def __call__(self, tokens: set[str]) -> set[str]:
+        if len(self.seen) >= self.most:
+            self.seen.clear()
+            self.hits.clear()
+        for token in tokens - self.seen:
             at = zlib.crc32(token.encode()) % (8 * len(self.bits))
-            hit = self.bits[at >> 3] >> (at & 7) & 1 == 1
-            if len(self.seen) >= self.most:
-                self.seen.clear()
-            self.seen[token] = hit
-        return hit
+            if self.bits[at >> 3] >> (at & 7) & 1:
+                self.hits.add(token)
+            self.seen.add(token)
+        return tokens & self.hits
 
 
 def _needs(doubted: bytes, readings: bytes):
+    columns = ["_key", "token", "kind", "before", "after", "n"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         in_doubt, is_reading = Listed(doubted), Listed(readings)
         pairs: Counter = Counter()
+
+        def flush() -> pd.DataFrame:
+            near = is_reading({t for pair in pairs for t in pair})
+            out = [(None, a, "pair", b, "", n) for (a, b), n in pairs.items() if a in near or b in near]
+            pairs.clear()
+            return pd.DataFrame(out, columns=columns)
+
         for pdf in batches:
             rows = set()
             for key, text in zip(pdf["_key"], pdf["_text"]):
                 found = TOKEN.findall(plain(text))
-                asked = {t for t in set(found) if in_doubt(t)}
-                near = {t for t in set(found) if is_reading(t)}
-                if asked or near:
-                    same = zlib.crc32(text.encode("utf-8", "replace")) if asked else 0
+                pairs.update(zip(found, found[1:]))
+                if asked := in_doubt(set(found)):
+                    same = zlib.crc32(text.encode("utf-8", "replace"))
                     for k, t in enumerate(found):
                         if t in asked:
                             rows.add((key, t, "word", found[k - 1] if k else "", found[k + 1] if k + 1 < len(found) else "", same))
-                        if t in near:
-                            if k:
-                                pairs[found[k - 1], t] += 1
-                            if k + 1 < len(found):
-                                pairs[t, found[k + 1]] += 1
                 if _MAY_SPLIT.search(text):
                     for _, _, left, _, right in Layout(text).splits():
                         for t in (left + right, left, right):
                             rows.add((key, t.lower(), "part", "", "", 1))
-            out = list(rows)
-            if len(pairs) > 200_000:
-                out += [(None, a, "pair", b, "", n) for (a, b), n in pairs.items()]
-                pairs.clear()
-            yield pd.DataFrame(out, columns=["_key", "token", "kind", "before", "after", "n"])
-        yield pd.DataFrame([(None, a, "pair", b, "", n) for (a, b), n in pairs.items()], columns=["_key", "token", "kind", "before", "after", "n"])
+                if len(pairs) > 200_000:
+                    yield flush()
+            yield pd.DataFrame(list(rows), columns=columns)
+        yield flush()
 
     return run
 
