@@ -15,6 +15,8 @@ from docloom.session import cut
 _R = np.uint64(0x9E3779B97F4A7C15)
 _RINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POS_BITS = 26
+#: Contexts of one anchor that one task compares with each other; anchors in more texts are spread over several.
+HOT = 1_000
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -47,6 +49,31 @@ def window_hashes(codes: np.ndarray, k: int) -> np.ndarray:
     return _mix((total[k:] - total[:-k]) * inv[: n - k + 1])
 
 
+#: Moduli and bases of the second hash (fixed values): primes, so that no text is built to defeat it as powers of two can be.
+_PRIMES = ((2147483647, 1103515245), (2147483629, 742938285))
+
+
+def prime_hashes(codes: np.ndarray, k: int) -> np.ndarray:
+    """Like ``window_hashes``: two polynomials modulo primes, 62 bits in all."""
+    n = len(codes)
+    if n < k:
+        return np.empty(0, dtype=np.uint64)
+    out = np.zeros(n - k + 1, dtype=np.uint64)
+    for prime, base in _PRIMES:
+        p, powers = np.uint64(prime), np.empty(n, dtype=np.uint64)
+        inverse, back = pow(base, -1, prime), np.empty(n, dtype=np.uint64)
+        powers[0] = back[0] = 1
+        size = 1
+        while size < n:  # doubling: the powers so far times the next one
+            m = min(size, n - size)
+            powers[size : size + m] = powers[:m] * np.uint64(pow(base, size, prime)) % p
+            back[size : size + m] = back[:m] * np.uint64(pow(inverse, size, prime)) % p
+            size += m
+        total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * powers % p)])
+        out = out << np.uint64(31) | (total[k:] - total[:-k]) % p * back[: n - k + 1] % p
+    return out
+
+
 def anchors(text: str, k: int, span: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions and hashes of the anchors of ``text``: in each run of span - k + 1 windows of length k the one of least hash.
 
@@ -54,8 +81,15 @@ def anchors(text: str, k: int, span: int) -> tuple[np.ndarray, np.ndarray]:
     choice within the run depends on the run alone.
     """
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    h = window_hashes(codes, k)
     w = span - k + 1
+    # positions have _POS_BITS bits in a block; blocks overlap by a run, so that each run lies in one of them
+    step = (1 << _POS_BITS) - w
+    found = [_anchors(window_hashes(codes[at : at + step + w - 1 + k - 1], k), w, at) for at in range(0, max(1, len(codes) - span + 1), step)]
+    pos, first = np.unique(np.concatenate([p for p, _ in found]), return_index=True)
+    return pos, np.concatenate([h for _, h in found])[first]
+
+
+def _anchors(h: np.ndarray, w: int, at: int) -> tuple[np.ndarray, np.ndarray]:
     if len(h) < w:
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
     key = h & ~np.uint64((1 << _POS_BITS) - 1) | np.arange(len(h), dtype=np.uint64)
@@ -68,11 +102,11 @@ def anchors(text: str, k: int, span: int) -> tuple[np.ndarray, np.ndarray]:
     changed[0] = True
     np.not_equal(least[1:], least[:-1], out=changed[1:])
     pos = np.unique((least[changed] & np.uint64((1 << _POS_BITS) - 1)).astype(np.int64))
-    return pos, h[pos]
+    return pos + at, h[pos]
 
 
 _ANCHORS = pa.schema([("rep", pa.int64()), ("pos", pa.int32()), ("h", pa.int64())])
-_CONTEXTS = pa.schema([("rep", pa.int64()), ("pos", pa.int32()), ("h", pa.int64()), ("left", pa.string()), ("mid", pa.string()), ("right", pa.string())])
+_CONTEXTS = pa.schema([("rep", pa.int64()), ("pos", pa.int32()), ("h", pa.int64()), ("n", pa.int64()), ("left", pa.string()), ("mid", pa.string()), ("right", pa.string())])
 
 
 def distinct_texts(docs: DataFrame, key: str, text: str, span: int) -> tuple[DataFrame, DataFrame]:
@@ -110,11 +144,11 @@ def _map_contexts(k: int, span: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list] = [[], [], [], [], [], []]
+            rows: list[list] = [[] for _ in _CONTEXTS]
             for rep, text, at in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 for one in at:
                     p = one["pos"]
-                    for column, value in zip(rows, (rep, p, one["h"], text[max(0, p - reach) : p][::-1], text[p : p + k], text[p + k : p + k + reach])):
+                    for column, value in zip(rows, (rep, p, one["h"], one["n"], text[max(0, p - reach) : p][::-1], text[p : p + k], text[p + k : p + k + reach])):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(rows, _CONTEXTS)], schema=_CONTEXTS)
 
@@ -122,17 +156,17 @@ def _map_contexts(k: int, span: int):
 
 
 def shared_contexts(texts: DataFrame, span: int, k: int) -> DataFrame:
-    """(rep, pos, h, left reversed, mid, right) of every anchor whose hash stands in more than one distinct text."""
+    """(rep, pos, h, places of h, left reversed, mid, right) of every anchor whose hash stands in more than one distinct text."""
     # anchors are found twice: that takes less than to store one row for each fiftieth character
     found = texts.select("rep", "text").mapInArrow(_map_anchors(k, span), "rep long, pos int, h long")
-    several = found.groupBy("h").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where(F.col("a") < F.col("b")).select("h")
-    hits = found.join(several, "h", "left_semi").groupBy("rep").agg(F.collect_list(F.struct("pos", "h")).alias("at"))
+    several = found.groupBy("h").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.count(F.lit(1)).alias("n")).where(F.col("a") < F.col("b")).select("h", "n")
+    hits = found.join(several, "h").groupBy("rep").agg(F.collect_list(F.struct("pos", "h", "n")).alias("at"))
     return texts.join(hits, "rep").select("rep", "text", "at").mapInArrow(
-        _map_contexts(k, span), "rep long, pos int, h long, left string, mid string, right string"
+        _map_contexts(k, span), "rep long, pos int, h long, n long, left string, mid string, right string"
     )
 
 
-_PAIRS = pa.schema([("rep_a", pa.int64()), ("rep_b", pa.int64()), ("start_a", pa.int32()), ("start_b", pa.int32()), ("length", pa.int32())])
+_PAIRS = pa.schema([("rep_a", pa.int64()), ("rep_b", pa.int64())])
 
 
 def _prefix(a: str, b: str) -> int:
@@ -151,20 +185,45 @@ def _prefix(a: str, b: str) -> int:
 def _verify(span: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = batch.to_pydict()
-            rows: list[list] = [[], [], [], [], []]
-            for i in range(batch.num_rows):
-                if c["mid"][i] != c["mid_b"][i]:
-                    continue
-                left, right = _prefix(c["left"][i], c["left_b"][i]), _prefix(c["right"][i], c["right_b"][i])
-                if left + k + right >= span:
-                    for column, value in zip(rows, (c["rep"][i], c["rep_b"][i], c["pos"][i] - left, c["pos_b"][i] - left, left + k + right)):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(rows, _PAIRS)], schema=_PAIRS)
+            a, b, left, left_b, right, right_b = (batch.column(i) for i in range(6))
+            keep = left.is_null().to_numpy(zero_copy_only=False).copy()  # those that the JVM is sure of
+            open_ = np.flatnonzero(~keep)
+            some = [c.take(pa.array(open_)).to_pylist() for c in (left, left_b, right, right_b)]
+            for i, x, x_b, y, y_b in zip(open_, *some):
+                keep[i] = _prefix(x, x_b) + k + _prefix(y, y_b) >= span
+            yield pa.RecordBatch.from_arrays([a.filter(pa.array(keep)), b.filter(pa.array(keep))], schema=_PAIRS)
 
     return run
 
 
+def _hit_pairs(contexts: DataFrame, span: int, k: int) -> DataFrame:
+    """(rep_a, rep_b) of every two texts with an identical run around a common anchor.
+
+    Of the span - k characters that a run needs besides the anchor at least half stand on one side, so contexts that
+    differ on both sides within that half are no hit, and those that agree in it on both sides are one; the JVM
+    decides these, and the rest is compared character by character. The contexts of an anchor in more than ``HOT``
+    places are spread by a salt on one side and repeated for each salt on the other.
+    """
+    names = ("rep", "left", "mid", "right")
+    other = [F.col(c).alias(f"{c}_b") for c in names]
+    cold, hot = contexts.where(F.col("n") <= HOT), contexts.where(F.col("n") > HOT)
+    salts = F.ceil(F.col("n") / HOT).cast("int")
+    spread = hot.select("h", F.pmod(F.xxhash64("rep", "pos"), salts).cast("int").alias("s"), *other)
+    every = hot.select("h", *names, F.explode(F.sequence(F.lit(0), salts - 1)).alias("s"))
+    columns = [*names, *(f"{c}_b" for c in names)]
+    both = cold.select("h", *names).join(cold.select("h", *other), "h").select(*columns).unionAll(every.join(spread, ["h", "s"]).select(*columns))
+    half = (span - k) // 2 + (span - k) % 2
+    same = lambda c: F.substring(c, 1, half) == F.substring(f"{c}_b", 1, half)
+    # a context at the border of its text is shorter than half
+    sure = same("left") & same("right") & (F.char_length("left") >= half) & (F.char_length("right") >= half)
+    both = both.where((F.col("rep") < F.col("rep_b")) & (F.col("mid") == F.col("mid_b"))).withColumn("_sure", sure)
+    one_side = F.least(F.lit(half), F.lit(span - k - half))
+    near = lambda c: F.substring(c, 1, one_side) == F.substring(f"{c}_b", 1, one_side)
+    both = both.where(near("left") | near("right"))
+    strings = [F.when(~F.col("_sure"), F.col(c)).alias(c) for c in ("left", "left_b", "right", "right_b")]
+    return both.select("rep", "rep_b", *strings).mapInArrow(_verify(span, k), "rep_a long, rep_b long").distinct()
+
+
 def shared_span_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = 200, k: int = 100) -> DataFrame:
     """(doc_a, doc_b) of every two records whose texts have an identical run of at least ``span`` code points.
 
@@ -179,10 +238,7 @@ def shared_span_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     texts, members = distinct_texts(docs, key, text, span)
     contexts = cut(shared_contexts(texts, span, k))
-    other = contexts.select("h", *[F.col(c).alias(f"{c}_b") for c in ("rep", "pos", "left", "mid", "right")])
-    verified = contexts.join(other, "h").where(F.col("rep") < F.col("rep_b"))
-    verified = verified.select("rep", "rep_b", "pos", "pos_b", "left", "left_b", "mid", "mid_b", "right", "right_b")
-    pairs = verified.mapInArrow(_verify(span, k), "rep_a long, rep_b long, start_a int, start_b int, length int").select("rep_a", "rep_b").distinct()
+    pairs = _hit_pairs(contexts, span, k)
     repeated = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rep")
     both = pairs.unionAll(repeated.select(F.col("rep").alias("rep_a"), F.col("rep").alias("rep_b")))
     # the members of a large group of copies are spread over several keys, so that no task lists all of its pairs
@@ -194,21 +250,21 @@ def shared_span_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return wide.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).distinct()
 
 
-_WINDOWS = pa.schema([("rep", pa.int64()), ("start", pa.int32()), ("w", pa.int64())])
+_WINDOWS = pa.schema([("rep", pa.int64()), ("start", pa.int32()), ("w", pa.int64()), ("v", pa.int64())])
 
 
 def _map_windows(span: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            reps, starts, hashes = [], [], []
+            parts: list[list] = [[], [], [], []]
             for rep, pos, left, mid, right in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 codes = np.frombuffer((left[::-1] + mid + right).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
                 h = window_hashes(codes, span)
-                reps.append(np.full(len(h), rep, dtype=np.int64))
-                starts.append(np.arange(len(h), dtype=np.int32) + np.int32(pos - len(left)))
-                hashes.append(h.view(np.int64))
-            if reps:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (reps, starts, hashes)], schema=_WINDOWS)
+                start = np.arange(len(h), dtype=np.int32) + np.int32(pos - len(left))
+                for part, column in zip(parts, (np.full(len(h), rep, dtype=np.int64), start, h.view(np.int64), prime_hashes(codes, span).view(np.int64))):
+                    part.append(column)
+            if parts[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in parts], schema=_WINDOWS)
 
     return run
 
@@ -220,15 +276,16 @@ def shared_share(docs: DataFrame, key: str = "doc_id", text: str = "text", span:
     record too, spans the maximal stretches of such characters. A record with a whole copy (copies > 0) of at least
     ``span`` characters is shared as a whole. No pairs are formed: each window of ``span`` characters around an
     anchor that stands in several texts is hashed, and a window is shared if its hash stands in two distinct texts,
-    so a passage found in a third of all records costs a row for each of them.
+    so a passage found in a third of all records costs a row for each of them. Windows are equal if two hashes of together
+    126 bits are, 62 of them of polynomials modulo primes; their characters are not compared.
 
     Null and short texts have 0; every row of ``docs`` gives one row. An empty table gives no rows.
     """
     texts, members = distinct_texts(docs, key, text, span)
     contexts = shared_contexts(texts, span, k)
-    windows = cut(contexts.select("rep", "pos", "left", "mid", "right").mapInArrow(_map_windows(span, k), "rep long, start int, w long").distinct())
-    shared = windows.groupBy("w").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("w")
-    starts = windows.join(shared, "w", "left_semi").select("rep", "start").distinct()
+    windows = cut(contexts.select("rep", "pos", "left", "mid", "right").mapInArrow(_map_windows(span, k), "rep long, start int, w long, v long").distinct())
+    shared = windows.groupBy("w", "v").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("w", "v")
+    starts = windows.join(shared, ["w", "v"], "left_semi").select("rep", "start").distinct()
     after = F.lead("start").over(Window.partitionBy("rep").orderBy("start"))
     gaps = starts.select("rep", F.coalesce(after - F.col("start"), F.lit(span)).alias("step"), after.isNull().alias("last"))
     covered = gaps.groupBy("rep").agg(

@@ -5,7 +5,8 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from docloom.llm.spans import anchors, shared_share, shared_span_pairs, window_hashes
+from docloom.llm import spans
+from docloom.llm.spans import anchors, prime_hashes, shared_share, shared_span_pairs, window_hashes
 
 SPAN, K = 40, 20
 
@@ -66,6 +67,27 @@ def test_window_hashes_depend_on_the_window_alone():
     other = np.frombuffer("hello world".encode("utf-32-le"), dtype=np.uint32)
     assert window_hashes(codes, 11)[3] == window_hashes(other, 11)[0]
     assert len(window_hashes(other, 12)) == 0
+    assert prime_hashes(codes, 11)[3] == prime_hashes(other, 11)[0] and len(prime_hashes(other, 12)) == 0
+    assert len(set(prime_hashes(codes, 3).tolist())) == len(codes) - 2
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_hot_anchors_are_spread(spark, seed, monkeypatch):
+    monkeypatch.setattr(spans, "HOT", 3)
+    rows = corpus(seed)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in shared_span_pairs(df, span=SPAN, k=K).collect()} == brute(rows)[0]
+
+
+def test_blocks_of_a_long_text(monkeypatch):
+    text = "".join(random.Random(8).choice("abc") for _ in range(3000))
+    whole = anchors(text, K, SPAN)
+    monkeypatch.setattr(spans, "_POS_BITS", 8)
+    parts = anchors(text, K, SPAN)
+    # fewer bits of the hash decide in a block, so ties may fall otherwise; each run still has its anchor
+    assert np.diff(parts[0]).max() <= SPAN - K + 1 and len(parts[0]) < len(whole[0]) * 1.5
+    h = window_hashes(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32), K)
+    assert (h[parts[0]] == parts[1]).all()
 
 
 def test_edges(spark):
