@@ -4,41 +4,33 @@ from __future__ import annotations
 
 import bisect
 import re
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Given names that open or close a full name outside any announcing context. A parameter.
-GIVEN_NAMES = frozenset(
-    """adam ahmed alice amara amelie ana andrea anna anton antonio arjun astrid bettina björn boris camille carlos carmen
-    chen chiara chloé clara claire daniel dana david diego dimitri elena elif elias emil emma erik eva fatima farah
-    felix fiona florian francesca françois gabriel george giulia greta hana hannah hans heidi helena henrik hugo ibrahim
-    imani ines ingrid isabel ivan jamal james jan jane javier jean jens john jonas jorge josé juan jules julia karin
-    karl kateryna keiko kenji klaus kofi lars laura lea lena leila leon liam linnea lotte louis lucas lucía luis lukas
-    magda maja malik manuel marco marcus maría marie mario mark marta martin mary mateo mathilde matthias mei mia
-    michael miguel mila mira mohammed monika nadia natalia nils nina noah noémie nora olga oliver olivia omar oskar
-    pablo paul pedro peter petra pierre piers priya rafael rahul ravi robert rosa sabine samuel sara sarah sergio sofía
-    sofia sophie stefan sven tanja tariq thomas tim tomás ulrike ursula viktor vera wei william yara yasmin yusuf zoe""".split()
-)
+from docloom.session import cut
+
 _STREETS = "street|st|avenue|ave|road|rd|drive|dr|lane|ln|court|ct|close|boulevard|blvd|place|pl|terrace|way|crescent|square|sq|highway|hwy|parkway|pkwy"
 _NOT_STREET = "the|a|an|and|or|of|for|in|on|at|to|by|from|with|no|new|this|that|was|were|has|had|have|is|are|it|way|per|each|entries|copies|times|chairs|lot|form|jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
 _W = r"[^\W\d_][\w'’]*"
 _I = re.IGNORECASE
 
-_EMAIL_LEFT = re.compile(r"[^\W_](?:[\w.+%'-]*[\w+%-])?$")
+_EMAIL_LEFT = re.compile(r"[^\W_](?:[\w.+%'-]*[\w+%-])?")
 _EMAIL_RIGHT = re.compile(r"(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,24}(?![\w-])")
-#: Disguises of an address: a bracketed or spoken "at", then bracketed or spoken "dot"s.
-_DISGUISED = re.compile(
-    r"(?<![\w.+-])[^\W_][\w.+%-]*(?:\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+at\s+)[\w-]+(?:(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+|\.)[\w-]+)+", _I
-)
-_AT = re.compile(r"\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+at\s+", _I)
-_DOT = re.compile(r"\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+", _I)
-_HAS_DISGUISE = re.compile(r"[\[({<]\s*(?:at|@)\s*[\])}>]|\sdot\s", _I)
+#: Disguises of an address: a bracketed or spoken "at", bracketed or spoken "dot"s on both sides.
+_DOT_FORM = r"\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+"
+_AT_FORM = r"\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+at\s+"
+_DISGUISED = re.compile(rf"(?<![\w.+-])[^\W_][\w.+%-]*(?:(?:{_DOT_FORM})[\w+%-][\w.+%-]*)*(?:{_AT_FORM})[\w-]+(?:(?:{_DOT_FORM}|\.)[\w-]+)+", _I)
+_AT = re.compile(_AT_FORM, _I)
+_DOT = re.compile(_DOT_FORM, _I)
+_HAS_DISGUISE = re.compile(r"[\[({<]\s*(?:at|@|dot)\s*[\])}>]|\sdot\s", _I)
 _SPELLED = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
 _SPELLED_RUN = re.compile(r"\b(?:{0})(?:[\s,-]+(?:{0})){{6,}}\b".format("|".join(_SPELLED)), _I)
-_SPELLED_HINT = re.compile(r"\b(?:seven|eight|three|five|zero|four)[\s,-]+(?:zero|one|two|three|four|five|six|seven|eight|nine|oh)\b", _I)
+_SPELLED_HINT = re.compile(r"\b(?:{0})[\s,-]+(?:{0})[\s,-]+(?:{0})\b".format("|".join(_SPELLED)))
 #: Look-alikes of other scripts and full-width forms, each one character for one (fixed values).
 HOMOGLYPHS = str.maketrans("АВЕКМНОРСТХаеорсухіѕјԁոΑΒΕΖΗΙΚΜΝΟΡΤΥΧορ", "ABEKMHOPCTXaeopcyxisjdnABEZHIKMNOPTYXop") | {0xFF01 + i: 0x21 + i for i in range(94)}
 _FOREIGN = re.compile("[Ͱ-ԯ！-～]")
@@ -71,14 +63,19 @@ _ADDRESS = re.compile(
 _BOX = re.compile(rf"P\.?\s*O\.?\s+Box\s+\d{{1,6}}{_CITY_ZIP}?", _I)
 _HAS_STREET = re.compile(rf"\d[A-Za-z]?\s+(?:[^\W\d_]['’.\w-]*\s+){{1,3}}(?:{_STREETS})\b", _I)
 _PLACE = rf",\s+\d{{5}}\s+{_W}(?:-{_W})?"
-_FOREIGN_ADDRESS = re.compile(
-    rf"(?<!\w)[^\W\d_][\w-]*(?:straße|strasse|str\.|weg|allee|gasse|platz|ufer|damm)\s+\d{{1,4}}[a-z]?(?:,\s+\d{{5}}\s+{_W})?(?!\w)"
-    rf"|(?<![\w./-])\d{{1,4}}(?:\s+(?:bis|ter))?,?\s+(?:rue|avenue|boulevard|chemin|impasse|quai|place|allée)\s+(?:(?:des|de\s+la|de\s+l['’]|du|de|d['’])\s*)?{_W}(?:[-\s]{_W}){{0,2}}{_PLACE}"
-    rf"|(?<!\w)(?:calle|avenida|avda\.|plaza|paseo|camino)\s+(?:(?:de\s+las|de\s+los|de\s+la|del|de)\s+)?{_W}(?:\s+{_W}){{0,2}}\s+\d{{1,4}}(?:,\s+\d{{5}}\s+{_W})?(?!\w)"
-    r"|(?<!\w)(?:Postfach|Apartado(?:\s+de\s+Correos)?|BP)\s+\d{2,6}(?!\w)",
-    _I,
+_HOUSE = rf"\s+\d{{1,4}}[a-z]?(?:,\s+\d{{5}}\s+{_W})?(?!\w)"
+#: German streets end in their kind; the word before it is taken in afterwards, so that the search can go by the kinds.
+_GERMAN_ADDRESS = re.compile(rf"(?:straße|strasse|str\.|weg|allee|gasse|platz|ufer|damm){_HOUSE}", _I)
+_GERMAN_KINDS = ("straße", "strasse", "str.", "weg", "allee", "gasse", "platz", "ufer", "damm")
+#: Patterns and the words of which one stands in everything they match.
+_FOREIGN_ADDRESSES = (
+    re.compile(rf"(?<![\w./-])\d{{1,4}}(?:\s+(?:bis|ter))?,?\s+(?:rue|avenue|boulevard|chemin|impasse|quai|place|allée)\s+(?:(?:des|de\s+la|de\s+l['’]|du|de|d['’])\s*)?{_W}(?:[-\s]{_W}){{0,2}}{_PLACE}", _I),
+    ("rue", "avenue", "boulevard", "chemin", "impasse", "quai", "place", "allée"),
+    re.compile(rf"(?<!\w)(?:calle|avenida|avda\.|plaza|paseo|camino)\s+(?:(?:de\s+las|de\s+los|de\s+la|del|de)\s+)?{_W}(?:\s+{_W}){{0,2}}{_HOUSE}", _I),
+    ("calle", "avenida", "avda.", "plaza", "paseo", "camino"),
+    re.compile(r"(?<!\w)(?:Postfach|Apartado(?:\s+de\s+Correos)?|BP)\s+\d{2,6}(?!\w)", _I),
+    ("postfach", "apartado", "bp"),
 )
-_FOREIGN_HINTS = ("straße", "strasse", "str. ", "weg ", "allee ", "gasse ", "platz ", " ufer ", "damm ", "rue d", "rue\nd", "avenue d", "boulevard d", "chemin d", "impasse d", "quai d", "place d", "allée d", "calle ", "calle\n", "avenida ", "avda.", "plaza ", "paseo ", "camino ", "postfach", "apartado", " bp ")
 
 _N = r"[^\W\d_](?:[^\W\d_]|['’](?=[^\W\d_]))+(?:-[^\W\d_]{2,})*"
 _PARTICLE = r"(?:(?:van\s+der|van\s+den|van|von|de\s+la|de|der|del|di|da|bin|al|le|la)\s+)?"
@@ -86,19 +83,22 @@ _FULL = rf"(?:{_N}|[^\W\d_]\.)(?:\s+[^\W\d_]\.)?\s+{_PARTICLE}{_N}"
 _FULL_LINE = _FULL.replace(r"\s+", "[ \\t]+")
 _SURNAME_FIRST = rf"{_PARTICLE}{_N},\s+{_N}(?:\s+[^\W\d_]\.)?(?!\w)"
 _TITLE = r"(?:mrs?|ms|miss|dr|prof|coach|sir|herr|frau|mme|mlle|monsieur|madame|mademoiselle|sra?|srta|señora?|don|doña)\b\.?"
-#: Words that announce a name (any case of the name counts after them).
-_LABEL = re.compile(r"(recipient|attendee|b?cc|signé|firmado|gezeichnet|unterzeichnet|name|signature|employee|patient|owner|from|empfänger|destinataire|destinatario)\s?$")
+#: Words that announce a name (any case of the name counts after a label with a colon).
+_LABEL = re.compile(r"(recipient|attendee|attn|attention|b?cc|signé|firmado|gezeichnet|unterzeichnet|name|signature|employee|patient|owner|author|sender|from|empfänger|absender|destinataire|expéditeur|destinatario|remitente|nom|nombre)\s?$")
 _PHRASES = {
     key: re.compile(key + rest + r"\s+")
     for key, rest in (
-        ("dear", ""), ("spoke", r"\s+with"), ("signed", r"(?:\s+by)?"), ("approved", r"\s+by"), ("contact", "(?:er)?"), ("vu", r"\s+avec"), ("visto", r"\s+con"), ("bitte", r"\s+an"), ("mit", ""),
-        ("preguntar", r"\s+a"), ("owner", ""), ("liebe", "r?"), ("cher", ""), ("chère", ""), ("estimad", "[oa]"), ("atte", r"\."), ("regards", ","), ("--", ""),
+        ("dear", ""), ("spoke", r"\s+(?:with|to)"), ("signed", r"(?:\s+by)?"), ("approved", r"\s+by"), ("contact", "(?:er)?"), ("vu", r"\s+avec"), ("visto", r"\s+con"), ("bitte", r"\s+an"), ("mit", ""),
+        ("preguntar", r"\s+a"), ("owner", ""), ("liebe", "r?"), ("cher", ""), ("chère", ""), ("estimad", "[oa]"), ("atte", r"\."), ("regards", ","), ("--", ""), ("ask", ""), ("call", ""), ("tell", ""), ("meet", ""), ("attn", r"\.?"),
     )
 }
 #: Announcing words that common words may follow too: these need a name that looks like one.
-_WEAK = frozenset("mit bitte contact name from owner preguntar --".split())
-#: What follows a name at the head of a contact line, or one who comes by; the name before it is matched up to that place.
-_TAIL = re.compile(r"\s*(?:\|\s*[+(\d]|will\s+pick\s+up)")
+_WEAK = frozenset("mit bitte contact name from owner preguntar -- ask call tell meet attn".split())
+#: What follows a name at the head of a contact line, or who does something; the name before it is matched up to that place.
+_TAIL = re.compile(r"\s*\|\s*[+(\d]|(?<=\w)\s+(?:will|wrote|called|said|asked|signed|joined|resigned|retired)\s+[a-z]")
+_TAIL_WORDS = ("|", "will", "wrote", "called", "said", "asked", "signed", "joined", "resigned", "retired")
+#: A person named beside a calling: "our caretaker, Ada Moss, left".
+_APPOSITION = re.compile(rf"(?<=[a-zß-öø-ÿ]),\s+({_FULL}),\s+(?=[a-z])")
 _AFTER = re.compile(rf"(?<![\w.@-])(?:{_TITLE}\s+)?({_SURNAME_FIRST}|{_FULL}|{_N})$", _I)
 _INITIALS = re.compile(rf"(?<![\w.@-])((?:[^\W\d_]\.\s+){{1,2}}{_PARTICLE}{_N})$", _I)
 _TITLED = re.compile(rf"(?:Mrs?|MRS?|Ms|MS|Miss|Dr|DR|Prof|Coach|COACH|Herr|HERR|Frau|FRAU|Mme|MME|Mlle|Monsieur|MONSIEUR|Madame|Sra?|SRA?|Srta|Señora?)\b\.?\s+({_FULL_LINE}|{_PARTICLE}{_N})")
@@ -118,35 +118,45 @@ _STOP = frozenset(
 _SENTENCE_EDGE = frozenset(["", *"\n\r|.!?;:-)>…"])
 _NO_NAME_AFTER = frozenset("@.+-_") | frozenset(map(chr, range(48, 58))) | frozenset(map(chr, range(65, 91))) | frozenset(map(chr, range(97, 123)))
 _CAP = r"[A-ZÀ-ÖØ-ÞŠŽ]"
+_PARTICLES = frozenset("van von de der den del di da la le bin al".split())
+_CAPITAL = re.compile(rf"(?<![\w@]){_CAP}(?:[^\W\d_]|['’](?=[^\W\d_]))+")
+_UPPER = rf"{_CAP}(?:[^\W\d_]|['’](?=[^\W\d_]))+(?:-{_CAP}[^\W\d_]+)?(?!-\w)"
+_BETWEEN = "(?:van der|van|von|de la|de|der|del|di|da|VAN|VON|DE)"
+_GIVEN_FIRST = re.compile(rf"{_UPPER}(?![\w@+])(?:\s+{_CAP}\.)?\s+(?:{_BETWEEN}\s+)?{_UPPER}(?![\w@])")
+_GIVEN_LAST = re.compile(rf"{_UPPER}(?:\s+{_CAP}\.(?=\W))?(?![\w@+-])")
+_BEFORE_COMMA = re.compile(rf"(?<![\w@.+-])(?:{_BETWEEN}\s+)?{_UPPER}$")
+
+
+class Lexicon(NamedTuple):
+    """What a collection tells about its capitalised words (lower case): given names, and words that are seldom part of a name."""
+
+    given: frozenset[str] = frozenset()
+    others: frozenset[str] = frozenset()
 
 
 class Finder:
-    """Finds personal values in a text; ``given`` is the list of given names (lower case)."""
+    """Finds personal values in a text; ``lexicon`` may come from ``learn_names``, without one names are told by titles, labels, phrases and shape."""
 
     kinds = ("email", "phone", "id_number", "address", "name")
 
-    def __init__(self, given: frozenset[str] = GIVEN_NAMES):
-        self.given = given
-        forms = sorted({f(n) for n in given for f in (str.capitalize, str.upper)})
-        # grouped by first letter, so that few alternatives are tried at a place
-        groups: dict[str, list[str]] = {}
-        for n in forms:
-            groups.setdefault(n[0], []).append(re.escape(n[1:]))
-        word = "(?:" + "|".join(f"{re.escape(k)}(?:{'|'.join(v)})" for k, v in sorted(groups.items())) + ")"
-        upper = rf"{_CAP}(?:[^\W\d_]|['’](?=[^\W\d_]))+(?:-{_CAP}[^\W\d_]+)*"
-        self.free = re.compile(rf"{word}(?![\w@+])(?:\s+{_CAP}\.)?\s+(?:(?:van der|van|von|de la|de|der|del|di|da|VAN|VON|DE)\s+)?{upper}(?![\w@])")
-        self.after_comma = re.compile(rf",\s+{word}(?:\s+{_CAP}\.(?=\W))?(?![\w@+-])")
-        self.before_comma = re.compile(rf"(?<![\w@.+-])(?:(?:van|von|de|VAN|VON|DE)\s+)?{upper}$")
+    def __init__(self, lexicon: Lexicon = Lexicon()):
+        self.given, self.others = lexicon
 
     def is_name(self, value: str, strong: bool) -> bool:
+        """The words may be a name: none stops one, and one is a given name or the context is ``strong``; else their shape and rarity decide."""
         words = re.findall(r"[^\W\d_]+", value.lower())
         if not words or any(w in _STOP for w in words if len(w) > 1):
             return False
         known = any(w in self.given for w in words) or re.match(rf"{_CAP}\.\s+{_CAP}", value) is not None
-        if len([w for w in words if len(w) > 1]) == 1 and not re.match(r"[^\W\d_]\.\s", value):
+        full = [w for w in words if len(w) > 1 and w not in _PARTICLES]
+        if len(full) < 2 and not re.match(r"[^\W\d_]\.\s", value):
             return False
-        cased = all(w[0].isupper() or w in ("van", "von", "de", "der", "del", "di", "da", "la", "le") for w in re.findall(r"[^\W\d_]+", value))
-        return known or (strong and cased)
+        cased = all(w[0].isupper() or w in _PARTICLES for w in re.findall(r"[^\W\d_]+", value))
+        return known or (cased and (strong or self.unheard(full)))
+
+    def unheard(self, words: list[str]) -> bool:
+        """None of the words is one of those that are seldom part of a name (without any lexicon nothing is known of them)."""
+        return bool(self.others) and not any(w in self.others for w in words)
 
     def __call__(self, source: str) -> list[tuple[int, int, str]]:
         """(start, end, kind) in ``source``, in order and without overlaps."""
@@ -157,9 +167,11 @@ class Finder:
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         has_digit = any(d in text for d in "0123456789")
         for at in _find_all(text, "@"):
-            left, right = _EMAIL_LEFT.search(text, max(0, at - 80), at), _EMAIL_RIGHT.match(text, at + 1)
-            if left and right:
-                spans.append((0, left.start(), right.end(), "email"))
+            from_ = _run_start(text, at, lambda c: c.isalnum() or c in "_.+%'-")
+            while from_ < at and not text[from_].isalnum():
+                from_ += 1
+            if from_ < at and _EMAIL_LEFT.fullmatch(text, from_, at) and (right := _EMAIL_RIGHT.match(text, at + 1)):
+                spans.append((0, from_, right.end(), "email"))
         if has_digit:
             spans += [(1, m.start(1), m.end(1), "id_number") for m in _ID_ANNOUNCED.finditer(low) if 7 <= sum(c.isdigit() for c in m[1]) <= 15 and _free(text, m.start())]
             spans += [(1, *m.span(), "id_number") for m in _numbers(_ID_DIGITS, text)]
@@ -172,8 +184,15 @@ class Finder:
                     spans.append((2, m.start(), m.end() - m[0].endswith("."), "address"))
             if "box" in low:
                 spans += [(2, *m.span(), "address") for m in _BOX.finditer(text) if _free(text, m.start())]
-            if any(h in low for h in _FOREIGN_HINTS):
-                spans += [(2, *m.span(), "address") for m in _FOREIGN_ADDRESS.finditer(text)]
+            for m in _GERMAN_ADDRESS.finditer(text) if any(w in low for w in _GERMAN_KINDS) else ():
+                at = _run_start(text, m.start(), lambda c: c.isalnum() or c in "_-")
+                while at < m.start() and not text[at].isalpha():
+                    at += 1
+                if at < m.start():
+                    spans.append((2, at, m.end(), "address"))
+            for pattern, words in zip(_FOREIGN_ADDRESSES[::2], _FOREIGN_ADDRESSES[1::2]):
+                if any(w in low for w in words):
+                    spans += [(2, *m.span(), "address") for m in pattern.finditer(text)]
             for m in _numbers(_PHONE, text):
                 main = re.split(r"(?i),?\s*(?:ext|x|durchwahl|poste)", m[0])[0]
                 if 9 <= sum(c.isdigit() for c in main) <= 15:
@@ -189,32 +208,21 @@ class Finder:
         return sorted(taken)
 
     def names(self, text: str, low: str) -> list[tuple[int, int]]:
-        out = [m.span() for m in self.free.finditer(text) if text[m.start() - 1 : m.start()] not in _NO_NAME_AFTER and self.is_name(m[0], False)]
-        for m in self.after_comma.finditer(text):
-            from_ = max(0, m.start() - 48)
-            if n := self.before_comma.search(text[from_ : m.start()]):
-                if self.is_name(n[0] + m[0], False):
-                    out.append((from_ + n.start(), m.end()))
-        for m in _TITLED.finditer(text):
-            if not _free(text, m.start()):
-                continue
-            out.append(self.clean(text, *m.span(1)))
-        if len(text) < 80 and (m := _CELL.fullmatch(text)) and self.is_name(m[1], True):
+        out = []
+        if self.given and self.given & {w.lower() for w in _CAPITAL.findall(text)}:
+            for m in _CAPITAL.finditer(text):
+                if m[0].lower() in self.given:
+                    out += self.free(text, m)
+        out += [s for s, _ in self.told(text, low)]
+        if (m := _CELL.fullmatch(text)) and self.is_name(m[1], True):
             out.append(m.span(1))
-        for at, word, labelled in self.announced(text, low):
-            if t := _AFTER_TITLE.match(text, at):
-                out.append(self.clean(text, *t.span(1)))
-            elif word in ("signé", "vu", "contact") and (t := _FRENCH_M.match(text, at)) and (word != "contact" or low[:at].rstrip().endswith("er")):
-                out.append(t.span(1))
-            elif n := _NAMED.match(text, at):
-                a, b = self.clean(text, *n.span())
-                if self.is_name(text[a:b], labelled or word not in _WEAK):
-                    out.append((a, b))
-        for end in {m.start() for m in _TAIL.finditer(text)} if "|" in text or "pick up" in text else ():
-            from_ = max(0, end - 64)
-            line = max(text.rfind("\n", from_, end), text.rfind("|", from_, end)) + 1
-            if line > from_ and text.find(" ", line, end) > 0:
-                from_ = line
+        for m in _APPOSITION.finditer(text):
+            if self.is_name(m[1], False):
+                out.append(m.span(1))
+        for end in {m.start() for m in _TAIL.finditer(text)} if any(w in low for w in _TAIL_WORDS) else ():
+            line = max(text.rfind("\n", 0, end), text.rfind("|", 0, end)) + 1
+            # the words of a name at most
+            from_ = max(line, _words_back(text, end, 6))
             m = _AFTER.search(text[from_:end])
             short = _INITIALS.search(text[from_:end])
             if m and short and short.start(1) > m.start(1) and text[from_ + m.start(1) : from_ + short.start(1)].strip().lower() not in self.given:
@@ -222,11 +230,41 @@ class Finder:
             if m:
                 a, b = self.clean(text, from_ + m.start(1), from_ + m.end(1))
                 # in the middle of a sentence only a known given name is enough
-                first = text[max(0, a - 12) : a].rstrip(" \t")[-1:] in _SENTENCE_EDGE
+                first = text[max(0, a - 12) : a].rstrip(" \t")[-1:] in _SENTENCE_EDGE and "|" in text[end : end + 4]
                 if self.is_name(text[a:b], first):
                     out.append((a, b))
         return [s for s in out if s[1] > s[0]]
 
+    def free(self, text: str, m: re.Match) -> list[tuple[int, int]]:
+        """A given name with a surname after it, or before it and a comma."""
+        at = m.start()
+        out = []
+        if text[at - 1 : at] not in _NO_NAME_AFTER and (n := _GIVEN_FIRST.match(text, at)) and self.is_name(n[0], False):
+            out.append(n.span())
+        if (comma := text[:at].rstrip()) and comma[-1] == "," and at > len(comma) and (g := _GIVEN_LAST.match(text, at)):
+            from_ = _words_back(text, len(comma) - 1, 3)
+            if (n := _BEFORE_COMMA.search(text[from_ : len(comma) - 1])) and self.is_name(n[0] + text[len(comma) - 1 : g.end()], False):
+                out.append((from_ + n.start(), g.end()))
+        return out
+
+    def told(self, text: str, low: str) -> list[tuple[tuple[int, int], bool]]:
+        """Names after a title, a label or an announcing phrase; the second value says whether the context alone makes it one."""
+        out = []
+        for m in _TITLED.finditer(text):
+            if _free(text, m.start()):
+                out.append((self.clean(text, *m.span(1)), True))
+        for at, word, labelled in self.announced(text, low):
+            if t := _AFTER_TITLE.match(text, at):
+                out.append((self.clean(text, *t.span(1)), True))
+            elif word in ("signé", "vu", "contact") and (t := _FRENCH_M.match(text, at)) and (word != "contact" or low[:at].rstrip().endswith("er")):
+                out.append((t.span(1), True))
+            elif n := _NAMED.match(text, at):
+                a, b = self.clean(text, *n.span())
+                sure = labelled or word not in _WEAK
+                if self.is_name(text[a:b], sure):
+                    out.append(((a, b), sure))
+        return out
+
     @staticmethod
     def announced(text: str, low: str) -> Iterator[tuple[int, str, bool]]:
         """(offset of what follows, announcing word, whether it is a label with a colon)."""
@@ -260,11 +298,26 @@ class Finder:
         return words[0][0], end
 
 
+def _run_start(text: str, at: int, part) -> int:
+    """Where the run of characters that are ``part`` begins which ends at ``at``."""
+    while at and part(text[at - 1]):
+        at -= 1
+    return at
+
+
 def _free(text: str, at: int) -> bool:
     """No word character stands before ``at``."""
     return at == 0 or not (text[at - 1].isalnum() or text[at - 1] == "_")
 
 
+def _words_back(text: str, at: int, most: int) -> int:
+    """Where the ``most``-th word before ``at`` begins."""
+    for _ in range(most):
+        at = _run_start(text, at, str.isspace)
+        at = _run_start(text, at, lambda c: not c.isspace())
+    return at
+
+
 def _numbers(pattern: re.Pattern, text: str) -> Iterator[re.Match]:
     """Matches that don't go on from a word or number before them."""
     at = 0
@@ -291,15 +344,16 @@ def normalise(source: str):
     """
     text = source.translate(HOMOGLYPHS) if not source.isascii() and _FOREIGN.search(source) else source
     edits: list[tuple[int, int, str]] = []
-    if ("dot" in (low := text.lower()) or "(at" in low or "[at" in low) and _HAS_DISGUISE.search(text):
+    low = text.lower()
+    if _HAS_DISGUISE.search(text):
         for m in _DISGUISED.finditer(text):
             whole = m[0]
             at = _AT.search(whole)
             if at is None or not (_DOT.search(whole, at.end()) or at[0].strip()[:1] in "[({<"):
                 continue
             edits.append((m.start() + at.start(), m.start() + at.end(), "@"))
-            edits += [(m.start() + d.start(), m.start() + d.end(), ".") for d in _DOT.finditer(whole, at.end())]
-    if sum(w in low for w in _SPELLED) > 3 and _SPELLED_HINT.search(low):
+            edits += [(m.start() + d.start(), m.start() + d.end(), ".") for d in _DOT.finditer(whole) if d.end() <= at.start() or d.start() >= at.end()]
+    if _SPELLED_HINT.search(low):
         for m in _SPELLED_RUN.finditer(text):
             for w in re.finditer(r"[A-Za-z]+", m[0]):
                 edits.append((m.start() + w.start(), m.start() + w.end(), _SPELLED[w[0].lower()]))
@@ -329,13 +383,62 @@ def normalise(source: str):
 
 
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
-_FINDERS: dict[frozenset[str], Finder] = {}
+_FINDERS: dict[Lexicon, Finder] = {}
+
+
+def finder(lexicon: Lexicon = Lexicon()) -> Finder:
+    if lexicon not in _FINDERS:
+        _FINDERS.clear()
+        _FINDERS[lexicon] = Finder(lexicon)
+    return _FINDERS[lexicon]
+
 
+def name_counts(text: str, given: Counter, person: Counter, total: Counter) -> None:
+    """Add the capitalised words of a text, and those that stand in names by their context alone."""
+    total.update(w.lower() for w in _CAPITAL.findall(text))
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    for (a, b), sure in Finder().told(text, low):
+        value = text[a:b]
+        words = re.findall(r"[^\W\d_]+", value.lower())
+        if sure and len(words) > 1:
+            person.update(words)
+            first = re.findall(r"[^\W\d_]+", value.split(",", 1)[1].lower())[:1] if "," in value else words[:1]
+            given.update(w for w in first if len(w) > 1 and w not in _PARTICLES)
+
+
+def learn_names(texts: DataFrame, text: str = "text", least: int = 3, share: float = 0.1, common: int = 20, min_share: float = 1e-5) -> Lexicon:
+    """Given names and other capitalised words of a collection, by the contexts they stand in.
+
+    A word that ``least`` times, and in ``share`` of its capitalised uses, opens a full name which a title, a label or an
+    announcing phrase makes a name, is a given name. One of ``common`` capitalised uses, of which less than a
+    fiftieth lie in such names, is none of a name's. Both must also be ``min_share`` of all such uses, so neither list has
+    more than 1 / min_share words, whatever the collection's size. All texts are counted, each task adds up its own first.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        given, person, total = Counter(), Counter(), Counter()
+
+        def flush() -> pd.DataFrame:
+            out = pd.DataFrame([(w, given[w], person[w], n) for w, n in (total | person).items()], columns=["word", "given", "person", "total"])
+            for c in (given, person, total):
+                c.clear()
+            return out
+
+        for pdf in batches:
+            for t in pdf["_text"]:
+                name_counts(t, given, person, total)
+            if len(total) > 300_000:
+                yield flush()
+        yield flush()
 
-def finder(given: frozenset[str] = GIVEN_NAMES) -> Finder:
-    if given not in _FINDERS:
-        _FINDERS[given] = Finder(given)
-    return _FINDERS[given]
+    each = texts.where(F.col(text).isNotNull()).select(F.col(text).alias("_text")).mapInPandas(count, "word string, given long, person long, total long")
+    words = cut(each.groupBy("word").agg(*[F.sum(c).alias(c) for c in ("given", "person", "total")]))
+    sums = words.agg(F.sum("given"), F.sum("total")).first()
+    given = words.where((F.col("given") >= max(least, (sums[0] or 0) * min_share)) & (F.col("given") >= share * F.col("total")))
+    others = words.where((F.col("total") >= max(common, (sums[1] or 0) * min_share)) & (50 * F.col("person") < F.col("total")))
+    return Lexicon(*[frozenset(r[0] for r in some.select("word").collect()) for some in (given, others)])
 
 
 def redact(text: str, find: Finder) -> tuple[str, list[tuple[str, str]]]:
@@ -351,7 +454,7 @@ def redact(text: str, find: Finder) -> tuple[str, list[tuple[str, str]]]:
     return "".join([*parts, text[at:]]), values
 
 
-def redact_texts(df: DataFrame, key: str, text: str, given: frozenset[str] = GIVEN_NAMES) -> DataFrame:
+def redact_texts(df: DataFrame, key: str, text: str, lexicon: Lexicon = Lexicon()) -> DataFrame:
     """(key, redacted, found): each text with typed placeholders, and the (kind, value) pairs in text order.
 
     Map-only. All characters outside the values stay as they were. Null stays null with an empty list; an empty text
@@ -361,7 +464,7 @@ def redact_texts(df: DataFrame, key: str, text: str, given: frozenset[str] = GIV
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find = finder(given)
+        find = finder(lexicon)
         for pdf in batches:
             done = [redact(t, find) if isinstance(t, str) else (None, []) for t in pdf["_text"]]
             found = [[{"kind": k, "value": v} for k, v in f] for _, f in done]
@@ -372,11 +475,11 @@ def redact_texts(df: DataFrame, key: str, text: str, given: frozenset[str] = GIV
     return source.mapInPandas(run, f"`{key}` string, redacted string, found array<struct<kind:string,value:string>>").withColumn(key, F.col(key).cast(kind))
 
 
-def find_values(df: DataFrame, key: str, text: str, given: frozenset[str] = GIVEN_NAMES) -> DataFrame:
+def find_values(df: DataFrame, key: str, text: str, lexicon: Lexicon = Lexicon()) -> DataFrame:
     """(row_key, kind, found_value): each distinct value of each row that holds one. Map-only."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        find = finder(given)
+        find = finder(lexicon)
         for pdf in batches:
             rows = []
             for k, t in zip(pdf["row_key"], pdf["text"]):
@@ -388,7 +491,7 @@ def find_values(df: DataFrame, key: str, text: str, given: frozenset[str] = GIVE
     return source.mapInPandas(run, "row_key string, kind string, found_value string")
 
 
-def redact_samples(ledger: DataFrame, given: frozenset[str] = GIVEN_NAMES) -> DataFrame:
+def redact_samples(ledger: DataFrame, lexicon: Lexicon = Lexicon()) -> DataFrame:
     """``ledger`` with priors whose samples are redacted; counts, kinds and the order of samples stay.
 
     Distinct samples are searched by every worker once for each batch. Null maps, null structs and null samples stay.
@@ -397,7 +500,7 @@ def redact_samples(ledger: DataFrame, given: frozenset[str] = GIVEN_NAMES) -> Da
 
     @F.pandas_udf("array<struct<key:string,value:struct<count:int,redacted_samples:array<string>>>>")
     def run(entries: pd.Series) -> pd.Series:
-        find, seen = finder(given), {}
+        find, seen = finder(lexicon), {}
 
         def one(s):
             if s is None:

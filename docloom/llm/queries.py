@@ -11,7 +11,7 @@ from docloom.llm.canonical import learn_aliases, map_to_canonical
 from docloom.llm.cooccurrence import basket_pairs, term_baskets
 from docloom.llm.mixing import mix_report, mix_sources
 from docloom.llm.packing import fill_windows, window_fill
-from docloom.llm.pii import find_values, redact_samples, redact_texts
+from docloom.llm.pii import find_values, learn_names, redact_samples, redact_texts
 from docloom.llm.scan_noise import repair_scans
 from docloom.llm.spans import shared_share, shared_span_pairs
 from docloom.llm.splitting import split_oversized
@@ -64,19 +64,22 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_texts(spark: SparkSession, d: str) -> DataFrame:
-    return redact_texts(_texts(spark, d), "extract_id", "text")
+    texts = _texts(spark, d)
+    return redact_texts(texts, "extract_id", "text", learn_names(texts))
 
 
 def p3_priors(spark: SparkSession, d: str) -> DataFrame:
-    return redact_samples(table(spark, d, "ledger")).select("doc_id", "queued_at", F.map_entries("priors").alias("priors"))
+    return redact_samples(table(spark, d, "ledger"), learn_names(_texts(spark, d))).select("doc_id", "queued_at", F.map_entries("priors").alias("priors"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    texts = find_values(_texts(spark, d), "extract_id", "text")
+    rows = _texts(spark, d)
+    names = learn_names(rows)
+    texts = find_values(rows, "extract_id", "text", names)
     kept = table(spark, d, "ledger").select("doc_id", F.explode(F.map_values("priors")).alias("v"))
     # a sample with a star in place of the value, or a placeholder or keyword alone, is searched like any other
     samples = kept.select("doc_id", F.explode("v.redacted_samples").alias("sample")).distinct()
-    priors = find_values(samples, "doc_id", "sample").distinct()
+    priors = find_values(samples, "doc_id", "sample", names).distinct()
     columns = ["field", "row_key", "kind", "found_value"]
     return texts.select(F.lit("text").alias("field"), *columns[1:]).unionAll(priors.select(F.lit("priors").alias("field"), *columns[1:]))
 

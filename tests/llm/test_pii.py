@@ -2,11 +2,13 @@ import random
 
 import pytest
 
-from docloom.llm.pii import find_values, finder, normalise, redact, redact_samples, redact_texts
+from docloom.llm.pii import Lexicon, find_values, finder, learn_names, normalise, redact, redact_samples, redact_texts
+
+NAMES = Lexicon(frozenset({"elena", "dana", "marcus"}), frozenset({"oak", "north", "wing", "harrow", "vale", "elm"}))
 
 
 def values(text):
-    return redact(text, finder())[1]
+    return redact(text, finder(NAMES))[1]
 
 
 @pytest.mark.parametrize(
@@ -37,13 +39,13 @@ def test_values(text, expected):
 
 
 def test_placeholders_keep_the_rest():
-    out, found = redact("Call 212-555-0100  after\tnine, Elena Oakley.", finder())
+    out, found = redact("Call 212-555-0100  after\tnine, Elena Oakley.", finder(NAMES))
     assert out == "Call [PHONE]  after\tnine, [NAME]." and len(found) == 2
 
 
 def test_look_alikes_and_spelled_digits_map_back():
     text = "write tо jоe@ехample.com or call two one two five five five oh one zero zero now"
-    out, found = redact(text, finder())
+    out, found = redact(text, finder(NAMES))
     assert ("email", "jоe@ехample.com") in found
     assert ("phone", "two one two five five five oh one zero zero") in found
     assert out == "write tо [EMAIL] or call [PHONE] now"
@@ -76,3 +78,36 @@ def test_samples(spark):
     got = {r["doc_id"]: r["priors"] for r in redact_samples(spark.createDataFrame(rows, kind)).collect()}
     assert got["a"]["email"]["redacted_samples"] == ["tel [PHONE]", None, "x***@b.org"] and got["a"]["email"]["count"] == 2
     assert got["a"]["dob"] is None and got["b"] is None and got["c"] == {}
+
+
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [
+        ("Our caretaker, Siobhan Gallagher, left on Monday.", [("name", "Siobhan Gallagher")]),
+        ("Attn: Bartholomew Quigley", [("name", "Bartholomew Quigley")]),
+        ("Please ask Ingeborg Thorvaldsen about the lease.", [("name", "Ingeborg Thorvaldsen")]),
+        ("Please ask North Wing about it; our depot, Harrow Vale, is closed.", []),
+        ("reach me: john dot smith at example dot com", [("email", "john dot smith at example dot com")]),
+        ("jane {at} example.org, jane ( at ) example.org", [("email", "jane {at} example.org"), ("email", "jane ( at ) example.org")]),
+        ("12 rue Victor Hugo, 75001 Paris", [("address", "12 rue Victor Hugo, 75001 Paris")]),
+        ("Lindenweg\n5", [("address", "Lindenweg 5")]),
+        ("call six six two six six two nine nine one two", [("phone", "six six two six six two nine nine one two")]),
+        ("a" * 120 + "@example.org", [("email", "a" * 120 + "@example.org")]),
+        ("Marcus-Hugo-Staff-Test Marcus Oakley | 212.555.0117", [("name", "Marcus Oakley"), ("phone", "212.555.0117")]),
+    ],
+)
+def test_values_beyond_lists(text, expected):
+    assert values(text) == expected
+
+
+def test_names_are_learned(spark):
+    people = ["Zyta Borkowska", "Zyta Ahlgren", "Zyta Quist", "Zyta Lund"]
+    texts = [f"Dear {p}, the Quill Moor forms are here." for p in people] + ["The box went to Quill Moor with Zyta Vennerholm on Friday."] * 40 + [None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "extract_id long, text string")
+    lexicon = learn_names(df)
+    assert "zyta" not in lexicon.others and {"quill", "moor"} <= lexicon.others
+    assert lexicon == learn_names(df, share=0.05)._replace(given=lexicon.given)
+    lexicon = learn_names(df, share=0.05)
+    assert lexicon.given == {"zyta"}
+    assert redact("Later Zyta Vennerholm saw Quill Moor.", finder(lexicon))[0] == "Later [NAME] saw Quill Moor."
+    assert learn_names(df.limit(0)) == Lexicon()
