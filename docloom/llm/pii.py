@@ -27,7 +27,7 @@ _AT_FORM = r"\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+at\s+"
 _DISGUISED = re.compile(rf"(?<![\w.+-])[^\W_][\w.+%-]*(?:(?:{_DOT_FORM})[\w+%-][\w.+%-]*)*(?:{_AT_FORM})[\w-]+(?:(?:{_DOT_FORM}|\.)[\w-]+)+", _I)
 _AT = re.compile(_AT_FORM, _I)
 _DOT = re.compile(_DOT_FORM, _I)
-_HAS_DISGUISE = re.compile(r"[\[({<]\s*(?:at|@|dot)\s*[\])}>]|\sdot\s", _I)
+_BRACKET_AT = re.compile(r"[\[({<]\s*(?:at|@)\s*[\])}>]", _I)
 _SPELLED = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())} | {"oh": "0"}
 _SPELLED_RUN = re.compile(r"\b(?:{0})(?:[\s,-]+(?:{0})){{6,}}\b".format("|".join(_SPELLED)), _I)
 _SPELLED_HINT = re.compile(r"\b(?:{0})[\s,-]+(?:{0})[\s,-]+(?:{0})\b".format("|".join(_SPELLED)))
@@ -95,10 +95,10 @@ _PHRASES = {
 #: Announcing words that common words may follow too: these need a name that looks like one.
 _WEAK = frozenset("mit bitte contact name from owner preguntar -- ask call tell meet attn".split())
 #: What follows a name at the head of a contact line, or who does something; the name before it is matched up to that place.
-_TAIL = re.compile(r"\s*\|\s*[+(\d]|(?<=\w)\s+(?:will|wrote|called|said|asked|signed|joined|resigned|retired)\s+[a-z]")
-_TAIL_WORDS = ("|", "will", "wrote", "called", "said", "asked", "signed", "joined", "resigned", "retired")
+_CONTACT = re.compile(r"\|\s*[+(\d]")
+_DOINGS = ("will", "wrote", "called", "said", "asked", "signed", "joined", "resigned", "retired")
 #: A person named beside a calling: "our caretaker, Ada Moss, left".
-_APPOSITION = re.compile(rf"(?<=[a-zß-öø-ÿ]),\s+({_FULL}),\s+(?=[a-z])")
+_APPOSITION = re.compile(rf",\s+({_FULL}),\s+(?=[a-z])")
 _AFTER = re.compile(rf"(?<![\w.@-])(?:{_TITLE}\s+)?({_SURNAME_FIRST}|{_FULL}|{_N})$", _I)
 _INITIALS = re.compile(rf"(?<![\w.@-])((?:[^\W\d_]\.\s+){{1,2}}{_PARTICLE}{_N})$", _I)
 _TITLED = re.compile(rf"(?:Mrs?|MRS?|Ms|MS|Miss|Dr|DR|Prof|Coach|COACH|Herr|HERR|Frau|FRAU|Mme|MME|Mlle|Monsieur|MONSIEUR|Madame|Sra?|SRA?|Srta|Señora?)\b\.?\s+({_FULL_LINE}|{_PARTICLE}{_N})")
@@ -209,17 +209,15 @@ class Finder:
 
     def names(self, text: str, low: str) -> list[tuple[int, int]]:
         out = []
-        if self.given and self.given & {w.lower() for w in _CAPITAL.findall(text)}:
-            for m in _CAPITAL.finditer(text):
-                if m[0].lower() in self.given:
-                    out += self.free(text, m)
+        for m in self.known(text, low):
+            out += self.free(text, m)
         out += [s for s, _ in self.told(text, low)]
         if (m := _CELL.fullmatch(text)) and self.is_name(m[1], True):
             out.append(m.span(1))
-        for m in _APPOSITION.finditer(text):
-            if self.is_name(m[1], False):
+        for at in _find_all(text, ","):
+            if text[at - 1 : at].islower() and (m := _APPOSITION.match(text, at)) and self.is_name(m[1], False):
                 out.append(m.span(1))
-        for end in {m.start() for m in _TAIL.finditer(text)} if any(w in low for w in _TAIL_WORDS) else ():
+        for end in self.tails(text, low):
             line = max(text.rfind("\n", 0, end), text.rfind("|", 0, end)) + 1
             # the words of a name at most
             from_ = max(line, _words_back(text, end, 6))
@@ -235,6 +233,31 @@ class Finder:
                     out.append((a, b))
         return [s for s in out if s[1] > s[0]]
 
+    def known(self, text: str, low: str) -> Iterator[re.Match]:
+        """The given names in the text."""
+        if len(self.given) > 150:
+            if self.given & {w.lower() for w in _CAPITAL.findall(text)}:
+                yield from (m for m in _CAPITAL.finditer(text) if m[0].lower() in self.given)
+            return
+        for name in self.given:
+            for at in _find_all(low, name):
+                if (m := _CAPITAL.match(text, at)) and m.end() == at + len(name):
+                    yield m
+
+    @staticmethod
+    def tails(text: str, low: str) -> set[int]:
+        """Where a name may end that a contact or a doing follows."""
+        out = set()
+        for at in _find_all(text, "|"):
+            if _CONTACT.match(text, at):
+                out.add(len(text[:at].rstrip()) if text[at - 1 : at].isspace() else at)
+        for word in _DOINGS:
+            for at in _find_all(low, word):
+                end = at + len(word)
+                if at > 1 and text[at - 1].isspace() and text[end : end + 1].isspace() and text[end + 1 : end + 2].islower():
+                    out.add(_run_start(text, at, str.isspace))
+        return out
+
     def free(self, text: str, m: re.Match) -> list[tuple[int, int]]:
         """A given name with a surname after it, or before it and a comma."""
         at = m.start()
@@ -345,7 +368,7 @@ def normalise(source: str):
     text = source.translate(HOMOGLYPHS) if not source.isascii() and _FOREIGN.search(source) else source
     edits: list[tuple[int, int, str]] = []
     low = text.lower()
-    if _HAS_DISGUISE.search(text):
+    if "dot" in low or _BRACKET_AT.search(text):
         for m in _DISGUISED.finditer(text):
             whole = m[0]
             at = _AT.search(whole)
@@ -353,7 +376,7 @@ def normalise(source: str):
                 continue
             edits.append((m.start() + at.start(), m.start() + at.end(), "@"))
             edits += [(m.start() + d.start(), m.start() + d.end(), ".") for d in _DOT.finditer(whole) if d.end() <= at.start() or d.start() >= at.end()]
-    if _SPELLED_HINT.search(low):
+    if sum(map(low.count, _SPELLED)) > 6 and _SPELLED_HINT.search(low):
         for m in _SPELLED_RUN.finditer(text):
             for w in re.finditer(r"[A-Za-z]+", m[0]):
                 edits.append((m.start() + w.start(), m.start() + w.end(), _SPELLED[w[0].lower()]))
