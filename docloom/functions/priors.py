@@ -33,13 +33,9 @@ KINDS = ("ssn", "email", "phone", "dob", "address", "credit_card", "sensitive_ke
 HIGH = ("ssn", "credit_card")
 
 
-def plain_letters(text: Column) -> Column:
-    """Letters beyond ASCII as the letter x, so that word borders are the same for every regex engine."""
-    return F.regexp_replace(text, r"[\u00AA\u00B5\u00BA\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F\u0370-\u1FFF]", "x")
-
-
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    """All matches of a pattern whose word borders, digits and spaces are those of Unicode, whatever the Java version."""
+    return F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(group))
 
 
 def _digits(x: Column) -> Column:
@@ -48,16 +44,15 @@ def _digits(x: Column) -> Column:
 
 def scan(text: Column) -> dict[str, Column]:
     """Kind -> array of redacted samples, one for each match in text order (null text: empty arrays)."""
-    return _scan_plain(plain_letters(F.coalesce(text, F.lit(""))))
+    return _scan(F.coalesce(text, F.lit("")))
 
 
 def scan_map(text: Column) -> Column:
-    """The scan as a map kind -> (count, samples); the text is prepared once for all patterns."""
-    plain = F.array(plain_letters(F.coalesce(text, F.lit(""))))
-    return F.element_at(F.transform(plain, lambda t: as_map(_scan_plain(t))), 1)
+    """The scan as a map kind -> (count, samples)."""
+    return as_map(scan(text))
 
 
-def _scan_plain(text: Column) -> dict[str, Column]:
+def _scan(text: Column) -> dict[str, Column]:
     cards = F.filter(F.transform(matches(text, CARD), _digits), lambda d: (F.length(d) >= 13) & (F.length(d) <= 19) & F.call_function("luhn_check", d))
     constant = lambda pattern, sample: F.transform(matches(text, pattern), lambda _: F.lit(sample))
     words = F.array_join(F.slice(F.array_sort(F.array_distinct(F.transform(matches(text, SENSITIVE, 1), F.lower))), 1, 8), ", ")

@@ -56,7 +56,7 @@ def collapse_spaced_title(text: Column) -> Column:
     return F.regexp_replace(text, r"(?<=\b[A-Za-z]) (?=[A-Za-z]\b)", "")
 
 
-def years_in(text: Column, years: str = r"\b(19\d\d|20\d\d)\b") -> Column:
+def years_in(text: Column, years: str = r"(?U)\b(19\d\d|20\d\d)\b") -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(years), F.lit(1))))
 
 

@@ -12,25 +12,44 @@ from docloom.operators.chunking import group_chunks, overlap_chunks
 from docloom.operators.search import SEARCH_RULES, people, search
 from docloom.session import spread, table
 
-_XL = r"[\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}\x{370}-\x{1FFF}]"
-_PLAIN = f"regexp_replace(coalesce(text, ''), '{_XL}', 'x', 'g')"
+#: The other engine's word borders are those of ASCII: a mark and a low line after each other letter or digit set them right.
+#: What begins at such a mark is the rest of a word and no match of its own.
+_MARKED = r"""regexp_replace(regexp_replace(coalesce(text, ''), '[\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]', ' ', 'g'), '[^\x00-\x7F\P{L}]|[^\x00-\x7F\P{N}]', '_' || chr(57344), 'g')"""
 
 
 def _q(pattern: str) -> str:
     return pattern.replace("'", "''")
 
 
+def _found(pattern: str) -> str:
+    """SQL list of the matches in the marked text t."""
+    return rf"list_filter(regexp_extract_all(t, '\x{{E000}}[A-Za-z0-9_]*|{_q(pattern)}'), lambda m: NOT starts_with(m, chr(57344)))"
+
+
+def _kind(kind: str, part: int, pattern: str, sample: str) -> str:
+    found = _found(pattern)
+    return f"SELECT extract_id, '{kind}' AS kind, {part} AS part, unnest(list_transform({found}, lambda m: {sample})) AS sample, generate_subscripts({found}, 1) AS i FROM src"
+
+
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = """list_sum(list_transform(range(length(c)), lambda i: CASE WHEN i % 2 = 0 THEN CAST(substr(c, length(c) - i, 1) AS INT)
+ ELSE (CAST(substr(c, length(c) - i, 1) AS INT) * 2) - CASE WHEN CAST(substr(c, length(c) - i, 1) AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"""
+_CARD_SQL = r"\b(?:\d[ -]*?){13,19}\b"
+_WORDS_SQL = _found(r"(?i:\b(?:social security|date of birth|driver'?s license|passport number|routing number|account number|student id|medical record|password|api key|private key|confidential)\b)")
 _SCAN_SQL = f"""
-WITH src AS (SELECT extract_id, {_PLAIN} AS t FROM extract_record),
+WITH src AS (SELECT extract_id, {_MARKED} AS t FROM extract_record),
+cards AS (SELECT extract_id, unnest(list_transform({_found(_CARD_SQL)}, lambda m: {_DIGITS})) AS c, generate_subscripts({_found(_CARD_SQL)}, 1) AS i FROM src),
+words AS (SELECT extract_id, list_sort(list_distinct(list_transform({_WORDS_SQL}, lambda m: lower(m)))) AS w FROM src),
 hits AS (
-  SELECT extract_id, 'ssn' AS kind, 1 AS part, unnest(list_transform(regexp_extract_all(t, '{P.SSN}'), lambda m: '***-**-' || right(m, 4))) AS sample, generate_subscripts(regexp_extract_all(t, '{P.SSN}'), 1) AS i FROM src
-  UNION ALL SELECT extract_id, 'email', 1, unnest(list_transform(regexp_extract_all(t, '{P.EMAIL}'), lambda m: left(m, 1) || '***@' || split_part(m, '@', 2))), generate_subscripts(regexp_extract_all(t, '{P.EMAIL}'), 1) FROM src
-  UNION ALL SELECT extract_id, 'phone', 1, unnest(list_transform(regexp_extract_all(t, '{P.PHONE}'), lambda m: '***-***-' || right(regexp_replace(m, '[^0-9]', '', 'g'), 4))), generate_subscripts(regexp_extract_all(t, '{P.PHONE}'), 1) FROM src
-  UNION ALL SELECT extract_id, 'dob', 1, unnest(list_transform(regexp_extract_all(t, '{P.DOB}'), lambda m: '**/**/****')), generate_subscripts(regexp_extract_all(t, '{P.DOB}'), 1) FROM src
-  UNION ALL SELECT extract_id, 'address', 1, unnest(list_transform(regexp_extract_all(t, '{_q(P.STREET)}'), lambda m: '[street]')), generate_subscripts(regexp_extract_all(t, '{_q(P.STREET)}'), 1) FROM src
-  UNION ALL SELECT extract_id, 'address', 2, unnest(list_transform(regexp_extract_all(t, '{P.PO_BOX}'), lambda m: '[po-box]')), generate_subscripts(regexp_extract_all(t, '{P.PO_BOX}'), 1) FROM src
-  UNION ALL SELECT extract_id, 'address', 3, unnest(list_transform(regexp_extract_all(t, '{P.STATE_ZIP}'), lambda m: '[st-zip]')), generate_subscripts(regexp_extract_all(t, '{P.STATE_ZIP}'), 1) FROM src
-  UNION ALL SELECT extract_id, 'sensitive_keyword', 1, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(t, '{_q(P.SENSITIVE)}'), lambda m: lower(m))))[1:8], ', '), 1 FROM src WHERE regexp_matches(t, '{_q(P.SENSITIVE)}')),
+  {_kind('ssn', 1, r"\b\d{3}[-\s]\d{2}[-\s]\d{4}\b", "'***-**-' || right(m, 4)")}
+  UNION ALL {_kind('email', 1, r"(?i:\b[A-Z0-9._%+\-]+@[A-Z0-9.\-]+\.[A-Z]{2,}\b)", "left(m, 1) || '***@' || split_part(m, '@', 2)")}
+  UNION ALL {_kind('phone', 1, r"\b(?:\+?1[-.\s]?)?(?:\(?\d{3}\)?[-.\s]?)\d{3}[-.\s]?\d{4}\b", "'***-***-' || right(" + _DIGITS + ", 4)")}
+  UNION ALL {_kind('dob', 1, r"(?i:\b(?:dob|date of birth|born)\b[:\s]*\d{1,2}[/-]\d{1,2}[/-]\d{2,4})", "'**/**/****'")}
+  UNION ALL {_kind('address', 1, r"(?i:\b\d{1,6}\s+[A-Za-z0-9][A-Za-z0-9.'\- ]{1,40}\s+(?:St|Street|Ave|Avenue|Rd|Road|Ln|Lane|Blvd|Dr|Drive|Ct|Court|Way|Pkwy|Hwy|Highway)\.?\b)", "'[street]'")}
+  UNION ALL {_kind('address', 2, r"(?i:\bP\.?\s*O\.?\s*Box\s+\d+\b)", "'[po-box]'")}
+  UNION ALL {_kind('address', 3, r"\b[A-Z]{2}\s+\d{5}(?:-\d{4})?\b", "'[st-zip]'")}
+  UNION ALL SELECT extract_id, 'credit_card', 1, '****-****-****-' || right(c, 4), i FROM cards WHERE length(c) BETWEEN 13 AND 19 AND {_LUHN}
+  UNION ALL SELECT extract_id, 'sensitive_keyword', 1, array_to_string(w[1:8], ', '), 1 FROM words WHERE len(w) > 0),
 firsts AS (SELECT extract_id, kind, sample, min(part * 1000000 + i) AS pos FROM hits GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY extract_id, kind ORDER BY pos) AS rn FROM firsts),
 samples AS (SELECT extract_id, kind, string_agg(sample, ' | ' ORDER BY pos) AS samples FROM ranked WHERE rn <= 5 GROUP BY ALL),
@@ -59,8 +78,8 @@ def prior_severity_by_owner(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prior_cards(spark: SparkSession, d: str) -> DataFrame:
-    texts = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", P.scan(F.col("text"))["credit_card"].alias("c"))
-    return texts.where(F.size("c") > 0).select("doc_id", F.size("c").cast("long").alias("cards"), F.array_join("c", " | ").alias("samples"))
+    texts = spread(table(spark, d, "extract_record").select("extract_id", "text")).select("extract_id", P.scan(F.col("text"))["credit_card"].alias("c"))
+    return texts.where(F.size("c") > 0).select("extract_id", F.size("c").cast("long").alias("cards"), F.array_join("c", " | ").alias("samples"))
 
 
 def prior_nine_digits(spark: SparkSession, d: str) -> DataFrame:
@@ -138,7 +157,7 @@ def redacted_summaries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def years_named(spark: SparkSession, d: str) -> DataFrame:
-    years = X.years_in(P.plain_letters(F.col("text")))
+    years = X.years_in(F.col("text"))
     return table(spark, d, "documents").where(F.size(years) > 0).select("doc_id", F.array_join(years, ",").alias("years"))
 
 
@@ -180,9 +199,6 @@ def _hint_case(col: str) -> str:
 
 
 _BLANK = r"coalesce(regexp_replace(text, '^\s+|\s+$', '', 'g') = '', true)"
-_LUHN = """list_sum(list_transform(range(length(c)), lambda i: CASE WHEN i % 2 = 0 THEN CAST(substr(c, length(c) - i, 1) AS INT)
- ELSE (CAST(substr(c, length(c) - i, 1) AS INT) * 2) - CASE WHEN CAST(substr(c, length(c) - i, 1) AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"""
-
 
 def queries() -> dict:
     names = "prior_samples prior_severity prior_severity_by_owner prior_cards prior_nine_digits pii_map filename_hints filename_hint_histogram extraction_record extraction_methods content_hashes duplicate_texts filename_people html_text rtf_text text_chunks bare_stems redacted_summaries years_named spaced_titles keyword_in_context group_chunk_ids keyword_search search_people model_json"
@@ -194,14 +210,12 @@ def oracle_sql() -> dict[str, str]:
 
     return {
         "prior_samples": _SCAN_SQL + "SELECT s.extract_id, s.kind, n, samples FROM samples s JOIN counts c ON s.extract_id = c.extract_id AND s.kind = c.kind",
-        "prior_severity": _SCAN_SQL + """SELECT src.extract_id, CASE WHEN bool_or(kind = 'ssn') THEN 'high' WHEN bool_or(kind IS NOT NULL) THEN 'medium' ELSE 'low' END AS severity,
+        "prior_severity": _SCAN_SQL + """SELECT src.extract_id, CASE WHEN bool_or(kind IN ('ssn', 'credit_card')) THEN 'high' WHEN bool_or(kind IS NOT NULL) THEN 'medium' ELSE 'low' END AS severity,
  coalesce(bool_or(kind <> 'sensitive_keyword'), false) AS has_identifier FROM src LEFT JOIN counts ON src.extract_id = counts.extract_id GROUP BY 1""",
-        "prior_severity_by_owner": _SCAN_SQL + """, sev AS (SELECT src.extract_id, CASE WHEN bool_or(kind = 'ssn') THEN 'high' WHEN bool_or(kind IS NOT NULL) THEN 'medium' ELSE 'low' END AS severity
+        "prior_severity_by_owner": _SCAN_SQL + """, sev AS (SELECT src.extract_id, CASE WHEN bool_or(kind IN ('ssn', 'credit_card')) THEN 'high' WHEN bool_or(kind IS NOT NULL) THEN 'medium' ELSE 'low' END AS severity
  FROM src LEFT JOIN counts ON src.extract_id = counts.extract_id GROUP BY 1) SELECT owner_id, severity, count(*) AS texts FROM sev JOIN extract_record e ON e.extract_id = sev.extract_id GROUP BY 1, 2""",
-        "prior_cards": f"""WITH c AS (SELECT doc_id, unnest(list_transform(regexp_extract_all(regexp_replace(coalesce(text, ''), '{_XL}', 'x', 'g'), '{P.CARD}'), lambda m: regexp_replace(m, '[^0-9]', '', 'g'))) AS c,
- generate_subscripts(regexp_extract_all(regexp_replace(coalesce(text, ''), '{_XL}', 'x', 'g'), '{P.CARD}'), 1) AS i FROM documents)
- SELECT doc_id, count(*) AS cards, string_agg('****-****-****-' || right(c, 4), ' | ' ORDER BY i) AS samples FROM c WHERE length(c) BETWEEN 13 AND 19 AND {_LUHN} GROUP BY doc_id""",
-        "pii_map": _SCAN_SQL + """, o AS (SELECT extract_id, kind, CASE kind WHEN 'ssn' THEN 1 WHEN 'email' THEN 2 WHEN 'phone' THEN 3 WHEN 'dob' THEN 4 WHEN 'address' THEN 5 ELSE 6 END AS p FROM counts)
+        "prior_cards": _SCAN_SQL + "SELECT extract_id, count(*) AS cards, string_agg(sample, ' | ' ORDER BY i) AS samples FROM hits WHERE kind = 'credit_card' GROUP BY extract_id",
+        "pii_map": _SCAN_SQL + """, o AS (SELECT extract_id, kind, CASE kind WHEN 'ssn' THEN 1 WHEN 'email' THEN 2 WHEN 'phone' THEN 3 WHEN 'dob' THEN 4 WHEN 'address' THEN 5 WHEN 'credit_card' THEN 6 ELSE 7 END AS p FROM counts)
  SELECT o.extract_id, any_value(rel_path) AS rel_path, string_agg(kind, ', ' ORDER BY p) AS kinds FROM o JOIN extract_record e ON e.extract_id = o.extract_id GROUP BY 1 HAVING bool_or(kind <> 'sensitive_keyword')""",
         "filename_hints": f"SELECT extract_id, concat_ws(',', {_hint_case('rel_path')}) AS hints FROM extract_record",
         "filename_hint_histogram": f"SELECT hint, count(*) AS files FROM (SELECT unnest([{_hint_case('rel_path')}]) AS hint FROM extract_record) WHERE hint IS NOT NULL GROUP BY 1",
@@ -210,7 +224,7 @@ def oracle_sql() -> dict[str, str]:
         "content_hashes": "SELECT doc_id, sha256(text) AS content_hash, left(sha256(text), 16) AS short_id FROM documents",
         "duplicate_texts": "SELECT sha256(text) AS content_hash, count(*) AS copies, max(rel_path) AS kept_path FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
         "html_text": r"""WITH p AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace('<html><style>p {x}</style><p class=''a''>' || text || '</p><script>var a = 1;</script></html>',
- '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM documents WHERE lang = 'en')
+ '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM documents)
  SELECT doc_id, md5(t) AS text_md5, length(t) AS chars FROM p""",
         "rtf_text": r"""SELECT DISTINCT doc_id, regexp_replace(regexp_replace('{\rtf1\ansi\deff0 \pard\b0 ' || summary || '\par }', '\\[a-z]+-?\d* ?', '', 'g'), '[{}]', '', 'g') AS text FROM tags WHERE summary IS NOT NULL""",
         "text_chunks": """WITH b AS (SELECT extract_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n FROM extract_record),
@@ -220,7 +234,8 @@ def oracle_sql() -> dict[str, str]:
  '(?i)(\.(pdf|docx?|pptx?|xlsx?|txt|html?|rtf|md|csv|jpe?g|png))+$', '', 'g'), '\(\d+\)', '', 'g')) AS stem, lower(regexp_extract(rel_path, '\.([A-Za-z0-9]+)$', 1)) AS ext FROM documents""",
         "redacted_summaries": r"""SELECT DISTINCT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(summary, '\b\d{3}[-\s]\d{2}[-\s](\d{4})\b', '***-**-\1', 'g'),
  '(?i)\b([A-Z0-9])[A-Z0-9._%+\-]*@([A-Z0-9.\-]+\.[A-Z]{2,})\b', '\1***@\2', 'g'), '\s+', ' ', 'g')) AS summary FROM layer_record WHERE summary IS NOT NULL""",
-        "years_named": f"""WITH y AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all({_PLAIN}, '\\b(19\\d\\d|20\\d\\d)\\b', 1))) AS ys FROM documents) SELECT doc_id, array_to_string(ys, ',') AS years FROM y WHERE len(ys) > 0""",
+        "years_named": rf"""WITH m AS (SELECT doc_id, {_MARKED} AS t FROM documents),
+ y AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_extract_all(t, '\x{{E000}}[A-Za-z0-9_]*|\b(19\d\d|20\d\d)\b', 1), lambda v: v <> ''))) AS ys FROM m) SELECT doc_id, array_to_string(ys, ',') AS years FROM y WHERE len(ys) > 0""",
         "group_chunk_ids": """WITH n AS (SELECT doc_kind, rel_path, row_number() OVER (PARTITION BY doc_kind ORDER BY rel_path) - 1 AS k FROM documents WHERE doc_kind IS NOT NULL)
  SELECT doc_kind, rel_path, doc_kind || '#' || CASE WHEN k // 12 + 1 < 100 THEN lpad(CAST(k // 12 + 1 AS VARCHAR), 2, '0') ELSE CAST(k // 12 + 1 AS VARCHAR) END AS chunk_id, CAST(k % 12 AS INT) AS place FROM n""",
         "keyword_search": search_sql(SEARCH_RULES),

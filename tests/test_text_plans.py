@@ -28,3 +28,13 @@ def test_html_of_all_languages(spark, tmp_path):
     want = {"a": "One two.", "b": "Größe und Maß.", "c": "L'été chaud .", "d": "Sin idioma.", "e": "Upper.", "f": "", "g": None}
     got = {r["doc_id"]: (r["text_md5"], r["chars"]) for r in text_plans.html_text(spark, d).collect()}
     assert got == {k: (v if v is None else hashlib.md5(v.encode()).hexdigest(), v if v is None else len(v)) for k, v in want.items()}
+
+
+def test_letters_beyond_ascii_stay_letters(spark, tmp_path):
+    texts = ["write to josé@mail.org", "12 Rüden Lane", "é123-45-6789 and 123-45-6789é", "a@b.orgé", "éa.b@x.org", "SSN 123-45-6789, né en 1999é 2001", "Call 212-555-0100 – or (212) 555-0101…", "AB\u00a012345 ÅB 12345"]
+    d = folder(tmp_path, "extract_record", spark.createDataFrame([(i, "a", "p", 1, t) for i, t in enumerate(texts)], "extract_id long, doc_id string, rel_path string, owner_id long, text string"))
+    got = {(r["extract_id"], r["kind"], r["samples"]) for r in text_plans.prior_samples(spark, d).collect()}
+    assert got == {(4, "email", ".***@x.org"), (5, "ssn", "***-**-6789"), (6, "phone", "***-***-0100 | ***-***-0101"), (7, "address", "[st-zip]")}
+    duckdb = __import__("duckdb")
+    sql = text_plans.oracle_sql()["prior_samples"].replace("FROM extract_record", f"FROM '{d}/extract_record.parquet/*.parquet'")
+    assert {(r[0], r[1], r[3]) for r in duckdb.sql(sql).fetchall()} == got
