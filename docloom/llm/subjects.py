@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.terms import form_k
 from docloom.operators.versions import current_rows
+from docloom.session import cut
 
 BITS = 17
 _R = 0x9E3779B97F4A7C15
@@ -26,19 +28,6 @@ _STOP[[ord(c) for c in ".!?;"]] = True
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0, 9, 10, 11, 12, 13, 32, 46]] = True
 
-#: Subjects that a folder name speaks for (a parameter): weak labels besides those that hand labels teach.
-FOLDER_HINTS = {
-    "law": ("contracts", "governance", "rulings", "policy-room", "mediation-desk"),
-    "sport": ("recreation", "gym-hall", "leagues"),
-    "software": ("systems", "it-desk", "releases", "data-room", "gadgets"),
-    "science": ("field-work", "laboratory", "sky-watch", "greenhouse", "samples"),
-    "finance": ("budget", "purchasing", "audits", "grants-desk", "payslips"),
-    "health": ("wellbeing", "safety", "menus", "nurse-room", "first-aid"),
-    "travel": ("outings", "vehicles", "conference-trips", "shuttles", "lodging"),
-    "building": ("premises", "repairs", "workshop", "grounds", "keys-and-locks"),
-}
-
-
 #: A few of the most common words of each language (a parameter): words are compared within a language, so that a
 #: subject that happens to have more texts in one language doesn't take that language for its own.
 LANGUAGES = (
@@ -140,21 +129,54 @@ class Model:
         return (np.arange(scores.shape[1]) == best[:, None]) & (scores > 0)
 
 
-def fit(feats: np.ndarray, first: np.ndarray, doc: np.ndarray, prior: np.ndarray, truth: dict[int, set[int]], names: list[str], rounds: int = 4, steps: int = 60, slack: float = 0.35) -> Model:
+def store_model(spark: SparkSession, model: Model, path: str) -> None:
+    """Write a model to a folder that all executors share, so that it is fitted once for many runs."""
+    kinds = {"weights": np.float32, "bias": np.float32, "threshold": np.float64}
+    row = [model.names, *[np.ascontiguousarray(getattr(model, k), dtype=t).tobytes() for k, t in kinds.items()]]
+    spark.createDataFrame([tuple(row)], "names array<string>, weights binary, bias binary, threshold binary").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def stored_model(spark: SparkSession, path: str) -> Model:
+    r = spark.read.parquet(path).first()
+    c = len(r["names"])
+    return Model(list(r["names"]), np.frombuffer(r["weights"], dtype=np.float32).reshape(-1, c), np.frombuffer(r["bias"], dtype=np.float32), np.frombuffer(r["threshold"], dtype=np.float64).copy())
+
+
+#: Shares of the sentences that are tried as thresholds.
+GRID = np.arange(0.1, 0.301, 0.01)
+
+
+def _threshold(hits: np.ndarray, both: np.ndarray, known: float, otherwise: float) -> float:
+    """The middle of the thresholds of best F1, drawn to another value by how little is known."""
+    f1 = 2 * hits / np.maximum(1, both)
+    return known * GRID[f1 >= f1.max() - 0.005].mean() + (1 - known) * otherwise
+
+
+def fit(feats: np.ndarray, first: np.ndarray, doc: np.ndarray, prior: np.ndarray, truth: dict[int, set[int]], names: list[str], held: frozenset[int] = frozenset(), group: np.ndarray | None = None, rounds: int = 10, steps: int = 60, slack: float = 0.35) -> Model:
     """Fit the classifiers on sentences of documents with unsure labels.
 
     ``prior`` has for each document the probability of each subject and, last, of none for any of its sentences.
     Labels hold for documents, not sentences, so they are first brought down to sentences by expectation
-    maximisation over the words more frequent in a subject than everywhere; the one-versus-rest logistic classifiers learn these. Thresholds are the shares
-    that reach the best F1 on ``truth`` (documents with hand labels), drawn to a fifth where they are few.
+    maximisation over the words more frequent in a subject than everywhere; the one-versus-rest logistic classifiers learn these.
+    After each round the documents of a ``group`` (a filed main; -1: none) without hand labels are drawn to what the round found in
+    the group, so that labels of a few mains teach the others. Documents in ``held`` take no part in that. Each subject's threshold is the share of sentences that reaches its best F1 on the
+    ``truth`` (hand labels) of these, drawn to a common one, and that to a fifth, the fewer they are.
     """
     c = len(names)
+    whole = feats, first, doc
+    if held:
+        keep = ~np.isin(doc, np.fromiter(held, dtype=np.int64))
+        rows = np.repeat(keep, np.diff(np.append(first, len(feats))))
+        size = np.diff(np.append(first, len(feats)))[keep]
+        feats, first, doc = feats[rows], np.cumsum(size) - size, doc[keep]
     n_sent = len(first)
     size = np.diff(np.append(first, len(feats)))
     sent = np.repeat(np.arange(n_sent), size)
     words = feats[:, 0]
     post = prior[doc].copy()
     log_prior = np.log(prior[doc] + 1e-12)
+    mine = np.full(n_sent, -1) if group is None else group[doc]
+    grouped = mine >= 0
     lang = languages(feats, first, doc, len(prior))[doc][sent]
     words = words + (lang << BITS)
     size_l = len(LANGUAGES)
@@ -170,6 +192,11 @@ def fit(feats: np.ndarray, first: np.ndarray, doc: np.ndarray, prior: np.ndarray
         score -= score.max(axis=1, keepdims=True)
         post = np.exp(score)
         post /= post.sum(axis=1, keepdims=True)
+        if grouped.any():
+            mass = np.stack([np.bincount(mine[grouped], weights=post[grouped, k]) for k in range(c + 1)], axis=1)
+            flat_mass = prior[doc[grouped]].mean(axis=0)
+            mass = (mass + 40 * flat_mass) / (mass.sum(axis=1, keepdims=True) + 40)
+            log_prior[grouped] = np.log(0.5 * prior[doc[grouped]] + 0.5 * mass[mine[grouped]] + 1e-12)
     target = post[:, :c]
     # one column for each bucket that occurs
     used, column = np.unique(np.where(feats < 0, 2 << BITS, feats).ravel(), return_inverse=True)
@@ -192,44 +219,46 @@ def fit(feats: np.ndarray, first: np.ndarray, doc: np.ndarray, prior: np.ndarray
     weights[used] = w
     weights[-1] = 0  # index -1: no pair
     model = Model(names, weights, bias.astype(np.float32), np.full(c, 0.2))
-    hit = model.sentences(feats, first)
-    docs = np.array(sorted(truth), dtype=np.int64)
-    if len(docs):
+    feats, first, doc = whole
+    docs = np.array(sorted(held or truth), dtype=np.int64)
+    docs = docs[[d in truth for d in docs.tolist()]] if len(docs) else docs
+    if len(docs) and len(first):
+        hit = model.sentences(feats, first)
         n = np.bincount(doc, minlength=len(prior))
         share = np.stack([np.bincount(doc, weights=hit[:, k], minlength=len(prior)) for k in range(c)], axis=1) / np.maximum(n, 1)[:, None]
         yes = np.array([[k in truth[d] for k in range(c)] for d in docs])
-        grid = np.arange(0.1, 0.301, 0.01)
-        f1 = []
-        for t in grid:
-            said = share[docs] >= t
-            f1.append(2 * (said & yes).sum() / max(1, said.sum() + yes.sum()))
-        f1 = np.array(f1)
-        good = grid[f1 >= f1.max() - 0.005]
-        known = len(docs) / (len(docs) + 100)
-        model.threshold[:] = known * good.mean() + (1 - known) * 0.2
+        said = share[docs][None] >= GRID[:, None, None]
+        hits, both = (said & yes).sum(axis=1), said.sum(axis=1) + yes.sum(axis=0)
+        common = _threshold(hits.sum(axis=1), both.sum(axis=1), len(docs) / (len(docs) + 100), 0.2)
+        for k in range(c):
+            model.threshold[k] = _threshold(hits[:, k], both[:, k], yes[:, k].sum() / (yes[:, k].sum() + 50), common)
     return model
 
 
-def train_subjects(
-    texts: DataFrame, labels: DataFrame, layers: DataFrame, areas: DataFrame, hints: dict[str, tuple[str, ...]] = FOLDER_HINTS, labelled_rows: int = 3_000, hinted_rows: int = 3_000, sentences: int = 48
-) -> Model:
-    """Fit on a bounded sample: at most ``labelled_rows`` rows with hand labels and ``hinted_rows`` whose filed main
-    is a hint, chosen by a hash of their keys, and at most ``sentences`` sentences of each, chosen by a seed.
+def train_subjects(texts: DataFrame, labels: DataFrame, layers: DataFrame, areas: DataFrame, labelled_rows: int = 3_000, hinted_rows: int = 3_000, sentences: int = 48, held_share: float = 0.25, kept_rows: int = 200) -> Model:
+    """Fit on a bounded sample: at most ``labelled_rows`` rows with hand labels and ``hinted_rows`` with a filed
+    main, chosen by a hash of their keys, and at most ``sentences`` sentences of each, chosen by a seed.
 
-    A main is a hint for the subject that the hand labels of the sample show at least half of the time (``hints``
-    count as three labels each); mains of no clear subject give none. Labels of unknown subjects are left out.
+    A main is a hint for the subject that the hand labels of its documents show at least half of the time, and twice at least; what other
+    mains stand for is found while fitting. ``held_share`` of the rows with hand labels, by hash, are kept out of the fit and set the thresholds. Labels of unknown
+    subjects are left out.
     """
-    names = [r[0] for r in areas.where("subject IS NOT NULL").select("subject").orderBy("subject_id").limit(256).collect()]
+    names = [r[0] for r in areas.where("subject IS NOT NULL").select("subject", "subject_id").distinct().orderBy("subject_id", "subject").collect()]  # the reference list
     index = {n: i for i, n in enumerate(names)}
     subject = form_k(F.col("subject"))
     mains = current_rows(layers, ["main"]).select("doc_id", form_k(F.col("main")).alias("main")).where("main <> ''")
     hand = labels.where(subject.isin([form for form in index])).groupBy("extract_id").agg(F.collect_set(subject).alias("subjects"))
-    hand = hand.orderBy(F.xxhash64("extract_id"), "extract_id").limit(labelled_rows)
-    named = sorted({m for many in hints.values() for m in many})
+    hand = cut(hand.orderBy(F.xxhash64("extract_id"), "extract_id").limit(labelled_rows))
     base = texts.where(F.col("text").isNotNull() & F.col("extract_id").isNotNull()).select("extract_id", "doc_id", "text")
+    # what mains the labelled documents have: at most labelled_rows mains
+    shown = base.select("extract_id", "doc_id").join(F.broadcast(hand), "extract_id").select("doc_id", "subjects").join(mains, "doc_id")
+    seen: dict[str, np.ndarray] = {}
+    for r in shown.select("main", F.explode("subjects").alias("s"), (1 / F.size("subjects")).alias("w")).groupBy("main", "s").agg(F.sum("w").alias("w")).collect():
+        seen.setdefault(r["main"], np.zeros(len(names)))[index[r["s"]]] = r["w"]
+    hints = {m: int(v.argmax()) for m, v in seen.items() if v.max() >= 1.5 and v.max() >= 0.5 * v.sum()}
     by_hash = lambda df, *keys: df.orderBy(F.xxhash64(*keys), *keys)
     # both samples are bounded, so they are broadcast; the bounds are on rows, and each sample has its own
-    hinted = base.select("extract_id", "doc_id").join(mains.where(F.col("main").isin(named)).withColumnRenamed("main", "hint"), "doc_id")
+    hinted = base.select("extract_id", "doc_id").join(mains.withColumnRenamed("main", "hint"), "doc_id")
     hinted = by_hash(hinted.join(F.broadcast(hand.select("extract_id")), "extract_id", "left_anti"), "extract_id", "doc_id").limit(hinted_rows).distinct()
     with_hand = by_hash(base.join(F.broadcast(hand), "extract_id"), "extract_id", "doc_id", "text").limit(labelled_rows)
     with_hint = by_hash(base.join(F.broadcast(hinted), ["extract_id", "doc_id"]), "extract_id", "doc_id", "text").limit(hinted_rows)
@@ -253,14 +282,10 @@ def train_subjects(
 
     schema = "extract_id long, doc_id string, subjects array<string>, hint string, sizes binary, words binary, pairs binary"
     some = sample.mapInPandas(sentences_of, schema).toPandas().sort_values("extract_id", ignore_index=True)
-    filed = dict(mains.join(F.broadcast(hand.select("extract_id").join(base.select("extract_id", "doc_id"), "extract_id").select("doc_id").distinct()), "doc_id").select("doc_id", "main").collect())
-    seen: dict[str, np.ndarray] = {m: 3.0 * (np.arange(len(names)) == index[s]) for s, many in hints.items() if s in index for m in many}
-    truth: dict[int, set[int]] = {}
-    for i, r in enumerate(some.itertuples(index=False)):
-        if r.subjects is not None and len(r.subjects):
-            truth[i] = {index[s] for s in r.subjects if s in index}
-            if m := filed.get(r.doc_id):
-                seen.setdefault(m, np.zeros(len(names)))[sorted(truth[i])] += 1 / len(truth[i])
+    truth = {i: {index[s] for s in r.subjects if s in index} for i, r in enumerate(some.itertuples(index=False)) if r.subjects is not None and len(r.subjects)}
+    # the hash that orders the sample is not used again, so that its first rows aren't the held ones
+    order = sorted(truth, key=lambda i: (zlib.crc32(f"held {some['extract_id'].iat[i]}".encode()), i))
+    held = frozenset(order[: int(held_share * max(0, len(order) - kept_rows))])
     c = len(names)
     prior = np.full((len(some), c + 1), 0.5 / max(c, 1))
     prior[:, c] = 0.5
@@ -268,17 +293,18 @@ def train_subjects(
         if i in truth:
             prior[i, :c] = 0.03 / c
             prior[i, sorted(truth[i])] = 0.47 / len(truth[i])
-        elif isinstance(r.hint, str) and (v := seen.get(r.hint)) is not None and v.max() >= 0.5 * v.sum():
+        elif r.hint in hints:
             prior[i, :c] = 0.15 / c
-            prior[i, v.argmax()] = 0.35
+            prior[i, hints[r.hint]] = 0.35
     prior /= prior.sum(axis=1, keepdims=True)
+    group = pd.factorize(some["hint"])[0]
     sizes = [np.frombuffer(s, dtype=np.int32) for s in some["sizes"]]
     flat = np.concatenate(sizes).astype(np.int64) if sizes else np.empty(0, dtype=np.int64)
     if not len(flat):
         return Model(names, np.zeros(((2 << BITS) + 1, c), dtype=np.float32), np.full(c, -1, dtype=np.float32), np.full(c, 0.2))
     feats = np.stack([np.frombuffer(b"".join(some[k]), dtype=np.int32) for k in ("words", "pairs")], axis=1)
     doc = np.repeat(np.arange(len(some)), [len(s) for s in sizes])
-    return fit(feats, np.cumsum(flat) - flat, doc, prior, truth, names)
+    return fit(feats, np.cumsum(flat) - flat, doc, prior, truth, names, held, group)
 
 
 def assign_subjects(texts: DataFrame, model: Model) -> DataFrame:
