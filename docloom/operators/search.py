@@ -49,6 +49,63 @@ def search_sql(rules, least: int = LEAST) -> str:
 SELECT doc_id, CAST(score AS BIGINT) AS score, CASE WHEN a AND b THEN 'name_and_text' WHEN a THEN 'name' WHEN b THEN 'text' ELSE 'none' END AS kind FROM s WHERE score >= {least}"""
 
 
+#: (class, what the name must match, what the text must match), the first that holds. A parameter.
+SEARCH_CLASSES = (
+    ("event_here", r"(?i)\b(?:agenda|programme|sign-?in)\b", r"(?i)\b(?:workshop|training|course)\b"),
+    ("event_travel", r"(?i)\b(?:travel|trip|itinerary|mileage|lodging)\b", r"(?i)\b(?:workshop|conference|training)\b"),
+    ("travel", r"(?i)\b(?:travel|trip|itinerary|mileage|lodging)\b", ""),
+    ("travel", "", r"(?i)\b(?:hotel|hostel|itinerary|airfare|luggage|railcard)\b"),
+    ("event", "", r"(?i)\b(?:workshop|conference|training)\b"),
+)
+#: Names that are opened, names that never are, types without text, and the size beyond which only travel papers are opened.
+OPENED = r"(?i)\b(?:travel|trip|itinerary|mileage|lodging|workshop|conference|training|course|meeting|campus|form)\b"
+TRAVEL_NAME = r"(?i)\b(?:travel|trip|itinerary|mileage|lodging)\b"
+NEVER = r"(?i)\b(?:w-?2|1099|tax|mortgage|immunization)\b"
+NO_TEXT = ("key", "numbers", "pages", "mov", "mp4", "mp3", "exe", "dll", "bin")
+LARGEST = 8_000_000
+
+
+def _holds(name: Column, text: Column, a: str, b: str) -> Column:
+    return (name.rlike(a) if a else F.lit(True)) & (text.rlike(b) if b else F.lit(True))
+
+
+def hit_class(name: Column, text: Column, classes=SEARCH_CLASSES) -> Column:
+    """The first class whose patterns name and text match, else 'weak'."""
+    out = F.when(_holds(name, text, *classes[0][1:]), classes[0][0])
+    for kind, a, b in classes[1:]:
+        out = out.when(_holds(name, text, a, b), kind)
+    return out.otherwise("weak")
+
+
+def dated_years(text: Column) -> Column:
+    """Years named in full, then those of dates such as 6/14/25, then those of short forms such as '25; each once."""
+    full = F.regexp_extract_all(text, F.lit(r"(?U)\b((?:19|20)\d\d)\b"), F.lit(1))
+    short = lambda p: F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), lambda y: F.concat(F.lit("20"), y))
+    return F.array_distinct(F.concat(F.array_sort(F.array_distinct(full)), F.array_sort(short(r"(?:^|[^0-9/])\d{1,2}/\d{1,2}/(\d\d)(?:$|[^0-9/])")), F.array_sort(short(r"(?:^|[^0-9A-Za-z])['’](\d\d)(?:$|[^0-9A-Za-z])"))))
+
+
+def worth_opening(path: Column, size: Column) -> Column:
+    name = F.element_at(F.split(path, "/"), -1)
+    ext = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
+    plain = F.regexp_replace(name, "[_-]+", " ")
+    return F.coalesce(plain.rlike(OPENED) & ~plain.rlike(NEVER) & ~ext.isin(*NO_TEXT) & ((F.coalesce(size, F.lit(0)) <= LARGEST) | plain.rlike(TRAVEL_NAME)), F.lit(False))
+
+
+def class_sql() -> str:
+    cases = " ".join(f"WHEN {' AND '.join([*([f"regexp_matches(name, '{a}')"] if a else []), *([f"regexp_matches(t, '{b}')"] if b else [])])} THEN '{k}'" for k, a, b in SEARCH_CLASSES)
+    short = lambda p: f"list_sort(list_transform(regexp_extract_all(t, '{p}', 1), lambda y: '20' || y))"
+    date = short(r"(?:^|[^0-9/])\d{1,2}/\d{1,2}/(\d\d)(?:$|[^0-9/])")
+    mark = short(r"(?:^|[^0-9A-Za-z])[''’](\d\d)(?:$|[^0-9A-Za-z])")
+    return rf"""WITH s AS (SELECT doc_id, coalesce(list_extract(string_split(rel_path, '/'), -1), '') AS name, coalesce(text, '') AS t FROM documents),
+y AS (SELECT *, list_concat(list_sort(list_distinct(regexp_extract_all(t, '\b((?:19|20)\d\d)\b', 1))), {date}, {mark}) AS ys FROM s)
+SELECT doc_id, CASE {cases} ELSE 'weak' END AS kind, array_to_string(list_filter(ys, lambda v, i: list_position(ys, v) = i), ',') AS years FROM y"""
+
+
+def candidate_sql() -> str:
+    return rf"""WITH s AS (SELECT extract_id, rel_path, size_bytes, regexp_replace(list_extract(string_split(rel_path, '/'), -1), '[_-]+', ' ', 'g') AS name, lower(regexp_extract(rel_path, '\.([A-Za-z0-9]+)$', 1)) AS ext FROM extract_record)
+SELECT extract_id, rel_path FROM s WHERE regexp_matches(name, '{OPENED}') AND NOT regexp_matches(name, '{NEVER}') AND ext NOT IN ({", ".join(f"'{x}'" for x in NO_TEXT)}) AND (coalesce(size_bytes, 0) <= {LARGEST} OR regexp_matches(name, '{TRAVEL_NAME}'))"""
+
+
 #: A person on a labelled line.
 LABELLED_PERSON = r"(?:Recipient|Attendee|Traveler|Employee name|Guest name): ([A-Z][\p{L}.'-]+(?: [A-Z][\p{L}.'-]+){1,3})"
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.plans import audit_plans, layer_plans, ledger_plans, stream_plans, tag_plans, text_plans
+from docloom.plans import audit_plans, layer_plans, ledger_plans, review_plans, stream_plans, tag_plans, text_plans
 
-PLANS = (text_plans, ledger_plans, tag_plans, layer_plans, audit_plans, stream_plans)
+PLANS = (text_plans, ledger_plans, tag_plans, layer_plans, audit_plans, stream_plans, review_plans)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

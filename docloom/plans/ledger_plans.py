@@ -29,25 +29,6 @@ def ledger_versions(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def flat_decisions(spark: SparkSession, d: str) -> DataFrame:
-    """The nested ledger row as one level of columns; counts and samples of every kind of identifier."""
-    kinds = [*_IDENTIFIERS, "sensitive_keyword"]
-    prior = lambda k: F.try_element_at(F.col("priors"), F.lit(k))
-    samples = lambda k: F.coalesce(F.array_join(F.filter(prior(k)["redacted_samples"], lambda x: x != ""), ","), F.lit(""))
-    steps = F.array_compact(F.array(F.when(F.col("char_count").isNotNull(), "extract"), F.when(F.col("priors").isNotNull(), "priors"), F.when(F.col("pass1").isNotNull(), "pass1"), F.when(F.col("pass2").isNotNull(), "pass2")))
-    return _ledger(spark, d).select(
-        "doc_id",
-        "rel_path",
-        F.array_join("filename_tags", ",").alias("filename_tags"),
-        *[F.coalesce(prior(k)["count"], F.lit(0)).cast("long").alias(f"prior_{k}_count") for k in kinds],
-        *[samples(k).alias(f"prior_{k}_samples") for k in kinds],
-        *[F.col(f"pass1.{c}").alias(f"pass1_{c}") for c in ("status", "primary_tag", "custody", "confidence")],
-        F.col("pass1.chunk_count").cast("long").alias("pass1_chunk_count"),
-        *[F.col(f"pass2.{c}").alias(f"pass2_{c}") for c in ("status", "recommendation", "custody", "confidence")],
-        F.array_join(steps, ",").alias("steps_done"),
-    )
-
-
 def pending_rows(spark: SparkSession, d: str) -> DataFrame:
     """Documents whose first pass is missing or was skipped, in path order."""
     status = F.col("pass1.status")
@@ -177,18 +158,8 @@ c AS (SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL
  CASE WHEN a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL THEN a.main IS NOT DISTINCT FROM b.main END AS same_main FROM a FULL JOIN b ON a.doc_id = b.doc_id)"""
 
 
-def _flat_sql() -> str:
-    kinds = [*_IDENTIFIERS, "sensitive_keyword"]
-    counts = ", ".join(f"CAST(coalesce(priors['{k}'].count, 0) AS BIGINT) AS prior_{k}_count" for k in kinds)
-    samples = ", ".join(f"coalesce(array_to_string(list_filter(priors['{k}'].redacted_samples, lambda x: x <> ''), ','), '') AS prior_{k}_samples" for k in kinds)
-    p1 = ", ".join(f"pass1.{c} AS pass1_{c}" for c in ("status", "primary_tag", "custody", "confidence"))
-    p2 = ", ".join(f"pass2.{c} AS pass2_{c}" for c in ("status", "recommendation", "custody", "confidence"))
-    steps = "concat_ws(',', CASE WHEN char_count IS NOT NULL THEN 'extract' END, CASE WHEN priors IS NOT NULL THEN 'priors' END, CASE WHEN pass1 IS NOT NULL THEN 'pass1' END, CASE WHEN pass2 IS NOT NULL THEN 'pass2' END)"
-    return f"{_CURRENT} SELECT doc_id, rel_path, array_to_string(filename_tags, ',') AS filename_tags, {counts}, {samples}, {p1}, CAST(pass1.chunk_count AS BIGINT) AS pass1_chunk_count, {p2}, {steps} AS steps_done FROM cur"
-
-
 def queries() -> dict:
-    names = "ledger_current ledger_versions flat_decisions pending_rows ledger_upsert upsert_actions unseen_extracts path_lookup run_comparison run_agreement path_set_operations ledger_report recommendation_histogram primary_tag_map prior_kind_counts unmasked_samples progress_ticks rate_change event_counters"
+    names = "ledger_current ledger_versions pending_rows ledger_upsert upsert_actions unseen_extracts path_lookup run_comparison run_agreement path_set_operations ledger_report recommendation_histogram primary_tag_map prior_kind_counts unmasked_samples progress_ticks rate_change event_counters"
     return {n: globals()[n] for n in names.split()}
 
 
@@ -197,7 +168,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "ledger_current": _CURRENT + " SELECT doc_id, rel_path, content_hash, char_count, prior_severity, queue_status FROM cur",
         "ledger_versions": "SELECT doc_id, count(*) AS row_count, count(DISTINCT content_hash) AS hashes, min(queued_at) AS first_queued, max(queued_at) AS last_queued FROM ledger GROUP BY 1",
-        "flat_decisions": _flat_sql(),
         "pending_rows": _CURRENT + " SELECT doc_id, rel_path FROM cur WHERE pass1.status IS NULL OR pass1.status = 'skipped'",
         "ledger_upsert": _UPSERT + " SELECT * FROM m",
         "upsert_actions": _UPSERT + " SELECT merge_action, count(*) AS documents FROM m GROUP BY 1",
