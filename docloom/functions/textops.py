@@ -90,9 +90,31 @@ def keyword_snippets(text: Column, pattern: str, radius: int = 90, most: int = 3
 NAME_NOISE = ("travel", "form", "forms", "signed", "grant", "docs", "conference", "hotel", "meeting", "receipt", "schedule", "final", "copy", "draft", "scan", "the", "and", "for", "resume", "letter")
 
 
-def names_in_filename(path: Column, noise: tuple[str, ...] = NAME_NOISE) -> Column:
-    """Candidate person names of a file name: two or three capitalised words in a row that are no form words."""
-    stem = F.regexp_replace(bare_stem(path), r"[_]+", " ")
-    runs = F.regexp_extract_all(stem, F.lit(r"((?:\p{Lu}\.|\p{Lu}[\p{L}'-]+)(?:\s+\p{Lu}[\p{L}'-]+){1,2})"), F.lit(1))
-    words = F.transform(runs, lambda r: F.array_join(F.filter(F.split(r, r"\s+"), lambda w: ~F.lower(w).isin(*noise)), " "))
-    return F.array_distinct(F.filter(words, lambda r: r.rlike(r"\S\s+\S")))
+_WORD = r"\p{Lu}[\p{L}.'’-]*\p{L}"
+_TRIP = "(?i:travel|trip|mileage|lodging|hotel|conference|workshop)"
+#: Forms in which people stand in file names, in the order they count. A parameter.
+NAME_FORMS = (
+    rf"^(\p{{Lu}}(?:\.\p{{Lu}})?\.?\s+{_WORD}(?:\s+{_WORD})?)[\s_-]+{_TRIP}",
+    rf"^(\p{{Lu}}\.{_WORD})\s*[-–]",
+    r"^(\p{L}[\p{L}.'’-]+(?:\s+\p{L}[\p{L}.'’-]+)?)_\p{L}",
+    r"[-–]\s*(\p{Lu}{2,3})\s*$",
+    rf"(?i:badge|statement|itinerary|form)[-_ ]({_WORD})",
+    rf"^({_WORD})\s+{_TRIP}",
+    rf"^({_WORD})-(?i:taxi|rail|flight|cab)\b",
+)
+
+
+def distinct_words(values: Column) -> Column:
+    """Values without repeats, whatever their case: the first spelling stays, in its place."""
+    low = F.transform(values, F.lower)
+    return F.filter(values, lambda v, i: F.array_position(low, F.lower(v)) == i + 1)
+
+
+def names_in_filename(path: Column, noise: tuple[str, ...] = NAME_NOISE, forms: tuple[str, ...] = NAME_FORMS) -> Column:
+    """Candidate person names of a file name: those in a known form, then two or three capitalised words in a row; form words are no names."""
+    stem = bare_stem(path)
+    known = F.array(*[F.regexp_extract(stem, p, 1) for p in forms])
+    runs = F.regexp_extract_all(F.regexp_replace(stem, r"[_]+", " "), F.lit(r"((?:\p{Lu}\.|\p{Lu}[\p{L}'-]+)(?:\s+\p{Lu}[\p{L}'-]+){1,2})"), F.lit(1))
+    clean = lambda r: F.array_join(F.filter(F.split(r, r"\s+"), lambda w: ~F.lower(w).isin(*noise)), " ")
+    whole = F.filter(F.transform(runs, clean), lambda r: r.rlike(r"\S\s+\S"))
+    return distinct_words(F.filter(F.concat(F.transform(known, clean), whole), lambda r: r != ""))

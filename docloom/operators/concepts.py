@@ -38,13 +38,16 @@ def concepts(records: DataFrame, tags: str = "tags", key: str = "doc_id") -> tup
 def concept_pairs(named: DataFrame, members: DataFrame, key: str = "doc_id", least_shared: int = 2, least_jaccard: float = 0.25) -> DataFrame:
     """(a, b, shared, jaccard), a < b: concepts that share a content word, documents and enough of their union.
 
-    Candidates come from an equi-join on (word, document), not from all pairs of a document: only concepts with a
-    common word meet.
+    The concepts of a document are collapsed to baskets, identical ones to one with a weight; a pair is listed once for each
+    distinct basket, and only if its words meet, so nothing is joined with itself.
     """
-    words = named.select("concept_id", F.explode(content_tokens(F.col("preferred"))).alias("word")).join(members, "concept_id")
-    left = words.select("word", key, F.col("concept_id").alias("a"))
-    right = words.select("word", key, F.col("concept_id").alias("b"))
-    shared = left.join(right, ["word", key]).where("a < b").select("a", "b", key).distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    worded = members.join(named.select("concept_id", content_tokens(F.col("preferred")).alias("words")), "concept_id")
+    baskets = worded.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("concept_id", "words"))).alias("basket")).where(F.size("basket") > 1)
+    weighted = baskets.groupBy("basket").agg(F.count(F.lit(1)).alias("weight"))
+    firsts = weighted.select("basket", "weight", F.posexplode("basket").alias("_pos", "x"))
+    later = F.filter("basket", lambda y, i: (i > F.col("_pos")) & F.arrays_overlap(y["words"], F.col("x.words")))
+    pairs = firsts.select("weight", F.col("x.concept_id").alias("a"), F.explode(F.transform(later, lambda y: y["concept_id"])).alias("b"))
+    shared = pairs.groupBy("a", "b").agg(F.sum("weight").alias("shared"))
     size = lambda x: named.select(F.col("concept_id").alias(x), F.col("docs").alias(f"n_{x}"))
     jaccard = F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))
     both = shared.where(F.col("shared") >= least_shared).join(size("a"), "a").join(size("b"), "b")
@@ -62,12 +65,12 @@ def clusters(named: DataFrame, pairs: DataFrame, most_members: int = 16) -> Data
     are decided among themselves. The first undecided concept is decided or turned away in each round, so the rounds
     end with all decided.
     """
-    order = named.select("concept_id", F.row_number().over(Window.orderBy(F.desc("docs"), "preferred", "concept_id")).alias("rank"))
-    order = cut(order)
+    # numbers that rise with the sorted ranges; they need not be dense, so that no single task numbers all concepts
+    order = cut(named.select("concept_id", "docs", "preferred").orderBy(F.desc("docs"), "preferred", "concept_id").select("concept_id", F.monotonically_increasing_id().alias("rank")))
     ranks = lambda x: order.select(F.col("concept_id").alias(x), F.col("rank").alias(f"r_{x}"))
     both = pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = cut(both.join(ranks("a"), "a").join(ranks("b"), "b").where("r_b < r_a").select("r_a", "r_b"))  # a may join the earlier b
-    state = cut(order.select("rank", F.lit(None).cast("int").alias("seed")))
+    state = cut(order.select("rank", F.lit(None).cast("long").alias("seed")))
     while not state.where("seed IS NULL").isEmpty():
         open_ = state.where("seed IS NULL").select("rank")
         seeds = state.where("seed = rank").select(F.col("rank").alias("r_b"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.textops import collapse_spaced_title, years_in
+from docloom.functions.textops import collapse_spaced_title, distinct_words, years_in
 
 #: (where: name or text, pattern, weight). A parameter: another search is another table.
 SEARCH_RULES = (
@@ -110,10 +110,20 @@ SELECT extract_id, rel_path FROM s WHERE regexp_matches(name, '{OPENED}') AND NO
 LABELLED_PERSON = r"(?:Recipient|Attendee|Traveler|Employee name|Guest name): ([A-Z][\p{L}.'-]+(?: [A-Z][\p{L}.'-]+){1,3})"
 
 
+#: Surname and initial as a hotel's folio has them, before the word NAME.
+FOLIO_PERSON = r"(?sU)\b(\p{Lu}{3,}/\p{Lu})\b(?=.{0,40}NAME)"
+
+
+def people_in(text: Column) -> Column:
+    """People on labelled lines, then those of folios (as initial and surname), each once whatever the case."""
+    flat = collapse_spaced_title(F.regexp_replace(text, r"[ \t\r\n]+", " "))
+    folio = F.transform(F.regexp_extract_all(text, F.lit(FOLIO_PERSON), F.lit(1)), lambda m: F.concat(F.right(m, F.lit(1)), F.lit(". "), F.initcap(F.split_part(m, F.lit("/"), F.lit(1)))))
+    return distinct_words(F.concat(F.regexp_extract_all(flat, F.lit(LABELLED_PERSON), F.lit(1)), folio))
+
+
 def people(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(person, files, first_key, years): people on labelled lines, without regard to case, over all rows."""
-    flat = collapse_spaced_title(F.regexp_replace(F.col(text), r"[ \t\r\n]+", " "))
-    each = df.where(F.col(text).isNotNull()).select(key, F.explode(F.array_distinct(F.regexp_extract_all(flat, F.lit(LABELLED_PERSON), F.lit(1)))).alias("person"), years_in(F.col(text)).alias("ys"))
+    """(person, files, first_key, years): people on labelled lines and folios, without regard to case, over all rows."""
+    each = df.where(F.col(text).isNotNull()).select(key, F.explode(people_in(F.col(text))).alias("person"), years_in(F.col(text)).alias("ys"))
     named = each.groupBy(F.lower("person").alias("who")).agg(F.min_by("person", F.struct(key, "person")).alias("person"), F.countDistinct(key).alias("files"), F.min(key).alias("first_key"))
     years = each.select(F.lower("person").alias("who"), F.explode("ys").alias("y")).groupBy("who").agg(F.array_join(F.array_sort(F.collect_set("y")), ",").alias("years"))
     return named.join(years, "who", "left").select("person", "files", "first_key", F.coalesce("years", F.lit("")).alias("years"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docloom.session import cut
 from docloom.functions.terms import UNMAPPED, human_label, is_banned_head, kebab, node_id
 
 DEPTH = 3
@@ -94,24 +95,24 @@ def nearest_kept(nodes: DataFrame, dropped: Column, depth: int = DEPTH) -> DataF
 def findings(nodes: DataFrame, assignments: DataFrame, fat_at: int = FAT_BRANCH, drift: float = DRIFT) -> DataFrame:
     """(kind, region_id, docs): empty nodes, single children, fat branches, scope drift, and the unassigned.
 
-    ``nodes`` has id and parent_id, ``assignments`` (rel_path, region_id) with one row for each region, null for none.
+    ``nodes`` has id and parent_id, ``assignments`` (rel_path, region_id) with one row for each region, null for none; rows without a path are no
+    files. In the order of kind and region.
     """
-    each = assignments.where("region_id IS NOT NULL").select("rel_path", "region_id")
-    known = each.join(nodes.select(F.col("id").alias("region_id")), "region_id", "left_semi")
-    counts = known.groupBy("region_id").agg(F.count(F.lit(1)).alias("n"))
-    sized = nodes.select("id", "parent_id").join(counts, F.col("id") == F.col("region_id"), "left").select("id", "parent_id", F.coalesce("n", F.lit(0)).alias("n"))
+    ids = nodes.select(F.col("id").alias("region_id"), "parent_id", F.lit(True).alias("known"))
+    marked = assignments.where("rel_path IS NOT NULL").join(ids, "region_id", "left")
+    counts = marked.where("known").groupBy("region_id").agg(F.count(F.lit(1)).alias("n"))
+    # the regions of a file are a set of nodes at most, added up in each task before the shuffle
+    per = cut(marked.groupBy("rel_path").agg(F.collect_set(F.when(F.col("known"), F.col("region_id"))).alias("regions")))
+    outside = per.select("regions", F.explode("regions").alias("region_id")).join(ids.where("parent_id IS NOT NULL"), "region_id")
+    extra = outside.where(~F.array_contains("regions", F.col("parent_id"))).groupBy("region_id").agg(F.count(F.lit(1)).alias("extra"))
+    filled = counts.select(F.col("region_id").alias("parent_id"), F.lit(True).alias("filled"))
+    sized = ids.join(counts, "region_id", "left").join(extra, "region_id", "left").join(filled, "parent_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     kind = F.when(F.col("n") == 0, "empty-node").when(F.col("parent_id").isNotNull() & (F.col("n") <= 1), "singularity").when(F.col("n") >= fat_at, "fat-branch")
-    shape = sized.select(kind.alias("kind"), F.col("id").alias("region_id"), F.col("n").alias("docs")).where("kind IS NOT NULL")
-    sets = known.distinct()
-    child = sets.join(nodes.select(F.col("id").alias("region_id"), "parent_id").where("parent_id IS NOT NULL"), "region_id")
-    filled = counts.select(F.col("region_id").alias("parent_id"))
-    child = child.join(filled, "parent_id", "left_semi")
-    extra = child.join(sets.select(F.col("region_id").alias("parent_id"), "rel_path"), ["parent_id", "rel_path"], "left_anti").groupBy("region_id").agg(F.count(F.lit(1)).alias("docs"))
-    drifted = extra.join(counts, "region_id").where(F.col("docs") > F.col("n") * drift).select(F.lit("scope-drift").alias("kind"), "region_id", "docs")
-    placed = known.select("rel_path").distinct()
-    loose = assignments.select("rel_path").distinct().join(placed, "rel_path", "left_anti").agg(F.count(F.lit(1)).alias("docs")).where("docs > 0")
-    text = lambda df: df.withColumn("region_id", F.col("region_id").cast("string"))
-    return text(shape).unionAll(text(drifted)).unionAll(loose.select(F.lit("unassigned").alias("kind"), F.lit("unassigned").alias("region_id"), "docs"))
+    drifted = F.col("filled") & (F.col("extra") > F.col("n") * drift)
+    said = F.array_compact(F.array(F.when(kind.isNotNull(), F.struct(kind.alias("kind"), F.col("n").alias("docs"))), F.when(drifted, F.struct(F.lit("scope-drift").alias("kind"), F.col("extra").alias("docs")))))
+    shape = sized.select(F.explode(said).alias("f"), F.col("region_id").cast("string").alias("region_id")).select("f.kind", "region_id", "f.docs")
+    loose = per.where(F.size("regions") == 0).agg(F.count(F.lit(1)).alias("docs")).where("docs > 0")
+    return shape.unionAll(loose.select(F.lit("unassigned").alias("kind"), F.lit("unassigned").alias("region_id"), "docs")).orderBy("kind", "region_id")
 
 
 def primary_region(assignments: DataFrame, nodes_with_depth: DataFrame, bins: list) -> DataFrame:

@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.session import ensure_checkpoint_dir, table
-from docloom.streaming.ingest import replace_batches, run_into, scanned, upsert_batches, windowed_counts
+from docloom.plans import text_plans
+from docloom.session import ensure_checkpoint_dir, numbered, table
+from docloom.streaming.ingest import replace_batches, run_into, scanned, upsert_batches, upserted, windowed_counts
 
 
 def _source(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -28,9 +29,7 @@ def _folder(spark: SparkSession) -> str:
 
 
 def _latest(spark: SparkSession, target: str) -> DataFrame:
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    names = [f.getPath().getName() for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
-    return spark.read.parquet(f"{target}/v={max(int(n[2:]) for n in names if n.startswith('v='))}")
+    return spark.read.parquet(f"{target}/v={numbered(spark, target)[-1]}")
 
 
 def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
@@ -38,7 +37,7 @@ def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     folder = _folder(spark)
     rows = _source(spark, d, "extract_record").where("doc_id IS NOT NULL").select("doc_id", "extract_id", "rel_path", "extracted_at", F.struct("extracted_at", "extract_id").alias("at"))
     run_into(rows, f"{folder}/checkpoint", upsert_batches(f"{folder}/ledger", "doc_id", "at")).awaitTermination()
-    return _latest(spark, f"{folder}/ledger").select("doc_id", "extract_id", "rel_path", "extracted_at")
+    return upserted(spark, f"{folder}/ledger", rows.schema).select("doc_id", "extract_id", "rel_path", "extracted_at")
 
 
 def stream_daily_files(spark: SparkSession, d: str) -> DataFrame:
@@ -63,4 +62,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"stream_upsert": "SELECT doc_id, extract_id, rel_path, extracted_at FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY extracted_at DESC NULLS LAST, extract_id DESC) AS rn FROM extract_record WHERE doc_id IS NOT NULL) WHERE rn = 1"}
+    severity = text_plans.oracle_sql()["prior_severity"]
+    return {
+        "stream_upsert": "SELECT doc_id, extract_id, rel_path, extracted_at FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY extracted_at DESC NULLS LAST, extract_id DESC) AS rn FROM extract_record WHERE doc_id IS NOT NULL) WHERE rn = 1",
+        "stream_daily_files": "SELECT date_trunc('day', extracted_at)::TIMESTAMP AS day, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes FROM extract_record WHERE extracted_at IS NOT NULL GROUP BY 1",
+        "stream_severity": f"SELECT extract_id, severity FROM ({severity})",
+    }

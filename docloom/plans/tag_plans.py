@@ -19,9 +19,10 @@ def _current(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tag_histogram(spark: SparkSession, d: str) -> DataFrame:
-    """The 40 most frequent tags; ties in order of name."""
-    each = _current(spark, d).select(F.explode("tags").alias("tag")).where(F.trim("tag") != "")
-    return each.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "tag").limit(40)
+    """The 40 most frequent tags; of ties the one seen first, in the order of paths and within a document."""
+    each = _current(spark, d).select("rel_path", "doc_id", F.posexplode("tags").alias("pos", "tag")).where(F.trim("tag") != "")
+    counted = each.groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rel_path", "doc_id", "pos")).alias("seen"))
+    return counted.orderBy(F.desc("n"), "seen").limit(40).select("tag", "n")
 
 
 def tag_inventory(spark: SparkSession, d: str) -> DataFrame:
@@ -73,7 +74,7 @@ def token_sets(spark: SparkSession, d: str) -> DataFrame:
 
 def tag_concepts(spark: SparkSession, d: str) -> DataFrame:
     named, _ = concepts(_current(spark, d))
-    return named.select("concept_id", "preferred", F.array_join("aliases", "|").alias("aliases"), "docs")
+    return named.select("concept_id", "preferred", F.array_join("aliases", "|").alias("aliases"), "docs").orderBy(F.desc("docs"), "preferred", "concept_id")
 
 
 def tag_concept_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -88,7 +89,7 @@ def tag_clusters(spark: SparkSession, d: str) -> DataFrame:
     c = cut(clusters(named, concept_pairs(named, members)))
     docs = c.join(members, "concept_id").groupBy("seed").agg(F.countDistinct("doc_id").alias("docs"))
     shape = c.join(named, "concept_id").groupBy("seed").agg(F.count(F.lit(1)).alias("members"), F.sum(F.size("aliases").cast("long")).alias("aliases"))
-    return shape.join(docs, "seed")
+    return shape.join(docs, "seed").orderBy(F.desc("docs"), "seed")
 
 
 def _plan_tags(spark: SparkSession, d: str) -> DataFrame:
@@ -174,7 +175,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     tags30 = _capped("tags", 30).rsplit(" AS ", 1)[0]
     return {
-        "tag_histogram": f"WITH {_CUR} SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM cur) WHERE trim(tag) <> '' GROUP BY 1 ORDER BY n DESC, tag LIMIT 40",
+        "tag_histogram": f"WITH {_CUR} SELECT tag, n FROM (SELECT tag, count(*) AS n, min({{'p': rel_path, 'd': doc_id, 'i': i}}) AS seen FROM (SELECT rel_path, doc_id, unnest(tags) AS tag, generate_subscripts(tags, 1) AS i FROM cur) WHERE trim(tag) <> '' GROUP BY 1) ORDER BY n DESC, seen LIMIT 40",
         "tag_inventory": _INV + " SELECT tag, docs FROM inv",
         "prompt_inventory": _INV + " SELECT tag, docs FROM inv WHERE docs >= 2 ORDER BY docs DESC, tag LIMIT 180",
         "tags_per_document": f"WITH {_CUR}, n AS (SELECT coalesce(len(list_filter(tags, lambda t: trim(t) <> '')), 0) AS n FROM cur) SELECT count(*) AS documents, CAST(sum(n) AS BIGINT) AS tags, avg(n) AS average, max(n) AS most FROM n",

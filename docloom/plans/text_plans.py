@@ -187,7 +187,7 @@ def search_people(spark: SparkSession, d: str) -> DataFrame:
 def model_json(spark: SparkSession, d: str) -> DataFrame:
     """Answers in the forms models give, built from the summaries, and what is read from them."""
     t = table(spark, d, "layer_record").where("main IS NOT NULL").select("doc_id", "stamped_at", F.to_json(F.struct("main", "sub")).alias("j"))
-    form = F.pmod(F.xxhash64("doc_id"), F.lit(4))
+    form = F.ascii(F.md5("doc_id")) % 4
     text = F.when(form == 0, F.col("j")).when(form == 1, F.concat(F.lit("Here:\n```json\n"), F.col("j"), F.lit("\n```"))).when(form == 2, F.regexp_replace("j", r"\}$", ",}")).otherwise(F.concat(F.lit("Sure. "), F.col("j"), F.lit(" Done")))
     v = parse_model_json(text)
     return t.select("doc_id", F.variant_get(v, "$.main", "string").alias("main"), F.try_variant_get(v, "$.sub", "string").alias("sub")).distinct()
@@ -239,5 +239,12 @@ def oracle_sql() -> dict[str, str]:
         "group_chunk_ids": """WITH n AS (SELECT doc_kind, rel_path, row_number() OVER (PARTITION BY doc_kind ORDER BY rel_path) - 1 AS k FROM documents WHERE doc_kind IS NOT NULL)
  SELECT doc_kind, rel_path, doc_kind || '#' || CASE WHEN k // 12 + 1 < 100 THEN lpad(CAST(k // 12 + 1 AS VARCHAR), 2, '0') ELSE CAST(k // 12 + 1 AS VARCHAR) END AS chunk_id, CAST(k % 12 AS INT) AS place FROM n""",
         "keyword_search": search_sql(SEARCH_RULES),
+        "model_json": "SELECT DISTINCT doc_id, main, sub FROM layer_record WHERE main IS NOT NULL",
+        "prior_nine_digits": r"""WITH s AS (SELECT extract_id, text AS t FROM extract_record WHERE regexp_matches(text, '\d{9}') AND regexp_matches(text, '(?i)\b(ssn|ss#|social\s*security|itin|taxpayer\s*id|tin)\b')),
+ p AS (SELECT extract_id, t, unnest(range(1, length(t) - 7)) AS i FROM s),
+ h AS (SELECT extract_id, i, '*****-' || substr(t, i + 5, 4) AS sample FROM p WHERE regexp_matches(substr(t, i, 9), '^\d{9}$') AND (i = 1 OR NOT regexp_matches(substr(t, i - 1, 1), '[\pL\pN_]')) AND NOT regexp_matches(substr(t, i + 9, 1), '[\pL\pN_]')
+  AND regexp_matches(substr(t, greatest(1, i - 40), least(40, i - 1) + 49), '(?i)\b(ssn|ss#|social\s*security|itin|taxpayer\s*id|tin)\b')),
+ f AS (SELECT extract_id, sample, min(i) AS i FROM h GROUP BY ALL)
+ SELECT h.extract_id, CAST(count(*) AS INT) AS n, any_value(x.samples) AS samples FROM h JOIN (SELECT extract_id, string_agg(sample, ' | ' ORDER BY i) AS samples FROM f GROUP BY 1) x ON x.extract_id = h.extract_id GROUP BY 1""",
         "spaced_titles": "SELECT plan_id, replace(title, ' ', '') AS title FROM file_plan",
     }

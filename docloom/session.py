@@ -47,3 +47,21 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as there are cores: a small file is one split, and heavy work on its rows one task."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any file system Hadoop knows; none where it doesn't exist."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of intermediate data and what is in it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def numbered(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the versions ``v=<n>`` in a folder, rising."""
+    return sorted(int(n[2:]) for n in list_names(spark, path) if n.startswith("v=") and n[2:].isdigit())

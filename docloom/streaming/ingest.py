@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.types import StructType
 
 from docloom.functions import priors as P
+from docloom.session import list_names, numbered, remove_folder
 
 
 def record_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1) -> DataFrame:
@@ -50,18 +51,80 @@ def replace_batches(target: str) -> Callable[[DataFrame, int], None]:
     return replace
 
 
-def upsert_batches(target: str, key: str, order: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` that keeps the last row of each key in parquet snapshots: ``target``/v=<batch>.
+def _bucket_versions(spark: SparkSession, target: str, before: int | None = None) -> dict[str, list[int]]:
+    """Versions of each bucket of a keyed state, rising."""
+    out: dict[str, list[int]] = {}
+    for v in numbered(spark, target):
+        if before is None or v < before:
+            for name in list_names(spark, f"{target}/v={v}"):
+                if name.startswith("_bucket="):
+                    out.setdefault(name, []).append(v)
+    return out
 
-    A snapshot is written whole before the next batch starts, so a failed batch leaves the one before it in place.
+
+def upsert_batches(target: str, key: str, order: str, buckets: int = 32) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` that keeps the last row of each key in ``target``/v=<batch>/_bucket=<hash of the key>.
+
+    A batch rewrites only the buckets its keys fall in, from the last version of each before the batch, so one that is
+    tried again gives the same. Versions that a later one had replaced before the batch are removed: the state is about as large as its rows.
     """
 
     def merge(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
-        last = f"{target}/v={number - 1}"
-        if number > 0:
-            rows = spark.read.parquet(last).unionByName(rows)
-        best = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), F.struct(F.col(order))).alias("r"))
-        best.select(key, "r.*").write.mode("overwrite").parquet(f"{target}/v={number}")
+        versions = _bucket_versions(spark, target, number)
+        for name, found in versions.items():
+            for v in found[:-1]:
+                remove_folder(spark, f"{target}/v={v}/{name}")
+        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+        touched = [f"_bucket={r[0]}" for r in rows.select(bucket).distinct().collect()]  # at most ``buckets``
+        paths = [f"{target}/v={versions[name][-1]}/{name}" for name in touched if name in versions]
+        columns = rows.columns
+        if paths:
+            rows = rows.unionByName(spark.read.schema(rows.schema).parquet(*paths))
+        best = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in columns if c != key]), F.struct(F.col(order))).alias("r")).select(key, "r.*")
+        best.withColumn("_bucket", bucket).write.mode("overwrite").partitionBy("_bucket").parquet(f"{target}/v={number}")
 
     return merge
+
+
+def upserted(spark: SparkSession, target: str, schema: StructType) -> DataFrame:
+    """The state that ``upsert_batches`` keeps."""
+    paths = [f"{target}/v={found[-1]}/{name}" for name, found in _bucket_versions(spark, target).items()]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def report_every(batches: int, report: Callable[[int], None], batch: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` that runs ``batch`` and, after each ``batches`` of them, ``report`` with the batch's number."""
+
+    def run(rows: DataFrame, number: int) -> None:
+        batch(rows, number)
+        if (number + 1) % batches == 0:
+            report(number)
+
+    return run
+
+
+class ProgressLog(StreamingQueryListener):
+    """Keeps the last figures of each running stream: batch, rows, rows a second; ``rows()`` are those of a watcher's panel."""
+
+    def __init__(self, most: int = 1_000):
+        self.most, self.seen = most, []
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self._add(str(event.id), event.name, "started", 0, 0, 0.0)
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        self._add(str(p.id), p.name, "running", p.batchId, p.numInputRows, p.processedRowsPerSecond or 0.0)
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        self._add(str(event.id), None, "idle", 0, 0, 0.0)
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        self._add(str(event.id), None, "failed" if event.exception else "ended", 0, 0, 0.0)
+
+    def _add(self, *row) -> None:
+        self.seen = [*self.seen, row][-self.most :]
+
+    def rows(self) -> list[dict]:
+        return [dict(zip(("query", "name", "state", "batch", "rows", "rows_per_second"), r)) for r in self.seen]

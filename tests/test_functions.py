@@ -108,3 +108,26 @@ def test_term_coercion(spark):
     assert one(spark, closed_terms(F.col("v"), allowed), v=["x", "b", "b", "a", "c"]) == ["b", "a"]
     assert one(spark, closed_terms(F.col("v"), allowed), v=["x"]) == ["unmapped"]
     assert one(spark, capped_terms(F.col("v"), 2), v=[" A ", "a", None, "", "B", "C"]) == ["A", "B"]
+
+
+def test_people_in_file_names_and_folios(spark):
+    from docloom.functions.textops import names_in_filename
+    from docloom.operators.search import people_in
+
+    names = {
+        "a/A Goodlake Travel 2025.pdf": ["A Goodlake"],
+        "L. Munoz-Reyes Trip.docx": ["L. Munoz-Reyes"],
+        "C.Sealy- certified.pdf": ["C.Sealy"],
+        "Jeremy Spruce_Next.pdf": ["Jeremy Spruce"],
+        "Best practices - JS.pdf": ["JS"],
+        "Badge-Demarest.png": ["Demarest"],
+        "Becker Mileage.xlsx": ["Becker"],
+        "Spruce-Taxi-May.pdf": ["Spruce"],
+        "agenda.pdf": [],
+    }
+    df = spark.createDataFrame([(k,) for k in names], "p string")
+    got = {r["p"]: r["n"] for r in df.select("p", names_in_filename(F.col("p")).alias("n")).collect()}
+    assert {k: v[: len(names[k])] for k, v in got.items()} == names and got["agenda.pdf"] == []
+    texts = {"Recipient: Ada Moss and Recipient: ADA MOSS": ["Ada Moss"], "SPRUCE/J  room 4\nNAME": ["J. Spruce"], "SPRUCE/J" + " " * 60 + "NAME": [], "": []}
+    df = spark.createDataFrame([(k,) for k in texts], "t string")
+    assert {r["t"]: r["n"] for r in df.select("t", people_in(F.col("t")).alias("n")).collect()} == texts
