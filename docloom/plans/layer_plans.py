@@ -9,6 +9,7 @@ from docloom.functions.terms import CHANNELS, VAGUE, YEAR_ONLY, form_k, human_la
 from docloom.operators.chunking import group_chunks
 from docloom.operators.fold import rehome, walk_fold
 from docloom.operators.merge import last_write
+from docloom.operators.graph import browse_graph
 from docloom.operators.tree import FAT_MIN, chains, collapse_homes, depth_first, findings, fold_small_children, folder_segments, nearest_kept, prefix_counts, prefixes, primary_region, regions_of, revise, second_parents, sunburst, topic_pairs, with_unmapped
 from docloom.session import table
 
@@ -125,6 +126,22 @@ def primary_regions(spark: SparkSession, d: str) -> DataFrame:
     return primary_region(_walk_regions(spark, d).where("region_id IS NOT NULL"), _plan(spark, d), [14])
 
 
+#: Subjects that people look for and the plan has no broad folder for: (id, label, words). A parameter.
+FAMILIES = (("kiosk-desk", "Kiosk desk", ("kiosk",)), ("chargers", "Chargers", ("charger",)), ("grant-office", "Grant office", ("grant", "grants")))
+
+
+def browse_topics(spark: SparkSession, d: str) -> DataFrame:
+    """The browse graph of the plan's two upper levels: topics, subtopics with up to two parents, and their documents."""
+    plan = table(spark, d, "file_plan").where("plan_level < 3")
+    names = plan.select(F.col("plan_id").alias("parent_id"), F.col("plan_name").alias("parent"))
+    nodes = plan.join(names, "parent_id", "left").select(F.col("plan_name").alias("id"), F.col("parent").alias("parent_id"), F.col("title").alias("label"))
+    found = _walk_regions(spark, d).join(plan.select(F.col("plan_id").alias("region_id"), F.col("plan_name").alias("id")), "region_id")
+    tags = table(spark, d, "tags").where("rel_path IS NOT NULL").select(F.col("rel_path").alias("doc"), F.explode("tags").alias("tag")).where(F.trim("tag") != "")
+    families = spark.createDataFrame([(i, n, list(w)) for i, n, w in FAMILIES], "id string, label string, words array<string>")
+    graph = browse_graph(nodes, found.select("id", F.col("rel_path").alias("doc")), tags, families)
+    return graph.select("id", "label", "kind", F.array_join("broader", "|").alias("broader"), "docs")
+
+
 def audit_groups(spark: SparkSession, d: str) -> DataFrame:
     """Files of each primary region in chunks of twelve."""
     p = primary_regions(spark, d).withColumn("region", F.col("region_id").cast("string"))
@@ -201,7 +218,7 @@ _PRIMARY = _REGION + """, prim AS (SELECT rel_path, region_id FROM (SELECT rel_p
 
 
 def queries() -> dict:
-    names = "folder_paths head_checks folder_counts rollup_counts collapsed_homes browse_regions home_metrics main_counts child_counts busy_folders plan_chains plan_order plan_without_banned tree_findings primary_regions audit_groups folded_children browse_sunburst shared_parents topic_overlaps revised_plan moved_homes walk_placements prefix_lists"
+    names = "folder_paths head_checks folder_counts rollup_counts collapsed_homes browse_regions home_metrics main_counts child_counts busy_folders plan_chains plan_order plan_without_banned tree_findings primary_regions browse_topics audit_groups folded_children browse_sunburst shared_parents topic_overlaps revised_plan moved_homes walk_placements prefix_lists"
     return {n: globals()[n] for n in names.split()}
 
 
