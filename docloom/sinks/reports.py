@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,16 +32,29 @@ def markdown_table(df: DataFrame, title: str, most: int = 1000) -> str:
     return "\n".join(lines) + "\n"
 
 
-def write_text(path: str, text: str) -> None:
-    """Write a driver-side file whole or not at all."""
+def write_text(path: str, text: str | Iterable[str]) -> None:
+    """Write a driver-side file whole or not at all; a text in parts is written as they come."""
     folder = os.path.dirname(path) or "."
     os.makedirs(folder, exist_ok=True)
     handle, temp = tempfile.mkstemp(dir=folder)
     with os.fdopen(handle, "w", encoding="utf-8") as out:
-        out.write(text)
+        out.writelines([text] if isinstance(text, str) else text)
     os.replace(temp, path)
 
 
+def markdown_lines(df: DataFrame, title: str) -> Iterator[str]:
+    """All rows of a result as the lines of a Markdown table, one partition at a time on the driver."""
+    cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
+    yield f"# {title}\n\n| {' | '.join(df.columns)} |\n|{'-|' * len(df.columns)}\n"
+    for r in df.toLocalIterator():
+        yield f"| {' | '.join(map(cell, r))} |\n"
+
+
+def write_markdown(df: DataFrame, title: str, path: str) -> None:
+    """A result as a Markdown file with all of its rows."""
+    write_text(path, markdown_lines(df, title))
+
+
 def move_plan(df: DataFrame, path: str, target: str) -> DataFrame:
     """(source, destination): where files would be moved to; nothing is moved. Names that meet get a number."""
     from pyspark.sql.window import Window
@@ -51,18 +65,17 @@ def move_plan(df: DataFrame, path: str, target: str) -> DataFrame:
     return rows.select(F.col(path).alias("source"), F.concat(F.lit(target.rstrip("/") + "/"), "_name", F.when(F.col("_n") > 1, F.concat(F.lit(".dup"), F.col("_n").cast("string"))).otherwise("")).alias("destination"))
 
 
-def tree_text(ordered: DataFrame, most: int = 5_000) -> str:
+def tree_text(ordered: DataFrame) -> str:
     """A folder tree (label, depth, path_key) as an indented list in depth-first order."""
-    rows = ordered.orderBy("path_key").select("label", "depth").limit(most + 1).collect()
-    lines = [f"{'  ' * (r['depth'] - 1)}- {r['label']}" for r in rows[:most]]
-    return "\n".join([*lines, *(["- ..."] if len(rows) > most else [])]) + "\n"
+    rows = ordered.orderBy("path_key").select("label", "depth").toLocalIterator()
+    return "".join(f"{'  ' * (r['depth'] - 1)}- {r['label']}\n" for r in rows)
 
 
-def chart_html(rings: DataFrame, title: str, most: int = 5_000) -> str:
-    """A page with the rings of a chart (ring, id, parent, label, value) as nested bars; all text is escaped."""
+def chart_html(rings: DataFrame, title: str) -> str:
+    """A page with all rings of a chart (ring, id, parent, label, value) as nested bars; all text is escaped."""
     import html
 
-    rows = rings.orderBy("ring", F.desc("value"), "id").limit(most).collect()
+    rows = list(rings.orderBy("ring", F.desc("value"), "id").toLocalIterator())
     below: dict[str, list] = {}
     for r in rows:
         below.setdefault(r["parent"], []).append(r)
@@ -81,4 +94,4 @@ def chart_html(rings: DataFrame, title: str, most: int = 5_000) -> str:
 def write_reports(frames: dict[str, DataFrame], folder: str) -> None:
     """One Markdown file for each named result, each written whole."""
     for name, df in frames.items():
-        write_text(f"{folder}/{name}.md", markdown_table(df, name.replace("-", " ").title()))
+        write_markdown(df, name.replace("-", " ").title(), f"{folder}/{name}.md")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import io
 import re
+import shutil
+import subprocess
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -92,35 +94,101 @@ def office_text(content: bytes, ext: str) -> str:
         return "\n".join(_texts(z.read("xl/sharedStrings.xml"))) if "xl/sharedStrings.xml" in names else ""
 
 
-def pdf_text(content: bytes) -> str:
-    """Text of a PDF by an installed reader; an error where none is installed or the file is locked."""
+#: Pages that are read by character recognition at most, and their scale (fixed values).
+OCR_PAGES, OCR_SCALE = 12, 2.0
+LEAST_TEXT = 30
+
+
+def _by_pypdf(content: bytes) -> str:
+    from pypdf import PdfReader
+
+    return "\n".join(page.extract_text() or "" for page in PdfReader(io.BytesIO(content)).pages)
+
+
+def _by_pdftotext(content: bytes) -> str:
+    if not shutil.which("pdftotext"):
+        raise ImportError("pdftotext is not installed")
+    return subprocess.run(["pdftotext", "-layout", "-", "-"], input=content, capture_output=True, timeout=120, check=True).stdout.decode("utf-8", "replace")
+
+
+def _by_pymupdf(content: bytes) -> str:
+    import fitz
+
+    with fitz.open(stream=content, filetype="pdf") as doc:
+        return "\n".join(page.get_text() for page in doc)
+
+
+def _by_recognition(content: bytes) -> str:
+    import fitz
+
+    with fitz.open(stream=content, filetype="pdf") as doc:
+        parts = [image_text(page.get_pixmap(matrix=fitz.Matrix(OCR_SCALE, OCR_SCALE)).tobytes("png")) for page in list(doc)[:OCR_PAGES]]
+        return "\n".join([*parts, *([f"[{len(doc) - OCR_PAGES} further pages not read]"] if len(doc) > OCR_PAGES else [])])
+
+
+#: Readers of a PDF in the order they are tried: (method, function). Those that aren't installed are passed over.
+PDF_READERS: list[tuple[str, Callable[[bytes], str]]] = [("pypdf", _by_pypdf), ("pdftotext", _by_pdftotext), ("pymupdf", _by_pymupdf), ("ocr", _by_recognition)]
+
+
+def is_locked_pdf(content: bytes) -> bool:
+    return b"/Encrypt" in content
+
+
+def pdf_text(content: bytes) -> tuple[str, str]:
+    """(text, method) of a PDF: the first reader that gives ``LEAST_TEXT`` characters, else the longest text of any.
+
+    A locked file is an error and reaches no reader; so is one for which no reader is installed or all fail.
+    """
+    if is_locked_pdf(content):
+        raise ValueError("PDF is locked")
+    best, method, errors = "", "pdf", []
+    for name, read in PDF_READERS:
+        try:
+            text = read(content)
+        except ImportError:
+            continue
+        except Exception as e:  # noqa: BLE001 - the next reader may do better
+            errors.append(f"{name}: {e}")
+            continue
+        if len(text.strip()) > len(best.strip()):
+            best, method = text, name
+        if len(best.strip()) >= LEAST_TEXT:
+            break
+    if not best.strip():
+        raise ValueError("; ".join(errors) if errors else "no PDF reader installed or no text in it")
+    return best, method
+
+
+def image_text(content: bytes) -> str:
+    """Text of an image by an installed recognizer; an error where there is none."""
     try:
-        from pypdf import PdfReader
+        import pytesseract
+        from PIL import Image
     except ImportError:
-        raise ValueError("no PDF reader installed") from None
-    reader = PdfReader(io.BytesIO(content))
-    if reader.is_encrypted:
-        raise ValueError("PDF is locked")
-    return "\n".join(page.extract_text() or "" for page in reader.pages)
+        raise ValueError("no reader for images") from None
+    return pytesseract.image_to_string(Image.open(io.BytesIO(content)))
 
 
 def _containers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for path, ext, content in zip(pdf["rel_path"], pdf["ext"], pdf["content"]):
-            text, error = "", None
+            text, error, method = "", None, "image" if ext in IMAGE_EXTENSIONS else ext
             try:
-                text = pdf_text(content) if ext == "pdf" else office_text(content, ext)
+                if ext == "pdf":
+                    text, method = pdf_text(content)
+                else:
+                    text = image_text(content) if ext in IMAGE_EXTENSIONS else office_text(content, ext)
             except Exception as e:  # noqa: BLE001 - an error is a field of the record
                 error = f"{type(e).__name__}: {e}"[:200]
-            rows.append((path, ext, len(content), text, None, "pdf" if ext == "pdf" else ext, error))
+            rows.append((path, ext, len(content), text, None, method, error))
         yield pd.DataFrame(rows, columns=["rel_path", "ext", "size_bytes", "text", "extraction_ok", "extraction_method", "extraction_error"])
 
 
 def extract(files: DataFrame) -> DataFrame:
     """Extraction record of each (rel_path, content): never an exception, always a row.
 
-    Text, pages and RTF are read in the JVM; containers go to Arrow batches; images, keys and the rest are records
+    Text, pages and RTF are read in the JVM; containers and images go to Arrow batches; the rest are records
     with an error. A text of nothing but white space is an error of its own and keeps its method.
     """
     f = files.select("rel_path", path_extension(F.col("rel_path")).alias("ext"), "content")
@@ -129,14 +197,13 @@ def extract(files: DataFrame) -> DataFrame:
         F.when(F.col("ext").isin(*TEXT_EXTENSIONS), "text")
         .when(F.col("ext").isin("html", "htm"), "html")
         .when(F.col("ext") == "rtf", "rtf")
-        .when(F.col("ext").isin(*IMAGE_EXTENSIONS), "image")
         .when(F.is_valid_utf8(F.col("content").cast("string")) & ~F.col("content").cast("string").contains("\u0000"), "utf-8")
         .otherwise("unreadable")
     )
-    containers = ("docx", "pptx", "xlsx", "pdf")
+    containers = ("docx", "pptx", "xlsx", "pdf", *IMAGE_EXTENSIONS)
     native = f.where(~F.col("ext").isin(*containers)).withColumn("kind", kind)
     text: Column = F.when(F.col("kind").isin("text", "utf-8"), body).when(F.col("kind") == "html", strip_html(body)).when(F.col("kind") == "rtf", strip_rtf(body)).otherwise("")
-    error = F.when(F.col("kind") == "image", "no reader for images").when(F.col("kind") == "unreadable", "unreadable file type")
+    error = F.when(F.col("kind") == "unreadable", "unreadable file type")
     rows = native.select("rel_path", "ext", F.length("content").cast("long").alias("size_bytes"), text.alias("text"), F.lit(None).cast("boolean").alias("extraction_ok"), F.col("kind").alias("extraction_method"), error.alias("extraction_error"))
     both = rows.unionAll(f.where(F.col("ext").isin(*containers)).mapInPandas(_containers, _RECORD))
     blank = strip_all(F.col("text")) == ""

@@ -33,6 +33,12 @@ def first_available(*sources: DataFrame | None) -> DataFrame | None:
     return None
 
 
+def work_list(*sources: DataFrame | None, path: str = "rel_path") -> DataFrame | None:
+    """The first source that has rows, each path once, in the order of paths."""
+    found = first_available(*sources)
+    return None if found is None else found.dropDuplicates([path]).orderBy(path)
+
+
 def flatten_trees(trees: DataFrame, column: str = "tree") -> DataFrame:
     """(root, id, parent_id, label, description, tags, depth, pos) from JSON trees of nodes with children.
 

@@ -1,3 +1,4 @@
+import pytest
 import io
 import json
 import zipfile
@@ -12,7 +13,7 @@ from docloom.operators.tree import depth_first, revise
 from docloom.sinks.reports import chart_html, markdown_table, move_plan, safe_sidecar, tree_text
 from docloom.sources.files import expand_archives, extract, inventory
 from docloom.sources.state import first_available, flatten_trees, read_state, vocabulary
-from docloom.streaming.ingest import new_documents, record_stream, run_into, upsert_batches
+from docloom.streaming.ingest import new_documents, record_stream, run_into, upsert_batches, upserted
 
 
 def office(kind: str) -> bytes:
@@ -100,8 +101,7 @@ def test_stream_keeps_last_row(spark, tmp_path):
         df.coalesce(1).write.mode("append").parquet(str(source))
     records = record_stream(spark, str(source), spark.read.parquet(str(source)).schema)
     run_into(records, str(tmp_path / "cp"), upsert_batches(str(tmp_path / "out"), "k", "at")).awaitTermination()
-    last = max((tmp_path / "out").iterdir(), key=lambda p: int(p.name[2:]))
-    assert {(r["k"], r["n"]) for r in spark.read.parquet(str(last)).collect()} == {("a", 2), ("b", 1)}
+    assert {(r["k"], r["n"]) for r in upserted(spark, str(tmp_path / "out"), records.schema).collect()} == {("a", 2), ("b", 1)}
     assert new_documents(record_stream(spark, str(source), spark.read.parquet(str(source)).schema), "at", key="k").isStreaming
     assert schema
 
@@ -137,3 +137,38 @@ def test_state_file(spark, tmp_path):
 def test_names_in_filename(spark):
     df = spark.createDataFrame([("a/Travel Form_Jane Q Doe.pdf",), ("b/notes.txt",)], "p string")
     assert [r["n"] for r in df.select(names_in_filename(F.col("p")).alias("n")).collect()][1] == []
+
+
+def test_pdf_readers_in_turn(monkeypatch):
+    from docloom.sources import files
+
+    def missing(content):
+        raise ImportError
+
+    def broken(content):
+        raise OSError("damaged")
+
+    monkeypatch.setattr(files, "PDF_READERS", [("a", missing), ("b", broken), ("c", lambda c: "short"), ("d", lambda c: "long enough to be taken for the text of a page")])
+    assert files.pdf_text(b"%PDF")[1] == "d"
+    monkeypatch.setattr(files, "PDF_READERS", [("b", broken), ("c", lambda c: "short")])
+    assert files.pdf_text(b"%PDF") == ("short", "c")
+    for readers, message in (([("b", broken)], "damaged"), ([("a", missing)], "no PDF reader")):
+        monkeypatch.setattr(files, "PDF_READERS", readers)
+        with pytest.raises(ValueError, match=message):
+            files.pdf_text(b"%PDF")
+    with pytest.raises(ValueError, match="locked"):
+        files.pdf_text(b"%PDF /Encrypt")
+
+
+def test_files_behind_a_client(spark, tmp_path):
+    from docloom.sources.remote import fetch, remote_listing, trash_plan
+
+    (tmp_path / "p_files").mkdir()
+    for name in ("a.txt", "b c.txt", "p_files/x.txt"):
+        (tmp_path / name).write_text(f"text of {name}")
+    paths = remote_listing(spark, f"find {tmp_path} -name '*.txt' -printf '%P\\n'")
+    assert sorted(r["rel_path"] for r in paths.collect()) == ["a.txt", "b c.txt"]
+    more = paths.unionByName(spark.createDataFrame([("gone.txt",)], "rel_path string"))
+    got = {r["rel_path"]: (r["content"] and bytes(r["content"]), bool(r["error"])) for r in fetch(more, ["no-such-client {path}", f"cat {tmp_path}/{{path}}"]).collect()}
+    assert got == {"a.txt": (b"text of a.txt", False), "b c.txt": (b"text of b c.txt", False), "gone.txt": (None, True)}
+    assert trash_plan(paths).where("command LIKE '%a.txt'").count() == 1
