@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -47,9 +47,9 @@ def mix_sources(
     target_share over the sources (or ``total_tokens``, if that is less). It is divided into equal blocks of
     ``block_tokens`` tokens, and Sainte-Laguë's highest quotients give each source its integer number of blocks.
     Each source's texts are spread over shards of about ``shard_tokens`` tokens by a seeded hash; each shard gets
-    its quota of blocks in proportion to its tokens, by rounded running totals, which add up. A shard uses all its texts as often
-    as its quota holds them whole, and of the rest those texts, in seeded order, that begin before the quota is
-    reached and pass it by less than half their size. So no text is used more than max_repeats times, and a
+    its integer quota of blocks by highest quotients of its tokens. The blocks of a shard lie on the line of its texts in seeded order;
+    all are selected as often as the quota holds them whole, and of the rest the first ones: texts stay whole, and one is used if at
+    least half of it lies in selected blocks. So no text is used more than max_repeats times, and a
     shard misses its quota by half a text at the most.
 
     Texts without tokens, of a null source or of a source without a target (or a target of 0) are not used. A source
@@ -69,7 +69,7 @@ def mix_sources(
     plan = spark.createDataFrame([(s, shards[s], quota[s]) for s in share] or [("", 1, 0)], "source string, shards int, blocks long")
     placed = sizes.join(F.broadcast(plan), "source").withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), "shards").cast("int"))
     per = placed.groupBy("source", "shard", "blocks").agg(F.sum("n_tokens").alias("held"))
-    per = _shard_quota(per).select("source", "shard", "held", (F.col("seats") * block_tokens).alias("quota"))
+    per = shard_seats(per).select("source", "shard", "held", (F.col("seats") * block_tokens).alias("quota"))
     per = per.join(F.broadcast(_targets(targets).select(F.col("s").alias("source"), "most")), "source")
     per = per.withColumn("quota", F.least("quota", F.col("held") * F.col("most")))
     joined = placed.select("source", "shard", "doc_id", "n_tokens").join(per, ["source", "shard"])
@@ -89,17 +89,34 @@ def _targets(targets: DataFrame) -> DataFrame:
     return each.agg(F.sum(F.coalesce("target_share", F.lit(0.0))).alias("share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("most"))
 
 
-def _shard_quota(per: DataFrame) -> DataFrame:
-    """Add ``seats``: the blocks of each source over its shards, by rounding to the nearest running total.
+def shard_seats(per: DataFrame) -> DataFrame:
+    """(source, shard, held, seats): the blocks of each source over its shards (source, shard, blocks, held), by highest quotients.
 
-    The running total over the shards is rounded, so the seats of all shards add up to the source's blocks.
+    Rounding at the common divisor held / blocks gives all but a few seats; those over or missing are taken from the lowest or
+    given to the highest quotients. So a source's shards are never in one task, however many there are, and its seats add up to its blocks. Ties go
+    to the lower shard.
     """
-    by = Window.partitionBy("source")
-    run = by.orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before: Column = F.sum("held").over(run) - F.col("held")
-    whole = F.sum("held").over(by)
-    at = lambda x: F.round(x / whole * F.col("blocks"))
-    return per.withColumn("seats", at(F.sum("held").over(run)) - at(before))
+    spark = per.sparkSession
+    whole = per.groupBy("source").agg(F.sum("held").alias("_whole"))
+    fair = F.col("held") * F.col("blocks") / F.col("_whole")
+    rows = cut(per.join(F.broadcast(whole), "source").select("source", "shard", "held", "blocks", F.floor(fair + 0.5).alias("seats")))
+    moves = spark.createDataFrame([], f"source string, shard {per.schema['shard'].dataType.simpleString()}, more long")
+    for r in rows.groupBy("source").agg(F.first("blocks").alias("blocks"), F.sum("seats").alias("given")).collect():  # a row for each source
+        d = r["blocks"] - r["given"]
+        if d == 0:
+            continue
+        one = rows.where(F.col("source") == r["source"])
+        most = F.ceil(2 * F.col("seats") * abs(d) / max(r["blocks"], 1)).cast("int") + 1
+        if d > 0:
+            tried = one.select("source", "shard", "held", "seats", F.explode(F.sequence(F.lit(0), most)).alias("j"))
+            order = [F.desc(F.col("held") / (2 * (F.col("seats") + F.col("j")) + 1)), F.col("shard"), F.col("j")]
+        else:
+            tried = one.where("seats > 0").select("source", "shard", "held", "seats", F.explode(F.sequence(F.lit(0), F.least(most, (F.col("seats") - 1).cast("int")))).alias("j"))
+            order = [F.asc(F.col("held") / (2 * (F.col("seats") - F.col("j")) - 1)), F.desc("shard"), F.col("j")]
+        moved = tried.orderBy(*order).limit(abs(d)).groupBy("source", "shard").agg((F.count(F.lit(1)) * (1 if d > 0 else -1)).alias("more"))
+        moves = moves.unionByName(moved)
+    out = rows.join(moves, ["source", "shard"], "left")
+    return out.select("source", "shard", "held", (F.col("seats") + F.coalesce("more", F.lit(0))).alias("seats"))
 
 
 def mix_report(mixture: DataFrame, targets: DataFrame) -> DataFrame:

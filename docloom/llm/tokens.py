@@ -30,20 +30,23 @@ def encoder(path: str = VOCABULARY):
     return _ENCODERS[path]
 
 
+def _border(text: str, at: int) -> int:
+    """The first place from ``at`` on where a letter is followed by none: two tokens always meet there, whatever stands around it."""
+    n = len(text)
+    while at < n and not (text[at - 1].isalpha() and not text[at].isalpha()):
+        at += 1
+    return at
+
+
 def token_ids(text: str, path: str = VOCABULARY, block: int = 1 << 20) -> list[int]:
-    """Tokens of the whole text; very long ones are encoded in blocks that end before a space, so that time stays linear."""
+    """Tokens of the whole text; very long ones are encoded in blocks that end between a letter and another character, so
+    that they are the same tokens as those of the text at once. A stretch without such a place is one block."""
     enc = encoder(path)
     if len(text) <= block:
         return enc.encode_ordinary(text)
     out, start = [], 0
     while start < len(text):
-        end = start + block
-        if end < len(text):
-            at = text.rfind(" ", start + block // 2, end)
-            # only a single space between two other characters is a sure border of two tokens
-            while at > start and (text[at - 1].isspace() or text[at + 1].isspace()):
-                at = text.rfind(" ", start + block // 2, at)
-            end = at if at > start else end
+        end = _border(text, start + block)
         out += enc.encode_ordinary(text[start:end])
         start = end
     return out

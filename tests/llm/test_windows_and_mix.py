@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from docloom.llm.mixing import mix_report, mix_sources, sainte_lague
+from docloom.llm.mixing import mix_report, mix_sources, sainte_lague, shard_seats
 from docloom.llm.packing import fill_windows, pack, window_fill
 from docloom.llm.tokens import VOCABULARY, encoder, token_ids, token_sizes
 
@@ -46,6 +46,28 @@ def test_long_texts_in_blocks_are_the_same_tokens():
     assert token_ids(text, block=200) == encoder().encode_ordinary(text)
 
 
+@needs_vocabulary
+@pytest.mark.parametrize("text", ["word" * 400 + "! " + "x1" * 900, "  \t  " * 300, "12345" * 300, "it's we'll 'tis" * 120, "naïve e\u0301te\u0301 " * 150, "a" * 2000, "日本語です。" * 200])
+def test_blocks_of_any_text_are_the_same_tokens(text):
+    assert token_ids(text, block=64) == encoder().encode_ordinary(text)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_shard_seats_equal_highest_quotients(spark, seed):
+    rng = random.Random(seed)
+    rows, want = [], {}
+    for source in ("a", "b"):
+        held = {i: rng.choice([1, 7, 50, 100, 100, 5000]) + seed for i in range(rng.randrange(1, 40))}
+        blocks = rng.choice([0, 1, 13, 400, 5000])
+        rows += [(source, i, h, blocks) for i, h in held.items()]
+        seats = dict.fromkeys(held, 0)
+        for _ in range(blocks):
+            seats[max(sorted(held), key=lambda n: held[n] / (2 * seats[n] + 1))] += 1
+        want |= {(source, i): n for i, n in seats.items()}
+    got = shard_seats(spark.createDataFrame(rows, "source string, shard int, held long, blocks long"))
+    assert {(r["source"], r["shard"]): r["seats"] for r in got.collect()} == want
+
+
 @needs_vocabulary
 def test_windows_hold_every_token_once(spark):
     rng = random.Random(6)
