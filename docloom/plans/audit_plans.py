@@ -22,7 +22,7 @@ def _verdicts(spark: SparkSession, d: str) -> DataFrame:
     named = walk.select("rel_path", F.try_element_at(words, F.col("w.walk_action")).alias("verdict"), form_k(F.coalesce("w.main", F.lit(""))).alias("name"))
     plan = table(spark, d, "file_plan").select(F.col("plan_id").cast("string").alias("better_home"), F.col("plan_name").alias("name"))
     groups = audit_groups(spark, d).select("rel_path", "chunk_id")
-    return named.join(F.broadcast(plan), "name", "left").join(groups, "rel_path").select("chunk_id", "rel_path", "verdict", "better_home").where("verdict IS NOT NULL")
+    return named.join(plan, "name", "left").join(groups, "rel_path").select("chunk_id", "rel_path", "verdict", "better_home").where("verdict IS NOT NULL")
 
 
 def audit_verdicts(spark: SparkSession, d: str) -> DataFrame:

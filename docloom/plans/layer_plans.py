@@ -34,7 +34,7 @@ def _walk_regions(spark: SparkSession, d: str) -> DataFrame:
     """(rel_path, region_id): every plan folder named in the last walk of a path, null where none is."""
     walk = last_write(table(spark, d, "walk_home").where("rel_path IS NOT NULL"), ["rel_path"], [F.col("stamped_at"), F.col("walk_id")])
     each = walk.select("rel_path", F.explode_outer("home").alias("raw")).select("rel_path", form_k(F.coalesce("raw", F.lit(""))).alias("name"))
-    plan = F.broadcast(table(spark, d, "file_plan").select(F.col("plan_id").alias("region_id"), F.col("plan_name").alias("name")))
+    plan = table(spark, d, "file_plan").select(F.col("plan_id").alias("region_id"), F.col("plan_name").alias("name"))
     hit = each.join(plan, "name", "left").groupBy("rel_path", "region_id").agg(F.lit(1).alias("_one")).select("rel_path", "region_id")
     named = hit.where("region_id IS NOT NULL")
     none = hit.where("region_id IS NULL").join(named.select("rel_path").distinct(), "rel_path", "left_anti")

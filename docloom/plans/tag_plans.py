@@ -101,7 +101,7 @@ def leftover_tags(spark: SparkSession, d: str) -> DataFrame:
     """Tags that are no folder's own, placed by common words or sent to review."""
     each = inventory(_current(spark, d)).select("tag")
     plan = _plan_tags(spark, d).withColumn("region_id", F.col("region_id").cast("string"))
-    rest = each.join(F.broadcast(plan.select("tag")), "tag", "left_anti")
+    rest = each.join(plan.select("tag"), "tag", "left_anti")
     return place_leftovers(rest, plan)
 
 
@@ -110,8 +110,7 @@ def document_regions(spark: SparkSession, d: str) -> DataFrame:
     plan = table(spark, d, "file_plan").select(F.col("plan_id").alias("id"), "parent_id", F.col("plan_name").alias("tag"))
     tops = chains(plan).select(F.col("tag").alias("_tag"), F.col("id").alias("region"), F.element_at("chain", 1).alias("top"))
     each = _current(spark, d).select("doc_id", F.posexplode("tags").alias("pos", "raw")).withColumn("_tag", form_k(F.col("raw")))
-    # the plan is the fixed reference list
-    hit = each.join(F.broadcast(tops), "_tag").groupBy("doc_id", "region", "top").agg(F.min("pos").alias("pos"), F.min_by("raw", "pos").alias("raw"))
+    hit = each.join(tops, "_tag").groupBy("doc_id", "region", "top").agg(F.min("pos").alias("pos"), F.min_by("raw", "pos").alias("raw"))
     ordered = lambda v: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", v))), lambda x: x[v].cast("string")), "|")
     return hit.groupBy("doc_id").agg(ordered("region").alias("regions"), ordered("top").alias("tops"), ordered("raw").alias("matched"))
 
@@ -119,7 +118,7 @@ def document_regions(spark: SparkSession, d: str) -> DataFrame:
 def tag_coverage(spark: SparkSession, d: str) -> DataFrame:
     """How many documents and tags the plan's folders reach."""
     t = _current(spark, d)
-    names = F.broadcast(table(spark, d, "file_plan").select(F.col("plan_name").alias("term")))
+    names = table(spark, d, "file_plan").select(F.col("plan_name").alias("term"))
     each = t.select("doc_id", F.explode("tags").alias("raw")).select("doc_id", form_k(F.col("raw")).alias("term")).where("term <> ''")
     marked = each.join(names.withColumn("hit", F.lit(1)), "term", "left")
     return marked.agg(F.countDistinct("doc_id").alias("documents"), F.countDistinct(F.when(F.col("hit") == 1, F.col("doc_id"))).alias("placed"), F.count(F.lit(1)).alias("uses"), F.count("hit").alias("mapped_uses"))
