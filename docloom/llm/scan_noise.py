@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from docloom.llm.bitmap import bitmap, key_bits
 from docloom.session import cut
 
 #: Misreadings: what the scan shows, what stood there, log probability (fixed values of the channel).
@@ -478,15 +479,8 @@ def _final(hot: frozenset[str], key: str, least: int, total: int, real: float):
     return run
 
 
-def _bitmap(tokens: DataFrame, most: int = 1 << 27) -> bytes:
-    """At least sixteen bits for each word, up to ``most`` bits in all; a word that shares a bit is dropped by a join later."""
-    bits = min(most, max(1 << 18, 1 << (16 * tokens.count()).bit_length()))
-    bit = F.pmod(F.crc32(F.encode("token", "UTF-8")), F.lit(bits))
-    blocks = tokens.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 32768).alias("block")).agg(F.bitmap_construct_agg(F.pmod("bit", F.lit(32768))).alias("map"))
-    out = bytearray(bits // 8)
-    for r in blocks.toLocalIterator():  # at most bits / 32768 rows
-        out[r["block"] * 4096 : (r["block"] + 1) * 4096] = r["map"]
-    return bytes(out)
+def _bitmap(tokens: DataFrame) -> bytes:
+    return bitmap(tokens, F.crc32(F.encode("token", "UTF-8")), key_bits(tokens.count()))
 
 
 @F.pandas_udf(DoubleType())

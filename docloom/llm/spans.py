@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docloom.llm.bitmap import bitmap, key_bits
 from docloom.session import cut
 
 _R = np.uint64(0x9E3779B97F4A7C15)
@@ -124,12 +125,19 @@ def distinct_texts(docs: DataFrame, key: str, text: str, span: int) -> tuple[Dat
     return texts, members
 
 
-def _map_anchors(k: int, span: int):
+def _map_anchors(k: int, span: int, bits: bytes | None = None):
+    """Anchors of each text; with a bitmap only those that may stand in it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed = None if bits is None else np.frombuffer(bits, dtype=np.uint8)
         for batch in batches:
             reps, pos, hashes = [], [], []
             for rep, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 p, h = anchors(text, k, span)
+                if listed is not None:
+                    at = h & np.uint64(8 * len(listed) - 1)
+                    keep = (listed[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+                    p, h = p[keep], h[keep]
                 reps.append(np.full(len(p), rep, dtype=np.int64))
                 pos.append(p.astype(np.int32))
                 hashes.append(h.view(np.int64))
@@ -155,11 +163,18 @@ def _map_contexts(k: int, span: int):
     return run
 
 
-def shared_contexts(texts: DataFrame, span: int, k: int) -> DataFrame:
+def shared_contexts(docs: DataFrame, text: str, texts: DataFrame, span: int, k: int) -> DataFrame:
     """(rep, pos, h, places of h, left reversed, mid, right) of every anchor whose hash stands in more than one distinct text."""
-    # anchors are found twice: that takes less than to store one row for each fiftieth character
-    found = texts.select("rep", "text").mapInArrow(_map_anchors(k, span), "rep long, pos int, h long")
-    several = found.groupBy("h").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.count(F.lit(1)).alias("n")).where(F.col("a") < F.col("b")).select("h", "n")
+    # anchors are found twice: that takes less than to store one row for each fiftieth character; the second time only those
+    # that a bitmap of bounded size says may be shared are shuffled
+    find = lambda rows, bits: rows.mapInArrow(_map_anchors(k, span, bits), "rep long, pos int, h long")
+    # a digest stands for each text here, so that copies count once and no text has to be moved
+    digests = docs.where(F.char_length(F.col(text)) >= span).select(F.xxhash64(text).alias("rep"), F.col(text).alias("text"))
+    several = find(digests, None).groupBy("h").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.count(F.lit(1)).alias("n")).where(F.col("a") < F.col("b")).select("h", "n")
+    several = cut(several)
+    # a power of two: the low bits of a hash are its bit, whatever its sign
+    bits = key_bits(several.count())
+    found = find(texts.select("rep", "text"), bitmap(several, F.col("h").bitwiseAND(F.lit(bits - 1)), bits))
     hits = found.join(several, "h").groupBy("rep").agg(F.collect_list(F.struct("pos", "h", "n")).alias("at"))
     return texts.join(hits, "rep").select("rep", "text", "at").mapInArrow(
         _map_contexts(k, span), "rep long, pos int, h long, n long, left string, mid string, right string"
@@ -237,7 +252,7 @@ def shared_span_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text",
     An empty table gives no rows; other columns are ignored.
     """
     texts, members = distinct_texts(docs, key, text, span)
-    contexts = cut(shared_contexts(texts, span, k))
+    contexts = cut(shared_contexts(docs, text, texts, span, k))
     pairs = _hit_pairs(contexts, span, k)
     repeated = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rep")
     both = pairs.unionAll(repeated.select(F.col("rep").alias("rep_a"), F.col("rep").alias("rep_b")))
@@ -282,7 +297,7 @@ def shared_share(docs: DataFrame, key: str = "doc_id", text: str = "text", span:
     Null and short texts have 0; every row of ``docs`` gives one row. An empty table gives no rows.
     """
     texts, members = distinct_texts(docs, key, text, span)
-    contexts = shared_contexts(texts, span, k)
+    contexts = shared_contexts(docs, text, texts, span, k)
     windows = cut(contexts.select("rep", "pos", "left", "mid", "right").mapInArrow(_map_windows(span, k), "rep long, start int, w long, v long").distinct())
     shared = windows.groupBy("w", "v").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("w", "v")
     starts = windows.join(shared, ["w", "v"], "left_semi").select("rep", "start").distinct()
