@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docloom.functions.terms import UNMAPPED, is_banned_head, is_vague, kebab
+from docloom.functions.textops import strip_all
 
 # Phrases of an answer or text that say the text has nothing to file, and how short is nothing.
 EMPTY_PHRASES = ("no content", "no text", "empty document", "cannot determine", "blank page", "unreadable")
@@ -45,6 +46,24 @@ def looks_empty(text: Column, reason: Column | None = None, phrases: tuple[str,
     return (F.char_length(body) < shortest) | said
 
 
+def main_choice(main: Column, reason: Column, text: Column, allowed: list[str]) -> Column:
+    """A proposed main folder as (main, reason), made safe.
+
+    Without a text there is none ('extract missing'). 'unmapped' stands only where the text looks empty; there, and for what is
+    no allowed main, an empty main asks for another try.
+    """
+    slug, blank = kebab(main), strip_all(F.coalesce(text, F.lit(""))) == ""
+    out = lambda m, r: F.struct(m.alias("main"), r.alias("reason"))
+    said = F.coalesce(reason, F.lit(""))
+    none = F.lit("")
+    return (
+        F.when(blank, out(none, F.lit("extract missing")))
+        .when((slug == UNMAPPED) & looks_empty(text, said), out(F.lit(UNMAPPED), said))
+        .when(slug.isin(*allowed), out(slug, said))
+        .otherwise(out(none, none))
+    )
+
+
 def child_choice(action: Column, name: Column, merge: Column, siblings: Column, taken: list[str]) -> Column:
     """A proposed step under a folder as (action, name, merge), made safe.
 
@@ -78,6 +97,38 @@ def short_label(term: Column, most: int = 26) -> Column:
     return F.when(F.char_length(title) <= most, title).otherwise(F.when(cut != "", cut).otherwise(F.left(title, F.lit(most))))
 
 
+#: Beginnings of names that say nothing in a ring of a chart (a parameter).
+RING_PREFIXES = ("copy of", "draft of", "re:", "fw:", "fwd:", "scan of", "the", "a", "an", "my")
+
+
+def ring_label(term: Column, most: int = 26, prefixes: tuple[str, ...] = RING_PREFIXES) -> Column:
+    """A label for a ring: empty beginnings off however many there are, then as ``short_label``, words in capitals kept."""
+    start = "|".join(p.replace(" ", r"\s+") for p in prefixes)
+    bare = F.regexp_replace(F.trim(F.translate(term, "-_", "  ")), rf"^(?i:(?:(?:{start})(?:\s+|$))+)", "")
+    words = F.split(F.trim(F.regexp_replace(F.regexp_replace(bare, r"\b(?:19|20)\d\d(?:\s+\d{1,2}){0,2}\b", " "), r"\s+", " ")), " ")
+    shown = F.array_join(F.transform(words, lambda w: F.when(w.rlike(r"^[A-Z]{2,5}$"), w).otherwise(F.initcap(w))), " ")
+    cut = F.regexp_extract(shown, rf"^(.{{1,{most}}})(?:\s|$)", 1)
+    return F.when(F.char_length(shown) <= most, shown).otherwise(F.when(cut != "", cut).otherwise(F.left(shown, F.lit(most))))
+
+
+def short_count(n: Column) -> Column:
+    """A count as 950, 1.2k, 3.4M."""
+    return F.when(n < 1000, n.cast("long").cast("string")).when(n < 1_000_000, F.format_string("%.1fk", n / 1000)).otherwise(F.format_string("%.1fM", n / 1_000_000))
+
+
+def bar(done: Column, whole: Column, width: int = 20) -> Column:
+    """Progress as a row of marks."""
+    full = F.least(F.lit(width), F.greatest(F.lit(0), F.floor(done * width / F.greatest(whole, F.lit(1))))).cast("int")
+    return F.concat(F.repeat(F.lit("#"), full), F.repeat(F.lit("-"), width - full))
+
+
+def age(seconds: Column) -> Column:
+    """How long ago: 5s, 3m, 2h, 4d."""
+    s = F.greatest(seconds.cast("long"), F.lit(0))
+    unit = lambda n, u: F.concat(F.floor(s / n).cast("string"), F.lit(u))
+    return F.when(s < 60, unit(1, "s")).when(s < 3600, unit(60, "m")).when(s < 86400, unit(3600, "h")).otherwise(unit(86400, "d"))
+
+
 def clock(seconds: Column) -> Column:
     """Seconds as 1h02m03s, 2m03s or 3s."""
     s = F.greatest(seconds.cast("long"), F.lit(0))

@@ -75,6 +75,13 @@ def merge_groups(groups: list[tuple[list[str], str]], listed: list[str], leave_o
     return out
 
 
+def rehome_log(before: DataFrame, after: DataFrame, key: str, home: str = "home") -> DataFrame:
+    """(key, home_from, home_to): what a combination moved."""
+    old = before.select(key, F.array_join(home, "/").alias("home_from"))
+    new = after.where("moved").select(key, F.array_join(home, "/").alias("home_to"))
+    return old.join(new, key)
+
+
 def rehome(homes: DataFrame, key: str, prefix: list[str], merged: list[str], into: str, home: str = "home", depth: int = 3) -> DataFrame:
     """Homes after siblings ``merged`` under ``prefix`` are combined ``into`` one folder.
 

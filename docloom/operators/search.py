@@ -41,6 +41,21 @@ def search(df: DataFrame, key: str, path: str, text: str, rules=SEARCH_RULES, le
     return df.select(key, path, score.cast("long").alias("score"), kind.alias("kind")).where(F.col("score") >= least).orderBy(F.desc("score"), F.lower(path))
 
 
+def search_hits(df: DataFrame, key: str, path: str, text: str, rules=SEARCH_RULES, least: int = LEAST) -> DataFrame:
+    """(key, score, kind) of what a search keeps: all but what scores below ``least`` and is of no class; highest first."""
+    name, body = F.coalesce(F.element_at(F.split(path, "/"), -1), F.lit("")), F.coalesce(F.col(text), F.lit(""))
+    rows = df.select(key, path, rule_hits(name, body, rules).cast("long").alias("score"), hit_class(name, body).alias("kind"))
+    return rows.where((F.col("score") >= least) | (F.col("kind") != "weak")).orderBy(F.desc("score"), F.lower(path)).drop(path)
+
+
+def hits_sql(rules=None, least: int = LEAST) -> str:
+    source = {"name": "name", "text": "t"}
+    score = " + ".join(f"CASE WHEN regexp_matches({source[w]}, '{p}') THEN {n} ELSE 0 END" for w, p, n in rules or SEARCH_RULES)
+    cases = " ".join(f"WHEN {' AND '.join([*([f"regexp_matches(name, '{a}')"] if a else []), *([f"regexp_matches(t, '{b}')"] if b else [])])} THEN '{k}'" for k, a, b in SEARCH_CLASSES)
+    return f"""WITH s AS (SELECT doc_id, coalesce(list_extract(string_split(rel_path, '/'), -1), '') AS name, coalesce(text, '') AS t FROM documents),
+h AS (SELECT doc_id, CAST({score} AS BIGINT) AS score, CASE {cases} ELSE 'weak' END AS kind FROM s) SELECT * FROM h WHERE score >= {least} OR kind <> 'weak'"""
+
+
 def search_sql(rules, least: int = LEAST) -> str:
     source = {"name": "coalesce(list_extract(string_split(rel_path, '/'), -1), '')", "text": "coalesce(text, '')"}
     term = lambda r: f"CASE WHEN regexp_matches({source[r[0]]}, '{r[1]}') THEN {r[2]} ELSE 0 END"

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.functions.coercion import child_choice, closed_main, layers, looks_empty, short_label, valid_folder
+from docloom.functions.coercion import EMPTY_PHRASES, child_choice, closed_main, layers, looks_empty, main_choice, short_label, valid_folder
 from docloom.functions.terms import CHANNELS, VAGUE, YEAR_ONLY, form_k
 from docloom.operators.audit import apply_verdicts, flag_rates, mixed_groups, whole_verdicts
+from docloom.operators.versions import current_rows
 from docloom.operators.mapping import fattest_roots, remap, spread_in_clusters, tag_regions
 from docloom.plans.layer_plans import _PRIMARY, _layers, audit_groups, primary_regions
 from docloom.session import table
@@ -100,6 +101,14 @@ def walk_choices(spark: SparkSession, d: str) -> DataFrame:
     return w.select("walk_id", c["action"].alias("action"), c["name"].alias("name"), F.array_join(c["merge"], "|").alias("merge"))
 
 
+def main_choices(spark: SparkSession, d: str) -> DataFrame:
+    """The filed main of each extraction, made safe against the plan's first level and the text."""
+    e = table(spark, d, "extract_record").select("extract_id", "doc_id", "text")
+    filed = current_rows(table(spark, d, "layer_record"), ["main", "reasoning"])
+    c = main_choice(F.col("main"), F.col("reasoning"), F.col("text"), list(_MAINS))
+    return e.join(filed, "doc_id", "left").select("extract_id", c["main"].alias("main"), c["reason"].alias("reason"))
+
+
 def sample_roster(spark: SparkSession, d: str) -> DataFrame:
     """The first 28 documents with their first 18 tags: the sample shown to a model (top-k report)."""
     t = table(spark, d, "tags").groupBy("doc_id").agg(F.max_by(F.struct("rel_path", "tags"), "stamped_at").alias("r"))
@@ -121,7 +130,7 @@ r AS (SELECT doc_id, CASE WHEN m IN ('outings', 'vehicles') THEN 'travel' WHEN m
 
 
 def queries() -> dict:
-    names = "audit_verdicts audit_flag_rates audit_applied audit_mixed_groups tag_region_map cluster_regions remapped_mains root_sources closed_mains layer_lists folder_names empty_texts walk_choices sample_roster"
+    names = "audit_verdicts audit_flag_rates audit_applied audit_mixed_groups tag_region_map cluster_regions remapped_mains root_sources closed_mains layer_lists folder_names empty_texts walk_choices main_choices sample_roster"
     return {n: globals()[n] for n in names.split()}
 
 
@@ -154,6 +163,11 @@ def oracle_sql() -> dict[str, str]:
         "folder_names": f"""WITH t AS (SELECT DISTINCT {_K0.format('raw')} AS tag FROM (SELECT unnest(tags) AS raw FROM tags WHERE tags IS NOT NULL) WHERE raw IS NOT NULL), u AS (SELECT tag, left(tag, 48) AS n, {title} AS title FROM t WHERE tag <> '')
  SELECT tag, {valid('n', _IN + ", 'unmapped'")} AS valid, CASE WHEN length(title) <= 26 THEN title WHEN regexp_extract(title, '^(.{{1,26}})(?:\\s|$)', 1) <> '' THEN regexp_extract(title, '^(.{{1,26}})(?:\\s|$)', 1) ELSE left(title, 26) END AS label FROM u""",
         "empty_texts": f"WITH t AS (SELECT extract_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS b FROM extract_record) SELECT extract_id, length(b) < 40 OR {phrases} AS looks_empty FROM t",
+        "main_choices": rf"""WITH l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY stamped_at DESC NULLS LAST) AS rn FROM layer_record WHERE doc_id IS NOT NULL) WHERE rn = 1),
+ t AS (SELECT extract_id, regexp_replace(coalesce(text, ''), '^[\s\x{{A0}}]+|[\s\x{{A0}}]+$', '', 'g') AS bare, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS body, coalesce(reasoning, '') AS reason, {_kebab('main')} AS m FROM extract_record e LEFT JOIN l ON l.doc_id = e.doc_id),
+ c AS (SELECT *, length(body) < 40 OR {" OR ".join(f"contains(lower(reason || ' ' || body), '{p}')" for p in EMPTY_PHRASES)} AS looks_empty FROM t)
+ SELECT extract_id, CASE WHEN bare = '' THEN '' WHEN m = 'unmapped' AND looks_empty THEN 'unmapped' WHEN m IN ({_IN}) THEN m ELSE '' END AS main,
+ CASE WHEN bare = '' THEN 'extract missing' WHEN (m = 'unmapped' AND looks_empty) OR m IN ({_IN}) THEN reason ELSE '' END AS reason FROM c""",
         "walk_choices": f"""WITH w AS (SELECT walk_id, lower(coalesce(walk_action, '')) AS act, {_kebab('home[1]')} AS n, list_filter(list_transform(coalesce(home, []), lambda v: {_K0.format('v')}), lambda v: v IN ({_IN})) AS k FROM walk_home),
  u AS (SELECT *, list_filter(k, lambda x, i: list_position(k, x) = i) AS m, {valid('n', "'unmapped'")} AS free FROM w),
  c AS (SELECT walk_id, n, m, CASE WHEN act = 'combine' AND len(m) >= 2 AND free THEN 'combine' WHEN act IN ('reuse', 'invent', '') AND n IN ({_IN}) THEN 'reuse' WHEN act IN ('reuse', 'invent', '') AND free THEN 'invent' ELSE 'empty' END AS action FROM u)

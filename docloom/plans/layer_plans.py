@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.terms import CHANNELS, VAGUE, YEAR_ONLY, form_k, human_label, is_banned_head, is_vague, kebab, node_id
 from docloom.operators.chunking import group_chunks
-from docloom.operators.fold import rehome, walk_fold
+from docloom.operators.fold import rehome, rehome_log, walk_fold
 from docloom.operators.merge import last_write
 from docloom.operators.graph import browse_graph
 from docloom.operators.tree import FAT_MIN, chains, collapse_homes, depth_first, findings, fold_small_children, folder_segments, nearest_kept, prefix_counts, prefixes, primary_region, regions_of, revise, second_parents, sunburst, topic_pairs, with_unmapped
@@ -73,6 +73,11 @@ def browse_regions(spark: SparkSession, d: str) -> DataFrame:
     return regions_of(_homes(spark, d))
 
 
+def walk_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Folders of the paths as they are, however few documents they hold."""
+    return regions_of(_segments(spark, d), "path")
+
+
 def home_metrics(spark: SparkSession, d: str) -> DataFrame:
     h = _homes(spark, d)
     return h.agg(F.count(F.lit(1)).alias("documents"), F.avg(F.size("home")).alias("depth_mean"), F.count_if(F.element_at("home", 1) == "unmapped").alias("unmapped"), F.countDistinct("home").alias("homes_used"))
@@ -183,6 +188,12 @@ def moved_homes(spark: SparkSession, d: str) -> DataFrame:
     return rehome(homes, "doc_id", [], ["vehicles", "outings"], "transport").select("doc_id", F.array_join("home", "/").alias("home"), "facet", "moved")
 
 
+def move_log(spark: SparkSession, d: str) -> DataFrame:
+    before = _segments(spark, d)
+    after = rehome(before, "doc_id", [], ["vehicles", "outings"], "transport", home="path")
+    return rehome_log(before, after, "doc_id", "path")
+
+
 def walk_placements(spark: SparkSession, d: str) -> DataFrame:
     """Ordered fold: each document placed among the folders that those before it opened."""
     rows = _layers(spark, d).select("doc_id", "stamped_at", kebab(F.col("main")).alias("main"), kebab(F.col("sub")).alias("sub"), kebab(F.col("detail")).alias("detail"))
@@ -218,7 +229,7 @@ _PRIMARY = _REGION + """, prim AS (SELECT rel_path, region_id FROM (SELECT rel_p
 
 
 def queries() -> dict:
-    names = "folder_paths head_checks folder_counts rollup_counts collapsed_homes browse_regions home_metrics main_counts child_counts busy_folders plan_chains plan_order plan_without_banned tree_findings primary_regions browse_topics audit_groups folded_children browse_sunburst shared_parents topic_overlaps revised_plan moved_homes walk_placements prefix_lists"
+    names = "folder_paths head_checks folder_counts rollup_counts collapsed_homes browse_regions walk_regions home_metrics main_counts child_counts busy_folders plan_chains plan_order plan_without_banned tree_findings primary_regions browse_topics audit_groups folded_children browse_sunburst shared_parents topic_overlaps revised_plan moved_homes move_log walk_placements prefix_lists"
     return {n: globals()[n] for n in names.split()}
 
 
@@ -233,6 +244,9 @@ def oracle_sql() -> dict[str, str]:
         "collapsed_homes": _HOME + " SELECT doc_id, array_to_string(home, '/') AS home FROM h",
         "browse_regions": _HOME + f""", held AS (SELECT home, count(*) AS docs_at FROM h GROUP BY 1) SELECT array_to_string(prefix, '--') AS id, CASE WHEN len(prefix) > 1 THEN array_to_string(prefix[1:len(prefix) - 1], '--') END AS parent_id,
  {label('prefix[-1]')} AS label, CAST(len(prefix) AS INT) AS depth, coalesce(docs_at, 0) AS docs_at, n AS docs_under FROM hp LEFT JOIN held ON home = prefix""",
+        "walk_regions": _PRE + f""", held AS (SELECT path, count(*) AS docs_at FROM seg GROUP BY 1) SELECT array_to_string(prefix, '--') AS id, CASE WHEN len(prefix) > 1 THEN array_to_string(prefix[1:len(prefix) - 1], '--') END AS parent_id,
+ {label('prefix[-1]')} AS label, CAST(len(prefix) AS INT) AS depth, coalesce(docs_at, 0) AS docs_at, n AS docs_under FROM pre LEFT JOIN held ON path = prefix""",
+        "move_log": _SEG + " SELECT doc_id, array_to_string(path, '/') AS home_from, array_to_string((list_concat(['transport'], path))[1:3], '/') AS home_to FROM seg WHERE path[1] IN ('vehicles', 'outings')",
         "home_metrics": _HOME + " SELECT count(*) AS documents, avg(len(home)) AS depth_mean, count(*) FILTER (home[1] = 'unmapped') AS unmapped, count(DISTINCT home) AS homes_used FROM h",
         "main_counts": f"WITH {_CUR} SELECT {_kb('main')} AS main, count(*) AS n, count(DISTINCT {_kb('sub')}) AS subs FROM cur GROUP BY 1",
         "child_counts": _SEG + " SELECT path[1] AS parent, path[2] AS child, count(*) AS n FROM seg WHERE len(path) > 1 GROUP BY 1, 2",

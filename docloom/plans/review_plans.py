@@ -199,6 +199,10 @@ def search_classes(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", S.hit_class(name, text).alias("kind"), F.array_join(S.dated_years(text), ",").alias("years"))
 
 
+def search_hits(spark: SparkSession, d: str) -> DataFrame:
+    return S.search_hits(spread(table(spark, d, "documents").select("doc_id", "rel_path", "text")), "doc_id", "rel_path", "text")
+
+
 def search_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Files that a search need open at all: judged by name, type and size, before any text is read."""
     e = table(spark, d, "extract_record").select("extract_id", "rel_path", "size_bytes")
@@ -248,7 +252,7 @@ _QUEUE = f"""{_CURRENT}, {_TEXT}, q AS (SELECT cur.doc_id, cur.rel_path, CASE WH
 def queries() -> dict:
     names = (
         "flat_decisions decision_index delete_candidates review_queue review_reasons tagging_todo placement_todo prompt_texts document_texts personal_tax_files path_or_name_lookup filing_notes "
-        "top_programs regions_by_size revise_members document_breadcrumbs search_classes search_candidates"
+        "top_programs regions_by_size revise_members document_breadcrumbs search_classes search_hits search_candidates"
     )
     return {n: globals()[n] for n in names.split()}
 
@@ -278,5 +282,6 @@ def oracle_sql() -> dict[str, str]:
         "revise_members": _WALKED + ", m AS (SELECT array_to_string(home, '/') AS region, row_number() OVER (PARTITION BY array_to_string(home, '/') ORDER BY rel_path, doc_id) AS place, rel_path, doc_id FROM w) SELECT * FROM m WHERE place <= 40",
         "document_breadcrumbs": _WALKED + " SELECT doc_id, array_to_string(home, ' / ') AS crumbs, home[1] AS program, home[-1] AS function, len(home) AS depth FROM w WHERE len(home) > 0",
         "search_classes": S.class_sql(),
+        "search_hits": S.hits_sql(),
         "search_candidates": S.candidate_sql(),
     }

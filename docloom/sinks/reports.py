@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 from collections.abc import Iterable, Iterator
@@ -15,6 +16,38 @@ def write_decisions(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_decision_index(df: DataFrame, path: str) -> None:
+    """The index of all decisions: records as JSON lines, and a manifest with their number and the time."""
+    df.write.mode("overwrite").json(f"{path}/records")
+    counted = df.agg(F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("built_at"), F.count(F.lit(1)).alias("documents"))
+    counted.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+
+
+def write_sidecars(df: DataFrame, path: str, record: str, folder: str) -> DataFrame:
+    """(path, written): each row's ``record`` in its own file below ``folder``, which all executors share.
+
+    The tasks write the files, each whole or not at all; rows whose path leads out of the folder are not written.
+    """
+    import pandas as pd
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, text in zip(pdf["file"], pdf["record"]):
+                if name:
+                    write_text(f"{folder}/{name}", text or "")
+            yield pd.DataFrame({"path": pdf["path"], "written": pdf["file"].notna()})
+
+    rows = df.select(F.col(path).alias("path"), safe_sidecar(F.col(path)).alias("file"), F.col(record).alias("record"))
+    return rows.mapInPandas(run, "path string, written boolean")
+
+
+def write_regions(nodes: DataFrame, folder: str) -> None:
+    """A folder tree as JSON rows and as a YAML list in depth-first order (nodes: id, parent_id, label, depth, path_key)."""
+    nodes.drop("path_key").write.mode("overwrite").json(f"{folder}/regions")
+    rows = nodes.orderBy("path_key").select("id", "label", "depth").toLocalIterator()
+    write_text(f"{folder}/regions.yml", (f"{'  ' * (r['depth'] - 1)}- {{id: {json.dumps(r['id'])}, label: {json.dumps(r['label'])}}}\n" for r in rows))
+
+
 def safe_sidecar(rel_path: Column) -> Column:
     """Relative path of a row's own file; null for absolute paths and ways out of the folder."""
     bad = rel_path.startswith("/") | F.exists(F.split(rel_path, "/"), lambda p: p.isin("..", "")) | rel_path.rlike(r"^[A-Za-z]:")

@@ -131,3 +131,20 @@ def test_people_in_file_names_and_folios(spark):
     texts = {"Recipient: Ada Moss and Recipient: ADA MOSS": ["Ada Moss"], "SPRUCE/J  room 4\nNAME": ["J. Spruce"], "SPRUCE/J" + " " * 60 + "NAME": [], "": []}
     df = spark.createDataFrame([(k,) for k in texts], "t string")
     assert {r["t"]: r["n"] for r in df.select("t", people_in(F.col("t")).alias("n")).collect()} == texts
+
+
+def test_main_choices_and_labels(spark):
+    from docloom.functions.coercion import age, bar, main_choice, ring_label, short_count
+
+    long = "a text that is long enough to be filed somewhere"
+    rows = [("Budget", None, long, ("budget", "")), ("unmapped", "no content here", long, ("unmapped", "no content here")), ("unmapped", "hm", long, ("", "")), ("budget", "x", "  ", ("", "extract missing")), ("other", "x", long, ("", "")), (None, None, long, ("", ""))]
+    df = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(rows)], "i int, m string, r string, t string")
+    got = {r["i"]: tuple(r["c"]) for r in df.select("i", main_choice(F.col("m"), F.col("r"), F.col("t"), ["budget"]).alias("c")).collect()}
+    assert got == {i: r[3] for i, r in enumerate(rows)}
+    labels = {"copy of the_FERPA-plan 2023": "FERPA Plan", "re: re: budget": "Budget", "a very long name of a folder that goes on": "Very Long Name Of A Folder"}
+    df = spark.createDataFrame([(k,) for k in labels], "t string")
+    assert {r["t"]: r["l"] for r in df.select("t", ring_label(F.col("t")).alias("l")).collect()} == labels
+    n = spark.createDataFrame([(950,), (1234,), (3_400_000,), (0,)], "n long")
+    assert [r[0] for r in n.select(short_count(F.col("n"))).collect()] == ["950", "1.2k", "3.4M", "0"]
+    assert [r[0] for r in n.select(age(F.col("n"))).collect()] == ["15m", "20m", "39d", "0s"]
+    assert n.select(bar(F.lit(5), F.lit(10), 4)).first()[0] == "##--"

@@ -172,3 +172,17 @@ def test_files_behind_a_client(spark, tmp_path):
     got = {r["rel_path"]: (r["content"] and bytes(r["content"]), bool(r["error"])) for r in fetch(more, ["no-such-client {path}", f"cat {tmp_path}/{{path}}"]).collect()}
     assert got == {"a.txt": (b"text of a.txt", False), "b c.txt": (b"text of b c.txt", False), "gone.txt": (None, True)}
     assert trash_plan(paths).where("command LIKE '%a.txt'").count() == 1
+
+
+def test_decisions_in_files_of_their_own(spark, tmp_path):
+    from docloom.sinks.reports import write_decision_index, write_regions, write_sidecars
+
+    df = spark.createDataFrame([("a/x.txt", '{"k": 1}'), ("../up.txt", "{}"), ("b.txt", None)], "p string, r string")
+    assert {r["path"]: r["written"] for r in write_sidecars(df, "p", "r", str(tmp_path / "d")).collect()} == {"a/x.txt": True, "../up.txt": False, "b.txt": True}
+    assert (tmp_path / "d" / "a" / "x.txt.json").read_text() == '{"k": 1}' and not (tmp_path / "up.txt.json").exists()
+    write_decision_index(df, str(tmp_path / "index"))
+    assert spark.read.json(str(tmp_path / "index" / "manifest")).first()["documents"] == 3
+    nodes = depth_first(spark.createDataFrame([("a", None, "A"), ("b", "a", "B: c")], "id string, parent_id string, label string"), "label", [])
+    write_regions(nodes, str(tmp_path / "tree"))
+    assert (tmp_path / "tree" / "regions.yml").read_text() == '- {id: "a", label: "A"}\n  - {id: "b", label: "B: c"}\n'
+    assert spark.read.json(str(tmp_path / "tree" / "regions")).count() == 2
