@@ -22,6 +22,7 @@ CONFUSIONS = tuple(
     for seen, true, p in (
         ("0", "o", 0.02), ("1", "l", 0.02), ("1", "i", 0.01), ("!", "i", 0.02), ("!", "l", 0.01), ("|", "l", 0.02), ("|", "i", 0.01), ("5", "s", 0.02), ("$", "s", 0.01), ("6", "b", 0.02), ("8", "b", 0.01),
         ("9", "g", 0.02), ("9", "q", 0.002), ("+", "t", 0.02), ("7", "t", 0.005), ("3", "e", 0.005), ("4", "a", 0.005), ("c", "e", 0.01), ("rn", "m", 0.01), ("cl", "d", 0.01), ("li", "h", 0.01), ("ii", "u", 0.01), ("m", "in", 0.01),
+        ("l", "i", 0.003), ("i", "l", 0.003), ("f", "t", 0.003), ("t", "f", 0.003), ("v", "u", 0.003), ("u", "v", 0.002), ("u", "n", 0.003), ("n", "u", 0.002), ("c", "o", 0.002), ("o", "c", 0.002), ("o", "e", 0.002), ("in", "m", 0.005),
         ("vv", "w", 0.01), ("ﬁ", "fi", 0.02), ("ﬂ", "fl", 0.02), ("h", "li", 0.001), ("d", "cl", 0.001), ("m", "rn", 0.001),
     )
 )
@@ -29,8 +30,8 @@ _HUMP = re.compile("[a-z][A-Z]")
 _MARKED = re.compile(r"[0-9!|$+ﬁﬂ]")
 #: Glyphs that may be read as others, brought to the same sequence of strokes: whatever misreadings happened to a word,
 #: and however many, its key stays the same. Fixed by the confusions above.
-_PARTS = (("ﬁ", "fi"), ("ﬂ", "fl"), ("d", "cl"), ("h", "li"), ("m", "rn"), ("u", "ii"), ("w", "vv"))
-_STROKES = ("01!|i5$689q+734cr", "ollllssbbggtteael")
+_PARTS = (("ﬁ", "fi"), ("ﬂ", "fl"), ("d", "cl"), ("h", "li"), ("m", "iii"), ("w", "vv"), ("u", "ii"), ("v", "ii"), ("n", "ii"))
+_STROKES = ("01!|i5$689q+7f34cro", "ellllssbbggttteaele")
 TOKEN = re.compile(r"[!+|$]?[^\W_]+(?:[!+|$]+[^\W_]+)*[+$]?")
 _LETTER = re.compile(r"[^\W\d_]")
 _HYPHENS = "-‐­¬"
@@ -151,7 +152,7 @@ def _title(line: str) -> bool:
     text = _HEADER_NUMBER.sub("", line)
     if not text or text[-1] in ".!?;,:…" or not text[0].isalnum() or text[0].islower() or "|" in text or "@" in text:
         return False
-    if _ITEM.match(text) or _DATE.search(text) or re.search(r"[.!?;,]\s(?!\d)", text):
+    if _ITEM.match(text) or _DATE.search(text) or re.search(r"[.!?;]\s(?!\d)", text):
         return False
     words = re.findall(r"[^\W\d_][^\s:()/]*", text)
     return len(words) > 0 and sum(w[0].isupper() for w in words) >= 0.6 * len(words)
