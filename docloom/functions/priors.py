@@ -26,7 +26,7 @@ FILENAME_HINTS = {
     "medical": r"(?i)\b(hipaa|immunization|health.?record|rx|prescription|\btb\b)\b",
     "credentials_secrets": r"(?i)\b(password|passwd|secret|api.?key|private.?key|\.pem|id_rsa)\b",
     "personal_correspondence": r"(?i)\b(resume|cv_|personal|family|kids?|divorce|will)\b",
-    "work_travel": r"(?i)\b(travel|perkins.?travel|acte)\b",
+    "work_travel": r"(?i)\b(travel)\b",
 }
 SAMPLES = 5
 KINDS = ("ssn", "email", "phone", "dob", "address", "credit_card", "sensitive_keyword")
@@ -85,10 +85,10 @@ def has_identifier(kinds: Column) -> Column:
     return F.arrays_overlap(kinds, F.array(*[F.lit(k) for k in KINDS if k != "sensitive_keyword"]))
 
 
-def filename_tags(rel_path: Column) -> Column:
-    """Hints that a file's name or whole path gives, in fixed order."""
+def filename_tags(rel_path: Column, hints: dict[str, str] = FILENAME_HINTS) -> Column:
+    """Hints that a file's name or whole path gives, in the order of ``hints`` (a parameter: add the names of one's own institution)."""
     name = F.element_at(F.split(rel_path, "/"), -1)
-    return F.array_compact(F.array(*[F.when(name.rlike(p) | rel_path.rlike(p), F.lit(k)) for k, p in FILENAME_HINTS.items()]))
+    return F.array_compact(F.array(*[F.when(name.rlike(p) | rel_path.rlike(p), F.lit(k)) for k, p in hints.items()]))
 
 
 def windowed_nine_digits(text: Column) -> Column:

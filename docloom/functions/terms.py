@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,7 +14,9 @@ def form_k(term: Column) -> Column:
 
 
 # Words that don't tell concepts apart, words that mean the same, heads that no folder may have.
-GENERIC_TOKENS = ("and", "cte", "dallas", "disd", "doc", "document", "form", "isd", "or", "pdf", "school", "the", "year")
+#: Words of one's own institution that tell nothing apart either: a setting.
+OWN_WORDS = tuple(os.environ.get("DOCLOOM_OWN_WORDS", "").lower().split())
+GENERIC_TOKENS = ("and", "doc", "document", "form", "or", "pdf", "school", "the", "year", *OWN_WORDS)
 SAME_TOKENS = {
     "administration": "admin",
     "administrations": "admin",

@@ -200,6 +200,23 @@ def _hint_case(col: str) -> str:
 
 _BLANK = r"coalesce(regexp_replace(text, '^\s+|\s+$', '', 'g') = '', true)"
 
+_HEARD = r"(?i)\b(?:invoice|contract|insurance)\b"
+_MASKED = r"""trim(regexp_replace(regexp_replace(regexp_replace({0}, '\b\d{{3}}[-\s]\d{{2}}[-\s](\d{{4}})\b', '***-**-\1', 'g'), '(?i)\b([A-Z0-9])[A-Z0-9._%+\-]*@([A-Z0-9.\-]+\.[A-Z]{{2,}})\b', '\1***@\2', 'g'), '\s+', ' ', 'g'))"""
+
+
+def _people_sql() -> str:
+    """Names in file names: the forms in their order, then runs of capitalised words; the first spelling of each stays."""
+    stem = r"""trim(regexp_replace(regexp_replace(regexp_replace(list_extract(string_split(rel_path, '/'), -1), '(?i)\(secured\)', '', 'g'), '(?i)(\.(pdf|docx?|pptx?|xlsx?|txt|html?|rtf|md|csv|jpe?g|png))+$', '', 'g'), '\(\d+\)', '', 'g'))"""
+    words = f"array_to_string(list_transform(string_split(translate({stem}, '-_', '  '), ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ')"
+    noise = ", ".join(f"'{w}'" for w in X.NAME_NOISE)
+    clean = lambda r: f"array_to_string(list_filter(string_split_regex({r}, '\\s+'), lambda w: lower(w) NOT IN ({noise})), ' ')".replace("\\\\", "\\")
+    forms = ", ".join(f"regexp_extract(s, '{_q(p)}', 1)" for p in X.NAME_FORMS)
+    runs = r"regexp_extract_all(regexp_replace(s, '[_]+', ' ', 'g'), '((?:\p{Lu}\.|\p{Lu}[\p{L}''-]+)(?:\s+\p{Lu}[\p{L}''-]+){1,2})', 1)"
+    return f"""WITH d AS (SELECT doc_id, trim({words}) AS s FROM documents),
+ n AS (SELECT doc_id, list_filter(list_concat(list_transform([{forms}], lambda r: {clean('r')}), list_filter(list_transform({runs}, lambda r: {clean('r')}), lambda r: regexp_matches(r, '\S\s+\S'))), lambda r: r <> '') AS v FROM d)
+ SELECT doc_id, array_to_string(list_filter(v, lambda x, i: list_position(list_transform(v, lambda y: lower(y)), lower(x)) = i), '|') AS names FROM n"""
+
+
 def queries() -> dict:
     names = "prior_samples prior_severity prior_severity_by_owner prior_cards prior_nine_digits pii_map filename_hints filename_hint_histogram extraction_record extraction_methods content_hashes duplicate_texts filename_people html_text rtf_text text_chunks bare_stems redacted_summaries years_named spaced_titles keyword_in_context group_chunk_ids keyword_search search_people model_json"
     return {n: globals()[n] for n in names.split()}
@@ -239,6 +256,12 @@ def oracle_sql() -> dict[str, str]:
         "group_chunk_ids": """WITH n AS (SELECT doc_kind, rel_path, row_number() OVER (PARTITION BY doc_kind ORDER BY rel_path) - 1 AS k FROM documents WHERE doc_kind IS NOT NULL)
  SELECT doc_kind, rel_path, doc_kind || '#' || CASE WHEN k // 12 + 1 < 100 THEN lpad(CAST(k // 12 + 1 AS VARCHAR), 2, '0') ELSE CAST(k // 12 + 1 AS VARCHAR) END AS chunk_id, CAST(k % 12 AS INT) AS place FROM n""",
         "keyword_search": search_sql(SEARCH_RULES),
+        "filename_people": _people_sql(),
+        "keyword_in_context": f"""WITH t AS (SELECT doc_id, text, regexp_extract_all(text, '{_HEARD}') AS m, regexp_split_to_array(text, '{_HEARD}') AS p FROM documents WHERE regexp_matches(text, '{_HEARD}')),
+ k AS (SELECT *, unnest(range(1, least(len(m), 3) + 1)) AS k FROM t),
+ s AS (SELECT doc_id, k - 1 AS place, text, length(m[k]) AS n, CAST(list_sum(list_transform(p[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) AS BIGINT) AS a FROM k),
+ c AS (SELECT doc_id, CAST(place AS INT) AS place, substr(text, greatest(a - 90, 0) + 1, a + n + 90 - greatest(a - 90, 0)) AS cut FROM s)
+ SELECT doc_id, place, {_MASKED.format('cut')} AS snippet FROM c""",
         "model_json": "SELECT DISTINCT doc_id, main, sub FROM layer_record WHERE main IS NOT NULL",
         "prior_nine_digits": r"""WITH s AS (SELECT extract_id, text AS t FROM extract_record WHERE regexp_matches(text, '\d{9}') AND regexp_matches(text, '(?i)\b(ssn|ss#|social\s*security|itin|taxpayer\s*id|tin)\b')),
  p AS (SELECT extract_id, t, unnest(range(1, length(t) - 7)) AS i FROM s),
