@@ -17,7 +17,7 @@ _R = np.uint64(0x9E3779B97F4A7C15)
 _RINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POS_BITS = 26
 #: Contexts of one anchor that one task compares with each other; anchors in more texts are spread over several.
-HOT = 1_000
+HOT = 200
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -107,7 +107,7 @@ def _anchors(h: np.ndarray, w: int, at: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 _ANCHORS = pa.schema([("rep", pa.int64()), ("pos", pa.int32()), ("h", pa.int64())])
-_CONTEXTS = pa.schema([("rep", pa.int64()), ("pos", pa.int32()), ("h", pa.int64()), ("n", pa.int64()), ("left", pa.string()), ("mid", pa.string()), ("right", pa.string())])
+_CONTEXTS = pa.schema([("rep", pa.int64()), ("pos", pa.int32()), ("h", pa.int64()), ("n", pa.int64()), ("prev", pa.int32()), ("left", pa.string()), ("mid", pa.string()), ("right", pa.string())])
 
 
 def distinct_texts(docs: DataFrame, key: str, text: str, span: int) -> tuple[DataFrame, DataFrame]:
@@ -154,9 +154,12 @@ def _map_contexts(k: int, span: int):
         for batch in batches:
             rows: list[list] = [[] for _ in _CONTEXTS]
             for rep, text, at in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                for one in at:
+                before = None
+                for one in sorted(at, key=lambda x: x["pos"]):
                     p = one["pos"]
-                    for column, value in zip(rows, (rep, p, one["h"], one["n"], text[max(0, p - reach) : p][::-1], text[p : p + k], text[p + k : p + k + reach])):
+                    prev = p - before if before is not None and p - before <= reach else None
+                    before = p
+                    for column, value in zip(rows, (rep, p, one["h"], one["n"], prev, text[max(0, p - reach) : p][::-1], text[p : p + k], text[p + k : p + k + reach])):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip(rows, _CONTEXTS)], schema=_CONTEXTS)
 
@@ -164,7 +167,7 @@ def _map_contexts(k: int, span: int):
 
 
 def shared_contexts(docs: DataFrame, text: str, texts: DataFrame, span: int, k: int) -> DataFrame:
-    """(rep, pos, h, places of h, left reversed, mid, right) of every anchor whose hash stands in more than one distinct text."""
+    """(rep, pos, h, places of h, distance to the anchor before, left reversed, mid, right) of every anchor whose hash stands in more than one distinct text."""
     # anchors are found twice: that takes less than to store one row for each fiftieth character; the second time only those
     # that a bitmap of bounded size says may be shared are shuffled
     find = lambda rows, bits: rows.mapInArrow(_map_anchors(k, span, bits), "rep long, pos int, h long")
@@ -177,7 +180,7 @@ def shared_contexts(docs: DataFrame, text: str, texts: DataFrame, span: int, k:
     found = find(texts.select("rep", "text"), bitmap(several, F.col("h").bitwiseAND(F.lit(bits - 1)), bits))
     hits = found.join(several, "h").groupBy("rep").agg(F.collect_list(F.struct("pos", "h", "n")).alias("at"))
     return texts.join(hits, "rep").select("rep", "text", "at").mapInArrow(
-        _map_contexts(k, span), "rep long, pos int, h long, n long, left string, mid string, right string"
+        _map_contexts(k, span), "rep long, pos int, h long, n long, prev int, left string, mid string, right string"
     )
 
 
@@ -216,15 +219,22 @@ def _hit_pairs(contexts: DataFrame, span: int, k: int) -> DataFrame:
 
     Of the span - k characters that a run needs besides the anchor at least half stand on one side, so contexts that
     differ on both sides within that half are no hit, and those that agree in it on both sides are one; the JVM
-    decides these, and the rest is compared character by character. The contexts of an anchor in more than ``HOT``
+    decides these, and the rest is compared character by character. A run that holds several anchors is counted at the first:
+    where two contexts have the same anchor before this one, with the same text between, the pair is found there. So an
+    anchor whose contexts all have the same one before it is left out. The contexts of an anchor in more than ``HOT``
     places are spread by a salt on one side and repeated for each salt on the other.
     """
-    names = ("rep", "left", "mid", "right")
+    names = ("rep", "prev", "left", "mid", "right")
+    behind = F.when(F.col("prev").isNotNull(), F.xxhash64("prev", F.substring("left", F.lit(1), F.col("prev"))))
+    firsts = contexts.select("h", behind.alias("g")).groupBy("h").agg(F.min("g").alias("a"), F.max("g").alias("b"), F.count_if(F.col("g").isNull()).alias("none"))
+    contexts = contexts.join(firsts.where("none > 0 OR a < b").select("h"), "h", "left_semi")
     other = [F.col(c).alias(f"{c}_b") for c in names]
     cold, hot = contexts.where(F.col("n") <= HOT), contexts.where(F.col("n") > HOT)
     salts = F.ceil(F.col("n") / HOT).cast("int")
-    spread = hot.select("h", F.pmod(F.xxhash64("rep", "pos"), salts).cast("int").alias("s"), *other)
-    every = hot.select("h", *names, F.explode(F.sequence(F.lit(0), salts - 1)).alias("s"))
+    # few bytes make many pairs here, so the number of tasks is given: by size they would be put together
+    tasks = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = hot.select("h", F.pmod(F.xxhash64("rep", "pos"), salts).cast("int").alias("s"), *other).repartition(tasks, "h", "s")
+    every = hot.select("h", *names, F.explode(F.sequence(F.lit(0), salts - 1)).alias("s")).repartition(tasks, "h", "s")
     columns = [*names, *(f"{c}_b" for c in names)]
     both = cold.select("h", *names).join(cold.select("h", *other), "h").select(*columns).unionAll(every.join(spread, ["h", "s"]).select(*columns))
     half = (span - k) // 2 + (span - k) % 2
@@ -234,7 +244,8 @@ def _hit_pairs(contexts: DataFrame, span: int, k: int) -> DataFrame:
     both = both.where((F.col("rep") < F.col("rep_b")) & (F.col("mid") == F.col("mid_b"))).withColumn("_sure", sure)
     one_side = F.least(F.lit(half), F.lit(span - k - half))
     near = lambda c: F.substring(c, 1, one_side) == F.substring(f"{c}_b", 1, one_side)
-    both = both.where(near("left") | near("right"))
+    found_before = (F.col("prev") == F.col("prev_b")) & (F.substring("left", F.lit(1), F.col("prev")) == F.substring("left_b", F.lit(1), F.col("prev")))
+    both = both.where((near("left") | near("right")) & ~F.coalesce(found_before, F.lit(False)))
     strings = [F.when(~F.col("_sure"), F.col(c)).alias(c) for c in ("left", "left_b", "right", "right_b")]
     return both.select("rep", "rep_b", *strings).mapInArrow(_verify(span, k), "rep_a long, rep_b long").distinct()
 
