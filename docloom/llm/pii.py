@@ -53,7 +53,8 @@ _ID_ANNOUNCED = re.compile(
 )
 _ID_DIGITS = re.compile(r"(?:\d{3}-\d{2}-\d{4}|\d{8}-?[A-HJ-NP-TV-Z]|[0-37-8]\s\d{2}\s\d{2}\s\d[\dAB]\s\d{3}\s\d{3}\s\d{2})(?![\w-])(?!\s\d)")
 _ID_LETTER = re.compile(r"[A-Z]\d(?:\d{6}[A-HJ-NP-TV-Z]|\d{2}-\d{4}-\d{4})(?![\w-])")
-_NOT_BEFORE_NUMBER = re.compile(r"(?:[\w+.(/-]|\d )$")
+#: Where a number may begin: not going on from a word or number before it.
+_NUMBER_START = re.compile(r"(?<![\w+.(/-])(?<!\d )[+(\d]")
 _CITY_ZIP = rf"(?:,\s+{_W}(?:[\s-]{_W}){{0,2}},\s+[A-Za-z]{{2}}\s+\d{{5}}(?:-\d{{4}})?|,\s+(?!(?:{_NOT_STREET})\b){_W})"
 _UNIT = r"(?:,?\s+(?:apt|apartment|unit|suite|ste|floor|fl|room)\.?\s*\#?\w{1,5}|,?\s+\#\s?\w{1,5})"
 _ADDRESS = re.compile(
@@ -173,8 +174,9 @@ class Finder:
             if from_ < at and _EMAIL_LEFT.fullmatch(text, from_, at) and (right := _EMAIL_RIGHT.match(text, at + 1)):
                 spans.append((0, from_, right.end(), "email"))
         if has_digit:
+            starts = [m.start() for m in _NUMBER_START.finditer(text)]
             spans += [(1, m.start(1), m.end(1), "id_number") for m in _ID_ANNOUNCED.finditer(low) if 7 <= sum(c.isdigit() for c in m[1]) <= 15 and _free(text, m.start())]
-            spans += [(1, *m.span(), "id_number") for m in _numbers(_ID_DIGITS, text)]
+            spans += [(1, *m.span(), "id_number") for m in _numbers(_ID_DIGITS, text, starts)]
             spans += [(1, *m.span(), "id_number") for m in _ID_LETTER.finditer(text) if _free(text, m.start())]
             for hint in _HAS_STREET.finditer(text):
                 at = hint.start()
@@ -193,7 +195,7 @@ class Finder:
             for pattern, words in zip(_FOREIGN_ADDRESSES[::2], _FOREIGN_ADDRESSES[1::2]):
                 if any(w in low for w in words):
                     spans += [(2, *m.span(), "address") for m in pattern.finditer(text)]
-            for m in _numbers(_PHONE, text):
+            for m in _numbers(_PHONE, text, starts):
                 main = re.split(r"(?i),?\s*(?:ext|x|durchwahl|poste)", m[0])[0]
                 if 9 <= sum(c.isdigit() for c in main) <= 15:
                     spans.append((3, *m.span(), "phone"))
@@ -341,15 +343,13 @@ def _words_back(text: str, at: int, most: int) -> int:
     return at
 
 
-def _numbers(pattern: re.Pattern, text: str) -> Iterator[re.Match]:
-    """Matches that don't go on from a word or number before them."""
-    at = 0
-    while m := pattern.search(text, at):
-        if _NOT_BEFORE_NUMBER.search(text[max(0, m.start() - 2) : m.start()]):
-            at = m.start() + 1
-        else:
+def _numbers(pattern: re.Pattern, text: str, starts: list[int]) -> Iterator[re.Match]:
+    """Matches at the places where numbers begin, one after another."""
+    end = 0
+    for at in starts:
+        if at >= end and (m := pattern.match(text, at)):
             yield m
-            at = m.end()
+            end = m.end()
 
 
 def _find_all(text: str, what: str) -> Iterator[int]:
