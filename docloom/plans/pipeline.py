@@ -17,10 +17,10 @@ from docloom.operators.chunking import group_chunks, overlap_chunks
 from docloom.operators.fold import walk_fold
 from docloom.operators.merge import compare_runs, upsert
 from docloom.operators.search import people, search
-from docloom.operators.tree import depth_first, regions_of
+from docloom.operators.tree import depth_first, findings, regions_of
 from docloom.plans import catalog
 from docloom.session import cut, ensure_checkpoint_dir, local_session, numbered
-from docloom.sinks.reports import move_plan, tree_text, write_decisions, write_markdown, write_text
+from docloom.sinks.reports import move_plan, tree_text, write_decisions, write_markdown, write_regions, write_text
 from docloom.sources.files import expand_archives, extract, inventory
 from docloom.streaming.ingest import ProgressLog, report_every, run_into, upsert_batches, upserted
 
@@ -151,6 +151,12 @@ def report(spark: SparkSession, out: str) -> None:
     write_markdown(rows.where("recommendation = 'delete_candidate'").select("rel_path", "rationale").orderBy("rel_path"), "Delete candidates", f"{out}/DELETE-CANDIDATES.md")
     by_tag = rows.groupBy(F.coalesce("primary_tag", F.lit("")).alias("tag")).agg(F.count(F.lit(1)).alias("documents"), F.min("rel_path").alias("first"))
     write_markdown(by_tag.orderBy(F.desc("documents"), "tag"), "Documents by tag", f"{out}/DOCUMENT-MAP.md")
+    placed = stage_rows(spark, out, "placement")
+    if placed is not None:
+        facets = F.array(*[F.struct(F.lit(f).alias("facet"), F.element_at(f, 1).alias("term")) for f in FACETS])
+        tallies = placed.select(F.explode(facets).alias("x")).groupBy("x.facet", "x.term").agg(F.count(F.lit(1)).alias("documents"))
+        write_markdown(tallies.orderBy("facet", F.desc("documents"), "term"), "Documents by facet", f"{out}/TOPIC-MAP.md")
+        placed.drop("content_hash").write.mode("overwrite").json(f"{out}/placements")
     if tags is not None:
         counted = tags.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("documents"))
         write_markdown(counted.orderBy(F.desc("documents"), "tag").limit(40), "Most frequent tags", f"{out}/TAGS.md")
@@ -164,7 +170,11 @@ def walk(spark: SparkSession, out: str) -> DataFrame:
     homes = cut(walk_fold(rows.select("doc_id", "rel_path", part(0).alias("main"), part(1).alias("sub"), part(2).alias("detail")), "doc_id", "main", ["rel_path"], ["sub", "detail"]))
     homes.write.mode("overwrite").parquet(f"{out}/walk")
     nodes = regions_of(homes)
-    write_text(f"{out}/REGIONS.md", tree_text(depth_first(nodes.select("id", "parent_id", "label"), "label", ["unmapped"])))
+    ordered = cut(depth_first(nodes.select("id", "parent_id", "label"), "label", ["unmapped"]))
+    write_text(f"{out}/REGIONS.md", tree_text(ordered))
+    write_regions(ordered, out)
+    at = homes.join(rows.select("doc_id", "rel_path"), "doc_id").select("rel_path", F.array_join("home", "--").alias("region_id"))
+    write_markdown(findings(nodes, at), "Findings of the tree", f"{out}/AUDIT-GRAPH.md")
     return homes
 
 
@@ -181,6 +191,8 @@ def audit(spark: SparkSession, out: str, model: ModelFn | None = None, size: int
         chunks = plan.join(tags, "rel_path", "left").groupBy("chunk_id", "region").agg(F.array_sort(F.collect_list(F.struct("rel_path", F.coalesce("tags", F.array().cast("array<string>")).alias("tags")))).alias("files"))
         return M.chunk_verdicts(chunks, listed, model)
 
+    plan = group_chunks(assigned.select("rel_path", F.element_at("region_ids", 1).alias("region")), "region", ["rel_path"], size)
+    write_markdown(plan.groupBy("region").agg(F.countDistinct("chunk_id").alias("chunks"), F.count(F.lit(1)).alias("files")).orderBy("region"), "Plan of the audit", f"{out}/AUDIT-PLAN.md")
     after, log = audit_loop(assigned, ids, judge)
     after.write.mode("overwrite").parquet(f"{out}/audited")
     write_markdown(spark.createDataFrame([(r["round"], float(r["rate"]), r["applied"], r["stop"] or "") for r in log], "round int, rate double, applied long, stop string"), "Audit", f"{out}/AUDIT.md")

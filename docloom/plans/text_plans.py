@@ -212,7 +212,7 @@ def _people_sql() -> str:
     clean = lambda r: f"array_to_string(list_filter(string_split_regex({r}, '\\s+'), lambda w: lower(w) NOT IN ({noise})), ' ')".replace("\\\\", "\\")
     forms = ", ".join(f"regexp_extract(s, '{_q(p)}', 1)" for p in X.NAME_FORMS)
     runs = r"regexp_extract_all(regexp_replace(s, '[_]+', ' ', 'g'), '((?:\p{Lu}\.|\p{Lu}[\p{L}''-]+)(?:\s+\p{Lu}[\p{L}''-]+){1,2})', 1)"
-    return f"""WITH d AS (SELECT doc_id, trim({words}) AS s FROM documents),
+    return rf"""WITH d AS (SELECT doc_id, trim({words}) AS s FROM documents),
  n AS (SELECT doc_id, list_filter(list_concat(list_transform([{forms}], lambda r: {clean('r')}), list_filter(list_transform({runs}, lambda r: {clean('r')}), lambda r: regexp_matches(r, '\S\s+\S'))), lambda r: r <> '') AS v FROM d)
  SELECT doc_id, array_to_string(list_filter(v, lambda x, i: list_position(list_transform(v, lambda y: lower(y)), lower(x)) = i), '|') AS names FROM n"""
 

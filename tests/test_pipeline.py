@@ -24,7 +24,7 @@ def test_one_run_gives_all_reports(spark, reviewed):
     assert "budget.txt" in (out / "PII-MAP.md").read_text() and "trip.txt" not in (out / "PII-MAP.md").read_text()
     queue = (out / "REVIEW-QUEUE.md").read_text()
     assert "sub/broken.docx | extract failed" in queue and "mine.txt" in queue and "budget.txt" not in queue
-    for name in ("SUMMARY", "DOCUMENT-MAP", "DELETE-CANDIDATES", "TAGS"):
+    for name in ("SUMMARY", "DOCUMENT-MAP", "DELETE-CANDIDATES", "TAGS", "TOPIC-MAP"):
         assert (out / f"{name}.md").read_text().startswith("# ")
     assert spark.read.json(str(out / "decisions")).count() == 4 and spark.read.json(str(out / "tags")).count() == 3
 
@@ -46,7 +46,7 @@ def test_tree_audit_and_names(spark, reviewed):
     _, out, _ = reviewed
     assert R.walk(spark, str(out)).count() >= 3 and (out / "REGIONS.md").read_text().startswith("- ")
     log = R.audit(spark, str(out))
-    assert log[-1]["stop"] and (out / "AUDIT.md").exists()
+    assert log[-1]["stop"] and all((out / name).exists() for name in ("AUDIT.md", "AUDIT-PLAN.md", "AUDIT-GRAPH.md", "regions.yml"))
     assert R.maintain(spark, str(out), least=1).columns == ["parent", "name", "into"]
     assert R.census(spark, str(out)).columns == ["level", "name", "into"]
     same = {r["side"]: (r["documents"], r["same"]) for r in R.compare(spark, str(out), str(out), str(out)).collect()}
