@@ -221,8 +221,10 @@ class Finder:
                 out.append(m.span(1))
         for end in self.tails(text, low):
             line = max(text.rfind("\n", 0, end), text.rfind("|", 0, end)) + 1
-            # the words of a name at most
-            from_ = max(line, _words_back(text, end, 6))
+            # the words of a name at most; a line that holds one word of it goes on from the one before
+            from_ = _words_back(text, end, 6)
+            if line > from_ and " " in text[line:end].strip():
+                from_ = line
             m = _AFTER.search(text[from_:end])
             short = _INITIALS.search(text[from_:end])
             if m and short and short.start(1) > m.start(1) and text[from_ + m.start(1) : from_ + short.start(1)].strip().lower() not in self.given:

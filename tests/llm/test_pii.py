@@ -93,6 +93,8 @@ def test_samples(spark):
         ("Lindenweg\n5", [("address", "Lindenweg 5")]),
         ("call six six two six six two nine nine one two", [("phone", "six six two six six two nine nine one two")]),
         ("a" * 120 + "@example.org", [("email", "a" * 120 + "@example.org")]),
+        ("They left.\nMarcus\nOakley | 212.555.0117", [("name", "Marcus Oakley"), ("phone", "212.555.0117")]),
+        ("near Elm.\nA.\nOakley will pick up the box", [("name", "A. Oakley")]),
         ("Marcus-Hugo-Staff-Test Marcus Oakley | 212.555.0117", [("name", "Marcus Oakley"), ("phone", "212.555.0117")]),
     ],
 )
